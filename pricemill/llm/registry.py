@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup,)}
-SQL = {"op8_exact_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination, op8_exact_dedup)}
+SQL = {"op6_benchmark_decontamination": OP6_SQL, "op8_exact_dedup": OP8_SQL}
