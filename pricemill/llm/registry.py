@@ -7,7 +7,8 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language import op1_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_dedup import op5_minhash_near_dedup
+from .private import op10_private_pseudonyms
 from .token_store import op3_token_store
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_store, op5_minhash_near_dedup, op6_benchmark_decontamination, op8_exact_dedup, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_store, op5_minhash_near_dedup, op6_benchmark_decontamination, op8_exact_dedup, op9_line_dedup, op10_private_pseudonyms)}
 SQL = {"op6_benchmark_decontamination": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
