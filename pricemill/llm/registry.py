@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .language import op1_language_id
+from .licences import OP2_SQL, op2_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_dedup import op5_minhash_near_dedup
+from .packing import op7_best_fit_packing
 from .private import op10_private_pseudonyms
 from .token_store import op3_token_store
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_store, op5_minhash_near_dedup, op6_benchmark_decontamination, op8_exact_dedup, op9_line_dedup, op10_private_pseudonyms)}
-SQL = {"op6_benchmark_decontamination": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_store, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_best_fit_packing, op8_exact_dedup, op9_line_dedup, op10_private_pseudonyms)}
+SQL = {"op2_license_scan": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
