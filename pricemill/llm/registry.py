@@ -11,6 +11,13 @@ from .near_dedup import op5_minhash_near_dedup
 from .packing import op7_best_fit_packing
 from .private import op10_private_pseudonyms
 from .token_store import op3_token_store
+from .warc import op4_warc_derivatives
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_token_store, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_best_fit_packing, op8_exact_dedup, op9_line_dedup, op10_private_pseudonyms)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_license_scan, op3_token_store, op4_warc_derivatives, op5_minhash_near_dedup, op6_benchmark_decontamination,
+        op7_best_fit_packing, op8_exact_dedup, op9_line_dedup, op10_private_pseudonyms,
+    )
+}
 SQL = {"op2_license_scan": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
