@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .words import steps, utf8
@@ -195,19 +196,20 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_SYMBOL
     return out
 
 
-_OUT = "lang_pred string, score double, bits double"
+_FOUND = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType())]
 
 
-def _label(model, keep: list[str]):
+def _label(model, prefix: str):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = _model(model)
         for b in batches:
-            _, offsets = utf8(b.column("text"))
+            at = b.schema.get_field_index("text")
+            _, offsets = utf8(b.column(at))
             for first, last in steps(offsets, 1 << 21):
                 part = b.slice(first, last - first)
-                found = list(learned.predict(part.column("text").to_pylist()))
+                found = list(learned.predict(part.column(at).to_pylist()))
                 names = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *names], names=[*keep, "lang_pred", "score", "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *names], names=[*b.schema.names, *(prefix + f.name for f in _FOUND)])
 
     return make
 
@@ -224,6 +226,13 @@ def _model(sent) -> Model:
     return _MODELS[key]
 
 
+def _identified(docs: DataFrame, samples: dict[str, list[str]], prefix: str) -> DataFrame:
+    """docs with the columns lang_pred, score and bits, their names after the prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(samples)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + f.name, f.dataType) for f in _FOUND)])
+    return docs.mapInArrow(_label(sent, prefix), schema)
+
+
 def identify(docs: DataFrame, samples: dict[str, list[str]], key: str = "doc_id") -> DataFrame:
     """Per row of docs: key, lang_pred, score (0 to 1; 0.5 is a tie), bits a symbol.
 
@@ -231,10 +240,12 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], key: str = "doc_id"
     learned. Of languages that tie, the first by name wins. Repeated rows each get their row; only
     the key and text are read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(samples)
-    source = docs.select(key, "text")
-    kind = source.schema[key].dataType.simpleString()
-    return source.mapInArrow(_label(sent, [key]), f"{key} {kind}, {_OUT}")
+    return _identified(docs.select(key, "text"), samples, "").drop("text")
+
+
+def drop_unidentified(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
+    """The rows and columns of docs, without the texts that are `und`."""
+    return _identified(docs, samples, "__").where("__lang_pred <> 'und'").select(*docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:
