@@ -8,8 +8,10 @@ the pairs that all of them lose are below 1 - recall.
 
 Nodes that still hold many documents branch further; small ones are compared exhaustively. Most
 documents of a node are copies of each other, so each node is first compared as a star around one
-member, and only documents that those links leave in different components are compared pair by pair.
-All links are confirmed on the full sets. Exact copies of a set are one document here.
+member, and only documents that those links leave in different components are compared with each
+other: first by sketches, and those that may have a link by their full sets. So a node yields a link
+for each component that a member reaches, never all pairs of a group. Exact copies of a set are one
+document here.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from .common import stored, table
 from .graph import components
 from .words import mix, shingle_sets
 
-#: Minimum hashes of a set, documents of a small node, levels below the first after which nodes that
-#: are still large are compared in blocks.
-POSITIONS, SMALL_NODE, MORE_LEVELS = 128, 24, 10
+#: Minimum hashes of a set; documents and shingles of a small node at most; levels below the first
+#: after which nodes that are still large are compared in blocks.
+POSITIONS, SMALL_NODE, NODE_SHINGLES, MORE_LEVELS = 128, 4096, 2_000_000, 12
+#: Identifiers that are broadcast at most, to pick their texts; more are joined by a shuffle.
+SENT_IDS = 2_000_000
 RECALL = 0.9999
 _U = np.uint64
 _RNG = np.random.default_rng(20170605)
@@ -144,25 +148,82 @@ def least_estimate(threshold: float) -> float:
     return threshold - 3.72 * math.sqrt(threshold * (1 - threshold) / POSITIONS)
 
 
-def _node_pairs(num: int, den: int):
-    """Pairs of a node's members in different components that may reach the threshold by size and sketch."""
+def _minority(label: np.ndarray) -> np.ndarray:
+    """Places of the members outside the node's most frequent component; every pair that matters has one."""
+    names, inverse, often = np.unique(label, return_inverse=True, return_counts=True)
+    return np.flatnonzero(inverse != np.argmax(often)) if len(names) > 1 else np.empty(0, np.int64)
+
+
+def _likely(num: int, den: int):
+    """Of each node (members with sketches) those that may reach the threshold, by size and sketch, with
+    a member of another component."""
     least = least_estimate(num / den)
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, node in zip(b.column("path").to_pylist(), b.column("node")):
+                rows = node.values
+                sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+                n, label = (rows.field(c).to_numpy().astype(np.int64) for c in ("n", "label"))
+                picked = np.zeros(len(n), bool)
+                few = _minority(label)
+                for first in range(0, len(few), 32):
+                    i = few[first : first + 32]
+                    ok = (label[i][:, None] != label) & _fit(n[i][:, None], n, num, den)
+                    x, y = np.nonzero(ok)
+                    good = (sketch[i[x]] == sketch[y]).mean(axis=1) >= least
+                    picked[i[x[good]]] = True
+                    picked[y[good]] = True
+                if picked.any():
+                    at = pa.array(np.flatnonzero(picked))
+                    out.append([pa.array(np.full(len(at), path)), *(rows.field(c).take(at) for c in ("rep", "n", "label"))])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], names=["path", "rep", "n", "label"])
+
+    return make
+
+
+def common_counts(few: np.ndarray, items: np.ndarray, owner: np.ndarray, members: int) -> np.ndarray:
+    """Sizes of the intersections of the sets of the members `few` with all members' sets."""
+    found, column, often = np.unique(items, return_inverse=True, return_counts=True)
+    shared = often > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, row = number[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(few), members), np.float32)
+    for first in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(column, (first, first + 2048))
+        part = np.zeros((members, 2048), np.float32)
+        part[row[lo:hi], column[lo:hi] - first] = 1
+        out += part[few] @ part.T
+    return out
+
+
+def _confirmed(num: int, den: int):
+    """Links of each node (members with full sets) that join its components: exhaustive and exact, one
+    link for each component that a member reaches."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a_out, b_out = [], []
             for node in b.column("node"):
                 rows = node.values
-                sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-                ids, n, label = (rows.field(c).to_numpy() for c in ("rep", "n", "label"))
-                i, j = np.triu_indices(len(ids), 1)
-                ok = (label[i] != label[j]) & _fit(n[i].astype(np.int64), n[j].astype(np.int64), num, den)
-                i, j = i[ok], j[ok]
-                ok = (sketch[i] == sketch[j]).mean(axis=1) >= least
-                a_out.append(np.maximum(ids[i[ok]], ids[j[ok]]))
-                b_out.append(np.minimum(ids[i[ok]], ids[j[ok]]))
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+                ids, label = rows.field("rep").to_numpy(), rows.field("label").to_numpy()
+                few = _minority(label)
+                sets = rows.field("items")
+                n = sets.value_lengths().to_numpy().astype(np.int64)
+                items = sets.flatten().to_numpy()
+                common = common_counts(few, items, np.repeat(np.arange(len(n)), n), len(n))
+                link = (common * den >= (n[few][:, None] + n - common) * num) & (label[few][:, None] != label)
+                for x in np.flatnonzero(link.any(axis=1)):
+                    ends = np.flatnonzero(link[x])
+                    ends = ends[np.unique(label[ends], return_index=True)[1]]
+                    a_out += [int(ids[few[x]])] * len(ends)
+                    b_out += ids[ends].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     return make
 
@@ -201,21 +262,34 @@ class _Confirmer:
         both = both.join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
         return both.where(agreement("sa", "sb") >= least_estimate(self.num / self.den)).select("a", "b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b), those whose full sets reach the threshold."""
-        pairs = stored(pairs.distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        if self.sets is not None:
-            ids = ids.join(self.sets.select("rep"), "rep", "left_anti")
+    def take(self, ids: DataFrame) -> None:
+        """Makes the sets of these rows (rep) known."""
+        ids = ids.distinct() if self.sets is None else ids.distinct().join(self.sets.select("rep"), "rep", "left_anti")
+        ids = stored(ids, "ids")
+        if ids.count() <= SENT_IDS:
+            ids = F.broadcast(ids)
         texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
         new = stored(texts.mapInArrow(_sets(self.k), "rep long, items array<long>"), "sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b), those whose full sets reach the threshold."""
+        pairs = stored(pairs, "pairs")
+        self.take(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))))
         left = self.sets.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
         right = self.sets.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
         common = F.size(F.array_intersect("ia", "ib"))
         return stored(both.where(common * self.den >= (F.size("ia") + F.size("ib") - common) * self.num).select("a", "b"), "links")
 
+    def node_links(self, members: DataFrame) -> DataFrame:
+        """Links between the components of each node of members (path, rep, label)."""
+        members = stored(members, "likely")
+        self.take(members.select("rep"))
+        full = members.select("path", "rep", "label").join(self.sets.hint("merge"), "rep")
+        nodes = full.groupBy("path").agg(F.collect_list(F.struct("rep", "label", "items")).alias("node"))
+        return stored(nodes.select("node").mapInArrow(_confirmed(self.num, self.den), _PAIRS).distinct(), "links")
+
 
 def _sized(members: DataFrame) -> DataFrame:
     """Members of nodes that hold two documents at least, with the node's size and its first member
@@ -226,21 +300,21 @@ def _sized(members: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold documents of two components at least, with the node's size."""
-    nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return members.join(nodes.select("path", "size").hint("merge"), "path")
+    """Members of nodes that hold documents of two components at least, with the node's size and shingles."""
+    nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return members.join(nodes.where("lo <> hi").select("path", "size", "weight").hint("merge"), "path")
 
 
-def _collected(members: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of small nodes; a node has SMALL_NODE members, or twice as many in a pair of blocks, at most."""
+def _likely_members(members: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Of small nodes, the members that may have a link to another component of theirs."""
     full = members.join(reps.select("rep", "sketch").hint("merge"), "rep")
-    nodes = full.groupBy("path").agg(F.collect_list(F.struct("rep", "n", "label", "sketch")).alias("node")).where(F.size("node") > 1)
-    return nodes.select("node").mapInArrow(_node_pairs(num, den), _PAIRS)
+    nodes = full.groupBy("path").agg(F.collect_list(F.struct("rep", "n", "label", "sketch")).alias("node"))
+    return nodes.mapInArrow(_likely(num, den), "path long, rep long, n int, label long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """A large node as all pairs of its blocks of about SMALL_NODE members, each a node by itself."""
-    count = F.ceil(F.col("size") / SMALL_NODE).cast("int")
+    """A large node as all pairs of its blocks, each of which is a small node by itself."""
+    count = F.ceil(F.greatest(F.col("size") / (SMALL_NODE // 2), F.col("weight") / (NODE_SHINGLES // 2))).cast("int")
     block = F.pmod(F.xxhash64("rep", F.lit(1)), count).cast("int")
     dealt = members.select("rep", "n", "label", "path", block.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     return dealt.select("rep", "n", "label", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"))
@@ -277,19 +351,20 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
 
     named = nodes.where("size > 2").select("path", "rep", "n").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     open_nodes = stored(_mixed(named.select("path", "rep", "n", F.coalesce("label", "rep").alias("label"))), "open")
-    found = None
+    likely = None
     for level in range(MORE_LEVELS + 1):
-        small = _collected(open_nodes.where(F.col("size") <= SMALL_NODE), reps, num, den)
-        found = small if found is None else found.unionByName(small)
-        large = open_nodes.where(F.col("size") > SMALL_NODE)
-        if large.isEmpty():
-            break
+        is_small = (F.col("size") <= SMALL_NODE) & (F.col("weight") <= NODE_SHINGLES)
+        small, large = open_nodes.where(is_small), open_nodes.where(~is_small)
+        last = level == MORE_LEVELS or large.isEmpty()
         if level == MORE_LEVELS:
-            found = found.unionByName(_collected(_blocks(large), reps, num, den))
+            small = small.select("path", "rep", "n", "label").unionByName(_blocks(large))
+        found = _likely_members(small.select("path", "rep", "n", "label"), reps, num, den)
+        likely = found if likely is None else likely.unionByName(found)
+        if last:
             break
         split = large.join(reps.select("rep", "sig").hint("merge"), "rep").select("path", "rep", "n", "label", "sig")
         open_nodes = stored(_mixed(split.mapInArrow(_deeper(extra), "path long, rep long, n int, label long")), "open")
-    links = links.unionByName(confirmer.links(found))
+    links = links.unionByName(confirmer.node_links(likely))
     labels = components(links).withColumnRenamed("node", "rep")
 
     classes = reps.select("hi", "lo", F.col("n"), "rep").join(labels, "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("label"))
