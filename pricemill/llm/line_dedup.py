@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     """
     docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
     lines = stored(line_table(docs, site), "lines")
-    common = widespread(lines, min_sites)
+    common = stored(widespread(lines, min_sites), "common")  # a plain table, so that a hot line's join can be split
     first = F.col("first.__row").eqNullSafe(F.col("__row")) & F.col("first.pos").eqNullSafe(F.col("pos"))
     goes = F.col("first").isNotNull() & ~first if keep_first else F.col("first").isNotNull()
     kept = (
