@@ -1,8 +1,8 @@
 """Token ids in seekable binary files.
 
 A file is a run of independent zstandard frames, each holding the ids of some consecutive documents
-as little-endian unsigned 32-bit integers; then one skippable frame with the documents' identifiers
-and lengths; last the seek table of the public seekable format (a skippable frame of 12 bytes a frame:
+as little-endian unsigned integers of 16 or 32 bits, as the vocabulary needs; then one skippable frame
+with this width and the documents' identifiers and lengths; last the seek table of the public seekable format (a skippable frame of 12 bytes a frame:
 compressed size, decompressed size, low half of the XXH64 of the decompressed bytes). A reader takes
 the seek table from the end of the file, finds the frames of the documents asked for, and decompresses
 and verifies only those.
@@ -13,6 +13,7 @@ file system that Spark reaches will do and a lost executor's attempt leaves noth
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,44 +27,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_folder, stored, table
+from .words import steps, utf8
 
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table's end.
 SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x8F92EAB1
 SEEK_FRAME = SKIPPABLE + 0xE
 #: Bytes of ids in a frame at least, bytes of ids in a file at least; one document is never cut.
 FRAME_BYTES, FILE_BYTES = 1 << 18, 8 << 20
-#: Remembered words of a task.
-CACHE_WORDS = 300_000
+#: Remembered chunks of a Python worker (about 200 bytes each), and bytes of text that are encoded together.
+CACHE_CHUNKS, TOGETHER = 700_000, 300_000
+#: Punctuation that is encoded apart from the word it follows.
+_MARKS = b".,!?#%&$*;:"
+_LOWER_BLANK = bytes(32 if b == 10 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def _ends_in_letter(chunk: bytes) -> bool:
+    """Whether the last character is an ASCII letter or digit, or a letter of the Latin-1 block."""
+    last = chunk[-1]
+    return 97 <= last <= 122 or 48 <= last <= 57 or (len(chunk) > 1 and chunk[-2] == 0xC3 and last not in (0x97, 0xB7))
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    With by_words, the library encodes each distinct blank-separated chunk once and the ids are
-    remembered. That is exact for vocabularies whose pre-tokenizer drops white space, as no token
-    then spans a blank; for others leave it off.
+    With by_words, the library encodes each distinct blank-separated chunk once and its ids are
+    remembered. That is exact for vocabularies that lower-case, drop white space and part letters
+    from marks, as no token then spans a blank or such a place; for others leave it off.
     """
 
     def __init__(self, path: str, by_words: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_words, self.known = Tokenizer.from_file(path), by_words, {"": b""}
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        own = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.mark = own[0] if len(own) == 1 else None
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new chunks: of all that lack the mark in one call, parted by the mark's id."""
+        raw = self._library([b" \x01 ".join(new).decode("utf-8")])[0]
+        cuts = (np.flatnonzero(np.frombuffer(raw, f"<u{self.width}") == self.mark) * self.width).tolist()
+        self.known.update(zip(new, [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
+        if not self.by_words or self.mark is None:
             return self._library(texts)
-        out: list[bytes] = []
-        for first in range(0, len(texts), 64):
-            chunks = [t.replace("\n", " ").split(" ") for t in texts[first : first + 64]]
-            new = list({c for own in chunks for c in own} - self.known.keys())
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {"": b""}
-                new = list({c for own in chunks for c in own} - {""})
-            self.known.update(zip(new, self._library(new)))
-            out += [b"".join(map(self.known.__getitem__, own)) for own in chunks]
+        # a text with the mark or with what may be a special token is left to the library as it is
+        odd = [i for i, t in enumerate(texts) if "\x01" in t or "<|" in t]
+        chunks = [t.encode("utf-8").translate(_LOWER_BLANK).split(b" ") for t in texts]
+        for i in odd:
+            chunks[i] = []
+        known = self.known
+        new = [c for c in set().union(*chunks) if c not in known]
+        bases, ended = set(), []
+        for c in new:
+            base = c.rstrip(_MARKS)
+            if len(base) < len(c) and base and _ends_in_letter(base):
+                ended.append((c, base, c[len(base) :]))
+                bases.update(ended[-1][1:])
+            else:
+                bases.add(c)
+        if bases := [c for c in bases if c not in known]:
+            self._learn(bases)
+        for c, base, marks in ended:
+            known[c] = known[base] + known[marks]
+        out = [b"".join(map(known.__getitem__, own)) for own in chunks]
+        if len(known) > CACHE_CHUNKS:
+            for c in (*new, *bases):
+                known.pop(c, None)
+        for i, ids in zip(odd, self._library([texts[i] for i in odd]) if odd else ()):
+            out[i] = ids
         return out
 
 
@@ -76,8 +114,8 @@ def _skippable(payload: bytes, magic: int = SKIPPABLE) -> bytes:
     return struct.pack("<II", magic, len(payload)) + payload
 
 
-def build_file(first_number: int, docs: Iterable[tuple[int, bytes]], frame_bytes: int = FRAME_BYTES, level: int = 3) -> bytes:
-    """One file of the (doc_id, ids) pairs, in the order given."""
+def build_file(docs: Iterable[tuple[int, bytes]], width: int = 4, frame_bytes: int = FRAME_BYTES, level: int = 3) -> bytes:
+    """One file of the (doc_id, ids) pairs, in the order given; an id takes `width` bytes."""
     compressor = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
     body, seek, held, size = [], [], [], 0
     ids, lengths = [], []
@@ -92,13 +130,13 @@ def build_file(first_number: int, docs: Iterable[tuple[int, bytes]], frame_bytes
         held.append(tokens)
         size += len(tokens)
         ids.append(doc_id)
-        lengths.append(len(tokens) // 4)
+        lengths.append(len(tokens) // width)
         if size >= frame_bytes:
             close()
             size = 0
     if held:
         close()
-    index = struct.pack("<QQ", first_number, len(ids)) + np.array(ids, "<i8").tobytes() + np.array(lengths, "<u4").tobytes()
+    index = struct.pack("<QQ", width, len(ids)) + np.array(ids, "<i8").tobytes() + np.array(lengths, "<u4").tobytes()
     for frame in (_skippable(index),):
         body.append(frame)
         seek.append(struct.pack("<III", len(frame), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
@@ -119,10 +157,10 @@ class TokenFile:
         self.at = np.concatenate(([0], np.cumsum(entries[:, 0].astype(np.int64))))
         self.out = np.concatenate(([0], np.cumsum(entries[:, 1].astype(np.int64))))
         index = blob[self.at[-2] + 8 : self.at[-1]]
-        self.number, count = struct.unpack("<QQ", index[:16])
+        self.width, count = struct.unpack("<QQ", index[:16])
         self.ids = np.frombuffer(index, "<i8", count, 16)
         self.lengths = np.frombuffer(index, "<u4", count, 16 + 8 * count).astype(np.int64)
-        self.begins = np.concatenate(([0], np.cumsum(self.lengths * 4)))
+        self.begins = np.concatenate(([0], np.cumsum(self.lengths * self.width)))
         self.decompressed = 0
         self._last: tuple[int, bytes] = (-1, b"")
 
@@ -136,12 +174,13 @@ class TokenFile:
         return self._last[1]
 
     def tokens(self, i: int) -> bytes:
-        """Ids of the file's i-th document, little-endian; a document lies within one frame."""
+        """Ids of the file's i-th document, as little-endian 32-bit integers; a document lies within one frame."""
         begin, end = int(self.begins[i]), int(self.begins[i + 1])
         if begin == end:
             return b""
         k = int(np.searchsorted(self.out, begin, "right")) - 1
-        return self._frame(k)[begin - self.out[k] : end - self.out[k]]
+        own = self._frame(k)[begin - self.out[k] : end - self.out[k]]
+        return own if self.width == 4 else np.frombuffer(own, "<u2").astype("<u4").tobytes()
 
 
 _FILE = pa.schema([("first_id", pa.int64()), ("blob", pa.binary())])
@@ -154,16 +193,17 @@ def _files(path: str, end_id: int, by_words: bool, file_bytes: int):
         size = 0
 
         def closed() -> pa.RecordBatch:
-            blob = build_file(0, held)
+            blob = build_file(held, encoder.width)
             return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([blob], pa.binary())], schema=_FILE)
 
-        end = struct.pack("<I", end_id)
+        end = end_id.to_bytes(encoder.width, "little")
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for first in range(0, len(ids), 256):
-                for i, tokens in zip(ids[first : first + 256], encoder.encode([t or "" for t in texts[first : first + 256]])):
+            _, offsets = utf8(b.column("text"))
+            for first, last in steps(offsets, TOGETHER):
+                part = b.slice(first, last - first)
+                for i, tokens in zip(part.column("doc_id").to_pylist(), encoder.encode([t or "" for t in part.column("text").to_pylist()])):
                     held.append((i, tokens + end))
-                    size += len(tokens) + 4
+                    size += len(tokens) + encoder.width
                     if size >= file_bytes:
                         yield closed()
                         held, size = [], 0
@@ -191,42 +231,42 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, by_
     return folder
 
 
-_DOC = pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
-_DOC_SQL = "file string, first_id long, place long, doc_id long, before long, n_tokens long, tokens binary"
+_PLACES = [("file", pa.string()), ("first_id", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64())]
+_DOC = pa.schema([*_PLACES, ("tokens", pa.binary())])
+_DIGEST = pa.schema([*_PLACES, ("ids_crc32", pa.int64())])
+_PLACES_SQL = "file string, first_id long, place long, doc_id long, before long, n_tokens long"
 
 
-def _documents(wanted: frozenset | None):
+def _documents(wanted: frozenset | None, schema: pa.Schema, of_tokens=lambda tokens: tokens):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, blob in zip(b.column("path").to_pylist(), b.column("content")):
-                stored_file = TokenFile(blob.as_py())
-                before = stored_file.begins // 4
-                take = [i for i in range(len(stored_file.ids)) if wanted is None or int(stored_file.ids[i]) in wanted]
+                read = TokenFile(blob.as_py())
+                before, first_id = (read.begins // read.width).tolist(), int(read.ids[0])
+                ids, lengths = read.ids.tolist(), read.lengths.tolist()
+                take = [i for i in range(len(ids)) if wanted is None or ids[i] in wanted]
                 for first in range(0, len(take), 512):
-                    rows = [(path, int(stored_file.ids[0]), i, int(stored_file.ids[i]), int(before[i]), int(stored_file.lengths[i]), stored_file.tokens(i)) for i in take[first : first + 512]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _DOC.types)], schema=_DOC)
+                    rows = [(path, first_id, i, ids[i], before[i], lengths[i], of_tokens(read.tokens(i))) for i in take[first : first + 512]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return make
 
 
+def _stored_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    return files.select("path", "content")
+
+
 def read_tokens(spark: SparkSession, folder: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
     """Rows (file, first_id, place in the file, doc_id, ids before it in the file, n_tokens, tokens as
     little-endian unsigned 32-bit integers); with doc_ids, only frames that hold those are decompressed."""
     wanted = None if doc_ids is None else frozenset(doc_ids)
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return files.select("path", "content").mapInArrow(_documents(wanted), _DOC_SQL)
-
-
-def _crc(tokens):
-    import pandas as pd
-
-    return pd.Series([zlib.crc32(t) for t in tokens], dtype="int64")
+    return _stored_files(spark, folder).mapInArrow(_documents(wanted, _DOC), f"{_PLACES_SQL}, tokens binary")
 
 
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    crc = F.pandas_udf(_crc, "long")
-    rows = stored(read_tokens(spark, folder).select("file", "first_id", "place", "doc_id", "before", "n_tokens", crc("tokens").alias("ids_crc32")), "digests")
+    rows = stored(_stored_files(spark, folder).mapInArrow(_documents(None, _DIGEST, zlib.crc32), f"{_PLACES_SQL}, ids_crc32 long"), "digests")
     # one row a file: the running total over files gives each file's start
     sums = rows.groupBy("file").agg(F.min("first_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_tokens").alias("total"))
     starts = sums.selectExpr("file", "coalesce(sum(total) over (order by first_id, last_id, file rows between unbounded preceding and 1 preceding), 0) as offset")
