@@ -112,7 +112,8 @@ def eligible_series(spark, d):
 
 def _feature_query(*cols):
     def query(spark, d):
-        return _rounded(_features(spark, d).select(*KEYS, *cols))
+        found = _features(spark, d).withColumn("lag_promotion_1", F.col("lag_promotion_1").cast("double"))
+        return _rounded(found.select(*KEYS, *cols))
 
     return query
 
@@ -160,7 +161,10 @@ def episodes(spark, d):
 
 
 def history_stats_pit(spark, d):
-    return _rounded(series.history_stats(_panel(spark, d)).select(*KEYS, "hist_n_obs", "hist_n_prices", "hist_mean", "hist_std", "hist_min", "hist_max"))
+    found = series.history_stats(_panel(spark, d))
+    # means of cents often end on a half at six places, so these keep ten
+    exact = [F.round("hist_mean", 10).alias("hist_mean"), *(r6(F.col(c)).alias(c) for c in ("hist_std", "hist_min", "hist_max"))]
+    return found.select(*KEYS, "hist_n_obs", "hist_n_prices", *exact)
 
 
 def loglog_pooled(spark, d):
