@@ -27,7 +27,7 @@ from .common import table
 from .words import steps, utf8
 
 #: Bound of the sample: texts of a language at most, and symbols of a language at most.
-SAMPLE_TEXTS, SAMPLE_SYMBOLS = 200, 40_000
+SAMPLE_TEXTS, SAMPLE_SYMBOLS = 200, 25_000
 #: Symbols that are parsed as one piece; letters of an alphabet at most, the rest count as unknown.
 BLOCK, ALPHABET = 512, 250
 _ROOT_PHRASE = np.int32(-(1 << 31))
