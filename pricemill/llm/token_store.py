@@ -14,8 +14,10 @@ file system that Spark reaches will do and a lost executor's attempt leaves noth
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -35,12 +37,18 @@ SEEK_FRAME = SKIPPABLE + 0xE
 #: Bytes of ids in a frame at least, bytes of ids in a file at least; one document is never cut.
 FRAME_BYTES, FILE_BYTES = 1 << 18, 8 << 20
 #: Remembered chunks of a Python worker (about 200 bytes each), and bytes of text that are encoded together.
-CACHE_CHUNKS, TOGETHER = 700_000, 300_000
+CACHE_CHUNKS, TOGETHER = 500_000, 600_000
 #: Punctuation that is encoded apart from the word it follows.
 _MARKS = b".,!?#%&$*;:"
 _LOWER_BLANK = bytes(32 if b == 10 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: A run of lower-case ASCII and Latin-1 letters, which every step before the model leaves as it is.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level vocabularies spell the bytes that have no printable Latin-1 character with those after 255.
+_SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 def _ends_in_letter(chunk: bytes) -> bool:
     """Whether the last character is an ASCII letter or digit, or a letter of the Latin-1 block."""
     last = chunk[-1]
@@ -61,15 +69,34 @@ class Encoder:
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         own = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = own[0] if len(own) == 1 else None
+        trial = ["abandon", "déjàvu", "straße", "ñandú", "êéîôÿ", "zzxq"]
+        self.direct = self._library(trial) == [self._word(t.encode("utf-8")) for t in trial]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a run of lower-case letters, by the library's model alone."""
+        spelled = word.decode("ascii") if word.isascii() else word.decode("latin-1").translate(_SPELLING)
+        return array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def _learn(self, new: list[bytes]) -> None:
-        """Ids of new chunks: of all that lack the mark in one call, parted by the mark's id."""
+        """Ids of new chunks: plain words by the model, where it agrees with the whole library; the others in
+        one call, parted by the mark's id."""
+        if self.direct:
+            rest = []
+            for c in new:
+                if _LETTERS.fullmatch(c):
+                    self.known[c] = self._word(c)
+                else:
+                    rest.append(c)
+            new = rest
+        if not new:
+            return
         raw = self._library([b" \x01 ".join(new).decode("utf-8")])[0]
         cuts = (np.flatnonzero(np.frombuffer(raw, f"<u{self.width}") == self.mark) * self.width).tolist()
         self.known.update(zip(new, [raw[a:b] for a, b in zip([0, *(c + self.width for c in cuts)], [*cuts, len(raw)])]))
@@ -83,7 +110,7 @@ class Encoder:
         for i in odd:
             chunks[i] = []
         known = self.known
-        new = [c for c in set().union(*chunks) if c not in known]
+        new = set().union(*chunks).difference(known)
         bases, ended = set(), []
         for c in new:
             base = c.rstrip(_MARKS)
@@ -92,7 +119,7 @@ class Encoder:
                 bases.update(ended[-1][1:])
             else:
                 bases.add(c)
-        if bases := [c for c in bases if c not in known]:
+        if bases := list(bases.difference(known)):
             self._learn(bases)
         for c, base, marks in ended:
             known[c] = known[base] + known[marks]
