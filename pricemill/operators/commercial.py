@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricemill.functions.ranges import running_totals
+
 
 def concentration(panel: DataFrame) -> DataFrame:
-    """By product: units, revenue, weeks, shares, and the running revenue share in falling order of revenue.
-    One row a product, so the running sum is over products, not over rows of the panel."""
+    """By product: units, revenue, weeks, shares, and the running revenue share in falling order of revenue."""
     by = panel.groupBy("upc").agg(F.sum("move").alias("units"), F.sum("revenue").alias("revenue"), F.count("*").alias("n_obs"))
-    order = Window.orderBy(F.desc("revenue"), "upc")
-    whole = Window.partitionBy()
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return by.withColumns({
-        "revenue_share": F.col("revenue") / F.sum("revenue").over(whole), "revenue_rank": F.row_number().over(order).cast("long"),
-        "cumulative_share": F.sum("revenue").over(upto) / F.sum("revenue").over(whole),
-    })
+    whole = by.agg(F.sum("revenue").alias("__all"))
+    out = running_totals(by, [F.desc("revenue"), F.col("upc")], {"revenue_rank": F.lit(1).cast("long"), "__upto": F.col("revenue")})
+    shares = {"revenue_share": F.col("revenue") / F.col("__all"), "cumulative_share": F.col("__upto") / F.col("__all")}
+    return out.crossJoin(F.broadcast(whole)).withColumns(shares).drop("__all", "__upto")
 
 
 def roles(panel: DataFrame, weeks: int = 52) -> DataFrame:

@@ -201,5 +201,14 @@ SQL = {
     "optimal_prices": _with("SELECT upc, store, week, round(unit_cost * -2.0 / (1 + -2.0), 6) AS best_price FROM cx WHERE unit_cost > 0", *_ALL),
     "value_scenarios": _with("SELECT s AS scenario, round(gain * f, 6) AS weekly, round(gain * f * 52, 6) AS annual FROM (SELECT coalesce(sum(CASE WHEN outcome = 'change' THEN profit_proposed - profit_current END), 0.0) AS gain FROM rec2), (VALUES ('low', 0.25::DOUBLE), ('middle', 0.5::DOUBLE), ('high', 1.0::DOUBLE)) AS v(s, f)", *_ALL, _CAPPED, _DECIDED),
     "modal_price": _with("SELECT m.upc, round(modal, 6) AS modal_price, round(median_margin, 6) AS median_margin FROM (SELECT upc, arg_max(price, struct_pack(n := n, q := -price)) AS modal FROM (SELECT upc, round(p, 2) AS price, count(*) AS n FROM pn GROUP BY 1, 2) GROUP BY upc) m JOIN (SELECT upc, quantile_cont(rate, 0.5) AS median_margin FROM pn GROUP BY upc) q USING (upc)"),
+    "episode_scores": _with("""SELECT method, count(*) AS n, round(sum(abs(move - pred)) / nullif(sum(abs(move)), 0), 6) AS wape, round(avg(abs(move - pred)), 6) AS mae, round(avg(pred - move), 6) AS bias,
+      round(avg(CASE WHEN abs(dp) > 1e-9 THEN CASE WHEN sign(dp) = sign(dq) THEN 1.0::DOUBLE ELSE 0 END END), 6) AS sign_accuracy, round(quantile_cont(abs(dp - dq), 0.5), 6) AS median_log_error
+      FROM (SELECT method, move, pred, ln(greatest(pred, 1e-9) / base) AS dp, ln(greatest(move, 1e-9) / base) AS dq FROM (
+        SELECT method, e.move, base, base * pow(e.p / e.pp, eps) AS pred FROM (SELECT nx.*, coalesce(roll_mean_move_4, lag_move_1) AS base FROM nx JOIN ft USING (upc, store, week)) e, (VALUES ('null', 0.0::DOUBLE), ('fixed', -2.0::DOUBLE), ('unit', -1.0::DOUBLE)) AS v(method, eps)
+        WHERE pp > 0 AND e.p > 0 AND pm > 0 AND e.move > 0 AND abs(e.p / pp - 1) BETWEEN 0.05 AND 0.60 AND base > 0)) GROUP BY method""", _FEATURES, _ARC),
+    "episode_rank_correlation": _with("""SELECT round(corr(a, b), 6) AS spearman FROM (SELECT avg(ra) OVER (PARTITION BY c) AS a, avg(rb) OVER (PARTITION BY r) AS b FROM (
+      SELECT c, r, row_number() OVER (ORDER BY c) AS ra, row_number() OVER (ORDER BY r) AS rb FROM (SELECT p / pp - 1 AS c, ln(move / pm) AS r FROM nx WHERE pp > 0 AND p > 0 AND pm > 0 AND move > 0 AND abs(p / pp - 1) BETWEEN 0.05 AND 0.60)))""", _ARC),
+    "excluded_positions": _with("""SELECT CASE WHEN f IS NULL THEN 'no_valid_week' WHEN week < f THEN 'leading' WHEN week > l THEN 'trailing' ELSE 'interior' END AS position, count(*) AS n FROM (
+      SELECT week, ok, min(CASE WHEN ok = 1 THEN week END) OVER s AS f, max(CASE WHEN ok = 1 THEN week END) OVER s AS l FROM mv WINDOW s AS (PARTITION BY upc, store)) WHERE ok = 0 GROUP BY 1"""),
     "latest_state": _with("SELECT upc, store, week, round(move, 6) AS move, round(p, 6) AS effective_unit_price FROM (SELECT *, row_number() OVER (PARTITION BY upc, store ORDER BY week DESC) AS n FROM pn) WHERE n = 1"),
 }

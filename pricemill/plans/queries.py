@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pricemill.config import Config
 from pricemill.functions.columns import arc_elasticity, best_price, price_change, r6
-from pricemill.operators import audit, cleaning, commercial, decisions, features, models, monitoring, policies, regression, series
+from pricemill.operators import audit, cleaning, commercial, decisions, features, models, monitoring, policies, regression, series, studies
+from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
 
 #: Settings of these queries: the sales tables begin on a Monday of 1995.
@@ -344,17 +345,21 @@ def policy_totals(spark, d):
     return _rounded(policies.totals(policies.scored(policies.policy_prices(rows, CONFIG.policy("standard")))))
 
 
-def policy_backtest(spark, d):
-    """Each of the last ten weeks decided with what was known before it, scored by policy."""
+def _backtest_contexts(spark, d, weeks=10):
+    """Each of the last weeks as it stood before: the price before, statistics of earlier rows."""
     rows = series.history_stats(_features(spark, d))
     last = rows.agg(F.max("week").alias("__last"))
-    rows = rows.join(F.broadcast(last), F.col("week") > F.col("__last") - 10)
-    base = rows.where("lag_price_1 is not null").select(
+    rows = rows.join(F.broadcast(last), F.col("week") > F.col("__last") - weeks)
+    return rows.where("lag_price_1 is not null").select(
         *KEYS, F.col("lag_price_1").alias("current_price"), F.col("decision_time_unit_cost").alias("unit_cost"), F.coalesce("roll_mean_move_4", "lag_move_1", F.lit(0.0)).alias("base_units"),
         F.lit(-2.0).alias("elasticity"), F.lit("fixed").alias("elasticity_source"), F.col("hist_n_obs").alias("n_obs"), F.col("hist_n_prices").alias("n_distinct_prices"),
         (F.col("hist_std") / F.nullif("hist_mean", F.lit(0.0))).alias("price_cv"), F.col("hist_min").alias("price_min"), F.col("hist_max").alias("price_max"),
     )
-    found = decisions.recommend(base, "standard", CONFIG).where("unit_cost is not null")
+
+
+def policy_backtest(spark, d):
+    """Each of the last ten weeks decided with what was known before it, scored by policy."""
+    found = decisions.recommend(_backtest_contexts(spark, d), "standard", CONFIG).where("unit_cost is not null")
     return _rounded(policies.totals(policies.scored(policies.policy_prices(found, CONFIG.policy("standard")))))
 
 
@@ -384,10 +389,100 @@ def review_queue(spark, d):
     return audit.review_queue(log, moved.unionByName(done)).groupBy("state", "decision").agg(F.count("*").alias("n"))
 
 
+def eligibility_funnel(spark, d):
+    rows = features.with_split(_features(spark, d), CONFIG)
+    modelling = features.training_rows(rows)
+    return studies.funnel(rows, modelling, modelling.where("split = 'train'"), CONFIG)
+
+
+def episode_scores(spark, d):
+    rows = features.price_episodes(_features(spark, d).withColumn("baseline", F.coalesce("roll_mean_move_4", "lag_move_1")))
+    return _rounded(studies.score_episodes(rows, {"null": F.lit(0.0), "fixed": F.lit(-2.0), "unit": F.lit(-1.0)}))
+
+
+def episode_rank_correlation(spark, d):
+    rows = features.price_episodes(_panel(spark, d)).withColumn("response", F.log(F.col("move") / F.col("prev_move")))
+    return _rounded(studies.spearman(rows.select("change", "response"), "change", "response"))
+
+
+def excluded_positions(spark, d):
+    return studies.positions(_movement(spark, d), F.col("ok") == 0)
+
+
+def elasticity_windows(spark, d):
+    return _rounded(studies.window_slopes(regression.loglog(_panel(spark, d)), {"W1": (1, 119), "W2": (120, 238), "W3": (239, 357)}))
+
+
+def elasticity_stability(spark, d):
+    fits = studies.window_slopes(regression.loglog(_panel(spark, d)), {"W1": (1, 119), "W2": (120, 238), "W3": (239, 357)})
+    return _rounded(studies.stability(fits))
+
+
+def risk_bootstrap(spark, d):
+    """Forecast errors of the test weeks by the risk band that was known before each week."""
+    rows = series.history_stats(features.training_rows(features.with_split(_features(spark, d), CONFIG))).where("split = 'test'")
+    rows = rows.select(
+        *KEYS, F.col("move").alias("actual"), F.coalesce("roll_mean_move_4", "lag_move_1").alias("predicted"), F.col("hist_n_obs").alias("n_obs"), F.col("hist_n_prices").alias("n_distinct_prices"),
+        F.col("hist_min").alias("price_min"), F.col("hist_max").alias("price_max"), F.lit("fixed").alias("elasticity_source"), "effective_unit_price",
+    )
+    rows = rows.withColumn("risk_level", decisions.risk_level(F.col("effective_unit_price"), CONFIG))
+    frame = studies.bootstrap_bands(rows)
+    return spark.createDataFrame([tuple(r) for r in frame.itertuples(index=False)], "risk_level string, wape double, low double, high double")
+
+
+def guardrail_ablation(spark, d):
+    return _rounded(studies.guardrail_layers(contexts(spark, d), CONFIG))
+
+
+def elasticity_scenarios(spark, d):
+    return _rounded(studies.scenarios(contexts(spark, d), CONFIG))
+
+
+def recommendation_stability(spark, d):
+    return _rounded(studies.week_to_week(decisions.recommend(_backtest_contexts(spark, d), "standard", CONFIG)))
+
+
+def sampled_contexts(spark, d):
+    return _rounded(studies.seeded_sample(contexts(spark, d), KEYS, 50))
+
+
+def model_metrics(spark, d):
+    """Both model families, fitted on the training weeks and held against the validation and test weeks."""
+    rows = features.with_seasonality(features.training_rows(features.with_split(_features(spark, d), CONFIG)))
+    train, rest = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    out = None
+    for family in ("ridge", "poisson"):
+        found = models.DemandModel(family).fit(train).predict(rest).select(F.lit(family).alias("model"), "split", F.col("move").alias("actual"), "predicted")
+        one = models.evaluate(found, ["model", "split"])
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out)
+
+
+def implied_elasticity(spark, d):
+    """The ridge's own price response by central differences of two per cent, over the test weeks."""
+    rows = features.with_seasonality(features.training_rows(features.with_split(_features(spark, d), CONFIG)))
+    model, step = models.DemandModel("ridge").fit(rows.where("split = 'train'")), 0.02
+    at = lambda f, name: lambda df: model.predict(df.withColumns(features.price_features(F.col("effective_unit_price") * f)), name)
+    both = rows.where("split = 'test'").transform(at(1 + step, "up")).transform(at(1 - step, "down"))
+    value = (F.log(F.col("up") + 1e-9) - F.log(F.col("down") + 1e-9)) / (F.log(F.lit(1 + step)) - F.log(F.lit(1 - step)))
+    q = lambda x: F.percentile("e", F.lit(x))
+    return _rounded(both.withColumn("e", value).agg(F.count("e").alias("n"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"), F.avg((F.col("e") < 0).cast("int")).alias("share_negative")))
+
+
+def synthetic_recovery(spark, d):
+    """Known elasticities against those found again in the panel they made."""
+    spec = synthetic.Spec(n_upcs=10, n_stores=5, n_weeks=120)
+    panel = cleaning.canonical(synthetic.movement(spark, spec))
+    fits = regression.slopes(regression.within(regression.loglog(panel), ["x", "y"], ["upc", "store"]), "upc")
+    return _rounded(fits.join(synthetic.truth(spark, spec), "upc").select("upc", "true_elasticity", "estimate", "std_error"))
+
+
 _NAMES = """panel_canonical exclusion_counts validation_checks table_fingerprint scale_summary numeric_profile promo_rollup weekly_rollup upc_concentration
 product_roles store_dispersion price_variation_upc price_variation_series eligible_series lag_features rolling_features reference_price_median decision_cost
 series_age price_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
 loglog_upc_store_fe elasticity_by_upc shrinkage_weights robust_inference elasticity_with_controls forecast_metrics metrics_by_segment performance_by_quarter
 psi_by_feature ks_statistic alerts guardrail_bounds simulate_grid price_grid curve_diagnostics risk_levels recommendations decision_mix reason_code_counts
-constraint_attribution rule_policies policy_totals policy_backtest optimal_prices value_scenarios modal_price latest_state review_queue""".split()
+constraint_attribution rule_policies policy_totals policy_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
+episode_rank_correlation excluded_positions elasticity_windows elasticity_stability risk_bootstrap guardrail_ablation elasticity_scenarios recommendation_stability
+sampled_contexts model_metrics implied_elasticity synthetic_recovery""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pricemill.config import Config, merged
 from pricemill.functions import columns as C
-from pricemill.operators import audit, cleaning, decisions, features, monitoring, regression
-from pricemill.sources import tables
+from pricemill.functions.ranges import running_totals
+from pricemill.operators import audit, cleaning, decisions, features, models, monitoring, regression, studies
+from pricemill.sources import synthetic, tables
 
 MOVEMENT = [
     (2, 111, 10, 10.0, 1.0, 3.00, None, 25.0, 1), (2, 111, 11, 20.0, 1.0, 2.50, "B", 10.0, 1), (2, 111, 12, 0.0, 1.0, 3.00, None, 25.0, 1), (2, 111, 13, 99.0, 1.0, 3.00, "S", 25.0, 0),
@@ -187,3 +188,43 @@ def test_settings_merge():
     assert merged(base, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}} and base["a"]["b"] == 1
     with pytest.raises(KeyError):
         Config()["no.such"]
+
+
+def test_running_totals_over_ranges(spark):
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as long) as v").repartition(8)
+    rows = running_totals(df, [F.desc("id")], {"n": F.lit(1).cast("long"), "total": F.col("v")}).orderBy(F.desc("id")).collect()
+    assert [r["n"] for r in rows] == list(range(1, 1001))
+    assert [r["total"] for r in rows] == np.cumsum([i % 7 for i in range(999, -1, -1)]).tolist()
+
+
+def test_known_elasticities_are_found_again(spark):
+    spec = synthetic.Spec(n_upcs=6, n_stores=5, n_weeks=120)
+    panel = cleaning.canonical(synthetic.movement(spark, spec))
+    fits = regression.slopes(regression.within(regression.loglog(panel), ["x", "y"], ["upc", "store"]), "upc")
+    rows = fits.join(synthetic.truth(spark, spec), "upc").collect()
+    assert len(rows) == 6 and all(abs(r["estimate"] - r["true_elasticity"]) < max(0.3, 4 * r["std_error"]) for r in rows)
+    again = synthetic.movement(spark, spec)
+    assert again.exceptAll(synthetic.movement(spark, spec)).isEmpty()
+
+
+def test_bootstrap_brackets_the_rate(spark):
+    rows = spark.range(400).selectExpr("id % 20 as upc", "1 as store", "if(id % 2 = 0, 'LOW', 'HIGH') as risk_level", "10.0 as actual", "10.0 + (id % 5) as predicted")
+    for r in studies.bootstrap_bands(rows, 200).itertuples():
+        assert r.low <= r.wape <= r.high
+
+
+def test_excluded_positions_and_sample(spark):
+    rows = [(1, 1, w, w not in (1, 4, 7)) for w in range(1, 8)] + [(2, 1, 3, False)]
+    df = spark.createDataFrame(rows, "upc long, store long, week long, ok boolean")
+    assert {r["position"]: r["n"] for r in studies.positions(df, ~F.col("ok")).collect()} == {"leading": 1, "interior": 1, "trailing": 1, "no_valid_week": 1}
+    assert studies.seeded_sample(df, ["upc", "week"], 3).collect() == studies.seeded_sample(df.repartition(5), ["upc", "week"], 3).collect()
+
+
+def test_models_learn_the_price_response(spark):
+    panel = cleaning.canonical(synthetic.movement(spark, synthetic.Spec(n_upcs=4, n_stores=4, n_weeks=80)))
+    rows = features.with_seasonality(features.training_rows(features.with_split(features.features(panel))))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    naive = models.evaluate(models.long_forecasts(models.with_baselines(test, train)), ["model"]).toPandas().set_index("model").wape
+    for family in ("ridge", "poisson"):
+        wape = models.DemandModel(family).fit(train).predict(test).agg(models.metric_columns(F.col("move"), F.col("predicted"))["wape"]).first()[0]
+        assert wape < naive.min()
