@@ -120,6 +120,28 @@ def _scan(items, window: int):
     return make
 
 
+def _clean(items, window: int, most_share: float):
+    """Only the rows whose share of hit words is low enough, all columns as they are."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(items.value, window)
+        for b in batches:
+            keep = []
+            for text in b.column(b.schema.get_field_index("text")).to_pylist():
+                n, hit, _ = scanner.scan(text)
+                keep.append(len(hit) <= n * most_share)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return make
+
+
+def _parts(benchmark: DataFrame, part_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text) of the benchmark, and in how many automata it goes by its measured size."""
+    texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
+    return texts, max(1, -(-size // part_bytes))
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (sorted as strings), spans.
 
@@ -130,9 +152,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     under the id "null". Repeated rows each get their row; other columns are not looked at.
     """
     spark = docs.sparkSession
-    texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
+    texts, parts = _parts(benchmark, part_bytes)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if parts == 1:
         found = source.mapInArrow(_scan(_sent(spark, texts), window), _HITS)
@@ -159,11 +179,18 @@ def _sent(spark: SparkSession, texts: DataFrame):
     return spark.sparkContext.broadcast(tuple(sorted((r["item"], r["text"]) for r in texts.collect())))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = 0.0) -> DataFrame:
-    """The rows of docs whose share of hit words is at most most_share, with the columns of docs."""
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    marked = stored(marked, "documents")
-    hits = benchmark_hits(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark, window)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = 0.0, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of docs whose share of hit words is at most most_share, with the columns of docs. A
+    benchmark of several parts takes as many passes; with shares above 0 the words of all parts count
+    together, so the hits are gathered by row first."""
+    texts, parts = _parts(benchmark, part_bytes)
+    if parts == 1 or most_share == 0:
+        dealt = texts.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+        for part in range(parts):
+            docs = docs.mapInArrow(_clean(_sent(docs.sparkSession, dealt.where(F.col("part") == part).drop("part")), window, most_share), docs.schema)
+        return docs
+    marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    hits = benchmark_hits(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, part_bytes)
     bad = hits.where(F.col("n_hit") > F.col("n_words") * F.lit(most_share)).select(F.col("doc_id").alias("__row"))
     return marked.join(bad, "__row", "left_anti").select(*docs.columns)
 
