@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 #: Rounds after which the input is taken to be broken; a round at least halves what is left of a path.
 MOST_ROUNDS = 60
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(_canonical(edges), "edges")
     before = _digest(edges)
     for _ in range(MOST_ROUNDS):
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        discard(old)
         after = _digest(edges)
         if after == before:
             break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -253,6 +253,7 @@ class _Confirmer:
 
     def __init__(self, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int):
         self.docs, self.reps, self.k, self.num, self.den, self.sets = docs, reps, k, num, den, None
+        self.scratch: list[DataFrame] = []
 
     def sketched(self, pairs: DataFrame) -> DataFrame:
         """Of the distinct pairs (a, b), those whose sketches agree enough."""
@@ -266,15 +267,17 @@ class _Confirmer:
         """Makes the sets of these rows (rep) known."""
         ids = ids.distinct() if self.sets is None else ids.distinct().join(self.sets.select("rep"), "rep", "left_anti")
         ids = stored(ids, "ids")
-        if ids.count() <= SENT_IDS:
-            ids = F.broadcast(ids)
-        texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
+        self.scratch.append(ids)
+        few = ids.count() <= SENT_IDS
+        texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(ids) if few else ids, "rep", "left_semi")
         new = stored(texts.mapInArrow(_sets(self.k), "rep long, items array<long>"), "sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
+        self.scratch.append(new)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b), those whose full sets reach the threshold."""
         pairs = stored(pairs, "pairs")
+        self.scratch.append(pairs)
         self.take(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))))
         left = self.sets.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
         right = self.sets.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
@@ -285,6 +288,7 @@ class _Confirmer:
     def node_links(self, members: DataFrame) -> DataFrame:
         """Links between the components of each node of members (path, rep, label)."""
         members = stored(members, "likely")
+        self.scratch.append(members)
         self.take(members.select("rep"))
         full = members.select("path", "rep", "label").join(self.sets.hint("merge"), "rep")
         nodes = full.groupBy("path").agg(F.collect_list(F.struct("rep", "label", "items")).alias("node"))
@@ -343,15 +347,18 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     confirmer = _Confirmer(docs, reps, k, num, den)
 
     members = reps.select("rep", "n", "sig").mapInArrow(_members(depth, trees, extra), "path long, rep long, n int")
-    nodes = stored(_sized(stored(members, "members")), "nodes")
+    members = stored(members, "members")
+    nodes = stored(_sized(members), "nodes")
+    discard(members)
     stars = nodes.where((F.col("rep") != F.col("pivot")) & _fit(F.col("n").cast("long"), F.col("pivot_n").cast("long"), num, den))
     stars = stars.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
     links = confirmer.links(confirmer.sketched(stars))
-    labels = components(links)
+    labels = stored(components(links), "labels")
 
     named = nodes.where("size > 2").select("path", "rep", "n").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     open_nodes = stored(_mixed(named.select("path", "rep", "n", F.coalesce("label", "rep").alias("label"))), "open")
-    likely = None
+    discard(nodes, labels)
+    likely, opened = None, [open_nodes]
     for level in range(MORE_LEVELS + 1):
         is_small = (F.col("size") <= SMALL_NODE) & (F.col("weight") <= NODE_SHINGLES)
         small, large = open_nodes.where(is_small), open_nodes.where(~is_small)
@@ -364,8 +371,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
             break
         split = large.join(reps.select("rep", "sig").hint("merge"), "rep").select("path", "rep", "n", "label", "sig")
         open_nodes = stored(_mixed(split.mapInArrow(_deeper(extra), "path long, rep long, n int, label long")), "open")
+        opened.append(open_nodes)
     links = links.unionByName(confirmer.node_links(likely))
-    labels = components(links).withColumnRenamed("node", "rep")
+    labels = stored(components(links).withColumnRenamed("node", "rep"), "labels")
+    discard(*opened, *confirmer.scratch)
 
     classes = reps.select("hi", "lo", F.col("n"), "rep").join(labels, "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("label"))
     out = prints.select("doc_id", "n", "hi", "lo").join(classes.hint("merge"), ["hi", "lo", "n"], "left")
