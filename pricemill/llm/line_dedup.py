@@ -24,12 +24,17 @@ def normalised_line(line: Column) -> Column:
     return F.btrim(ascii_lower(line), F.lit(_BLANKS))
 
 
+def _row_key() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("r"), F.hash("text", "doc_id").alias("r2")]
+
+
 def line_table(docs: DataFrame, site: str) -> DataFrame:
-    """(row, doc_id, pos, h, h2, site) of every line of docs; h is null for a blank line."""
-    lines = docs.select("__row", "doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """(r, r2, doc_id, pos, h, h2, site) of every line of docs: r and r2 stand for the row's doc_id and
+    text, h and h2 for the line; h is null for a blank line."""
+    lines = docs.select(*_row_key(), "doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     norm = normalised_line(F.col("line"))
     return lines.select(
-        "__row", "doc_id", "pos", "site", F.when(norm != "", F.xxhash64(norm)).alias("h"), F.when(norm != "", F.hash(norm)).alias("h2")
+        "r", "r2", "doc_id", "pos", "site", F.when(norm != "", F.xxhash64(norm)).alias("h"), F.when(norm != "", F.hash(norm)).alias("h2")
     )
 
 
@@ -38,7 +43,7 @@ def widespread(lines: DataFrame, min_sites: int = MIN_SITES, registers_log2: int
     sketched = (
         lines.where("h is not null")
         .groupBy("h", "h2")
-        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", registers_log2)).alias("sites"), F.min(F.struct("doc_id", "__row", "pos")).alias("first"))
+        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", registers_log2)).alias("sites"), F.min(F.struct("doc_id", "r", "r2", "pos")).alias("first"))
     )
     # four standard errors of the sketch, and one for rounding
     band = math.ceil(4 * 1.04 / math.sqrt(1 << registers_log2) * min_sites) + 1
@@ -61,25 +66,25 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     least min_sites distinct sites; a null site counts as one site without a name. With keep_first
     the occurrence of the least (doc_id, place) stays, so that no line is lost to the corpus. Blank
     lines stay. A null text stays null and has no lines; an empty text has one, blank line. A text
-    whose lines all go becomes empty. Repeated rows are rows of their own.
+    whose lines all go becomes empty. Rows of the same doc_id and text are cut alike.
     """
-    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
     lines = stored(line_table(docs, site), "lines")
     common = stored(widespread(lines, min_sites), "common")  # a plain table, so that a hot line's join can be split
-    first = F.col("first.__row").eqNullSafe(F.col("__row")) & F.col("first.pos").eqNullSafe(F.col("pos"))
-    goes = F.col("first").isNotNull() & ~first if keep_first else F.col("first").isNotNull()
+    is_first = F.struct("first.r", "first.r2", "first.pos") == F.struct("r", "r2", "pos")
+    goes = F.col("first").isNotNull() & ~F.coalesce(is_first, F.lit(False)) if keep_first else F.col("first").isNotNull()
     kept = (
-        lines.select("__row", "pos", "h", "h2")
+        lines.select("r", "r2", "pos", "h", "h2")
         .join(common.hint("merge"), ["h", "h2"], "left")
-        .groupBy("__row")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", (~goes).alias("stays")))).alias("kept"))
+        .groupBy("r", "r2")
+        .agg(F.array_sort(F.collect_set(F.struct("pos", (~goes).alias("stays")))).alias("kept"))
         .where(F.exists("kept", lambda x: ~x.stays))
-        .select("__row", F.col("kept.stays").alias("__stays"))
+        .select(F.col("r").alias("__r"), F.col("r2").alias("__r2"), F.col("kept.stays").alias("__stays"))
     )
     parts = F.split("text", "\n", -1)
     cut = F.array_join(F.filter(parts, lambda line, i: F.element_at(F.col("__stays"), i + 1)), "\n")
-    return docs.join(kept, "__row", "left").select(
-        *(F.when(F.col("__stays").isNotNull(), cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "__row"),
+    keyed = docs.withColumns({"__r": F.xxhash64("doc_id", "text"), "__r2": F.hash("text", "doc_id")})
+    return keyed.join(kept, ["__r", "__r2"], "left").select(
+        *(F.when(F.col("__stays").isNotNull(), cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n_lines"),
         F.coalesce(F.size(F.filter("__stays", lambda x: ~x)), F.lit(0)).cast("long").alias("__n_removed"),
     )

@@ -4,8 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
-
 from pricemill.llm import exact_dedup, graph, line_dedup, near_dedup, registry
 
 AWKWARD = [(1, None), (2, ""), (3, "One two three"), (3, "One two three"), (4, "ONE TWO THREE"), (5, "one  two\tthree"), (6, "word"), (7, "WORD"), (8, "é è"), (9, "É è"), (None, "One two three"), (10, "x " * 30000)]
@@ -143,7 +141,7 @@ def test_boilerplate_by_sites(spark):
 
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     rows = [(n * 1000 + i, f"line {n}", f"s{i}") for n in (8, 9, 10, 11, 12) for i in range(n)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__row", F.monotonically_increasing_id())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     lines = line_dedup.line_table(docs, "source")
     assert line_dedup.widespread(lines, 10).count() == 3
     assert line_dedup.widespread(lines, 10, registers_log2=4).count() == 3
