@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pricemill.config import Config
+
 _PANEL = """
 mv AS (
   SELECT CAST(regexp_extract(p_brand, '#([0-9]+)', 1) AS BIGINT) AS upc, CAST(s_nationkey AS BIGINT) AS store,
@@ -40,27 +42,43 @@ cx AS (
 rl AS (
   SELECT *, CASE WHEN n_obs >= 150 AND n_distinct_prices >= 15 THEN 'LOW' WHEN n_obs >= 80 AND n_distinct_prices >= 8 THEN 'MEDIUM' ELSE 'HIGH' END AS risk
   FROM cx)"""
-_BOUNDS = """,
-bd AS (
-  SELECT *, CASE WHEN {capped} AND risk = 'MEDIUM' THEN 0.05 ELSE 0.1 END AS cap FROM rl),
-b2 AS (
-  SELECT *, greatest(0.01, current_price * (1 - cap), price_min * (1 - 0.05), unit_cost, unit_cost / (1 - 0.05)) AS low, least(current_price * (1 + cap), price_max * (1 + 0.05)) AS high FROM bd),
-b3 AS (
-  SELECT *, list_sort(list_distinct(list_filter([
-    CASE WHEN abs(0.01 - low) <= 1e-9 * greatest(1.0, abs(low)) THEN 'ABSOLUTE_PRICE_FLOOR' END, CASE WHEN abs(current_price * (1 - cap) - low) <= 1e-9 * greatest(1.0, abs(low)) THEN 'PRICE_CHANGE_LIMIT' END,
-    CASE WHEN abs(price_min * (1 - 0.05) - low) <= 1e-9 * greatest(1.0, abs(low)) THEN 'OUTSIDE_EXTRAPOLATION_RANGE' END, CASE WHEN abs(unit_cost - low) <= 1e-9 * greatest(1.0, abs(low)) THEN 'COST_FLOOR' END,
-    CASE WHEN abs(unit_cost / (1 - 0.05) - low) <= 1e-9 * greatest(1.0, abs(low)) THEN 'MIN_MARGIN' END, CASE WHEN abs(current_price * (1 + cap) - high) <= 1e-9 * greatest(1.0, abs(high)) THEN 'PRICE_CHANGE_LIMIT' END,
-    CASE WHEN abs(price_max * (1 + 0.05) - high) <= 1e-9 * greatest(1.0, abs(high)) THEN 'OUTSIDE_EXTRAPOLATION_RANGE' END], lambda x: x IS NOT NULL))) AS binding
-  FROM b2),
+_POLICIES = {k: Config().policy(k) for k in ("conservative", "standard", "aggressive")}
+
+
+def _bounds(profile: str = "standard", capped: bool = True, disabled: tuple[str, ...] = (), eps: float = -2.0) -> str:
+    """Guardrails, grid and simulation of a profile, without the disabled guardrails."""
+    o = _POLICIES[profile]
+    tol, margin, change = o["extrapolation_tolerance_pct"], o["min_gross_margin_rate"], o["max_price_change_pct"]
+    low = {"ABSOLUTE_PRICE_FLOOR": "0.01", "PRICE_CHANGE_LIMIT": "current_price * (1 - cap)", "OUTSIDE_EXTRAPOLATION_RANGE": f"price_min * (1 - {tol})", "COST_FLOOR": "unit_cost"}
+    if margin > 0:
+        low["MIN_MARGIN"] = f"unit_cost / (1 - {margin})"
+    high = {"PRICE_CHANGE_LIMIT": "current_price * (1 + cap)", "OUTSIDE_EXTRAPOLATION_RANGE": f"price_max * (1 + {tol})"}
+    low, high = ({k: v for k, v in side.items() if k not in disabled} for side in (low, high))
+    mark = lambda k, v, edge: f"CASE WHEN abs({v} - {edge}) <= 1e-9 * greatest(1.0, abs({edge})) THEN '{k}' END"
+    marks = ", ".join([mark(k, v, "low") for k, v in low.items()] + [mark(k, v, "high") for k, v in high.items()])
+    capped_at = min(change, o["medium_risk_max_price_change_pct"]) if capped else change
+    text = """,
+bd AS (SELECT *, CASE WHEN risk = 'MEDIUM' THEN @CAPPED@ ELSE @CHANGE@ END AS cap FROM rl),
+b2 AS (SELECT *, greatest(@LOW@) AS low, least(@HIGH@) AS high FROM bd),
+b3 AS (SELECT *, list_sort(list_distinct(list_filter([@MARKS@], lambda x: x IS NOT NULL))) AS binding FROM b2),
 gr AS (
   SELECT DISTINCT upc, store, week, price FROM (
     SELECT upc, store, week, low, high, round_even(raw / 0.01, 0) * 0.01 AS price, round_even(low / 0.01, 0) * 0.01 AS rl, round_even(high / 0.01, 0) * 0.01 AS rh
     FROM (SELECT upc, store, week, low, high, unnest(list_append(list_transform(range(0, CAST(floor((high - low) / 0.05) AS BIGINT) + 1), lambda i: low + 0.05::DOUBLE * i), current_price)) AS raw FROM b3 WHERE high >= low))
   WHERE price >= rl - 1e-9 AND price <= rh + 1e-9 AND price > 0 AND price >= low - 1e-9 AND price <= high + 1e-9),
 sm AS (
-  SELECT g.upc, g.store, g.week, g.price, greatest(base_units * pow(g.price / current_price, -2.0), 0.0) AS units, (g.price - unit_cost) * greatest(base_units * pow(g.price / current_price, -2.0), 0.0) AS value, current_price
+  SELECT g.upc, g.store, g.week, g.price, greatest(base_units * pow(g.price / current_price, @EPS@), 0.0) AS units, (g.price - unit_cost) * greatest(base_units * pow(g.price / current_price, @EPS@), 0.0) AS value, current_price
   FROM gr g JOIN b3 USING (upc, store, week))"""
-_DECIDED = """,
+    for token, value in {"@CAPPED@": capped_at, "@CHANGE@": change, "@LOW@": ", ".join([*low.values(), "0.01"]), "@HIGH@": ", ".join([*high.values(), *list(high.values())[:1]]), "@MARKS@": marks, "@EPS@": eps}.items():
+        text = text.replace(token, str(value))
+    return text
+
+
+def _decided(profile: str = "standard") -> str:
+    """The decisions of a profile."""
+    o = _POLICIES[profile]
+    action = o["high_risk_action"]
+    text = """,
 pick AS (
   SELECT upc, store, week, count(*) AS n_candidates, arg_max(struct_pack(price := price, units := units, value := value), struct_pack(a := value, b := -price)) AS best,
          arg_min(struct_pack(price := price, units := units, value := value), struct_pack(a := abs(price - current_price), b := price)) AS now
@@ -72,7 +90,7 @@ dd AS (
          list_filter([CASE WHEN n_obs < 40 THEN 'INSUFFICIENT_HISTORY' END, CASE WHEN n_distinct_prices < 5 OR coalesce(price_cv, 1) < 0.05 THEN 'INSUFFICIENT_PRICE_VARIATION' END, CASE WHEN unit_cost IS NULL THEN 'COST_UNAVAILABLE' END], lambda x: x IS NOT NULL) AS screened
   FROM b3 LEFT JOIN pick USING (upc, store, week) LEFT JOIN mono USING (upc, store, week)),
 d2 AS (
-  SELECT *, CASE WHEN len(screened) > 0 THEN 'screened' WHEN n_candidates = 0 THEN 'infeasible' END AS stop,
+  SELECT *, CASE WHEN len(screened) > 0 THEN 'screened' @STOP@ WHEN n_candidates = 0 THEN 'infeasible' END AS stop,
          (best.value - now.value) / nullif(abs(now.value), 0) AS uplift, best.price / current_price - 1 AS change,
          CASE WHEN best.price < price_min THEN (price_min - best.price) / price_min WHEN best.price > price_max THEN (best.price - price_max) / price_max ELSE 0 END AS away
   FROM dd),
@@ -80,7 +98,7 @@ d3 AS (
   SELECT *, CASE WHEN stop IS NOT NULL THEN risk WHEN n_obs >= 150 AND n_distinct_prices >= 15 AND away <= 0.02 THEN 'LOW' WHEN n_obs >= 80 AND n_distinct_prices >= 8 AND away <= 0.05 THEN 'MEDIUM' ELSE 'HIGH' END AS final_risk
   FROM d2),
 d4 AS (
-  SELECT *, CASE WHEN stop IS NOT NULL THEN stop WHEN abs(change) < 1e-9 THEN 'same' WHEN uplift IS NULL OR uplift < 0.01 THEN 'small' WHEN final_risk = 'HIGH' THEN 'review' ELSE 'change' END AS outcome
+  SELECT *, CASE WHEN stop IS NOT NULL THEN stop WHEN abs(change) < 1e-9 THEN 'same' WHEN uplift IS NULL OR uplift < @MATERIAL@ THEN 'small' @HIGH@ ELSE 'change' END AS outcome
   FROM d3),
 rec AS (
   SELECT upc, store, week, CASE outcome WHEN 'change' THEN 'RECOMMEND_CHANGE' WHEN 'review' THEN 'REVIEW_REQUIRED' ELSE 'KEEP_CURRENT' END AS decision, final_risk AS risk_level, current_price,
@@ -95,6 +113,13 @@ rec AS (
              CASE WHEN outcome NOT IN ('change', 'review') THEN 'KEEP_CURRENT_OPTIMAL' END])), lambda x: x IS NOT NULL) AS codes
   FROM d4),
 rec2 AS (SELECT *, (current_price - unit_cost) * units_current AS profit_current, (proposed_price - unit_cost) * units_proposed AS profit_proposed FROM rec)"""
+    stop = "WHEN risk = 'HIGH' THEN 'risky'" if action == "keep_current" else ""
+    high = "" if action == "recommend" else f"WHEN final_risk = 'HIGH' THEN '{'risky' if action == 'keep_current' else 'review'}'"
+    return text.replace("@STOP@", stop).replace("@HIGH@", high).replace("@MATERIAL@", str(o["materiality_threshold_pct"]))
+
+
+def _recommended(profile: str = "standard", disabled: tuple[str, ...] = (), eps: float = -2.0) -> tuple[str, ...]:
+    return (*_ALL, _bounds(profile, True, disabled, eps), _decided(profile))
 
 
 def _r(*names: str) -> str:
@@ -106,7 +131,7 @@ def _with(select: str, *parts: str) -> str:
 
 
 _ALL = (_FEATURES, _STATS, _CONTEXTS)
-_FREE, _CAPPED = _BOUNDS.format(capped="false"), _BOUNDS.format(capped="true")
+_FREE = _bounds(capped=False)
 _VARIATION = """
 SELECT {keys}, n_obs, n_weeks, n_distinct_prices, round(price_min, 6) AS price_min, round(price_max, 6) AS price_max, round(price_mean, 6) AS price_mean, round(price_std, 6) AS price_std,
        round(total_units, 6) AS total_units, round(price_std / nullif(price_mean, 0), 6) AS price_cv, round((price_max - price_min) / nullif(price_mean, 0), 6) AS price_range_pct,
@@ -151,7 +176,26 @@ lo AS (
   SELECT split, unnest(['move', 'effective_unit_price', 'roll_mean_move_4']) AS feature, unnest([move, p, roll_mean_move_4]) AS value FROM ft JOIN sp USING (week) WHERE split <> 'valid'),
 lv AS (SELECT * FROM lo WHERE value IS NOT NULL)"""
 
+_LAYERS = ["PRICE_CHANGE_LIMIT", "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR", "MIN_MARGIN"]
+
+
+def _union(parts: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
 SQL = {
+    "decision_mix": _union([_with(f"SELECT '{k}' AS profile, decision, risk_level, count(*) AS n FROM rec2 GROUP BY 2, 3", *_recommended(k)) for k in _POLICIES]),
+    "constraint_attribution": "WITH a AS (" + _union([_with(f"SELECT '{k}' AS left_out, upc, store, week, proposed_price FROM rec2", *_recommended(disabled=(k,))) for k in ("baseline", *_LAYERS)])
+    + ") SELECT a.left_out, count(*) AS n, count(*) FILTER (WHERE abs(a.proposed_price - b.proposed_price) > 1e-9) AS n_changed, round(avg(a.proposed_price), 6) AS mean_price FROM a JOIN a b ON a.upc = b.upc AND a.store = b.store AND a.week = b.week AND b.left_out = 'baseline' GROUP BY a.left_out",
+    "guardrail_ablation": _union([_with(f"SELECT '{i}_{_LAYERS[i - 1]}' AS layer, count(*) AS n, count(*) FILTER (WHERE decision <> 'KEEP_CURRENT') AS n_changes, round(avg(proposed_price), 6) AS mean_price, round(sum(profit_proposed), 6) AS profit FROM rec2", *_recommended(disabled=tuple(_LAYERS[i:]))) for i in range(1, 5)]),
+    "elasticity_scenarios": _union([_with(f"SELECT {e}::DOUBLE AS elasticity, count(*) AS n, count(*) FILTER (WHERE decision <> 'KEEP_CURRENT') AS n_changes, round(avg(proposed_price / current_price - 1), 6) AS mean_change FROM rec2", *_recommended(eps=e)) for e in (-1.5, -1.9, -2.4, -3.1)]),
+    "policy_totals": _with("""SELECT policy, n_contexts, round(revenue, 6) AS revenue, round(profit, 6) AS profit, round(profit / nullif(max(CASE WHEN policy = 'historical' THEN profit END) OVER (), 0) - 1, 6) AS profit_vs_historical FROM (
+      SELECT policy, count(*) AS n_contexts, sum(price * units) AS revenue, sum((price - unit_cost) * units) AS profit FROM (
+        SELECT *, greatest(base_units * pow(price / current_price, -2.0), 0) AS units FROM (
+          SELECT c.*, unnest(['historical', 'simple_margin', 'elasticity_baseline', 'optimised']) AS policy, unnest([current_price, CASE WHEN h >= l THEN least(greatest(unit_cost / 0.8::DOUBLE, l), h) ELSE current_price END,
+            CASE WHEN h >= l THEN least(greatest(unit_cost * 2.0::DOUBLE, l), h) ELSE current_price END, recommended_price]) AS price
+          FROM (SELECT cx.*, r.recommended_price, greatest(0.01, cx.current_price * 0.9, cx.unit_cost, price_min * 0.95) AS l, least(cx.current_price * 1.1, price_max * 1.05) AS h FROM cx JOIN rec2 r USING (upc, store, week) WHERE cx.unit_cost IS NOT NULL) c)) GROUP BY policy)""", *_recommended()),
+    "review_queue": _with("SELECT CASE decision WHEN 'RECOMMEND_CHANGE' THEN 'REVIEWED' ELSE 'GENERATED' END AS state, decision, count(*) AS n FROM rec2 WHERE decision <> 'KEEP_CURRENT' GROUP BY 1, 2", *_recommended()),
     "panel_canonical": _with(f"SELECT upc, store, week, {_r('move')}, round(p, 6) AS effective_unit_price, {_r('revenue')}, round(rate, 6) AS gross_margin_rate, round(aac, 6) AS estimated_unit_aac, round(gp, 6) AS gross_profit, CAST(promo AS BIGINT) AS recorded_promotion_flag, promo_type AS recorded_promotion_type, year(day) AS year, month(day) AS month, quarter(day) AS quarter, week(day) AS week_of_year FROM pn"),
     "exclusion_counts": _with("SELECT CASE WHEN ok = 0 THEN 'ok_flag_zero' WHEN price < 0.01 THEN 'non_positive_price' WHEN move < 0 THEN 'negative_move' ELSE 'kept' END AS rule, count(*) AS n_rows FROM mv GROUP BY 1"),
     "scale_summary": _with(f"SELECT count(*) AS n_rows, count(DISTINCT upc) AS n_upcs, count(DISTINCT store) AS n_stores, count(DISTINCT week) AS n_weeks, min(week) AS first_week, max(week) AS last_week, round(sum(move), 6) AS units, round(sum(revenue), 6) AS revenue, round(sum(gp), 6) AS gross_profit FROM pn"),
@@ -196,10 +240,10 @@ SQL = {
     "curve_diagnostics": _with("""SELECT upc, store, week, round(count(*) FILTER (WHERE step > 1e-9) / nullif(count(step), 0), 6) AS share_rising, coalesce(bool_and(step <= 1e-9), true) AS monotone,
       round((max(units) - min(units)) / nullif(max(units), 0), 6) AS relative_span, (max(units) - min(units)) / nullif(max(units), 0) < 0.01 AS flat FROM (SELECT *, units - lag(units) OVER (PARTITION BY upc, store, week ORDER BY price) AS step FROM sm) GROUP BY upc, store, week""", *_ALL, _FREE),
     "risk_levels": _with("SELECT upc, store, week, risk AS risk_level FROM rl", *_ALL),
-    "recommendations": _with(f"SELECT upc, store, week, decision, risk_level, {_r('current_price', 'proposed_price', 'recommended_price')}, n_candidates, {_r('units_current', 'units_proposed', 'profit_current', 'profit_proposed')}, round(CASE WHEN outcome = 'change' THEN (profit_proposed - profit_current) / nullif(abs(profit_current), 0) ELSE 0 END, 6) AS realisable_uplift, array_to_string(codes, '|') AS reason_codes FROM rec2", *_ALL, _CAPPED, _DECIDED),
-    "reason_code_counts": _with("SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM rec2) GROUP BY code", *_ALL, _CAPPED, _DECIDED),
+    "recommendations": _with(f"SELECT upc, store, week, decision, risk_level, {_r('current_price', 'proposed_price', 'recommended_price')}, n_candidates, {_r('units_current', 'units_proposed', 'profit_current', 'profit_proposed')}, round(CASE WHEN outcome = 'change' THEN (profit_proposed - profit_current) / nullif(abs(profit_current), 0) ELSE 0 END, 6) AS realisable_uplift, array_to_string(codes, '|') AS reason_codes FROM rec2", *_recommended()),
+    "reason_code_counts": _with("SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM rec2) GROUP BY code", *_recommended()),
     "optimal_prices": _with("SELECT upc, store, week, round(unit_cost * -2.0 / (1 + -2.0), 6) AS best_price FROM cx WHERE unit_cost > 0", *_ALL),
-    "value_scenarios": _with("SELECT s AS scenario, round(gain * f, 6) AS weekly, round(gain * f * 52, 6) AS annual FROM (SELECT coalesce(sum(CASE WHEN outcome = 'change' THEN profit_proposed - profit_current END), 0.0) AS gain FROM rec2), (VALUES ('low', 0.25::DOUBLE), ('middle', 0.5::DOUBLE), ('high', 1.0::DOUBLE)) AS v(s, f)", *_ALL, _CAPPED, _DECIDED),
+    "value_scenarios": _with("SELECT s AS scenario, round(gain * f, 6) AS weekly, round(gain * f * 52, 6) AS annual FROM (SELECT coalesce(sum(CASE WHEN outcome = 'change' THEN profit_proposed - profit_current END), 0.0) AS gain FROM rec2), (VALUES ('low', 0.25::DOUBLE), ('middle', 0.5::DOUBLE), ('high', 1.0::DOUBLE)) AS v(s, f)", *_recommended()),
     "modal_price": _with("SELECT m.upc, round(modal, 6) AS modal_price, round(median_margin, 6) AS median_margin FROM (SELECT upc, arg_max(price, struct_pack(n := n, q := -price)) AS modal FROM (SELECT upc, round(p, 2) AS price, count(*) AS n FROM pn GROUP BY 1, 2) GROUP BY upc) m JOIN (SELECT upc, quantile_cont(rate, 0.5) AS median_margin FROM pn GROUP BY upc) q USING (upc)"),
     "episode_scores": _with("""SELECT method, count(*) AS n, round(sum(abs(move - pred)) / nullif(sum(abs(move)), 0), 6) AS wape, round(avg(abs(move - pred)), 6) AS mae, round(avg(pred - move), 6) AS bias,
       round(avg(CASE WHEN abs(dp) > 1e-9 THEN CASE WHEN sign(dp) = sign(dq) THEN 1.0::DOUBLE ELSE 0 END END), 6) AS sign_accuracy, round(quantile_cont(abs(dp - dq), 0.5), 6) AS median_log_error
