@@ -26,6 +26,16 @@ def price_variation(panel: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
+def with_series_stats(panel: DataFrame) -> DataFrame:
+    """Each row with the statistics of its whole series; by windows, so that features and statistics share one
+    shuffle and the panel is read once. The distinct prices of a series are at most its weeks."""
+    p, whole = F.col("effective_unit_price"), Window.partitionBy("upc", "store")
+    return panel.withColumns({
+        "n_obs": F.count(p).over(whole), "n_distinct_prices": F.size(F.collect_set(p).over(whole)).cast("long"), "price_min": F.min(p).over(whole), "price_max": F.max(p).over(whole),
+        "price_cv": ratio(F.stddev_samp(p).over(whole), F.avg(p).over(whole)),
+    })
+
+
 def with_eligibility(stats: DataFrame, config: Config | None = None) -> DataFrame:
     e = (config or Config())["eligibility"]
     ok = (F.col("n_obs") >= e["min_observations"]) & (F.col("n_distinct_prices") >= e["min_distinct_prices"]) & (F.col("price_cv") >= e["min_price_cv"])

@@ -260,15 +260,13 @@ def alerts(spark, d):
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
     """Decisions of the last week: its rows with statistics of all weeks, at a fixed elasticity of -2."""
-    rows = _features(spark, d)
+    rows = series.with_series_stats(_features(spark, d))
     last = rows.agg(F.max("week").alias("__last"))
-    rows = rows.join(F.broadcast(last), F.col("week") == F.col("__last"))
-    stats = _variation(spark, d, ["upc", "store"]).select("upc", "store", "n_obs", "n_distinct_prices", "price_cv", "price_min", "price_max")
-    rows = rows.select(
+    return rows.join(F.broadcast(last), F.col("week") == F.col("__last")).select(
         *KEYS, F.col("effective_unit_price").alias("current_price"), F.col("decision_time_unit_cost").alias("unit_cost"),
         F.coalesce("roll_mean_move_4", "lag_move_1", F.lit(0.0)).alias("base_units"), F.lit(-2.0).alias("elasticity"), F.lit("fixed").alias("elasticity_source"),
+        "n_obs", "n_distinct_prices", "price_cv", "price_min", "price_max",
     )
-    return rows.join(stats, ["upc", "store"], "left").select(*decisions.CONTEXT)
 
 
 def guardrail_bounds(spark, d):
