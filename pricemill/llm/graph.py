@@ -21,8 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(_canonical(edges), "edges")
     before = _digest(edges)
     for _ in range(MOST_ROUNDS):
-        old, edges = edges, stored(_small_star(_large_star(edges)), "edges")
-        discard(old)
+        for step in (_large_star, _small_star):
+            edges = step(edges)
         after = _digest(edges)
         if after == before:
             break
@@ -43,14 +43,23 @@ def _canonical(edges: DataFrame) -> DataFrame:
     return ends.where("a <> b").distinct()
 
 
+def _moved(edges: DataFrame, arcs: DataFrame, least: DataFrame, more: bool) -> DataFrame:
+    """Each arc (a, b) as (b, least of a), stored in place of edges. The minima are a table by then, so that
+    Spark can split the arcs of a node that has very many."""
+    least = stored(least, "least")
+    out = arcs.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if more:
+        out = out.unionByName(least.select("a", F.col("m").alias("b")))
+    out = stored(_canonical(out), "edges")
+    discard(edges, least)
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _canonical(moved)
+    return _moved(edges, both.where("b > a"), least, False)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _canonical(moved.unionByName(least.select("a", F.col("m").alias("b"))))
+    return _moved(edges, edges, edges.groupBy("a").agg(F.min("b").alias("m")), True)

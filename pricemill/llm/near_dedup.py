@@ -300,13 +300,22 @@ def _sized(members: DataFrame) -> DataFrame:
     in the order of a hash, around which it is compared first."""
     first = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("first")
     nodes = members.groupBy("path").agg(F.count("*").alias("size"), first).where("size > 1")
-    return members.join(nodes.select("path", "size", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pivot_n")).hint("merge"), "path")
+    return _with_nodes(members, nodes.select("path", "size", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pivot_n")))
+
+
+def _with_nodes(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """members joined to the sums of their nodes, stored. The sums are a table by then, so that Spark can
+    split the members of a node that holds a large part of all rows."""
+    nodes = stored(nodes, "nodes")
+    out = stored(members.join(nodes.hint("merge"), "path"), "members")
+    discard(nodes)
+    return out
 
 
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of nodes that hold documents of two components at least, with the node's size and shingles."""
     nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return members.join(nodes.where("lo <> hi").select("path", "size", "weight").hint("merge"), "path")
+    return _with_nodes(members, nodes.where("lo <> hi").select("path", "size", "weight"))
 
 
 def _likely_members(members: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -348,7 +357,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
 
     members = reps.select("rep", "n", "sig").mapInArrow(_members(depth, trees, extra), "path long, rep long, n int")
     members = stored(members, "members")
-    nodes = stored(_sized(members), "nodes")
+    nodes = _sized(members)
     discard(members)
     stars = nodes.where((F.col("rep") != F.col("pivot")) & _fit(F.col("n").cast("long"), F.col("pivot_n").cast("long"), num, den))
     stars = stars.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
@@ -356,8 +365,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     labels = stored(components(links), "labels")
 
     named = nodes.where("size > 2").select("path", "rep", "n").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    open_nodes = stored(_mixed(named.select("path", "rep", "n", F.coalesce("label", "rep").alias("label"))), "open")
-    discard(nodes, labels)
+    named = stored(named.select("path", "rep", "n", F.coalesce("label", "rep").alias("label")), "named")
+    open_nodes = _mixed(named)
+    discard(nodes, labels, named)
     likely, opened = None, [open_nodes]
     for level in range(MORE_LEVELS + 1):
         is_small = (F.col("size") <= SMALL_NODE) & (F.col("weight") <= NODE_SHINGLES)
@@ -370,7 +380,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
         if last:
             break
         split = large.join(reps.select("rep", "sig").hint("merge"), "rep").select("path", "rep", "n", "label", "sig")
-        open_nodes = stored(_mixed(split.mapInArrow(_deeper(extra), "path long, rep long, n int, label long")), "open")
+        split = stored(split.mapInArrow(_deeper(extra), "path long, rep long, n int, label long"), "split")
+        open_nodes = _mixed(split)
+        discard(split)
         opened.append(open_nodes)
     links = links.unionByName(confirmer.node_links(likely))
     labels = stored(components(links).withColumnRenamed("node", "rep"), "labels")
