@@ -16,6 +16,8 @@ from .common import LOWER, UPPER, ascii_lower, stored, table
 
 #: Distinct sites from which a line is boilerplate; log2 of a sketch's registers.
 MIN_SITES, REGISTERS_LOG2 = 10, 11
+#: Lines near the threshold that are broadcast at most; more are joined by a shuffle.
+SENT_LINES = 1_000_000
 _BLANKS = " \t\r\f\v"
 
 
@@ -31,7 +33,9 @@ def _row_key() -> list[Column]:
 def line_table(docs: DataFrame, site: str) -> DataFrame:
     """(r, r2, doc_id, pos, h, h2, site) of every line of docs: r and r2 stand for the row's doc_id and
     text, h and h2 for the line; h is null for a blank line."""
-    lines = docs.select(*_row_key(), "doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # the key is taken before the lines are, once a row
+    rows = docs.select(*_row_key(), "doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.split("text", "\n", -1).alias("lines"))
+    lines = rows.select("r", "r2", "doc_id", "site", F.posexplode("lines").alias("pos", "line"))
     norm = normalised_line(F.col("line"))
     return lines.select(
         "r", "r2", "doc_id", "pos", "site", F.when(norm != "", F.xxhash64(norm)).alias("h"), F.when(norm != "", F.hash(norm)).alias("h2")
@@ -49,12 +53,12 @@ def widespread(lines: DataFrame, min_sites: int = MIN_SITES, registers_log2: int
     band = math.ceil(4 * 1.04 / math.sqrt(1 << registers_log2) * min_sites) + 1
     sketched = stored(sketched.where(F.col("sites") >= min_sites - band), "sketches")
     near = sketched.where(F.abs(F.col("sites") - min_sites) <= band)
-    exact = (
-        lines.join(near.select("h", "h2").hint("merge"), ["h", "h2"], "left_semi")
-        .groupBy("h", "h2", "site").agg(F.lit(1).alias("one"))
-        .groupBy("h", "h2").agg(F.count("*").alias("exact"))
-        .where(F.col("exact") >= min_sites)
-    )
+    pairs, keys = lines.where("h is not null").select("h", "h2", "site"), near.select("h", "h2")
+    if near.count() <= SENT_LINES:
+        pairs = pairs.join(F.broadcast(keys), ["h", "h2"], "left_semi")
+    else:  # a line's rows become its sites before they are dealt by line
+        pairs = pairs.distinct().join(keys, ["h", "h2"], "left_semi")
+    exact = pairs.distinct().groupBy("h", "h2").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
     sure = sketched.where(F.col("sites") > min_sites + band).select("h", "h2", "first")
     return sure.unionByName(near.join(exact, ["h", "h2"]).select("h", "h2", "first"))
 

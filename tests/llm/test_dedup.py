@@ -139,9 +139,11 @@ def test_boilerplate_by_sites(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_lines_near_the_threshold_are_counted_exactly(spark):
+def test_lines_near_the_threshold_are_counted_exactly(spark, monkeypatch):
     rows = [(n * 1000 + i, f"line {n}", f"s{i}") for n in (8, 9, 10, 11, 12) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     lines = line_dedup.line_table(docs, "source")
     assert line_dedup.widespread(lines, 10).count() == 3
     assert line_dedup.widespread(lines, 10, registers_log2=4).count() == 3
+    monkeypatch.setattr(line_dedup, "SENT_LINES", 0)
+    assert line_dedup.widespread(lines, 10).count() == 3
