@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricemill.config import Config
 from pricemill.functions.columns import arc_elasticity, best_price, price_change, r6
-from pricemill.operators import audit, cleaning, commercial, decisions, features, models, monitoring, policies, regression, series, studies
+from pricemill.operators import audit, cleaning, commercial, decisions, features, models, monitoring, policies, regression, series, service, studies
 from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
 
@@ -444,6 +444,18 @@ def sampled_contexts(spark, d):
     return _rounded(studies.seeded_sample(contexts(spark, d), KEYS, 50))
 
 
+def serving_slice(spark, d):
+    return _rounded(service.serving_slice(_features(spark, d)).select(*KEYS, "effective_unit_price", "lag_price_1"))
+
+
+def portfolio_summary(spark, d):
+    return _rounded(service.portfolio(_recommended(spark, d)))
+
+
+def explained_codes(spark, d):
+    return service.explained(_recommended(spark, d)).groupBy("code", "explanation").agg(F.count("*").alias("n"))
+
+
 def model_metrics(spark, d):
     """Both model families, fitted on the training weeks and held against the validation and test weeks."""
     rows = features.with_seasonality(features.training_rows(features.with_split(_features(spark, d), CONFIG)))
@@ -482,5 +494,5 @@ loglog_upc_store_fe elasticity_by_upc shrinkage_weights robust_inference elastic
 psi_by_feature ks_statistic alerts guardrail_bounds simulate_grid price_grid curve_diagnostics risk_levels recommendations decision_mix reason_code_counts
 constraint_attribution rule_policies policy_totals policy_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
 episode_rank_correlation excluded_positions elasticity_windows elasticity_stability risk_bootstrap guardrail_ablation elasticity_scenarios recommendation_stability
-sampled_contexts model_metrics implied_elasticity synthetic_recovery""".split()
+sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
