@@ -176,7 +176,7 @@ def curve_diagnostics(simulated: DataFrame) -> DataFrame:
 def attribution(contexts: DataFrame, profile: str = "standard", config: Config | None = None) -> DataFrame:
     """Leave-one-out: each context once a guardrail left out (and once with all), with what changes. The
     variants are rows, not nested columns, so the plan grows by a union branch each."""
-    config = config or Config()
+    config, contexts = config or Config(), contexts.persist()  # read once for all variants
     out = None
     for name in ("baseline", "PRICE_CHANGE_LIMIT", "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR", "MIN_MARGIN"):
         one = recommend(contexts, profile, config, disabled=frozenset({name} - {"baseline"})).select("upc", "store", "week", F.lit(name).alias("left_out"), "decision", "proposed_price", "binding")

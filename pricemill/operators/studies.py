@@ -115,6 +115,7 @@ def positions(movement: DataFrame, excluded: Column) -> DataFrame:
 
 def guardrail_layers(contexts: DataFrame, config: Config, profile: str = "standard") -> DataFrame:
     """(layer, decisions...): guardrails added one after the other, from none to all."""
+    contexts = contexts.persist()
     order = ["PRICE_CHANGE_LIMIT", "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR", "MIN_MARGIN"]
     out = None
     # without a change limit an interval may be open above, so the limit is the first layer and always there
@@ -129,7 +130,7 @@ def guardrail_layers(contexts: DataFrame, config: Config, profile: str = "standa
 
 def scenarios(contexts: DataFrame, config: Config, values: tuple[float, ...] = (-1.5, -1.9, -2.4, -3.1), profile: str = "standard") -> DataFrame:
     """(elasticity, ...): the same contexts decided at each elasticity."""
-    out = None
+    contexts, out = contexts.persist(), None
     for e in values:
         found = decisions.recommend(contexts.withColumn("elasticity", F.lit(e)), profile, config)
         one = found.groupBy(F.lit(e).alias("elasticity")).agg(F.count("*").alias("n"), F.count_if(F.col("decision") != "KEEP_CURRENT").alias("n_changes"), F.avg(F.col("proposed_price") / F.col("current_price") - 1).alias("mean_change"))

@@ -299,8 +299,8 @@ def risk_levels(spark, d):
     return contexts(spark, d).select(*KEYS, decisions.risk_level(F.col("current_price"), CONFIG).alias("risk_level"))
 
 
-def _recommended(spark, d, profile="standard"):
-    return decisions.recommend(contexts(spark, d), profile, CONFIG)
+def _recommended(spark, d):
+    return decisions.recommend(contexts(spark, d), "standard", CONFIG)
 
 
 def recommendations(spark, d):
@@ -309,9 +309,9 @@ def recommendations(spark, d):
 
 
 def decision_mix(spark, d):
-    out = None
+    base, out = contexts(spark, d).persist(), None
     for profile in ("conservative", "standard", "aggressive"):
-        one = _recommended(spark, d, profile).groupBy(F.lit(profile).alias("profile"), "decision", "risk_level").agg(F.count("*").alias("n"))
+        one = decisions.recommend(base, profile, CONFIG).groupBy(F.lit(profile).alias("profile"), "decision", "risk_level").agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -330,7 +330,7 @@ def constraint_attribution(spark, d):
 def rule_policies(spark, d):
     base = contexts(spark, d)
     margins = _panel(spark, d).groupBy("upc", "store").agg(F.percentile("gross_margin_rate", F.lit(0.5)).alias("median_margin"), F.mode(F.round("effective_unit_price", 2), True).alias("modal_price"))
-    base = base.join(margins, ["upc", "store"], "left")
+    base = base.join(margins, ["upc", "store"], "left").persist()
     out = None
     for name, target in policies.rule_targets().items():
         one = decisions.recommend(base, "standard", CONFIG, target=target).groupBy(F.lit(name).alias("rule"), "decision").agg(F.count("*").alias("n"), F.sum("profit_proposed").alias("profit"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricemill.functions.columns import money
+from pricemill.functions.workers import let_workers_import
 
 MOVEMENT = T.StructType([
     T.StructField("store", T.IntegerType()), T.StructField("upc", T.LongType()), T.StructField("week", T.IntegerType()), T.StructField("move", T.DoubleType()),
@@ -81,7 +82,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def movement_from_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Weekly product by store movement from lineitem, part and supplier: the brand's number is the
     product, the supplier's nation the store."""
-    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    read = lambda t: let_workers_import(spark).read.parquet(f"{folder}/{t}.parquet")
     sales = (
         read("lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.to_date("l_shipdate").alias("day"))
         .join(read("part").select("p_partkey", F.regexp_extract("p_brand", "#([0-9]+)", 1).cast("long").alias("upc")), F.col("l_partkey") == F.col("p_partkey"))
