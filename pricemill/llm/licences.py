@@ -1,6 +1,9 @@
 """Licence scans: the Dice coefficient of word bigrams against licence templates.
 
-Units are each line of a text and, if it has several, the whole text. A unit's bigrams can only reach
+Units are each line of a text and, if it has several, the whole text; and all runs of words within a
+text, across its lines, so that a notice which is wrapped or stands inside a longer line is found. Of
+runs that overlap the best one counts, and none that overlaps a line or text with the same licence.
+A unit's bigrams can only reach
 the threshold t against a template of n bigrams if it has between n t / (2 - t) and n (2 - t) / t of
 them, so templates outside these bounds are never compared; nor are units that share no bigram with
 any template.
@@ -74,6 +77,35 @@ def compare(unit: np.ndarray, own: list[tuple[str, np.ndarray]], threshold: floa
     return out
 
 
+def windows(pairs: np.ndarray, bigrams: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+    """(Dice coefficient, first word, last word) of runs of words with these bigrams in order: by each
+    bigram of the template the best run that begins there, if it reaches the threshold. A run in which
+    the first bigram comes again has the same bigrams without it, so runs end before that."""
+    n, (_, high) = len(bigrams), size_bounds(len(bigrams), threshold)
+    hits = np.isin(pairs, bigrams)
+    values, known, out = pairs.tolist(), hits.tolist(), []
+    for i in np.flatnonzero(hits).tolist():
+        seen: set[int] = set()
+        common, best = 0, None
+        for j in range(i, len(values)):
+            v = values[j]
+            if v in seen:
+                if v == values[i]:
+                    break
+                continue
+            seen.add(v)
+            if len(seen) > high + 1e-9:
+                break
+            if known[j]:
+                common += 1
+                dice = 2 * common / (len(seen) + n)
+                if dice >= threshold and (best is None or dice > best[0]):
+                    best = (dice, i, j + 1)
+        if best:
+            out.append(best)
+    return out
+
+
 _OUT = "matches array<struct<line:int,licence:string,dice:double>>"
 _MATCH = pa.list_(pa.struct([("line", pa.int32()), ("licence", pa.string()), ("dice", pa.float64())]))
 
@@ -81,6 +113,8 @@ _MATCH = pa.list_(pa.struct([("line", pa.int32()), ("licence", pa.string()), ("d
 def _scan(templates: tuple, threshold: float, keep: list[str]):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = _templates(templates)
+        member = np.stack([np.isin(known, b) for _, b in own], axis=1)
+        least = [size_bounds(len(b), threshold)[0] - 1e-9 for _, b in own]
         for b in batches:
             data, offsets = utf8(b.column("text"))
             matches: list[list[dict]] = [[] for _ in range(len(b))]
@@ -101,20 +135,34 @@ def _scan(templates: tuple, threshold: float, keep: list[str]):
                 for r in np.unique(row[hit]):
                     begin, end = ends[r] - found.counts[r], ends[r]
                     base = np.searchsorted(newlines, at[r])
-                    own_lines = line[begin:end]
+                    own_lines, taken = line[begin:end], {}
                     for number in np.unique(own_lines[hit[(hit >= begin) & (hit < end)] - begin]):
                         unit = found.hashes[begin:end][own_lines == number]
-                        matches[first + r] += [{"line": int(number - base), "licence": n, "dice": d} for n, d in compare(_bigrams(unit), own, threshold)]
+                        for n, d in compare(_bigrams(unit), own, threshold):
+                            matches[first + r].append({"line": int(number - base), "licence": n, "dice": d})
+                            taken.setdefault(n, np.zeros(end - begin, bool))[own_lines == number] = True
                     if 10 in part[at[r] : at[r + 1]]:
                         whole = compare(_bigrams(found.hashes[begin:end]), own, threshold)
                         matches[first + r] += [{"line": -1, "licence": n, "dice": d} for n, d in whole]
+                        taken |= {n: np.ones(end - begin, bool) for n, _ in whole}
+                    shared = np.unique(np.searchsorted(known, pair[hit[(hit >= begin) & (hit < end)]]))
+                    runs = []
+                    for t in np.flatnonzero(member[shared].sum(axis=0) >= least):
+                        name, bigrams = own[t]
+                        if not taken.setdefault(name, np.zeros(end - begin, bool)).all():
+                            runs += [(-d, i, j, name) for d, i, j in windows(pair[begin : end - 1], bigrams, threshold)]
+                    for d, i, j, name in sorted(runs):
+                        if not taken[name][i : j + 1].any():
+                            taken[name][i : j + 1] = True
+                            matches[first + r].append({"line": int(own_lines[i] - base), "licence": name, "dice": -d})
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(matches, _MATCH)], names=[*keep, "matches"])
 
     return make
 
 
 def scan_licences(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """Per row of docs: key and matches, an array of (line, licence, dice); line -1 is the whole text.
+    """Per row of docs: key and matches, an array of (line, licence, dice); line -1 is the whole text,
+    and the line of a run of words is that in which it begins.
 
     Words are lower-cased (A-Z) runs of digits, ASCII letters and all beyond ASCII. A unit of fewer
     than two words has no bigram and matches nothing; a null text has no match. Of templates that tie,

@@ -3,6 +3,7 @@
 import importlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -100,6 +101,35 @@ def test_licences_on_awkward_rows(spark):
     assert sorted(got, key=str) == sorted([(1, []), (2, []), (3, [(1, "MIT")]), (4, [(-1, "MIT")]), (5, []), (3, [(0, "MIT")]), (6, [])], key=str)
 
 
+def test_licences_in_longer_lines_and_wrapped(spark):
+    notices = {n: t for n, t in licences.TEMPLATES}  # the longest of each
+    wrapped = "\n".join("# " + x for x in textwrap.wrap(notices["MIT"], 60))
+    disclaimer = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.'
+    code = "\n".join(f"x{i} = call{i}(y{i})" for i in range(200))
+    rows = [
+        (1, "Our code is released under the MIT License. See the docs for more."), (2, f"MIT License\n\nCopyright (c) 2020 A\n\n{wrapped}\n\n{disclaimer}"),
+        (3, "\n".join(textwrap.wrap(notices["BSD-2-Clause"], 40)) + "\n" + code), (4, code + "\n" + "\n".join(textwrap.wrap(notices["GPL-3.0"], 70)) + "\n" + code),
+        (5, "we say all rights reserved here, and\nlater on again all rights\nreserved for you " + "and more words " * 9), (6, "all rights are reserved under the law " * 3000), (7, "all rights reserved " * 20000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(m["line"], m["licence"]) for m in r["matches"]] for r in licences.scan_licences(docs).collect()}
+    assert got.pop(7)[0] == (0, "All-rights-reserved")
+    assert got == {1: [(0, "MIT")], 2: [(4, "MIT")], 3: [(0, "BSD-2-Clause")], 4: [(200, "GPL-3.0")], 5: [(0, "All-rights-reserved"), (1, "All-rights-reserved")], 6: []}
+
+
+def test_windows_are_the_best_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        template, text = ([rng.choice("abcd") for _ in range(n)] for n in (7, 40))
+        one, pairs = (licences._hashed(" ".join(x)) for x in (template, text))
+        bigrams, pairs = licences._bigrams(one), pairs[:-1] * np.uint64(0x9E3779B97F4A7C15) + pairs[1:]
+        b = set(zip(template, template[1:]))
+        units = [set(zip(text[i:j], text[i + 1 : j])) for i in range(40) for j in range(i + 2, 41)]
+        best = max(2 * len(u & b) / (len(u) + len(b)) for u in units)
+        found = licences.windows(pairs, bigrams, 0.6)
+        assert max((d for d, _, _ in found), default=None) == (pytest.approx(best) if best >= 0.6 else None)
+
+
 def test_token_files_round_trip_and_random_access(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
