@@ -6,7 +6,8 @@ better the sample fits, the fewer phrases. The number of phrases, times the bits
 into the sample, over the text's length, estimates the cross entropy; the lowest wins.
 
 The automata become dense transition tables, in which a missing transition already leads to where
-the next phrase stands after its first symbol. So all texts of a batch are parsed side by side, one
+the next phrase stands after its first symbol; those of languages with many letters become sorted
+transitions instead. Every language has an alphabet of its own, of all letters of its sample. All texts of a batch are parsed side by side, one
 numpy step a symbol, in blocks of BLOCK symbols; every block is parsed from the root, and all of the
 text is parsed.
 """
@@ -28,7 +29,7 @@ from .words import steps, utf8
 
 #: Bound of the sample: texts of a language at most, and symbols of a language at most.
 SAMPLE_TEXTS, SAMPLE_SYMBOLS = 200, 25_000
-#: Symbols that are parsed as one piece; letters of an alphabet at most, the rest count as unknown.
+#: Symbols that are parsed as one piece; letters of an alphabet up to which its table is dense.
 BLOCK, ALPHABET = 512, 250
 _ROOT_PHRASE = np.int32(-(1 << 31))
 
@@ -93,38 +94,63 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The transition table of one language: entry [state * width + symbol] is the next state times
+    """The dense transition table of one language: entry [state * width + symbol] is the next state times
     width, with the top bit set where a new phrase begins."""
 
-    def __init__(self, name: str, text: np.ndarray, alphabet: dict[int, int]):
+    def __init__(self, name: str, text: np.ndarray):
         self.name, self.bits = name, float(np.log2(max(2, len(text))))
-        width = self.width = len(alphabet) + 2  # 0: past the end, then the letters, last: unknown
+        found = np.unique(text)
+        width = len(found) + 2  # 0: past the end, then the letters, last: unknown
+        self.code = np.full(65536, width - 1, np.int32)
+        self.code[0] = 0
+        self.code[found] = np.arange(1, width - 1)
         edges = suffix_automaton(text)
         root = np.full(width, _ROOT_PHRASE, np.int32)  # a symbol the sample lacks is a phrase by itself
         for c, to in edges[0].items():
-            root[alphabet.get(c, width - 1)] = to * width | _ROOT_PHRASE
-        root[width - 1] = _ROOT_PHRASE
+            root[self.code[c]] = to * width | _ROOT_PHRASE
         flat = np.tile(root, (len(edges), 1))
         for state, own in enumerate(edges[1:], 1):
             for c, to in own.items():
-                if c in alphabet:
-                    flat[state, alphabet[c]] = to * width
+                flat[state, self.code[c]] = to * width
         flat[:, 0] = 0
         self.next = flat.ravel()
 
     def phrases(self, columns: np.ndarray) -> np.ndarray:
-        """Phrases by lane; columns[i] has the i-th symbol of every lane. Longer lanes come first."""
+        """Phrases by lane; columns[i] has the i-th symbol of every lane, 0 past its end."""
         at, count = np.zeros(columns.shape[1], np.int32), np.zeros(columns.shape[1], np.int32)
         mask = np.int32(0x7FFFFFFF)
         for symbol in columns:
-            step = self.next[at + symbol]
+            step = self.next[at + self.code[symbol]]
             count += step < 0
             np.bitwise_and(step, mask, out=at)
         return count
 
 
+class SortedParser:
+    """The same for a language with more letters than a dense table has room for: the transitions of
+    all states but the root, sorted by state and symbol."""
+
+    def __init__(self, name: str, text: np.ndarray):
+        self.name, self.bits = name, float(np.log2(max(2, len(text))))
+        edges = suffix_automaton(text)
+        self.root = np.zeros(65536, np.int64)
+        self.root[list(edges[0])] = list(edges[0].values())
+        rows = sorted((state << 16 | c, to) for state, own in enumerate(edges[1:], 1) for c, to in own.items())
+        self.keys, self.to = np.array([*rows, (1 << 62, 0)], np.int64).T.copy()
+
+    def phrases(self, columns: np.ndarray) -> np.ndarray:
+        at, count = np.zeros(columns.shape[1], np.int64), np.zeros(columns.shape[1], np.int32)
+        for symbol in columns:
+            key = at << 16 | symbol
+            place = np.searchsorted(self.keys, key)
+            on = self.keys[place] == key
+            count += ~on & (symbol != 0)
+            at = np.where(on, self.to[place], self.root[symbol])
+        return count
+
+
 class Model:
-    """Parsers of all learned languages over one alphabet."""
+    """Parsers of all learned languages."""
 
     def __init__(self, samples: dict[str, list[str]], most: int = SAMPLE_SYMBOLS):
         texts = {}
@@ -137,16 +163,7 @@ class Model:
                     size += len(own) + 1
             if taken:
                 texts[name] = np.concatenate(taken)
-        if texts:
-            found, often = np.unique(np.concatenate(list(texts.values())), return_counts=True)
-            found = found[np.lexsort((found, -often))][:ALPHABET]
-        else:
-            found = np.empty(0, np.uint16)
-        alphabet = {int(c): i + 1 for i, c in enumerate(np.sort(found))}
-        self.code = np.full(65536, len(alphabet) + 1, np.int32)
-        for c, i in alphabet.items():
-            self.code[c] = i
-        self.parsers = [Parser(name, text, alphabet) for name, text in texts.items()]
+        self.parsers = [(Parser if len(np.unique(text)) <= ALPHABET else SortedParser)(name, text) for name, text in texts.items()]
 
     def entropies(self, texts: list[np.ndarray]) -> np.ndarray:
         """Bits a symbol, by text and language; 0 for a text without symbols."""
@@ -159,8 +176,8 @@ class Model:
         out = np.zeros((len(texts), len(self.parsers)))
         if not len(owner):
             return out
-        lanes = np.zeros((len(owner), BLOCK), np.int32)
-        lanes[np.arange(BLOCK) < sizes[:, None]] = self.code[np.concatenate(texts)]
+        lanes = np.zeros((len(owner), BLOCK), np.uint16)
+        lanes[np.arange(BLOCK) < sizes[:, None]] = np.concatenate(texts)
         columns = np.ascontiguousarray(lanes.T)
         for k, parser in enumerate(self.parsers):
             out[:, k] = np.bincount(owner, parser.phrases(columns), len(texts)) * parser.bits

@@ -67,6 +67,22 @@ def test_parser_counts_greedy_phrases():
                 assert b == pytest.approx(_phrases("".join(map(chr, t)), sample) * parser.bits / len(t))
 
 
+def test_every_letter_of_a_sample_counts():
+    """Two languages of many letters, the same ones, are told apart by their substrings beside Latin ones."""
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1500)]
+    words_of = {name: ["".join(rng.choice(letters) for _ in range(3)) for _ in range(600)] for name in ("x", "y")}
+    text = lambda name, n: "".join(rng.choice(words_of[name]) for _ in range(n))
+    samples = {name: [text(name, n)] for name, n in (("x", 3000), ("y", 1500))} | {"en": ["the cat sat on the mat and the dog " * 300]}
+    model = language.Model(samples)
+    texts = [text(name, 40) for name in "xyxyxy"] + ["the dog sat on the cat", "中中中 the"]
+    assert [p[0] for p in model.predict(texts[:-1])] == [*"xyxyxy", "en"]
+    bits = model.entropies([language.symbols(t) for t in texts])
+    for k, parser in enumerate(model.parsers):
+        sample = "".join(map(chr, language.symbols(samples[parser.name][0]))) + " "
+        assert list(bits[:, k]) == [pytest.approx(_phrases(t, sample) * parser.bits / len(t)) for t in texts]
+
+
 def test_language_of_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "12 !", "en"), (3, "the cat sat on the mat", "en"), (4, "der hund und die katze", "de"), (4, "der hund und die katze", None), (5, "the " * 40000, "en"), (6, "中文 Ⅷ 𝔸", "en")], "doc_id long, text string, score string")
     got = {r["doc_id"]: r for r in language.identify(docs, {"en": ["the cat sat on the mat and the dog"], "de": ["der hund und die katze und das haus"]}).collect()}
