@@ -3,10 +3,12 @@
 Every set is embedded as T minimum hashes. In a tree, a node is the path of (position, minimum hash)
 choices that its documents share; which positions a node branches on is drawn from a hash of its
 path, 1/threshold of them on average, so a pair at the threshold keeps one common child a level and
-survives with a probability that falls off only slowly with depth. Independent trees repeat until
-the pairs that all of them lose are below 1 - recall.
+survives with a probability that falls off only slowly with depth. Trees repeat until the pairs that
+all of them lose, and those that the comparison of sketches loses, are below 1 - recall; as all trees
+draw from one sketch, that is reckoned by the number of positions on which a pair agrees.
 
-Nodes that still hold many documents branch further; small ones are compared exhaustively. Most
+Nodes that still hold many documents branch as many levels further as the trees are planned for, and
+are then compared in blocks, which loses nothing; small ones are compared exhaustively. Most
 documents of a node are copies of each other, so each node is first compared as a star around one
 member, and only documents that those links leave in different components are compared with each
 other: first by sketches, and those that may have a link by their full sets. So a node yields a link
@@ -29,8 +31,8 @@ from .graph import components
 from .words import mix, shingle_sets
 
 #: Minimum hashes of a set; documents and shingles of a small node at most; levels below the first
-#: after which nodes that are still large are compared in blocks.
-POSITIONS, SMALL_NODE, NODE_SHINGLES, MORE_LEVELS = 128, 4096, 2_000_000, 12
+#: after which nodes that are still large are compared in blocks; plan() counts on no more of them.
+POSITIONS, SMALL_NODE, NODE_SHINGLES, MORE_LEVELS = 128, 4096, 2_000_000, 2
 #: Identifiers that are broadcast at most, to pick their texts; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 RECALL = 0.9999
@@ -76,21 +78,41 @@ def _prints(k: int):
     return make
 
 
-def survival(depth: int, threshold: float) -> float:
-    """Probability that a pair at the threshold shares a node `depth` levels down a tree."""
-    extra, lost = 1 / threshold - 1, 0.0
+def survival(depth: int, threshold: float, agree: float | None = None) -> float:
+    """Probability that a pair shares a node `depth` levels down a tree, if it agrees on this share of
+    positions (by default the threshold)."""
+    extra, lost, agree = 1 / threshold - 1, 0.0, threshold if agree is None else agree
     for _ in range(depth):
-        one = 1 - threshold * (1 - lost)
+        one = 1 - agree * (1 - lost)
         lost = (1 - extra) * one + extra * one * one
     return 1 - lost
 
 
+def agreeing(threshold: float) -> list[float]:
+    """Probability that a pair at the threshold agrees on 0, 1, ... POSITIONS positions."""
+    return [math.comb(POSITIONS, a) * threshold**a * (1 - threshold) ** (POSITIONS - a) for a in range(POSITIONS + 1)]
+
+
+def least_agreeing(threshold: float, recall: float = RECALL) -> int:
+    """Positions that a pair at the threshold falls short of with half of the misses allowed at most."""
+    chance = agreeing(threshold)
+    return next(a for a in range(POSITIONS + 1) if sum(chance[: a + 1]) > (1 - recall) / 2)
+
+
+def missed(depth: int, trees: int, threshold: float, recall: float = RECALL) -> float:
+    """Probability that a pair at the threshold has too few agreeing positions, or no node in common."""
+    least, chance = least_agreeing(threshold, recall), agreeing(threshold)
+    return sum(chance[:least]) + sum(chance[a] * (1 - survival(depth, threshold, a / POSITIONS)) ** trees for a in range(least, POSITIONS + 1))
+
+
 def plan(sets: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """(levels that every document branches at once, trees): so deep that unrelated documents, of
     which one in twenty agrees on a position, leave small nodes; so many trees that pairs at the
-    threshold are found with the recall asked for two levels deeper still."""
-    depth = max(1, round(math.log(max(sets, 2)) / math.log(20)))
-    return depth, math.ceil(math.log(1 - recall) / math.log(1 - survival(depth + 2, threshold)))
+    threshold are found with the recall asked for MORE_LEVELS deeper still, where branching ends."""
+    depth, trees = max(1, round(math.log(max(sets, 2)) / math.log(20))), 1
+    while missed(depth + MORE_LEVELS, trees, threshold, recall) > 1 - recall:
+        trees += 1
+    return depth, trees
 
 
 def branch(sig: np.ndarray, owner: np.ndarray, path: np.ndarray, extra: float) -> tuple[np.ndarray, np.ndarray]:
@@ -143,21 +165,15 @@ def _fit(a, b, num: int, den: int):
     return (a * den >= b * num) & (b * den >= a * num)
 
 
-def least_estimate(threshold: float) -> float:
-    """Agreeing positions that a pair at the threshold falls short of once in ten thousand times."""
-    return threshold - 3.72 * math.sqrt(threshold * (1 - threshold) / POSITIONS)
-
-
 def _minority(label: np.ndarray) -> np.ndarray:
     """Places of the members outside the node's most frequent component; every pair that matters has one."""
     names, inverse, often = np.unique(label, return_inverse=True, return_counts=True)
     return np.flatnonzero(inverse != np.argmax(often)) if len(names) > 1 else np.empty(0, np.int64)
 
 
-def _likely(num: int, den: int):
-    """Of each node (members with sketches) those that may reach the threshold, by size and sketch, with
-    a member of another component."""
-    least = least_estimate(num / den)
+def _likely(num: int, den: int, least: int):
+    """Of each node (members with sketches) those that may reach the threshold, by size and sketch (at
+    least so many agreeing positions), with a member of another component."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +188,7 @@ def _likely(num: int, den: int):
                     i = few[first : first + 32]
                     ok = (label[i][:, None] != label) & _fit(n[i][:, None], n, num, den)
                     x, y = np.nonzero(ok)
-                    good = (sketch[i[x]] == sketch[y]).mean(axis=1) >= least
+                    good = (sketch[i[x]] == sketch[y]).sum(axis=1) >= least
                     picked[i[x[good]]] = True
                     picked[y[good]] = True
                 if picked.any():
@@ -232,9 +248,9 @@ def _agreement(a, b):
     import pandas as pd
 
     if not len(a):
-        return pd.Series([], dtype="float64")
+        return pd.Series([], dtype="int64")
     left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, POSITIONS) for x in (a, b))
-    return pd.Series((left == right).mean(axis=1))
+    return pd.Series((left == right).sum(axis=1))
 
 
 def _sets(k: int):
@@ -251,17 +267,17 @@ def _sets(k: int):
 class _Confirmer:
     """Confirms candidate pairs on full sets; the sets it has taken from texts are kept as a table."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int):
-        self.docs, self.reps, self.k, self.num, self.den, self.sets = docs, reps, k, num, den, None
+    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, least: int):
+        self.docs, self.reps, self.k, self.num, self.den, self.least, self.sets = docs, reps, k, num, den, least, None
         self.scratch: list[DataFrame] = []
 
     def sketched(self, pairs: DataFrame) -> DataFrame:
         """Of the distinct pairs (a, b), those whose sketches agree enough."""
         own = self.reps.select("rep", "sketch")
-        agreement = F.pandas_udf(_agreement, "double")
+        agreement = F.pandas_udf(_agreement, "long")
         both = pairs.join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a")
         both = both.join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
-        return both.where(agreement("sa", "sb") >= least_estimate(self.num / self.den)).select("a", "b")
+        return both.where(agreement("sa", "sb") >= self.least).select("a", "b")
 
     def take(self, ids: DataFrame) -> None:
         """Makes the sets of these rows (rep) known."""
@@ -318,19 +334,38 @@ def _mixed(members: DataFrame) -> DataFrame:
     return _with_nodes(members, nodes.where("lo <> hi").select("path", "size", "weight"))
 
 
-def _likely_members(members: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def _likely_members(members: DataFrame, reps: DataFrame, num: int, den: int, least: int) -> DataFrame:
     """Of small nodes, the members that may have a link to another component of theirs."""
     full = members.join(reps.select("rep", "sketch").hint("merge"), "rep")
     nodes = full.groupBy("path").agg(F.collect_list(F.struct("rep", "n", "label", "sketch")).alias("node"))
-    return nodes.mapInArrow(_likely(num, den), "path long, rep long, n int, label long")
+    return nodes.mapInArrow(_likely(num, den, least), "path long, rep long, n int, label long")
+
+
+def _counted(large: DataFrame) -> DataFrame:
+    """Members of large nodes with the node's most frequent component, and the size and shingles of the rest."""
+    often = large.groupBy("path", "label").agg(F.count("*").alias("often"), F.sum("n").alias("shingles"))
+    top = F.max(F.struct("often", "shingles", "label"))
+    nodes = often.groupBy("path").agg(top.alias("top"), F.sum("often").alias("size"), F.sum("shingles").alias("weight"))
+    nodes = nodes.select("path", F.col("top.label").alias("most"), (F.col("size") - F.col("top.often")).alias("few"), (F.col("weight") - F.col("top.shingles")).alias("few_weight"))
+    return _with_nodes(large, nodes)
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """A large node as all pairs of its blocks, each of which is a small node by itself."""
-    count = F.ceil(F.greatest(F.col("size") / (SMALL_NODE // 2), F.col("weight") / (NODE_SHINGLES // 2))).cast("int")
-    block = F.pmod(F.xxhash64("rep", F.lit(1)), count).cast("int")
-    dealt = members.select("rep", "n", "label", "path", block.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    return dealt.select("rep", "n", "label", F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"))
+    """Large nodes as small ones that hold every pair of two components. Where most members are of one
+    component, blocks of the others meet blocks of all; else blocks of all meet each other."""
+
+    def parts(size: str, weight: str):
+        return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(size) / (SMALL_NODE // 2), F.col(weight) / (NODE_SHINGLES // 2)))).cast("long")
+
+    count, few = parts("size", "weight"), parts("few", "few_weight")
+    block, few_block = (F.pmod(F.xxhash64("rep", F.lit(i)), n) for i, n in ((1, count), (2, few)))
+    zero = F.lit(0).cast("long")
+    met = F.transform(F.sequence(zero, few - 1), lambda i: i * count + block)
+    meets = F.when(F.col("label") != F.col("most"), F.transform(F.sequence(zero, count - 1), lambda j: few_block * count + j))
+    among = F.transform(F.sequence(zero, count - 1), lambda j: F.least(block, j) * count + F.greatest(block, j))
+    places = F.when(2 * F.col("few") < F.col("size"), F.array_distinct(F.concat(met, F.coalesce(meets, F.array().cast("array<bigint>"))))).otherwise(among)
+    dealt = members.select("rep", "n", "label", "path", F.explode(places).alias("place"))
+    return dealt.select("rep", "n", "label", F.xxhash64("path", "place").alias("path"))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
@@ -353,7 +388,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     reps = stored(reps.withColumn("sketch", low_bytes("sig")), "sets")
     depth, trees = plan(reps.count(), threshold, recall)
     extra = 1 / threshold - 1
-    confirmer = _Confirmer(docs, reps, k, num, den)
+    least = least_agreeing(threshold, recall)
+    confirmer = _Confirmer(docs, reps, k, num, den, least)
 
     members = reps.select("rep", "n", "sig").mapInArrow(_members(depth, trees, extra), "path long, rep long, n int")
     members = stored(members, "members")
@@ -373,9 +409,11 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
         is_small = (F.col("size") <= SMALL_NODE) & (F.col("weight") <= NODE_SHINGLES)
         small, large = open_nodes.where(is_small), open_nodes.where(~is_small)
         last = level == MORE_LEVELS or large.isEmpty()
-        if level == MORE_LEVELS:
-            small = small.select("path", "rep", "n", "label").unionByName(_blocks(large))
-        found = _likely_members(small.select("path", "rep", "n", "label"), reps, num, den)
+        small = small.select("path", "rep", "n", "label")
+        if level == MORE_LEVELS and not large.isEmpty():
+            opened.append(_counted(large))
+            small = small.unionByName(_blocks(opened[-1]))
+        found = _likely_members(small, reps, num, den, least)
         likely = found if likely is None else likely.unionByName(found)
         if last:
             break

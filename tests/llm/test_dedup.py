@@ -3,8 +3,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
-from pricemill.llm import exact_dedup, graph, line_dedup, near_dedup, registry
+from pricemill.llm import exact_dedup, graph, line_dedup, near_dedup, registry, words
 
 AWKWARD = [(1, None), (2, ""), (3, "One two three"), (3, "One two three"), (4, "ONE TWO THREE"), (5, "one  two\tthree"), (6, "word"), (7, "WORD"), (8, "é è"), (9, "É è"), (None, "One two three"), (10, "x " * 30000)]
 
@@ -109,6 +110,42 @@ def test_recall_plan():
     assert near_dedup.plan(0, 0.8)[0] >= 1
 
 
+def test_trees_find_pairs_at_the_threshold_where_branching_ends():
+    """With the real branching, all trees drawing from one sketch."""
+    rng, pairs = np.random.default_rng(3), 30_000
+    depth, trees = near_dedup.plan(500_000, 0.8)
+    left = rng.integers(0, 1 << 32, (pairs, near_dedup.POSITIONS), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.8, left, left + np.uint32(1))
+    found = np.zeros(pairs, bool)
+    for tree in range(1, trees + 1):
+        open_ = np.flatnonzero(~found)
+        roots = np.full(len(open_), tree * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+        nodes = []
+        for sig in (left[open_], right[open_]):
+            owner, path = np.arange(len(open_)), words.mix(roots)
+            for _ in range(depth + near_dedup.MORE_LEVELS):
+                owner, path = near_dedup.branch(sig, owner, path, 0.25)
+            nodes.append(words.mix(path + owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+            last = owner
+        found[open_[np.unique(last[np.isin(nodes[1], nodes[0])])]] = True
+    assert (~found).sum() <= 9  # 3 at a recall of 0.9999
+    assert near_dedup.missed(depth + near_dedup.MORE_LEVELS, trees, 0.8) <= 1e-4
+
+
+@pytest.mark.parametrize("others", [3, 60])
+def test_blocks_hold_every_pair_of_two_components(spark, monkeypatch, others):
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 16)
+    rows = [(7, i, 10, i if i < others else 1000, 100, 1000) for i in range(100)]
+    large = spark.createDataFrame(rows, "path long, rep long, n int, label long, size long, weight long")
+    nodes = {}
+    for r in near_dedup._blocks(near_dedup._counted(large)).collect():
+        nodes.setdefault(r["path"], []).append(r["rep"])
+    pairs = {(a, b) for own in nodes.values() for a in own for b in own}
+    assert all((a, b) in pairs for a in range(others) for b in range(100) if a != b)
+    assert max(map(len, nodes.values())) < 48 and all(len(set(own)) == len(own) for own in nodes.values())
+    assert others > 50 or sum(map(len, nodes.values())) < 200
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 200) if i % 50 != 49] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     df = spark.createDataFrame(edges, "a long, b long")
