@@ -316,6 +316,15 @@ def test_pseudonyms_keep_formats_links_and_come_back(spark):
     assert other != got[1]["text"] and private.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_values_without_a_digit_are_hidden(spark):
+    values = ["AKIA" + "QWERTYUIOPASDFGH", "abcdefab" * 4, "ABCDEFAB" * 8]
+    docs = spark.createDataFrame([(i, f"key {v} here") for i, v in enumerate(values)], "doc_id long, text string")
+    got = private.pseudonymise(docs, "key").orderBy("doc_id").collect()
+    assert all(v not in r["text"] and r["__n_private"] == 1 for v, r in zip(values, got))
+    hidden = spark.createDataFrame([(r["doc_id"], r["text"]) for r in got], "doc_id long, text string")
+    assert [r["text"] for r in private.pseudonymise(hidden, "key", reverse=True).orderBy("doc_id").collect()] == [f"key {v} here" for v in values]
+
+
 def _feistel(a, b, m, n, tweak, key):
     import hashlib
 
