@@ -7,21 +7,31 @@ document and different values different ones. Matches that fail validation stay
 
 Each value is a pair (a, b) of numbers below (m, n); a round adds a keyed digest of one half to the
 other modulo its bound, which is a bijection whatever the bounds are.
+
+There is no default key: without one, pseudonyms could be turned back by anyone. The key itself never
+stands in a plan; what does is a key of the rounds made from it by a one-way function, which still has
+to be kept as safe as the corpus, as plans show it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 ROUNDS = 8
-#: Placeholder for runs without a key of their own.
-DEFAULT_KEY = "change-this-key"
-
-# The forms that are looked for.
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+#: Setting of the session that holds the key, where no argument gives one.
+KEY_SETTING = "spark.corpus.pseudonym.key"
+#: Public key of the query, which has to run without settings; for nothing else.
+QUERY_KEY = "public key of the query, hides nothing"
+
+# The forms that are looked for. Repeats of groups and of what stands before the @ are
+# bounded (by the longest address that mail allows), as the matcher goes one call deeper for each.
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,126}\.[A-Za-z]{2,63}"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"
 PHONE = r"\+[0-9]{1,3}[ .\-]?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])"
 SSN = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
@@ -109,12 +119,17 @@ def _card(m: Column, key: str, reverse: bool) -> Column:
 
 
 def _phone(m: Column, key: str, reverse: bool) -> Column:
-    """The last ten digits are permuted; a country code before them stays."""
+    """The last ten digits are permuted; a country code before them stays. A number without one whose
+    area and exchange begin with 2 to 9, as they must, keeps to such numbers; others have no such rule."""
 
     def of(digits: Column) -> Column:
         kept = F.greatest(F.length(digits) - 10, F.lit(0))
         moved = permute_string(_part(digits, kept + 1, F.lit(10)), 10, "phone", key, reverse)
-        return _laid_out(m, F.concat(_part(digits, F.lit(1), kept), moved), "[^0-9]")
+        plain = F.concat(_part(digits, F.lit(1), kept), moved)
+        area, rest = _part(digits, F.lit(1), F.lit(3)).cast("long"), _part(digits, F.lit(4), F.lit(7)).cast("long")
+        pair = feistel(area - 200, rest - 2_000_000, 800, 8_000_000, F.lit("phone"), key, reverse)
+        valid = _then(pair, lambda p: F.format_string("%03d%07d", p.a + 200, p.b + 2_000_000))
+        return _laid_out(m, F.when(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), valid).otherwise(plain), "[^0-9]")
 
     return _then(F.regexp_replace(m, "[^0-9]", ""), of)
 
@@ -202,25 +217,39 @@ def pseudonym(m: Column, key: str, reverse: bool = False) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, reverse: bool = False) -> DataFrame:
+def round_key(key: str) -> str:
+    """What the rounds are keyed with."""
+    return hmac.new(key.encode("utf-8"), b"rounds of the pseudonyms", hashlib.sha256).hexdigest()
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, reverse: bool = False) -> DataFrame:
     """docs with the private data of text replaced, and __n_private, the number of values replaced.
 
-    A null text stays null with 0 values; a text without private data stays as it is. With reverse
-    and the same key the values come back (letters of addresses in lower case). Repeated rows are
-    rows of their own; other columns stay.
+    The key is the argument or the session's setting KEY_SETTING; without one a ValueError is raised.
+    A null text stays null with 0 values; a text without private data stays as it is, and an empty
+    table gives an empty one. With reverse and the same key the values come back (letters of
+    addresses in lower case). Repeated rows are rows of their own; other columns stay, whatever
+    their names (a column __n_private of docs is replaced). A local part of over 64 characters or a
+    domain of over 128 labels is no address. The time is linear in the length of a text.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: give one, or set {KEY_SETTING}")
+    key = round_key(key)
+    old, new = free_name("__found", docs), free_name("__new", docs)
     found = F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     # evaluated behind a filter on its size, so that the pieces are only cut where something was found
-    out = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    out = out.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key, reverse)))
+    out = docs.withColumn(old, F.coalesce(found, F.array().cast("array<string>")))
+    out = out.withColumn(new, F.transform(old, lambda m: pseudonym(m, key, reverse)))
     pieces = F.split("text", ANY, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("__new")), "__new", lambda p, n: F.concat(p, n)), ""), F.element_at(pieces, -1))
-    text = F.when(F.size("__new") > 0, joined).otherwise(F.col("text"))
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), changed.cast("long").alias("__n_private"))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(new)), new, lambda p, n: F.concat(p, n)), ""), F.element_at(pieces, -1))
+    text = F.when(F.size(new) > 0, joined).otherwise(F.col("text"))
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
+    rest = [c for c in docs.columns if c != "__n_private"]
+    return out.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest), changed.cast("long").alias("__n_private"))
 
 
 def op10_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Private data of every whole text of documents, replaced."""
-    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, None) or QUERY_KEY)
     return found.select("doc_id", "text", F.col("__n_private").alias("n_private"))
