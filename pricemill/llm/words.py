@@ -1,26 +1,36 @@
 """Words, word hashes and shingle sets of Arrow string columns, computed with numpy inside a task.
 
 Words are runs of bytes that are not separators. Only ASCII bytes separate, so the UTF-8 bytes of a
-text can be cut without decoding it. Each word gets a 64-bit polynomial hash taken from one running
-sum over the buffer, so that no Python object is made for a word.
+text can be cut without decoding it. Each word gets a 64-bit hash: words of up to LONG_WORD bytes by
+eights of bytes for all words at once, longer ones by BLAKE2, so no Python object is made for a word
+of common length. Words of up to eight bytes never collide with others of their length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy step takes; a longer text makes a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one numpy step takes (a longer text makes a step of its own); bytes of a word
+#: that is hashed together with others at most.
+STEP_BYTES, LONG_WORD = 1 << 20, 64
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 _JOIN = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_LETTER = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: By number of bytes, the mask of the first so many of a little-endian eight.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+class Letters(NamedTuple):
+    """What each byte becomes, and whether it belongs to a word."""
+
+    lower: np.ndarray
+    inside: np.ndarray
 
 
 def _lowered() -> np.ndarray:
@@ -29,20 +39,18 @@ def _lowered() -> np.ndarray:
     return table
 
 
-def blank_separated() -> np.ndarray:
-    """Byte table: A-Z lower-cased, ASCII white space (20, 09-0D) to 0."""
-    table = _lowered()
-    table[[0x20, 9, 10, 11, 12, 13]] = 0
-    return table
+def blank_separated() -> Letters:
+    """A-Z lower-cased; ASCII white space (20, 09-0D) separates words, nothing else does."""
+    inside = np.ones(256, bool)
+    inside[[0x20, 9, 10, 11, 12, 13]] = False
+    return Letters(_lowered(), inside)
 
 
-def alphanumeric() -> np.ndarray:
-    """Byte table: A-Z lower-cased, every ASCII byte but digits and letters to 0."""
-    table = _lowered()
-    keep = np.zeros(256, bool)
-    keep[48:58] = keep[97:123] = keep[65:91] = keep[128:] = True
-    table[~keep] = 0
-    return table
+def alphanumeric() -> Letters:
+    """A-Z lower-cased; every ASCII byte but digits and letters separates words."""
+    inside = np.zeros(256, bool)
+    inside[48:58] = inside[97:123] = inside[65:91] = inside[128:] = True
+    return Letters(_lowered(), inside)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,25 +63,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, _U(base), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, kept for the longest step so far."""
-
-    up = down = np.empty(0, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, STEP_BYTES + 65536)
-            cls.up, cls.down = _powers(int(_BASE), size), _powers(pow(int(_BASE), -1, 1 << 64), size)
-        return cls.up[:n], cls.down[:n]
-
-
 class Words(NamedTuple):
     """Words of some texts, in order: where each begins and ends in data, its text, its hash."""
 
@@ -107,14 +96,32 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool = True) -> Words:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[starts[i]:ends[i]], none of them empty."""
+    length = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = length.astype(np.uint64) * _JOIN[63]
+    some = np.flatnonzero(length <= LONG_WORD)
+    at, left = starts[some], length[some]
+    while len(some):
+        value = (out[some] ^ (eights[at] & _FIRST[np.minimum(left, 8)])) * _JOIN[60]
+        out[some] = value ^ (value >> _U(29))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return mix(out)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, letters: Letters, hashed: bool = True) -> Words:
     """All words of the texts data[offsets[i]:offsets[i + 1]], with offsets[0] = 0."""
     n = len(data)
     if n == 0:
         none = np.empty(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets) - 1, np.int64), np.empty(0, np.uint64))
-    low = table[data]
-    inside = low != 0
+    low, inside = letters.lower[data], letters.inside[data]
     edge = np.zeros(n, bool)
     edge[offsets[:-1][offsets[:-1] < n]] = True
     begins = inside.copy()
@@ -124,14 +131,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashed: bool
     stops[:-1] &= ~inside[1:] | edge[1:]
     ends = np.flatnonzero(stops) + 1
     counts = np.diff(np.searchsorted(starts, offsets))
-    hashes = None
-    if hashed:
-        up, down = _Powers.of(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTER[low] * up[:n], out=total[1:])
-        hashes = (total[ends] - total[starts]) * down[starts]
-        hashes = mix(hashes + (ends - starts).astype(np.uint64) * _JOIN[63])
-    return Words(low, starts, ends, counts, hashes)
+    return Words(low, starts, ends, counts, word_hashes(low, starts, ends) if hashed else None)
 
 
 def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +159,13 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, out_n
 
 
-def shingle_sets(column: pa.Array, k: int, table: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, k: int, letters: Letters | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By step of rows: the first row, all distinct shingle hashes (sorted within a text), counts by text."""
-    table = blank_separated() if table is None else table
+    letters = blank_separated() if letters is None else letters
     data, offsets = utf8(column)
     for first, last in steps(offsets):
         lo, hi = int(offsets[first]), int(offsets[last])
-        every, counts = shingles(words(data[lo:hi], offsets[first : last + 1] - lo, table), k)
+        every, counts = shingles(words(data[lo:hi], offsets[first : last + 1] - lo, letters), k)
         at = np.concatenate(([0], np.cumsum(counts)))
         for i in range(last - first):
             every[at[i] : at[i + 1]].sort()
