@@ -1,15 +1,20 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all test items.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised test items.
 
 The automaton reads words, not characters: each distinct word of the benchmark is one letter of its
-alphabet, so a window of ten words is a path of ten nodes. A document's words are mapped to letters
-in one pass; words the benchmark never uses become a letter that leads back to the root. The
-benchmark is measured before it is sent to the executors: up to PART_BYTES of text make one
+alphabet. Its patterns are the items cut into blocks of half a window (five words of ten), side by side:
+any window holds a whole block, so a block that is found is followed in both directions along its item,
+and where the common run of words is as long as a window, all of it is hit. That takes one node a word
+of the benchmark, where a pattern for each window would take ten. A document is scanned once.
+
+The benchmark is measured before it is sent to the executors: up to PART_BYTES of text make one
 automaton, a larger benchmark is dealt into parts of that size, each scanned in turn.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -20,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, stored, table
 
-#: Bytes of benchmark text that one automaton takes (about 20 nodes of 32 bytes for each byte's word).
-PART_BYTES = 4 << 20
+#: Bytes of benchmark text that one automaton takes (measured: about 18 bytes of memory for each).
+PART_BYTES = 32 << 20
 WINDOW = 10
+#: Letters of the automaton; words beyond them share letters, and are told apart when a block is followed.
+LETTERS = 1_000_000
+#: Places of a block in the benchmark above which they are compared all at once.
+MANY_PLACES = 12
+_UNKNOWN, _BETWEEN = "\0", "\1"
 
 _KEPT = {*range(48, 58), *range(97, 123), *range(128, 256)}
 #: A-Z to a-z; all other ASCII but digits and letters to a blank.
@@ -41,29 +51,83 @@ def normalised_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_BYTES).split()
 
 
+def _letter(number: int) -> str:
+    """The letter of a word's number; surrogates are skipped, as they are no characters."""
+    n = number % LETTERS + 2
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
 class Scanner:
-    """The automaton of some items' windows, and the search of it in a text."""
+    """The automaton of some items' blocks, and the search of it in a text."""
 
     def __init__(self, items: tuple[tuple[str, str], ...], window: int = WINDOW):
-        self.letters: dict[bytes, str] = {}
-        owners: dict[str, set[str]] = {}
+        self.numbers: dict[bytes, int] = {}
+        self.names: list[str] = []
+        self.need: list[int] = []
+        self.sizes: list[int] = []
+        self.begins: list[int] = []
+        block = (window + 1) // 2
+        spelled, codes, at = [_BETWEEN], array("q", [-2]), 1
+        places: dict[int, list[int]] = {}  # by length of the block
         for item, text in items:
-            spelled = "".join([self._letter(w) for w in normalised_words(text)])
-            for i in range(max(1, len(spelled) - window + 1) if spelled else 0):
-                owners.setdefault(spelled[i : i + window], set()).add(item)
-        self.automaton = ahocorasick.Automaton()
-        for spelled, held in owners.items():
-            self.automaton.add_word(spelled, (len(spelled), held))
-        self.empty = not owners
-        if owners:
+            own = [self.numbers.setdefault(w, len(self.numbers)) for w in normalised_words(text)]
+            if not own:
+                continue
+            self.names.append(item)
+            self.need.append(min(window, len(own)))
+            self.begins.append(at)
+            size = min(block, len(own))
+            self.sizes.append(size)
+            places.setdefault(size, []).extend(range(at, at + len(own) - size + 1, size))
+            spelled.append("".join(map(_letter, own)) + _BETWEEN)
+            codes.extend(own)
+            codes.append(-2)
+            at += len(own) + 1
+        self.letters = {w: _letter(i) for w, i in self.numbers.items()}
+        self.text = "".join(spelled)
+        # with more words than letters, runs are followed by the numbers of the words
+        self.exact = codes if len(self.numbers) > LETTERS else None
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        letters = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        every, firsts, total = [], [0], 0
+        for size, own in places.items():
+            own = np.array(own, np.int64)
+            blocks = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, size)[own]).view(f"V{4 * size}").ravel()
+            order = np.argsort(blocks, kind="stable")
+            new = np.flatnonzero(np.concatenate(([True], blocks[order[1:]] != blocks[order[:-1]])))
+            every.append(own[order])
+            for k, p in zip(range(len(firsts) - 1, len(firsts) - 1 + len(new)), own[order[new]].tolist()):
+                self.automaton.add_word(self.text[p : p + size], k)
+            firsts += (total + np.append(new[1:], len(own))).tolist()
+            total += len(own)
+        self.alphabet = letters
+        self.places = np.concatenate(every) if every else np.empty(0, np.int64)
+        self.firsts = np.array(firsts, np.int64)
+        self.begin_array, self.size_array, self.need_array = (np.array(x, np.int64) for x in (self.begins, self.sizes, self.need))
+        self.empty = not places
+        if places:
             self.automaton.make_automaton()
-            # a match lies within a run of known words at least as long as the shortest window
-            self.runs = re.compile("[^\0]{%d,}" % min(map(len, owners)))
-
-    def _letter(self, word: bytes) -> str:
-        """The word's letter; surrogates are skipped, as they are no characters."""
-        n = len(self.letters) + 1
-        return self.letters.setdefault(word, chr(n if n < 0xD800 else n + 0x800))
+            # a block lies within a run of known words at least as long as the shortest block
+            self.runs = re.compile("[^\0]{%d,}" % min(places))
+
+    def _long_enough(self, places: np.ndarray, spelled: str, stop: int) -> np.ndarray:
+        """Of the places of a block that ends before `stop` in the text, those in a run of letters that is
+        long enough, all at once."""
+        item = np.searchsorted(self.begin_array, places, "right") - 1
+        size = int(self.size_array[item[0]])  # places of one block are of one size
+        need, start = self.need_array[item], stop - size
+        reach = max(0, int(need.max()) - size)
+        text = np.frombuffer(spelled[max(0, start - reach) : stop + reach].encode("utf-32-le"), np.uint32)
+        here = min(start, reach)
+        run, alive = np.full(len(places), size), np.ones(len(places), bool)
+        for i in range(1, here + 1):
+            alive &= self.alphabet[places - np.minimum(i, places)] == text[here - i]
+            run += alive
+        alive[:] = True
+        for i in range(size, len(text) - here):
+            alive &= self.alphabet[np.minimum(places + i, len(self.alphabet) - 1)] == text[here + i]
+            run += alive
+        return places[run >= need]
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
         """Number of words, places of the hit words, items with a window in the text."""
@@ -71,34 +135,45 @@ class Scanner:
         items: set[str] = set()
         if self.empty or not found:
             return len(found), np.empty(0, np.int32), items
-        spelled = "".join(map(self.letters.get, found, repeat("\0")))
-        depth = None
+        spelled = "".join(map(self.letters.get, found, repeat(_UNKNOWN)))
+        hit, seen, own, whole = None, {}, spelled, self.text
         for run in self.runs.finditer(spelled):
-            for end, (length, held) in self.automaton.iter(run[0]):
-                if depth is None:
-                    depth = np.zeros(len(found) + 1, np.int32)
-                last = run.start() + end + 1
-                depth[last - length] += 1
-                depth[last] -= 1
-                items |= held
-        hit = np.empty(0, np.int32) if depth is None else np.flatnonzero(np.cumsum(depth)[:-1] > 0).astype(np.int32)
-        return len(found), hit, items
-
-
-_WORD = re.compile(rb"[^\x20]+")
+            for end, k in self.automaton.iter(run[0]):
+                own_places = self.places[self.firsts[k] : self.firsts[k + 1]]
+                if len(own_places) > MANY_PLACES:
+                    own_places = self._long_enough(own_places, spelled, run.start() + end + 1)
+                for p in own_places.tolist():
+                    item = bisect_right(self.begins, p) - 1
+                    # the block's place in the text: shorter items have one block, as long as they are
+                    s = run.start() + end + 1 - self.sizes[item]
+                    if seen.get(p - s, -1) > s:  # in a run that was followed before
+                        continue
+                    if self.exact is not None and own is spelled:
+                        own, whole = [self.numbers.get(w, -1) for w in found], self.exact
+                    first = last = 0
+                    while first < s and own[s - first - 1] == whole[p - first - 1]:
+                        first += 1
+                    while s + last < len(found) and own[s + last] == whole[p + last]:
+                        last += 1
+                    seen[p - s] = s + last
+                    if first + last >= self.need[item]:
+                        if hit is None:
+                            hit = np.zeros(len(found), bool)
+                        hit[s - first : s + last] = True
+                        items.add(self.names[item])
+        return len(found), np.empty(0, np.int32) if hit is None else np.flatnonzero(hit).astype(np.int32), items
 
 
 def word_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
-    """Runs of hit words as character offsets of the text as it was given."""
-    raw = text.encode("utf-8", "replace")
-    bounds = [m.span() for m in _WORD.finditer(raw.translate(_BYTES))]
-    spans: list[list[int]] = []
-    for at, before in zip(hit, [None, *hit[:-1]]):
-        if before is not None and at == before + 1:
-            spans[-1][1] = bounds[at][1]
-        else:
-            spans.append(list(bounds[at]))
-    return [{"start": len(raw[:a].decode("utf-8")), "end": len(raw[:b].decode("utf-8"))} for a, b in spans]
+    """Runs of hit words as character offsets of the text as it was given, in linear time."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = np.frombuffer(raw.tobytes().translate(_BYTES), np.uint8) != 32
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    cut = np.flatnonzero(np.diff(hit) != 1)
+    firsts, lasts = hit[np.concatenate(([0], cut + 1))], hit[np.append(cut, len(hit) - 1)]
+    return [{"start": a, "end": b} for a, b in zip(before[starts[firsts]].tolist(), before[ends[lasts]].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -180,19 +255,18 @@ def _sent(spark: SparkSession, texts: DataFrame):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_share: float = 0.0, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows of docs whose share of hit words is at most most_share, with the columns of docs. A
-    benchmark of several parts takes as many passes; with shares above 0 the words of all parts count
-    together, so the hits are gathered by row first."""
+    """The rows of docs whose share of hit words is at most most_share, with the columns of docs,
+    whatever they are called. Null and wordless texts stay, and so does everything beside an empty
+    benchmark; repeated rows are rows of their own. With a benchmark of several parts the hits of all
+    parts are gathered by row first."""
     texts, parts = _parts(benchmark, part_bytes)
-    if parts == 1 or most_share == 0:
-        dealt = texts.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-        for part in range(parts):
-            docs = docs.mapInArrow(_clean(_sent(docs.sparkSession, dealt.where(F.col("part") == part).drop("part")), window, most_share), docs.schema)
-        return docs
-    marked = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    hits = benchmark_hits(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark, window, part_bytes)
-    bad = hits.where(F.col("n_hit") > F.col("n_words") * F.lit(most_share)).select(F.col("doc_id").alias("__row"))
-    return marked.join(bad, "__row", "left_anti").select(*docs.columns)
+    if parts == 1:
+        return docs.mapInArrow(_clean(_sent(docs.sparkSession, texts), window, most_share), docs.schema)
+    row = free_name("__row", docs)
+    marked = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    hits = benchmark_hits(marked.select(F.col(row).alias("doc_id"), "text"), benchmark, window, part_bytes)
+    bad = hits.where(F.col("n_hit") > F.col("n_words") * F.lit(most_share)).select(F.col("doc_id").alias(row))
+    return marked.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,113 +1,92 @@
 """Exact deduplication by a tree of merges of sorted digest runs.
 
 Each input partition makes one run: its digests in order, each with the identifier to keep and the
-number of rows it stands for. Runs are cut into digest ranges, so no task ever holds a whole run of
-the corpus; in round r, the runs whose numbers agree above the lowest r digits (base FAN) meet, and
-every FAN of them merge into one. Equal digests collapse at each level, which bounds a node by the
-distinct digests of its range times FAN, whatever the size of the largest group of copies. The sort
-key is 64 bits of the digest; a run is only ever collapsed where the whole SHA-256 and the length in
-bytes agree as well.
+number of rows it stands for. Runs are cut into digest ranges, as many as the measured number of rows
+asks for, so no task ever holds a whole run of the corpus. In round r, the runs whose numbers agree
+above the lowest r digits (base FAN) are exchanged and merge into one, range by range. Sorting and
+merging is done by Spark's sorter, which spills; equal digests, now neighbours, collapse at each level
+in a stream of batches, so a task's memory depends neither on the rows nor on the copies it sees.
+Rows are only ever collapsed where the whole SHA-256 and the length in bytes agree.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, partitions, stored, table
 
-#: Runs that one node merges, and rounds of merging: FAN ** ROUNDS numbered runs.
-FAN, ROUNDS = 16, 3
+#: Runs that one node merges; rows of a digest range on average.
+FAN, RANGE_ROWS = 16, 1_000_000
 _RUN = "shard int, run int, digest binary, n_bytes long, keep_id long, group_size long"
-_ARROW = pa.schema([("shard", pa.int32()), ("run", pa.int32()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-_BATCH = 16384
+_NAMES = ("shard", "run", "digest", "n_bytes", "keep_id", "group_size")
+_KEYS = ("shard", "run", "digest", "n_bytes")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+def _words(column: pa.Array) -> np.ndarray:
+    """SHA-256 digests as rows of four numbers."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    return raw.reshape(len(column), 32).view("<u8")
 
 
-def _collapsed(rows: Iterator[tuple], best) -> Iterator[tuple]:
-    """Neighbours that agree in (shard, run, digest, n_bytes) as one row."""
-    held = None
-    for row in rows:
-        if held is not None and row[:4] == held[:4]:
-            held = (*held[:4], best(held[4], row[4]), held[5] + row[5])
-        else:
-            if held is not None:
-                yield held
-            held = row
-    if held is not None:
-        yield held
-
-
-def _sent(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    out = []
-    for row in rows:
-        out.append(row)
-        if len(out) == _BATCH:
-            yield _batch(out)
-            out = []
-    if out:
-        yield _batch(out)
-
-
-def _first_runs(shards: int, best):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}
-        run = 0
-        for b in batches:
-            for digest, n, i, run in zip(*(b.column(c).to_pylist() for c in ("digest", "n_bytes", "doc_id", "run"))):
-                old = held.get((digest, n))
-                held[digest, n] = (i, 1) if old is None else (best(old[0], i), old[1] + 1)
-        yield from _sent((int.from_bytes(d[:8], "big") * shards >> 64, run, d, n, *held[d, n]) for d, n in sorted(held))
-
-    return make
+def _collapsed(keep: str):
+    """Neighbours that agree in (shard, run, digest, n_bytes) as one row: the identifier to keep, the sum of
+    the sizes. Of each batch the last row is held back, as the next one may go on with it."""
+    best = {"smallest": np.minimum, "largest": np.maximum}[keep]
 
-
-def _merge(best):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come grouped by node, each node's runs one after another and each in order."""
-        node, runs, last = None, [], None
+        held = None
         for b in batches:
-            for shard, run, digest, n, keep, size, source in zip(*(b.column(c).to_pylist() for c in ("shard", "run", "digest", "n_bytes", "keep_id", "group_size", "source"))):
-                if (shard, run) != node:
-                    if runs:
-                        yield from _sent(_collapsed(heapq.merge(*runs, key=itemgetter(2, 3)), best))
-                    node, runs, last = (shard, run), [], None
-                if source != last:
-                    runs.append([])
-                    last = source
-                runs[-1].append((shard, run, digest, n, keep, size))
-        if runs:
-            yield from _sent(_collapsed(heapq.merge(*runs, key=itemgetter(2, 3)), best))
+            if not len(b):
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            shard, run, n_bytes, ids, sizes = (b.column(c).to_numpy() for c in ("shard", "run", "n_bytes", "keep_id", "group_size"))
+            digest = _words(b.column("digest"))
+            new = np.ones(len(b), bool)
+            new[1:] = (shard[1:] != shard[:-1]) | (run[1:] != run[:-1]) | (n_bytes[1:] != n_bytes[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)
+            firsts = np.flatnonzero(new)
+            columns = [b.column(c).take(pa.array(firsts)) for c in _KEYS]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(best.reduceat(ids, firsts)), pa.array(np.add.reduceat(sizes, firsts))], names=_NAMES)
+            held = out.slice(len(out) - 1)
+            if len(out) > 1:
+                yield out.slice(0, len(out) - 1)
+        if held is not None:
+            yield held
 
     return make
 
 
-def exact_groups(digests: DataFrame, keep: str = "smallest") -> DataFrame:
-    """(digest binary, n_bytes, keep_id, group_size) of the rows (doc_id, digest, n_bytes).
+def exact_groups(digests: DataFrame, keep: str = "smallest", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(digest binary, n_bytes, keep_id, group_size) of the rows (doc_id, digest, n_bytes), the digests of
+    32 bytes.
 
     keep: "smallest" or "largest" doc_id of a group. An empty table gives no rows; repeated rows
     count each time. Null doc_ids are not identifiers and must be removed first.
     """
-    best = {"smallest": min, "largest": max}[keep]
     spark = digests.sparkSession
-    shards = partitions(spark)
-    runs = digests.select("doc_id", "digest", "n_bytes", (F.spark_partition_id() % (FAN**ROUNDS)).alias("run"))
-    runs = runs.mapInArrow(_first_runs(shards, best), _RUN)
-    for _ in range(ROUNDS):
+    rows, last = digests.agg(F.count("*"), F.max(F.spark_partition_id())).first()
+    ranges = max(partitions(spark), -(-rows // range_rows))
+    rounds = max(1, math.ceil(math.log((last or 0) + 1, FAN) - 1e-9))
+    # the first 32 bits of a digest, scaled to the number of ranges
+    shard = F.floor(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("double") * ranges / F.lit(float(1 << 32))).cast("int")
+    runs = (
+        digests.select(shard.alias("shard"), (F.spark_partition_id() % FAN**rounds).alias("run"), "digest", "n_bytes", F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+        .sortWithinPartitions(*_KEYS)
+        .mapInArrow(_collapsed(keep), _RUN)
+    )
+    for _ in range(rounds):
         runs = (
-            runs.withColumn("source", F.col("run"))
-            .withColumn("run", F.floor(F.col("run") / FAN).cast("int"))
-            .repartition(shards, "shard", "run")
-            .sortWithinPartitions("shard", "run", "source", "digest", "n_bytes")
-            .mapInArrow(_merge(best), _RUN)
+            runs.withColumn("run", F.floor(F.col("run") / FAN).cast("int"))
+            .repartition(ranges, "shard", "run")
+            .sortWithinPartitions(*_KEYS)
+            .mapInArrow(_collapsed(keep), _RUN)
         )
     return runs.select("digest", "n_bytes", "keep_id", "group_size")
 
@@ -118,7 +97,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
     row with the smallest (or largest) doc_id stays; every repeated row of that doc_id is marked
     kept. A null doc_id gets null keep_id, group_size 0 and kept false. Other columns of docs are
-    not looked at and not returned.
+    not looked at and not returned. The result reads a stored table of digests (see common.release).
     """
     low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     digests = docs.select("doc_id", F.unhex(F.sha2(low, 256)).alias("digest"), F.octet_length(low).cast("long").alias("n_bytes"))

@@ -131,6 +131,14 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), POSITIONS)
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of distinct sets with their sketch: the low byte of each minimum hash."""
+    for b in batches:
+        low = np.ascontiguousarray(_signatures(b.column("sig")).view(np.uint8)[:, ::4])
+        sketch = pa.array([r.tobytes() for r in low], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns, sketch], names=[*b.schema.names, "sketch"])
+
+
 def _members(depth: int, trees: int, extra: float):
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * _DRAW[6])
 
@@ -384,8 +392,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     prints = stored(docs.mapInArrow(_prints(k), _PRINTS), "prints")
     known = prints.where("n > 0 and doc_id is not null")
     reps = known.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
-    low_bytes = F.pandas_udf(lambda s: s.map(lambda x: np.frombuffer(x, np.uint8)[::4].tobytes()), "binary")
-    reps = stored(reps.withColumn("sketch", low_bytes("sig")), "sets")
+    reps = stored(reps.mapInArrow(_sketches, "hi long, lo long, n int, rep long, sig binary, sketch binary"), "sets")
     depth, trees = plan(reps.count(), threshold, recall)
     extra = 1 / threshold - 1
     least = least_agreeing(threshold, recall)

@@ -12,6 +12,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,12 +25,16 @@ VERSION = "WARC/1.1"
 #: Date of responses that are built from tables without one.
 NO_DATE = "1970-01-01T00:00:00Z"
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_BREAKS = re.compile(r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|blockquote|pre)|br|hr)\b[^>]*>", re.I)
+#: Elements of which nothing is text, and the places where one or a comment may begin.
+_HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
+_HIDES = re.compile(r"<(?:!--|(%s)\b)" % "|".join(_HIDDEN), re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_HIDDEN, "title")}
+_BREAKS = re.compile(r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|blockquote|pre)|br|hr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[^<>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z\-]+)""", re.I)
+_TITLE = re.compile(r"<title\b[^<>]*>", re.I)
+_LINK, _ROOT = re.compile(r"<a\b", re.I), re.compile(r"<html\b", re.I)
+_HREF, _LANG = re.compile(r"\bhref\s*=\s*", re.I), re.compile(r"\blang\s*=\s*", re.I)
+_VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_\-]+)", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v ]+")
 _LINES = re.compile(r" ?\n[ \n]*")
@@ -76,19 +81,96 @@ def response(key: str, url: str | None, body: str | None, date: str = NO_DATE) -
     return record(fields, http + payload)
 
 
+def _visible(page: str) -> str:
+    """The page with a blank for each comment and each element whose content is no text. What has no end is
+    left as it is; an end that wasn't found once is not looked for again, so the time is linear."""
+    kept, at, without = [], 0, set()
+    m = _HIDES.search(page)
+    while m:
+        name, end = (m[1] or "!--").lower(), -1
+        if name not in without:
+            if name == "!--":
+                end = page.find("-->", m.end()) + 3
+                found = end > 2
+            else:
+                opened = page.find(">", m.end())
+                close = _CLOSES[name].search(page, opened + 1) if opened >= 0 else None
+                found, end = close is not None, close.end() if close else -1
+            if found:
+                kept += [page[at : m.start()], " "]
+                at = end
+            else:
+                without.add(name)
+                end = -1
+        m = _HIDES.search(page, end if end >= 0 else m.end())
+    return "".join([*kept, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The text of a page: without scripts, styles, head and comments; block elements end a line."""
-    text = _TAG.sub("", _BREAKS.sub("\n", _DROPPED.sub(" ", page)))
+    text = _TAG.sub("", _BREAKS.sub("\n", _visible(page)))
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
 
 
-def _http(block: bytes) -> tuple[str, list[str], bytes, str]:
-    """Status line, header lines, payload and character set of an HTTP response."""
+def _title(page: str) -> str:
+    opened = _TITLE.search(page)
+    closed = opened and _CLOSES["title"].search(page, opened.end())
+    return plain_text(page[opened.end() : closed.start()]) if closed else ""
+
+
+def attributes(page: str, tag: re.Pattern, name: re.Pattern) -> Iterator[str]:
+    """The values of an attribute in all tags of a kind; a tag reaches to the next > or the page's end."""
+    m = tag.search(page)
+    while m:
+        end = page.find(">", m.end())
+        end = len(page) if end < 0 else end
+        found = name.search(page, m.end(), end)
+        value = found and _VALUE.match(page, found.end())
+        if value:
+            yield html.unescape(value[1] or value[2] or value[3] or "")
+            end = max(end, value.end())
+        m = tag.search(page, end)
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The content of chunks, as far as they can be read."""
+    out, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:line].partition(b";")[0], 16)
+        except ValueError:
+            break
+        if n <= 0:
+            break
+        out.append(body[line + 2 : line + 2 + n])
+        at = line + 2 + n + 2
+    return b"".join(out)
+
+
+def _inflated(body: bytes, encoding: str) -> bytes:
+    """gzip or deflate (with a zlib header or without) undone, as far as it can be; other codings stay."""
+    if encoding not in ("gzip", "x-gzip", "deflate"):
+        return body
+    for bits in (47, -15):
+        try:
+            return zlib.decompressobj(bits).decompress(body)
+        except zlib.error:
+            continue
+    return body
+
+
+def _http(block: bytes) -> tuple[str, list[str], bytes, bytes, str]:
+    """Status line, header lines, payload as sent, content with its codings undone, and character set of an
+    HTTP response. A payload that says it is coded but isn't is taken as it is."""
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *headers = head.decode("latin-1").split("\r\n")
-    kind = next((h for h in headers if h.lower().startswith("content-type:")), "")
-    charset = _CHARSET.search(kind)
-    return status, headers, payload, charset[1] if charset else "utf-8"
+    fields = {k.strip().lower(): v.strip() for k, _, v in (h.partition(":") for h in reversed(headers))}
+    content = payload
+    if fields.get("transfer-encoding", "").lower().endswith("chunked"):
+        content = _unchunked(payload) or payload
+    content = _inflated(content, fields.get("content-encoding", "").lower())
+    charset = _CHARSET.search(fields.get("content-type", ""))
+    return status, headers, payload, content, charset[1] if charset else "utf-8"
 
 
 def derive(raw: bytes | None) -> list[dict]:
@@ -99,29 +181,28 @@ def derive(raw: bytes | None) -> list[dict]:
         return []
     if fields.get("warc-type") != "response":
         return []
-    status, headers, payload, charset = _http(block)
+    status, headers, payload, content, charset = _http(block)
     try:
-        page = payload.decode(charset, "replace")
+        page = content.decode(charset, "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = content.decode("utf-8", "replace")
     source, uri, date = fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), fields.get("warc-date", NO_DATE)
     ids = {kind: record_id(kind, source, uri) for kind in ("metadata", "conversion")}
-    title = _TITLE.search(page)
-    language = _LANG.search(page)
+    language = re.match(r"[A-Za-z\-]*", next(attributes(page, _ROOT, _LANG), ""))[0]
     payload_digest = fields.get("warc-payload-digest") or digest(payload)
-    links = dict.fromkeys(html.unescape(a or b or c) for a, b, c in _LINK.findall(page))
+    links = dict.fromkeys(attributes(page, _LINK, _HREF))
     described = [
         ("source-status", status), *(("source-header", h) for h in headers), ("source-block-digest", fields.get("warc-block-digest") or digest(block)),
-        ("source-payload-digest", payload_digest), ("conversion", ids["conversion"]), ("title", plain_text(title[1]) if title else ""), ("language", language[1] if language else ""),
+        ("source-payload-digest", payload_digest), ("conversion", ids["conversion"]), ("title", _title(page)), ("language", language),
         *(("outlink", x) for x in links),
     ]
     body = "".join(f"{k}: {_BLANKS.sub(' ', v).replace(chr(10), ' ')}\r\n" for k, v in described).encode("utf-8", "replace")
     text = plain_text(page)
     out = []
-    for kind, content, block_ in (("metadata", "application/warc-fields", body), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
+    for kind, mime, block_ in (("metadata", "application/warc-fields", body), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
         head = [
             ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source),
-            ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("Content-Type", content),
+            ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("Content-Type", mime),
         ]
         out.append({
             "record_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": uri, "source_payload_digest": payload_digest,
@@ -134,27 +215,33 @@ _RECORD = {"record_type": "string", "record_id": "string", "refers_to": "string"
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def _each(source: str, make_records, key: str):
+def _each(source: str, make_records):
+    """For each row (key, *source) the key and its records."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, len(whole), 128):
                 b = whole.slice(first, 128)
-                rows = [(k, r) for k, *x in zip(b.column(key), *(b.column(c).to_pylist() for c in source.split(","))) for r in make_records(str(k.as_py()), *x)]
-                names = [pa.array([k.as_py() for k, _ in rows], b.schema.field(key).type), *(pa.array([r[c] for _, r in rows], _ARROW[t]) for c, t in _RECORD.items())]
-                yield pa.RecordBatch.from_arrays(names, names=[key, *_RECORD])
+                rows = [(k, r) for k, *x in zip(b.column(0), *(b.column(c).to_pylist() for c in source.split(","))) for r in make_records(str(k.as_py()), *x)]
+                names = [pa.array([k.as_py() for k, _ in rows], b.schema.field(0).type), *(pa.array([r[c] for _, r in rows], _ARROW[t]) for c, t in _RECORD.items())]
+                yield pa.RecordBatch.from_arrays(names, names=[b.schema.names[0], *_RECORD])
 
     return make
 
 
-def _output(df: DataFrame, key: str) -> str:
-    return f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in _RECORD.items())
+def _derived(df: DataFrame, key: str, source: str, make_records) -> DataFrame:
+    """The key (under its name, even where a derivative has a column so called) and a derivative's columns."""
+    kind = df.schema[key].dataType.simpleString()
+    inner = df.select(F.col(key).alias("__key"), *source.split(","))
+    out = inner.mapInArrow(_each(source, make_records), f"__key {kind}, " + ", ".join(f"{c} {t}" for c, t in _RECORD.items()))
+    return out.select(F.col("__key").alias(key), *(c for c in _RECORD if c.lower() != key.lower()))
 
 
 def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Two rows for each response of records (key, record binary): the key and the columns of a
-    derivative. Null, damaged and other records give no rows; repeated ones give their rows again."""
-    records = records.select(key, "record")
-    return records.mapInArrow(_each("record", lambda _, raw: derive(raw), key), _output(records, key))
+    derivative. Null, damaged and other records give no rows; repeated ones give their rows again. A
+    derivative's column that is called like the key is left out. Other columns are not looked at."""
+    return _derived(records, key, "record", lambda _, raw: derive(raw))
 
 
 def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
@@ -165,8 +252,58 @@ def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
 
 def page_derivatives(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
     """derivatives(responses(pages)) in one pass over the pages."""
-    pages = pages.select("page_id", "url", "html")
-    return pages.mapInArrow(_each("url,html", lambda key, url, body: derive(response(key, url, body, date)), "page_id"), _output(pages, "page_id"))
+    return _derived(pages, "page_id", "url,html", lambda key, url, body: derive(response(key, url, body, date)))
+
+
+def _members(blob: bytes) -> Iterator[bytes]:
+    """A file's records: of a compressed file each gzip member holds some, of a plain one they follow."""
+    while blob[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(31)
+        try:
+            yield from _members(unpack.decompress(blob))
+        except zlib.error:
+            return
+        blob = unpack.unused_data.lstrip(b"\0")  # padding between members
+    at = 0
+    while (head := blob.find(b"\r\n\r\n", at)) >= 0:
+        length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", blob[at : head + 2])
+        if not length or not blob.startswith(b"WARC/", at):
+            return
+        end = head + 4 + int(length[1])
+        yield blob[at:end]
+        at = end + (4 if blob.startswith(b"\r\n\r\n", end) else 0)
+
+
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, place, record) of the records of WARC files, plain or compressed by record. A file is read
+    whole by one task, so it must fit one (2 GB at most); what follows damage in a file is left out."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, blob in zip(b.column("path").to_pylist(), b.column("content")):
+                for i, raw in enumerate(_members(blob.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([i], pa.int64()), pa.array([raw], pa.binary())], names=["file", "place", "record"])
+
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    return files.select("path", "content").mapInArrow(make, "file string, place long, record binary")
+
+
+def write_warc(records: DataFrame, folder: str, per_file: int = 10_000) -> str:
+    """Writes the column record as files of a gzip member a record, so many records a file. Null records
+    are left out. The rows' order within their partitions is kept."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = []
+            for raw in b.column("record").to_pylist():
+                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                packed.append((pack.compress(raw) + pack.flush()).decode("latin-1"))
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.string())], names=["value"])
+
+    # a gzip reader skips the padding of zeros that ends each row of the text writer
+    body = records.where("record is not null").select("record").mapInArrow(make, "value string")
+    body.write.option("encoding", "ISO-8859-1").option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(folder)
+    return folder
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
