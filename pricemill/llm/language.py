@@ -199,16 +199,19 @@ class Model:
 
 
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_SYMBOLS) -> dict[str, list[str]]:
-    """Up to `texts` texts of each label of docs (text, lang), in the order of a hash of the text.
+    """Up to `texts` distinct texts of each label of docs (text, lang), in the order of a hash of the text.
 
     Of a longer text its first quarter of `most` characters is taken, so texts * most / 4 characters
-    a language bound what reaches the driver; Spark takes the first rows of a label before it shuffles.
+    a language bound what reaches the driver, beside the number of languages. Copies of a text count
+    once: the hashes are made distinct first, and only texts with one of the least hashes are gathered.
+    Null labels and null or empty texts teach nothing; an empty table gives an empty sample.
     """
-    fit = docs.where("lang is not null and text != ''").select("lang", F.substring("text", 1, most // 4).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = fit.select("lang", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= texts).orderBy("lang", "n").collect()
+    fit = docs.where("lang is not null and text != ''").select("lang", F.substring("text", 1, most // 4).alias("text"), F.xxhash64("lang", F.substring("text", 1, most // 4)).alias("h"))
+    order = Window.partitionBy("lang").orderBy("h")
+    least = fit.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    taken = fit.join(F.broadcast(least.select("h")), "h", "left_semi")
     out: dict[str, list[str]] = {}
-    for r in rows:
+    for r in taken.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect():
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
@@ -257,12 +260,16 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], key: str = "doc_id"
     learned. Of languages that tie, the first by name wins. Repeated rows each get their row; only
     the key and text are read.
     """
-    return _identified(docs.select(key, "text"), samples, "").drop("text")
+    return _identified(docs.select(key, "text"), samples, "").select(key, *(f.name for f in _FOUND))
 
 
 def drop_unidentified(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
-    """The rows and columns of docs, without the texts that are `und`."""
-    return _identified(docs, samples, "__").where("__lang_pred <> 'und'").select(*docs.columns)
+    """The rows and columns of docs, whatever they are called, without the texts that are `und`: null
+    texts, texts without a letter, and all texts when nothing was learned. Repeated rows stay repeated."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return _identified(docs, samples, prefix).where(F.col(prefix + "lang_pred") != "und").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def held_out(doc_id: Column) -> Column:

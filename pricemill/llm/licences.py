@@ -2,9 +2,9 @@
 
 Units are each line of a text and, if it has several, the whole text; and all runs of words within a
 text, across its lines, so that a notice which is wrapped or stands inside a longer line is found. Of
-runs that overlap the best one counts, and none that overlaps a line or text with the same licence.
-A unit's bigrams can only reach
-the threshold t against a template of n bigrams if it has between n t / (2 - t) and n (2 - t) / t of
+the licences that a line or text reaches, the best ones count; of runs that overlap, too, and none that
+overlaps a line or text with the same licence or a better one. A unit's bigrams can only reach the
+threshold t against a template of n bigrams if it has between n t / (2 - t) and n (2 - t) / t of
 them, so templates outside these bounds are never compared; nor are units that share no bigram with
 any template.
 """
@@ -41,6 +41,17 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("All-rights-reserved", "All rights reserved."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
 )
 
 
@@ -77,6 +88,12 @@ def compare(unit: np.ndarray, own: list[tuple[str, np.ndarray]], threshold: floa
     return out
 
 
+def best(found: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Of what one unit reaches, the best licences, each once."""
+    most = max((d for _, d in found), default=0)
+    return list(dict.fromkeys(x for x in found if x[1] == most))
+
+
 def windows(pairs: np.ndarray, bigrams: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
     """(Dice coefficient, first word, last word) of runs of words with these bigrams in order: by each
     bigram of the template the best run that begins there, if it reaches the threshold. A run in which
@@ -136,15 +153,18 @@ def _scan(templates: tuple, threshold: float, keep: list[str]):
                     begin, end = ends[r] - found.counts[r], ends[r]
                     base = np.searchsorted(newlines, at[r])
                     own_lines, taken = line[begin:end], {}
+                    reached = np.zeros(end - begin)  # by word, the best of what holds it
                     for number in np.unique(own_lines[hit[(hit >= begin) & (hit < end)] - begin]):
-                        unit = found.hashes[begin:end][own_lines == number]
-                        for n, d in compare(_bigrams(unit), own, threshold):
+                        on = own_lines == number
+                        for n, d in best(compare(_bigrams(found.hashes[begin:end][on]), own, threshold)):
                             matches[first + r].append({"line": int(number - base), "licence": n, "dice": d})
-                            taken.setdefault(n, np.zeros(end - begin, bool))[own_lines == number] = True
+                            taken.setdefault(n, np.zeros(end - begin, bool))[on] = True
+                            reached[on] = d
                     if 10 in part[at[r] : at[r + 1]]:
-                        whole = compare(_bigrams(found.hashes[begin:end]), own, threshold)
+                        whole = best(compare(_bigrams(found.hashes[begin:end]), own, threshold))
                         matches[first + r] += [{"line": -1, "licence": n, "dice": d} for n, d in whole]
                         taken |= {n: np.ones(end - begin, bool) for n, _ in whole}
+                        reached = np.maximum(reached, max((d for _, d in whole), default=0))
                     shared = np.unique(np.searchsorted(known, pair[hit[(hit >= begin) & (hit < end)]]))
                     runs = []
                     for t in np.flatnonzero(member[shared].sum(axis=0) >= least):
@@ -152,8 +172,9 @@ def _scan(templates: tuple, threshold: float, keep: list[str]):
                         if not taken.setdefault(name, np.zeros(end - begin, bool)).all():
                             runs += [(-d, i, j, name) for d, i, j in windows(pair[begin : end - 1], bigrams, threshold)]
                     for d, i, j, name in sorted(runs):
-                        if not taken[name][i : j + 1].any():
+                        if not taken[name][i : j + 1].any() and not (reached[i : j + 1] > -d).any():
                             taken[name][i : j + 1] = True
+                            reached[i : j + 1] = -d
                             matches[first + r].append({"line": int(own_lines[i] - base), "licence": name, "dice": -d})
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(matches, _MATCH)], names=[*keep, "matches"])
 
@@ -165,8 +186,9 @@ def scan_licences(docs: DataFrame, templates: tuple = TEMPLATES, threshold: floa
     and the line of a run of words is that in which it begins.
 
     Words are lower-cased (A-Z) runs of digits, ASCII letters and all beyond ASCII. A unit of fewer
-    than two words has no bigram and matches nothing; a null text has no match. Of templates that tie,
-    all are listed. Repeated rows each get their row; other columns are not looked at.
+    than two words has no bigram and matches nothing; a null text has no match, and an empty table gives
+    no rows. Of licences that tie, all are listed. The time grows with a text's length, and for a long
+    text with the words in its bigrams of templates times the longest template. Repeated rows each get their row; other columns are not looked at.
     """
     source = docs.select(key, "text")
     return source.mapInArrow(_scan(templates, threshold, [key]), f"{key} {source.schema[key].dataType.simpleString()}, {_OUT}")
@@ -188,13 +210,15 @@ def _sql() -> str:
     return f"""
 WITH t AS (SELECT id, name, {bigrams} AS b FROM (SELECT id, name, {words_of('text')} AS w FROM (VALUES {values}) AS v(id, name, text))),
 u AS (
-  SELECT doc_id, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS unit
-  FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, {bigrams} AS b FROM (SELECT doc_id, {words_of('unit')} AS w FROM u) WHERE len(w) > 1),
+  SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS k
+  FROM (SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END AS units
+        FROM documents WHERE text IS NOT NULL)),
+b AS (SELECT doc_id, k, {bigrams} AS b FROM (SELECT doc_id, k, {words_of('unit')} AS w FROM u) WHERE len(w) > 1),
 m AS (
-  SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice
+  SELECT DISTINCT doc_id, k, name, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice
   FROM b JOIN t ON len(b.b) BETWEEN len(t.b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(t.b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
-g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(*) AS n, max(dice) AS best FROM m WHERE dice >= {THRESHOLD} GROUP BY doc_id)
+g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, count(*) AS n, max(dice) AS best
+      FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, k) AS most FROM m WHERE dice >= {THRESHOLD}) WHERE dice = most GROUP BY doc_id)
 SELECT d.doc_id, coalesce(licences, '') AS licences, coalesce(n, 0) AS n_matches, round(coalesce(best, 0.0)::DOUBLE, 6) AS best_dice
 FROM documents d LEFT JOIN g USING (doc_id)
 """

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, stored, table
+from .common import LOWER, UPPER, ascii_lower, free_name, stored, table
 
 #: Distinct sites from which a line is boilerplate; log2 of a sketch's registers.
 MIN_SITES, REGISTERS_LOG2 = 10, 11
@@ -70,8 +70,11 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     least min_sites distinct sites; a null site counts as one site without a name. With keep_first
     the occurrence of the least (doc_id, place) stays, so that no line is lost to the corpus. Blank
     lines stay. A null text stays null and has no lines; an empty text has one, blank line. A text
-    whose lines all go becomes empty. Rows of the same doc_id and text are cut alike.
+    whose lines all go becomes empty. Rows of the same doc_id and text are cut alike. Other columns
+    stay, whatever their names (columns __n_lines and __n_removed of docs are replaced); an empty table
+    gives an empty one. The lines of one text are held together in memory (13 bytes each), others not.
     """
+    r, r2, stays = (free_name(c, docs) for c in ("__r", "__r2", "__stays"))
     lines = stored(line_table(docs, site), "lines")
     common = stored(widespread(lines, min_sites), "common")  # a plain table, so that a hot line's join can be split
     is_first = F.struct("first.r", "first.r2", "first.pos") == F.struct("r", "r2", "pos")
@@ -82,15 +85,16 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         .groupBy("r", "r2")
         .agg(F.array_sort(F.collect_set(F.struct("pos", (~goes).alias("stays")))).alias("kept"))
         .where(F.exists("kept", lambda x: ~x.stays))
-        .select(F.col("r").alias("__r"), F.col("r2").alias("__r2"), F.col("kept.stays").alias("__stays"))
+        .select(F.col("r").alias(r), F.col("r2").alias(r2), F.col("kept.stays").alias(stays))
     )
     parts = F.split("text", "\n", -1)
-    cut = F.array_join(F.filter(parts, lambda line, i: F.element_at(F.col("__stays"), i + 1)), "\n")
-    keyed = docs.withColumns({"__r": F.xxhash64("doc_id", "text"), "__r2": F.hash("text", "doc_id")})
-    return keyed.join(kept, ["__r", "__r2"], "left").select(
-        *(F.when(F.col("__stays").isNotNull(), cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns),
+    cut = F.array_join(F.filter(parts, lambda line, i: F.element_at(F.col(stays), i + 1)), "\n")
+    keyed = docs.withColumns({r: F.xxhash64("doc_id", "text"), r2: F.hash("text", "doc_id")})
+    rest = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
+    return keyed.join(kept, [r, r2], "left").select(
+        *(F.when(F.col(stays).isNotNull(), cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in rest),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size(F.filter("__stays", lambda x: ~x)), F.lit(0)).cast("long").alias("__n_removed"),
+        F.coalesce(F.size(F.filter(stays, lambda x: ~x)), F.lit(0)).cast("long").alias("__n_removed"),
     )
 
 

@@ -133,7 +133,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, by_words: bool) -> Encoder:
+def encoder_of(path: str, by_words: bool) -> Encoder:
     return Encoder(path, by_words)
 
 
@@ -215,7 +215,7 @@ _FILE = pa.schema([("first_id", pa.int64()), ("blob", pa.binary())])
 
 def _files(path: str, end_id: int, by_words: bool, file_bytes: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, by_words)
+        encoder = encoder_of(path, by_words)
         held: list[tuple[int, bytes]] = []
         size = 0
 
@@ -279,25 +279,60 @@ def _documents(wanted: frozenset | None, schema: pa.Schema, of_tokens=lambda tok
     return make
 
 
-def _stored_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+def _stored_files(spark: SparkSession, *paths: str) -> DataFrame:
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(list(paths))
     return files.select("path", "content")
 
 
-def read_tokens(spark: SparkSession, folder: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
+_INDEX_SQL = "path string, first_id long, last_id long"
+_INDEX = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+
+
+def index_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, first_id, last_id) of the files of a folder, stored; made once, it lets read_tokens open only
+    the files that can hold the documents asked for."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, blob in zip(b.column("path").to_pylist(), b.column("content")):
+                ids = TokenFile(blob.as_py()).ids
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((path, int(ids[0]), int(ids[-1])), _INDEX.types)], schema=_INDEX)
+
+    return stored(_stored_files(spark, folder).mapInArrow(make, _INDEX_SQL), "index")
+
+
+def read_tokens(spark: SparkSession, folder: str, doc_ids: Iterable[int] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Rows (file, first_id, place in the file, doc_id, ids before it in the file, n_tokens, tokens as
-    little-endian unsigned 32-bit integers); with doc_ids, only frames that hold those are decompressed."""
+    little-endian unsigned 32-bit integers); with doc_ids, only frames that hold those are decompressed,
+    and with an index too, only files that can hold them are opened."""
     wanted = None if doc_ids is None else frozenset(doc_ids)
-    return _stored_files(spark, folder).mapInArrow(_documents(wanted, _DOC), f"{_PLACES_SQL}, tokens binary")
+    files = _stored_files(spark, folder)
+    if wanted and index is not None:
+        ids = spark.createDataFrame([(i,) for i in sorted(wanted)], "id long")
+        held = index.join(F.broadcast(ids), (F.col("id") >= F.col("first_id")) & (F.col("id") <= F.col("last_id")), "left_semi")
+        paths = [r["path"] for r in held.select("path").collect()]  # as many as documents asked for, or few more
+        files = _stored_files(spark, *paths) if paths else files.limit(0)
+    return files.mapInArrow(_documents(wanted, _DOC), f"{_PLACES_SQL}, tokens binary")
+
+
+def file_starts(sums: DataFrame, groups: int = 512) -> DataFrame:
+    """(file, offset): ids in all files before each file of (file, first_id, last_id, total). The files are
+    parted by first_id into groups of about the same number; one running total goes over the groups,
+    which are few, and one over the files of each, so no task holds all files."""
+    bounds = sums.agg(F.percentile_approx("first_id", [i / groups for i in range(1, groups)], 10_000)).first()[0] or []
+    of = F.array_size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x <= F.col("first_id"))) if bounds else F.lit(0)
+    own = sums.withColumn("part", of)
+    before = own.groupBy("part").agg(F.sum("total").alias("whole")).selectExpr("part", "coalesce(sum(whole) over (order by part rows between unbounded preceding and 1 preceding), 0) as passed")
+    inside = own.selectExpr("file", "part", "coalesce(sum(total) over (partition by part order by first_id, last_id, file rows between unbounded preceding and 1 preceding), 0) as inside")
+    return inside.join(F.broadcast(before), "part").select("file", (F.col("passed") + F.col("inside")).alias("offset"))
 
 
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     rows = stored(_stored_files(spark, folder).mapInArrow(_documents(None, _DIGEST, zlib.crc32), f"{_PLACES_SQL}, ids_crc32 long"), "digests")
     # one row a file: the running total over files gives each file's start
-    sums = rows.groupBy("file").agg(F.min("first_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_tokens").alias("total"))
-    starts = sums.selectExpr("file", "coalesce(sum(total) over (order by first_id, last_id, file rows between unbounded preceding and 1 preceding), 0) as offset")
-    return rows.join(starts, "file").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    sums = stored(rows.groupBy("file").agg(F.min("first_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_tokens").alias("total")), "files")
+    return rows.join(file_starts(sums), "file").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
