@@ -45,6 +45,7 @@ def _collapsed(keep: str):
         for b in batches:
             if not len(b):
                 continue
+            b = pa.RecordBatch.from_arrays(b.columns, names=_NAMES)
             if held is not None:
                 b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             shard, run, n_bytes, ids, sizes = (b.column(c).to_numpy() for c in ("shard", "run", "n_bytes", "keep_id", "group_size"))
@@ -71,7 +72,7 @@ def exact_groups(digests: DataFrame, keep: str = "smallest", range_rows: int = R
     count each time. Null doc_ids are not identifiers and must be removed first.
     """
     spark = digests.sparkSession
-    rows, last = digests.agg(F.count("*"), F.max(F.spark_partition_id())).first()
+    rows, last = digests.select(F.spark_partition_id().alias("run")).agg(F.count("*"), F.max("run")).first()
     ranges = max(partitions(spark), -(-rows // range_rows))
     rounds = max(1, math.ceil(math.log((last or 0) + 1, FAN) - 1e-9))
     # the first 32 bits of a digest, scaled to the number of ranges

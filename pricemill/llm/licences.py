@@ -3,7 +3,7 @@
 Units are each line of a text and, if it has several, the whole text; and all runs of words within a
 text, across its lines, so that a notice which is wrapped or stands inside a longer line is found. Of
 the licences that a line or text reaches, the best ones count; of runs that overlap, too, and none that
-overlaps a line or text with the same licence or a better one. A unit's bigrams can only reach the
+overlaps a line or text with the same licence or one as good. A unit's bigrams can only reach the
 threshold t against a template of n bigrams if it has between n t / (2 - t) and n (2 - t) / t of
 them, so templates outside these bounds are never compared; nor are units that share no bigram with
 any template.
@@ -166,13 +166,15 @@ def _scan(templates: tuple, threshold: float, keep: list[str]):
                         taken |= {n: np.ones(end - begin, bool) for n, _ in whole}
                         reached = np.maximum(reached, max((d for _, d in whole), default=0))
                     shared = np.unique(np.searchsorted(known, pair[hit[(hit >= begin) & (hit < end)]]))
-                    runs = []
+                    runs, same = [], set()
                     for t in np.flatnonzero(member[shared].sum(axis=0) >= least):
                         name, bigrams = own[t]
                         if not taken.setdefault(name, np.zeros(end - begin, bool)).all():
                             runs += [(-d, i, j, name) for d, i, j in windows(pair[begin : end - 1], bigrams, threshold)]
-                    for d, i, j, name in sorted(runs):
-                        if not taken[name][i : j + 1].any() and not (reached[i : j + 1] > -d).any():
+                    for d, i, j, name in sorted(runs, key=lambda x: (x[0], x[1] - x[2], x)):  # of equal ones the longest first
+                        beaten = (reached[i : j + 1] >= -d).any() and (d, i, j) not in same
+                        if not taken[name][i : j + 1].any() and not beaten:
+                            same.add((d, i, j))
                             taken[name][i : j + 1] = True
                             reached[i : j + 1] = -d
                             matches[first + r].append({"line": int(own_lines[i] - base), "licence": name, "dice": -d})

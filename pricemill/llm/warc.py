@@ -120,16 +120,16 @@ def _title(page: str) -> str:
 
 def attributes(page: str, tag: re.Pattern, name: re.Pattern) -> Iterator[str]:
     """The values of an attribute in all tags of a kind; a tag reaches to the next > or the page's end."""
-    m = tag.search(page)
+    m, end = tag.search(page), -1
     while m:
-        end = page.find(">", m.end())
-        end = len(page) if end < 0 else end
+        if end < m.end():
+            end = page.find(">", m.end())
+            end = len(page) if end < 0 else end
         found = name.search(page, m.end(), end)
         value = found and _VALUE.match(page, found.end())
         if value:
             yield html.unescape(value[1] or value[2] or value[3] or "")
-            end = max(end, value.end())
-        m = tag.search(page, end)
+        m = tag.search(page, value.end() if value else end)
 
 
 def _unchunked(body: bytes) -> bytes:
@@ -297,12 +297,12 @@ def write_warc(records: DataFrame, folder: str, per_file: int = 10_000) -> str:
             packed = []
             for raw in b.column("record").to_pylist():
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                packed.append((pack.compress(raw) + pack.flush()).decode("latin-1"))
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.string())], names=["value"])
+                packed.append(pack.compress(raw) + pack.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
 
     # a gzip reader skips the padding of zeros that ends each row of the text writer
-    body = records.where("record is not null").select("record").mapInArrow(make, "value string")
-    body.write.option("encoding", "ISO-8859-1").option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(folder)
+    body = records.where("record is not null").select("record").mapInArrow(make, "value binary").select(F.col("value").cast("string"))
+    body.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(folder)
     return folder
 
 

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from pricemill.llm import exact_dedup, graph, line_dedup, near_dedup, registry, words
+from pricemill.llm.common import table
 
 AWKWARD = [(1, None), (2, ""), (3, "One two three"), (3, "One two three"), (4, "ONE TWO THREE"), (5, "one  two\tthree"), (6, "word"), (7, "WORD"), (8, "é è"), (9, "É è"), (None, "One two three"), (10, "x " * 30000)]
 
@@ -146,6 +147,64 @@ def test_blocks_hold_every_pair_of_two_components(spark, monkeypatch, others):
     assert others > 50 or sum(map(len, nodes.values())) < 200
 
 
+def test_near_query_equals_brute_force_over_the_table(spark, sf_dir):
+    """Every document of the small tables: sets and components by comparing all pairs that share a shingle."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    sets, ids = _sets(rows, 2), [i for i, _ in rows]
+    root = dict(zip(ids, ids))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    unique = {}
+    for i, s in zip(ids, sets):  # equal sets are linked; the others are compared once
+        if s:
+            first = unique.setdefault(frozenset(s), i)
+            root[max(top(i), top(first))] = min(top(i), top(first))
+    own = sorted(unique.items(), key=lambda x: len(x[0]))
+    holders, pairs = {}, 0
+    for s, i in own:
+        shared = {}
+        for x in s:
+            for j, n in holders.get(x, ()):
+                shared[j, n] = shared.get((j, n), 0) + 1
+        for (j, n), common in shared.items():
+            if 100 * common >= 80 * (len(s) + n - common):
+                pairs += 1
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+        # a pair at 0.8 shares one of the rarest shingles, but all are kept: no filter is trusted here
+        for x in s:
+            holders.setdefault(x, []).append((i, len(s)))
+    found = {r["doc_id"]: r for r in registry.QUERIES["op5_minhash_near_dedup"](spark, sf_dir).collect()}
+    assert pairs > 0 and {i: found[i]["component_id"] for i in ids} == {i: top(i) for i in ids}
+    assert [found[i]["n_shingles"] for i in ids] == list(map(len, sets))
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found.values())
+
+
+def test_lines_beside_columns_of_the_same_names(spark):
+    docs, _ = _lines(spark)
+    own = docs.withColumns({c: line_dedup.F.lit("own") for c in ("__r", "__r2", "__stays", "h", "__n_lines")})
+    out = line_dedup.dedup_lines(own)
+    assert sorted(out.columns) == sorted([*own.columns, "__n_removed"])
+    left = lambda df: sorted(map(str, df.select("doc_id", "text", "__n_lines", "__n_removed").collect()))
+    assert left(out) == left(line_dedup.dedup_lines(docs)) and out.select("__stays").distinct().collect() == [("own",)]
+
+
+def test_runs_collapse_across_batches_and_ranges(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        docs = spark.range(2000).selectExpr("id as doc_id", "concat('t', id % 13) as text").repartition(40)
+        digests = docs.selectExpr("doc_id", "unhex(sha2(text, 256)) as digest", "3L as n_bytes")
+        rows = exact_dedup.exact_groups(digests, "largest", range_rows=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["keep_id"], r["group_size"]) for r in rows) == sorted((max(range(i, 2000, 13)), len(range(i, 2000, 13))) for i in range(13))
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 200) if i % 50 != 49] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     df = spark.createDataFrame(edges, "a long, b long")
