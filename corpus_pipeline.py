@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricemill.llm.common import stored, table
+from pricemill.llm.common import discard, mark, release, stored, table
 from pricemill.llm.decontaminate import decontaminate
 from pricemill.llm.language import drop_unidentified, sample
 from pricemill.llm.line_dedup import remove_boilerplate
@@ -54,8 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each one's rows written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents, each one's rows written and read again; what a stage stored on its
+    way is removed once its rows are written, and so are the rows before them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        at = mark()
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, at, keep=(docs,))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
