@@ -1,35 +1,47 @@
 """The decision: guardrails, candidate prices, risk, and the recommendation, as column expressions.
 
-One generator serves every caller: a set of disabled guardrails leaves those out, a target price
-replaces the search for the best one. Nothing leaves the row it belongs to, so a batch is one
-projection over the contexts.
+One generator serves every caller: a set of disabled guardrails leaves those out (a Python set, or an
+array column that differs from row to row), a target price replaces the search for the best one, and a
+simulator replaces the constant elasticity by any other demand. Nothing leaves the row it belongs to,
+so a batch is one projection over the contexts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricemill.config import Config
 from pricemill.functions.columns import demand, extrapolation, objective, price_grid, ratio
 
-# Names of the reason codes that the bounds carry.
-CODES = {"ABSOLUTE_PRICE_FLOOR": "ABSOLUTE_PRICE_FLOOR", "ABSOLUTE_PRICE_CEILING": "ABSOLUTE_PRICE_CEILING", "PRICE_CHANGE_LIMIT": "PRICE_CHANGE_LIMIT", "OUTSIDE_EXTRAPOLATION_RANGE": "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR": "COST_FLOOR", "MIN_MARGIN": "MIN_MARGIN"}
+# The reason code that each guardrail's bound carries, in the order of reports.
+CODES = {
+    "MAX_PRICE_CHANGE": "PRICE_CHANGE_LIMIT", "MIN_PRICE": "ABSOLUTE_PRICE_FLOOR", "MAX_PRICE": "ABSOLUTE_PRICE_CEILING",
+    "EXTRAPOLATION": "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR": "MARGIN_CONSTRAINT", "MIN_MARGIN": "MARGIN_CONSTRAINT",
+}
 CONTEXT = ["upc", "store", "week", "current_price", "unit_cost", "base_units", "elasticity", "elasticity_source", "n_obs", "n_distinct_prices", "price_cv", "price_min", "price_max"]
+#: Upper bound, in current prices, where no guardrail gives one.
+WIDEST = 5.0
+
+Disabled = frozenset | Column
+
 
+def is_off(disabled: Disabled, name: str) -> Column:
+    """Whether a guardrail is left out."""
+    return F.array_contains(disabled, name) if isinstance(disabled, Column) else F.lit(name in disabled)
 
-def bounds(policy: dict, cap: Column, disabled: frozenset[str] = frozenset()) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Lower and upper price bounds by guardrail; an inactive one is null."""
+
+def intervals(policy: dict, cap: Column) -> dict[str, tuple[Column, Column]]:
+    """The lowest and the highest price of each guardrail; null where it sets none."""
     p, c, tol, margin = F.col("current_price"), F.col("unit_cost"), policy["extrapolation_tolerance_pct"], policy["min_gross_margin_rate"]
-    low = {"ABSOLUTE_PRICE_FLOOR": F.lit(policy.get("abs_min_price", 0.01)), "PRICE_CHANGE_LIMIT": p * (1 - cap), "OUTSIDE_EXTRAPOLATION_RANGE": F.col("price_min") * (1 - tol)}
-    high = {"PRICE_CHANGE_LIMIT": p * (1 + cap), "OUTSIDE_EXTRAPOLATION_RANGE": F.col("price_max") * (1 + tol)}
-    if policy.get("abs_max_price") is not None:
-        high["ABSOLUTE_PRICE_CEILING"] = F.lit(float(policy["abs_max_price"]))
-    if not policy["allow_below_cost"]:
-        low["COST_FLOOR"] = c
-    if margin > 0:
-        low["MIN_MARGIN"] = c / (1 - margin)
-    return {k: v for k, v in low.items() if k not in disabled}, {k: v for k, v in high.items() if k not in disabled}
+    none, top = F.lit(None).cast("double"), policy.get("abs_max_price")
+    return {
+        "MAX_PRICE_CHANGE": (p * (1 - cap), p * (1 + cap)), "MIN_PRICE": (F.lit(float(policy.get("abs_min_price", 0.01))), none),
+        "MAX_PRICE": (none, none if top is None else F.lit(float(top))), "EXTRAPOLATION": (F.col("price_min") * (1 - tol), F.col("price_max") * (1 + tol)),
+        "COST_FLOOR": (none if policy["allow_below_cost"] else c, none), "MIN_MARGIN": (c / (1 - margin) if margin > 0 else none, none),
+    }
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -38,17 +50,17 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct("*"))).alias("__row")).select("__row.*")
 
 
-def _widest(values: list[Column], pick) -> Column:
-    return values[0] if len(values) == 1 else pick(*values)
-
-
-def with_bounds(df: DataFrame, policy: dict, cap: Column, disabled: frozenset[str] = frozenset()) -> DataFrame:
-    """low, high and binding: the guardrails that stand at the edges of the interval."""
-    lower, upper = bounds(policy, cap, disabled)
-    df = df.withColumns({"low": _widest([*lower.values()], F.greatest), "high": _widest([*upper.values()], F.least) if upper else F.lit(None).cast("double")})
-    at = lambda v, edge: F.abs(v - F.col(edge)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(edge))
-    marks = [F.when(at(v, edge), CODES[k]) for edge, side in (("low", lower), ("high", upper)) for k, v in side.items()]
-    return df.withColumn("binding", F.array_sort(F.array_distinct(F.array_compact(F.array(*marks)))))
+def with_bounds(df: DataFrame, policy: dict, cap: Column, disabled: Disabled = frozenset()) -> DataFrame:
+    """low, high, guards (the guardrails that stand at the edges of the interval) and binding (their codes)."""
+    own = {k: tuple(F.when(~is_off(disabled, k), v) for v in pair) for k, pair in intervals(policy, cap).items()}
+    low = F.greatest(*(v for v, _ in own.values()), F.lit(0.01))
+    high = F.coalesce(F.least(*(v for _, v in own.values())), F.col("current_price") * WIDEST)
+    df = df.withColumns({"low": low, "high": high})
+    at = lambda v, edge: F.coalesce(F.abs(v - F.col(edge)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(edge)), F.lit(False))
+    names = F.array_compact(F.array(*(F.when(at(v, "low") | at(w, "high"), k) for k, (v, w) in own.items())))
+    code_of = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
+    df = df.withColumn("guards", names)
+    return df.withColumn("binding", F.array_sort(F.array_distinct(F.transform("guards", lambda g: code_of[g]))))
 
 
 def risk_level(price: Column, config: Config, promotion_share: Column | None = None) -> Column:
@@ -65,26 +77,39 @@ def risk_level(price: Column, config: Config, promotion_share: Column | None = N
     return F.when(meets(config["risk.low_risk"]) & ~doubtful, "LOW").when(meets(config["risk.low_risk"]) | meets(config["risk.medium_risk"]), "MEDIUM").otherwise("HIGH")
 
 
-def screen(config: Config, goal: str) -> list[Column]:
+def screen(config: Config, goal: str, disabled: Disabled = frozenset()) -> list[Column]:
     """Reason codes that keep a context from being priced at all, in order; null where they don't apply."""
-    e = config["eligibility"]
-    few = F.when(F.col("n_obs") < e["min_observations"], "INSUFFICIENT_HISTORY")
-    flat = F.when(F.coalesce(F.col("n_distinct_prices") < e["min_distinct_prices"], F.lit(False)) | F.coalesce(F.col("price_cv") < e["min_price_cv"], F.lit(False)), "INSUFFICIENT_PRICE_VARIATION")
+    e, support = config["eligibility"], ~is_off(disabled, "HISTORICAL_SUPPORT")
+    few = F.when(support & (F.col("n_obs") < e["min_observations"]), "INSUFFICIENT_HISTORY")
+    flat = F.coalesce(F.col("n_distinct_prices") < e["min_distinct_prices"], F.lit(False)) | F.coalesce(F.col("price_cv") < e["min_price_cv"], F.lit(False))
     no_cost = F.when(F.col("unit_cost").isNull(), "COST_UNAVAILABLE") if goal == "gross_profit" else F.lit(None).cast("string")
-    return [few, flat, no_cost]
+    return [few, F.when(support & flat, "INSUFFICIENT_PRICE_VARIATION"), no_cost]
 
 
-def simulate(df: DataFrame, goal: str) -> DataFrame:
+def constant_elasticity(df: DataFrame) -> DataFrame:
+    """candidates (price, units) of the grid under the context's elasticity, below its cap if it has one."""
+    cap = F.col("prediction_cap") if "prediction_cap" in df.columns else None
+    units = lambda p: demand(F.col("base_units"), p, F.col("current_price"), F.col("elasticity"), cap)
+    return df.withColumn("candidates", F.transform("grid", lambda p: F.struct(p.alias("price"), units(p).alias("units"))))
+
+
+Simulator = Callable[[DataFrame], DataFrame]
+
+
+def simulate(df: DataFrame, goal: str, simulator: Simulator = constant_elasticity) -> DataFrame:
     """candidates as structs of price, units and value, in rising order of price."""
-    one = lambda p: F.struct(p.alias("price"), demand(F.col("base_units"), p, F.col("current_price"), F.col("elasticity")).alias("units"))
     valued = lambda s: F.struct(s.price.alias("price"), s.units.alias("units"), objective(goal, s.price, s.units, F.col("unit_cost")).alias("value"))
-    return df.withColumn("candidates", F.transform(F.transform("grid", one), valued))
+    return simulator(df).withColumn("candidates", F.transform("candidates", valued))
 
 
-def recommend(contexts: DataFrame, profile: str = "standard", config: Config | None = None, goal: str | None = None, disabled: frozenset[str] = frozenset(), target: Column | None = None) -> DataFrame:
+def recommend(
+    contexts: DataFrame, profile: str = "standard", config: Config | None = None, goal: str | None = None, disabled: Disabled = frozenset(), target: Column | None = None, simulator: Simulator = constant_elasticity,
+) -> DataFrame:
     """One row a context, with the decision, the prices, units and uplifts, risk and reason codes.
 
-    Contexts have the columns of CONTEXT. A context without statistics is not screened, but its risk is
+    Contexts have the columns of CONTEXT, and may have promotion_share (half of the weeks or more on
+    promotion make a risk of at least MEDIUM) and prediction_cap. Besides the guardrails of CODES,
+    disabled may name HISTORICAL_SUPPORT, RISK_GATE, MATERIALITY and ROUNDING. A context without statistics is not screened, but its risk is
     HIGH. With a target, the price to judge is the target kept within the bounds, and the change of price
     must be material instead of the uplift.
     """
@@ -92,13 +117,15 @@ def recommend(contexts: DataFrame, profile: str = "standard", config: Config | N
     goal, policy = goal or config["optimization.objective"], config.policy(profile)
     cents, step = config["optimization.price_rounding"], config["optimization.price_step"]
     p, action = F.col("current_price"), policy["high_risk_action"]
+    share = F.col("promotion_share") if "promotion_share" in contexts.columns else None
+    gated = ~is_off(disabled, "RISK_GATE")
     df = contexts.withColumn("unit_cost", F.when(F.col("unit_cost") > 0, F.col("unit_cost")))
-    df = df.withColumns({"screened": F.array_compact(F.array(*screen(config, goal))), "preliminary_risk": risk_level(p, config)})
+    df = df.withColumns({"screened": F.array_compact(F.array(*screen(config, goal, disabled))), "preliminary_risk": risk_level(p, config, share)})
     cap = F.lit(float(policy["max_price_change_pct"]))
     if policy.get("medium_risk_max_price_change_pct") is not None:
-        cap = F.when(F.col("preliminary_risk") == "MEDIUM", F.least(cap, F.lit(float(policy["medium_risk_max_price_change_pct"])))).otherwise(cap)
+        cap = F.when(gated & (F.col("preliminary_risk") == "MEDIUM"), F.least(cap, F.lit(float(policy["medium_risk_max_price_change_pct"])))).otherwise(cap)
     df = with_bounds(df, policy, cap, disabled)
-    stopped = F.when(F.size("screened") > 0, "screened").when((F.col("preliminary_risk") == "HIGH") & F.lit(action == "keep_current"), "risky")
+    stopped = F.when(F.size("screened") > 0, "screened").when(gated & (F.col("preliminary_risk") == "HIGH") & F.lit(action == "keep_current"), "risky")
     grid = price_grid(F.col("low"), F.col("high"), p, step, cents, config["optimization.charm_pricing"])
     if target is not None:
         kept = F.bround(F.least(F.greatest(target, F.col("low")), F.col("high")) / cents, 0) * cents
@@ -106,7 +133,7 @@ def recommend(contexts: DataFrame, profile: str = "standard", config: Config | N
     df = _settled(df.withColumn("stop", stopped))
     df = _settled(df.withColumn("grid", F.when(F.col("stop").isNull(), grid)))
     df = df.withColumn("stop", F.coalesce("stop", F.when(F.coalesce(F.size("grid"), F.lit(0)) <= 0, "infeasible")))
-    df = _settled(simulate(df, goal))
+    df = _settled(simulate(df, goal, simulator))
     # a rising array and a strict comparison: of equal values the lowest price wins
     first = F.element_at("candidates", 1)
     best = F.aggregate("candidates", first, lambda a, s: F.when(s.value > a.value, s).otherwise(a))
@@ -118,11 +145,12 @@ def recommend(contexts: DataFrame, profile: str = "standard", config: Config | N
     df = _settled(df.withColumns({"best": F.when(some, best), "now": F.when(some, near)}))
     df = df.withColumns({
         "uplift": ratio(F.col("best.value") - F.col("now.value"), F.abs("now.value")), "change": F.col("best.price") / p - 1,
-        "final_risk": F.when(F.col("stop").isNull(), risk_level(F.col("best.price"), config)).otherwise(F.col("preliminary_risk")),
+        "final_risk": F.when(F.col("stop").isNull(), risk_level(F.col("best.price"), config, share)).otherwise(F.col("preliminary_risk")),
     })
     same = F.abs("change") < 1e-9
-    small = F.col("uplift").isNull() | (F.col("uplift") < policy["materiality_threshold_pct"]) if target is None else F.abs("change") < policy["materiality_threshold_pct"]
-    high_risk = (F.col("final_risk") == "HIGH") & F.lit(action != "recommend")
+    material = F.when(is_off(disabled, "MATERIALITY"), 0.0).otherwise(F.lit(float(policy["materiality_threshold_pct"])))
+    small = F.col("uplift").isNull() | (F.col("uplift") < material) if target is None else F.abs("change") < material
+    high_risk = gated & (F.col("final_risk") == "HIGH") & F.lit(action != "recommend")
     outcome = (
         F.when(F.col("stop").isNotNull(), F.col("stop")).when(same, "same").when(small, "small")
         .when(high_risk, "risky" if action == "keep_current" else "review").otherwise("change")
@@ -135,7 +163,7 @@ def recommend(contexts: DataFrame, profile: str = "standard", config: Config | N
     codes = F.concat(
         F.coalesce("screened", F.array().cast("array<string>")),
         F.array_compact(F.array(
-            F.when(past_gate & (F.col("preliminary_risk") == "MEDIUM"), "MEDIUM_RISK_CONSERVATIVE"),
+            F.when(past_gate & gated & (F.col("preliminary_risk") == "MEDIUM"), "MEDIUM_RISK_CONSERVATIVE"),
             F.when(past_gate & (F.col("elasticity_source") == "pooled_fallback") & F.lit(target is None), "POOLED_ELASTICITY_FALLBACK"),
         )),
         F.when(priced, F.col("binding")).otherwise(F.array().cast("array<string>")),
@@ -155,11 +183,12 @@ def recommend(contexts: DataFrame, profile: str = "standard", config: Config | N
     out = df.withColumns({
         "decision": decision, "proposed_price": proposed, "recommended_price": final, "units_current": units_now, "units_proposed": units_new,
         "profit_current": profit(p, units_now), "profit_proposed": profit(proposed, units_new), "revenue_current": p * units_now, "revenue_proposed": proposed * units_new,
-        "risk_level": F.col("final_risk"), "reason_codes": codes, "n_candidates": F.coalesce(F.size("candidates"), F.lit(0)).cast("long"),
+        "risk_level": F.col("final_risk"), "reason_codes": codes, "n_candidates": F.coalesce(F.size("candidates"), F.lit(0)).cast("long"), "constrained_optimum": F.col("best.price"),
     })
     gain = ratio(F.col("profit_proposed") - F.col("profit_current"), F.abs("profit_current"))
     out = out.withColumns({"model_internal_estimated_uplift": gain, "realisable_uplift": F.when(is_("change"), gain).otherwise(F.lit(0.0))})
-    keep = [*contexts.columns, "low", "high", "binding", "preliminary_risk", "risk_level", "decision", "proposed_price", "recommended_price", "n_candidates", "units_current", "units_proposed", "revenue_current", "revenue_proposed", "profit_current", "profit_proposed", "model_internal_estimated_uplift", "realisable_uplift", "reason_codes"]
+    own = [c for c in contexts.columns if c in df.columns]
+    keep = [*own, "low", "high", "guards", "binding", "preliminary_risk", "risk_level", "decision", "proposed_price", "recommended_price", "constrained_optimum", "n_candidates", "units_current", "units_proposed", "revenue_current", "revenue_proposed", "profit_current", "profit_proposed", "model_internal_estimated_uplift", "realisable_uplift", "reason_codes"]
     return _settled(out.select(*keep))
 
 
@@ -171,14 +200,3 @@ def curve_diagnostics(simulated: DataFrame) -> DataFrame:
     return simulated.withColumns({
         "share_rising": F.size(F.filter(steps, lambda d: d > 1e-9)) / F.nullif(F.size(steps), F.lit(0)), "monotone": F.forall(steps, lambda d: d <= 1e-9), "relative_span": span, "flat": span < 0.01,
     })
-
-
-def attribution(contexts: DataFrame, profile: str = "standard", config: Config | None = None) -> DataFrame:
-    """Leave-one-out: each context once a guardrail left out (and once with all), with what changes. The
-    variants are rows, not nested columns, so the plan grows by a union branch each."""
-    config, contexts = config or Config(), contexts.persist()  # read once for all variants
-    out = None
-    for name in ("baseline", "PRICE_CHANGE_LIMIT", "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR", "MIN_MARGIN"):
-        one = recommend(contexts, profile, config, disabled=frozenset({name} - {"baseline"})).select("upc", "store", "week", F.lit(name).alias("left_out"), "decision", "proposed_price", "binding")
-        out = one if out is None else out.unionByName(one)
-    return out

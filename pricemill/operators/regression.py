@@ -1,16 +1,38 @@
-"""Panel regressions from sums: group means are taken out by windows, the normal equations are grouped
-sums, and only their small matrices (one row a group) are solved in Python."""
+"""Panel regressions from sums: means over series are taken out by windows, those over larger groups by
+grouped means; the normal equations are grouped sums, and only their small matrices (one row a group)
+are solved in Python."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Z95 = 1.959963984540054
+Z95 = NormalDist().inv_cdf(0.975)
+#: Products whose slopes the driver takes at most to estimate their dispersion; more go by aggregates.
+DRIVER_PRODUCTS = 1_000_000
+
+
+def t_quantile(p: float, dof: float) -> float:
+    """Quantile of Student's t by Newton steps on its distribution function, from the normal quantile."""
+    if dof > 1e6:
+        return NormalDist().inv_cdf(p)
+    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
+    nodes, weights = np.polynomial.legendre.leggauss(200)
+    density = lambda x: scale * (1 + x * x / dof) ** (-(dof + 1) / 2)
+    t = NormalDist().inv_cdf(p)
+    for _ in range(100):
+        below = 0.5 + t / 2 * float(np.sum(weights * density((nodes + 1) * t / 2)))
+        step = (below - p) / float(density(t))
+        t -= max(-1.0, min(1.0, step)) if dof > 2 else max(-0.5 * (1 + abs(t)), min(0.5 * (1 + abs(t)), step))
+        if abs(step) < 1e-12 * (1 + abs(t)):
+            break
+    return t
 
 
 def loglog(panel: DataFrame, zero: str = "drop") -> DataFrame:
@@ -23,9 +45,21 @@ def loglog(panel: DataFrame, zero: str = "drop") -> DataFrame:
 
 
 def within(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Columns less their means over the keys."""
-    over = Window.partitionBy(*keys)
-    return df.withColumns({c: F.col(c) - F.avg(c).over(over) for c in columns})
+    """Columns less their means over the keys. A series has at most its weeks, so a window will do; a larger
+    group would be one task, so its means are aggregated and joined."""
+    if {"upc", "store"} <= set(keys):
+        over = Window.partitionBy(*keys)
+        return df.withColumns({c: F.col(c) - F.avg(c).over(over) for c in columns})
+    means = df.groupBy(*keys).agg(*(F.avg(c).alias(f"__mean_{c}") for c in columns))
+    out = df.join(means, keys).withColumns({c: F.col(c) - F.col(f"__mean_{c}") for c in columns})
+    return out.select(*df.columns)
+
+
+def within_slope(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(n, slope) of y on x with the means over the keys taken out, from the sums of each group."""
+    by = df.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("xy"), F.var_samp("x").alias("xx"))
+    rest = F.col("n") - 1
+    return by.agg(F.sum("n").alias("n"), (F.sum(rest * F.col("xy")) / F.sum(rest * F.col("xx"))).alias("slope"))
 
 
 def _sums(columns: list[str]):
@@ -91,11 +125,12 @@ class Fit:
 
     def clustered(self, keys: list[str]) -> np.ndarray:
         """One-way clusters of the joint values of keys: scores are summed by cluster first."""
-        sums = self._scores().groupBy(*keys).agg(*(F.sum(f"__s{i}").alias(f"__s{i}") for i in self.kept)).cache()
-        g = sums.count()
-        if g < 2:
+        names = [f"__s{i}" for i in self.kept]
+        sums = self._scores().groupBy(*keys).agg(*(F.sum(s).alias(s) for s in names))
+        row = sums.agg(F.count("*").alias("g"), *_sums(names)).first()
+        if row["g"] < 2:
             raise ValueError("clustered errors take two clusters at least")
-        return self._sandwich(sums, g / (g - 1) * (self.n - 1) / self.dof)
+        return self.inverse @ _gram(row, len(names)) @ self.inverse * (row["g"] / (row["g"] - 1) * (self.n - 1) / self.dof)
 
     def two_way(self, a: str, b: str) -> np.ndarray:
         """Cluster a plus cluster b less their joint clusters, projected to be positive semi-definite."""
@@ -107,7 +142,29 @@ class Fit:
         se = np.full(len(self.xs), np.nan)
         se[self.kept] = np.sqrt(np.diag(covariance))
         frame = pd.DataFrame({"fit": name, "term": self.xs, "estimate": self.beta, "std_error": se, "n": self.n, "r_squared": self.r_squared})
-        return frame.assign(ci_low=frame.estimate - Z95 * frame.std_error, ci_high=frame.estimate + Z95 * frame.std_error)
+        critical = t_quantile(0.975, max(self.dof, 1))
+        return frame.assign(ci_low=frame.estimate - critical * frame.std_error, ci_high=frame.estimate + critical * frame.std_error)
+
+
+def _clustered_meats(rows: DataFrame, key: str, score: Column, clusters: tuple[str, ...] = ("store", "week")) -> DataFrame:
+    """By key: the sum of squared scores (meat), and for each cluster the number of its groups (g_) and the sum
+    of their squared sums of scores (meat_). One pass over the rows."""
+    sets = [[key, c] for c in clusters]
+    sums = rows.withColumn("__s", score).groupingSets(sets, key, *clusters).agg(
+        F.grouping_id().alias("__g"), F.sum("__s").alias("__sum"), F.sum(F.col("__s") * F.col("__s")).alias("__sq"))
+    n = len(clusters)  # of the id's bits, the key's is clear and so is that of the set's own cluster
+    is_ = {c: F.col("__g") == ((1 << n) - 1) ^ (1 << (n - 1 - i)) for i, c in enumerate(clusters)}
+    own = [x for c in clusters for x in (F.count_if(is_[c]).alias(f"g_{c}"), F.sum(F.when(is_[c], F.col("__sum") * F.col("__sum"))).alias(f"meat_{c}"))]
+    return sums.groupBy(key).agg(F.sum(F.when(is_[clusters[0]], F.col("__sq"))).alias("meat"), *own)
+
+
+def _largest_error(out: DataFrame, dof: Column, bread: Column, clusters: tuple[str, ...] = ("store", "week")) -> DataFrame:
+    """HC1 and clustered errors from their meats, and std_error, the largest of those that exist."""
+    n, errors = F.col("n_obs"), {"std_error_hc1": F.sqrt(F.col("meat") * F.col("n_obs") / dof) * bread}
+    for c in clusters:
+        g = F.col(f"g_{c}")
+        errors[f"std_error_{c}"] = F.when(g > 1, F.sqrt(F.col(f"meat_{c}") * g / (g - 1) * (n - 1) / dof) * bread)
+    return out.withColumns(errors).withColumn("std_error", F.greatest(*errors))
 
 
 def slopes(df: DataFrame, key: str) -> DataFrame:
@@ -115,20 +172,47 @@ def slopes(df: DataFrame, key: str) -> DataFrame:
     clustered by store and by week; the largest is std_error. Absorbed means are not charged."""
     base = df.groupBy(key).agg(F.count("*").alias("n_obs"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
     base = base.where("sxx > 0 and n_obs > 2").withColumn("estimate", F.col("sxy") / F.col("sxx"))
-    scored = df.join(base.select(key, "estimate"), key).withColumn("s", F.col("x") * (F.col("y") - F.col("estimate") * F.col("x")))
-    hc1 = scored.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("meat"))
-    out = base.join(hc1, key)
-    for cluster in ("store", "week"):
-        sums = scored.groupBy(key, cluster).agg(F.sum("s").alias("s")).groupBy(key)
-        out = out.join(sums.agg(F.count("*").alias(f"g_{cluster}"), F.sum(F.col("s") * F.col("s")).alias(f"meat_{cluster}")), key)
-    n, dof = F.col("n_obs"), F.col("n_obs") - 1
-    errors = {"std_error_hc1": F.sqrt(F.col("meat") * n / dof) / F.col("sxx")}
-    for cluster in ("store", "week"):
-        g = F.col(f"g_{cluster}")
-        errors[f"std_error_{cluster}"] = F.when(g > 1, F.sqrt(F.col(f"meat_{cluster}") * g / (g - 1) * (n - 1) / dof) / F.col("sxx"))
-    out = out.withColumns(errors).withColumn("std_error", F.greatest("std_error_hc1", "std_error_store", "std_error_week"))
+    scored = df.join(base.select(key, "estimate"), key)
+    out = base.join(_clustered_meats(scored, key, F.col("x") * (F.col("y") - F.col("estimate") * F.col("x"))), key)
+    out = _largest_error(out, F.col("n_obs") - 1, 1 / F.col("sxx"))
     r2 = F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.nullif("syy", F.lit(0.0)))
-    return out.select(key, "n_obs", "estimate", *errors, "std_error", r2.alias("r_squared"))
+    return out.select(key, "n_obs", "estimate", "std_error_hc1", "std_error_store", "std_error_week", "std_error", r2.alias("r_squared"))
+
+
+def controlled_slopes(df: DataFrame, key: str, controls: list[str]) -> DataFrame:
+    """By key: the coefficient of x beside controls (means over series out of all of them and of y), with its
+    errors as in slopes, charged for the intercept, the controls and the stores, and R2.
+
+    Once the controls are regressed out, an error takes no more than the score of x: each row's x less
+    what the controls say of it, times its residual. So the solving of one row a key yields the weights
+    of that (w_) and the coefficients (b_), and a second pass sums the scores. A key whose x does not
+    vary gives no row."""
+    xs = ["x", *controls]
+    k = len(xs)
+    sums = df.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("store").alias("n_stores"), *_sums([*xs, "y"]))
+    names = [key, "n_obs", "n_stores", "n_kept", "sse", "syy", *(f"b_{x}" for x in xs), *(f"w_{x}" for x in xs)]
+
+    def solve(frames):
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                gram = _gram(row, k + 1)
+                kept = independent(gram[:k, :k])
+                if kept and kept[0] == 0:
+                    inverse = np.linalg.inv(gram[np.ix_(kept, kept)])
+                    beta, weight = np.zeros(k), np.zeros(k)
+                    beta[kept], weight[kept] = inverse @ gram[kept, k], inverse[0]
+                    rows.append((row[key], row["n"], row["n_stores"], len(kept), gram[k, k] - beta @ gram[:k, k], gram[k, k], *beta, *weight))
+            yield pd.DataFrame(rows, columns=names)
+
+    kind = dict(df.dtypes)[key]
+    fits = sums.mapInPandas(solve, f"{key} {kind}, n_obs long, n_stores long, n_kept long, sse double, syy double, " + ", ".join(f"{n} double" for n in names[6:]))
+    total = lambda p: reduce(lambda a, b: a + b, [F.col(x) * F.col(f"{p}_{x}") for x in xs])
+    scored = df.join(fits.select(key, *names[6:]), key)
+    out = fits.join(_clustered_meats(scored, key, total("w") * (F.col("y") - total("b"))), key)
+    dof = F.col("n_obs") - F.col("n_kept") - F.col("n_stores")
+    out = _largest_error(out, F.when(dof > 0, dof), F.lit(1.0))
+    return out.select(key, "n_obs", F.col("b_x").alias("estimate"), "std_error_hc1", "std_error_store", "std_error_week", "std_error", (1 - F.col("sse") / F.nullif("syy", F.lit(0.0))).alias("r_squared"))
 
 
 def slope_by_group(df: DataFrame, key: str, xs: list[str]) -> DataFrame:
@@ -171,22 +255,52 @@ def tau2_reml(estimates: np.ndarray, errors: np.ndarray, rounds: int = 500, tole
     return tau2, mean
 
 
-def shrunk(table: DataFrame, pooled: float, max_error: float = 1.5, band: tuple[float, float] = (0.2, 6.0), prior: str = "pooled") -> DataFrame:
-    """Empirical-Bayes elasticities: usable slopes (negative, error at most max_error) weigh tau2 / (tau2 +
-    se^2) against the prior; others take the prior. The magnitude is kept within the band. The slopes
-    come to the driver: one row a product."""
-    usable = (F.col("estimate") < 0) & (F.col("std_error") <= max_error)
+def _reml_by_aggregates(table: DataFrame, rounds: int = 500, tolerance: float = 1e-12) -> tuple[float, float]:
+    """tau2_reml of (estimate, std_error) where the products are too many for the driver: each round is one
+    aggregate over the table, which should be stored."""
+    e, v = F.col("estimate"), F.col("std_error") * F.col("std_error")
+    first = table.agg(F.var_samp(e).alias("var"), F.avg(v).alias("noise"), F.avg(e).alias("mean")).first()
+    tau2, mean = max((first["var"] or 0.0) - first["noise"], 0.0), first["mean"]
+    for _ in range(rounds):
+        w = 1 / (F.lit(tau2) + v)
+        row = table.agg(F.sum(w).alias("w"), F.sum(w * e).alias("we")).first()
+        mean = row["we"] / row["w"]
+        spread = table.agg(F.sum(w * w * ((e - mean) * (e - mean) - v)).alias("a"), F.sum(w * w).alias("b")).first()
+        new = max(spread["a"] / spread["b"] + 1 / row["w"], 0.0)
+        if abs(new - tau2) < tolerance:
+            return new, mean
+        tau2 = new
+    return tau2, mean
+
+
+def dispersion(table: DataFrame, method: str = "reml") -> tuple[float, float] | None:
+    """(tau2, mean) of the slopes (estimate, std_error) of a table; None for fewer than two. The slopes are
+    counted before they come to the driver."""
+    own = table.where("std_error > 0").select("estimate", "std_error")
+    count = own.count()
+    if count < 2:
+        return None
+    if count > DRIVER_PRODUCTS:
+        return _reml_by_aggregates(own)
+    frame = own.toPandas()
+    e, s = frame.estimate.to_numpy(), frame.std_error.to_numpy()
+    return tau2_reml(e, s) if method == "reml" else (tau2_moment(e, s), float(np.mean(e)))
+
+
+def shrunk(
+    table: DataFrame, pooled: float, max_error: float = 1.5, band: tuple[float, float] = (0.2, 6.0), prior: str = "pooled",
+    method: str = "reml", usable: Column | None = None,
+) -> DataFrame:
+    """Empirical-Bayes elasticities: usable slopes (by default negative, error at most max_error) weigh tau2 /
+    (tau2 + se^2) against the prior; others take the prior. The magnitude is kept within the band."""
+    usable = (F.col("estimate") < 0) & (F.col("std_error") <= max_error) if usable is None else usable
     table = table.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    own = table.where("usable and std_error > 0").select("estimate", "std_error").toPandas()
-    if len(own) < 2:
-        tau2, mean = 0.0, pooled
-    else:
-        tau2, free = tau2_reml(own.estimate.to_numpy(), own.std_error.to_numpy())
-        mean = free if prior == "estimated" else pooled
+    tau2, free = dispersion(table.where("usable"), method) or (0.0, pooled)
+    mean = free if prior == "estimated" else pooled
     weight = F.when(F.col("usable"), F.lit(tau2) / F.nullif(F.lit(tau2) + F.col("std_error") * F.col("std_error"), F.lit(0.0))).otherwise(F.lit(0.0))
     out = table.withColumn("shrinkage_weight", F.coalesce(weight, F.lit(0.0)))
     value = F.when(F.col("shrinkage_weight") > 0, F.col("shrinkage_weight") * F.col("estimate") + (1 - F.col("shrinkage_weight")) * mean).otherwise(F.lit(mean))
     out = out.withColumn("elasticity_shrunk", value)
     final = -F.least(F.greatest(F.abs("elasticity_shrunk"), F.lit(band[0])), F.lit(band[1]))
-    source = F.when(F.col("usable"), "product_shrunk").otherwise("pooled_fallback")
-    return out.withColumns({"elasticity_final": final, "elasticity_source": source, "clipped": F.abs(final - F.col("elasticity_shrunk")) > 1e-12})
+    source = F.when(F.col("usable"), "shrunk_product").otherwise("pooled_fallback")
+    return out.withColumns({"elasticity_final": final, "elasticity_source": source, "clipped": F.abs(final - F.col("elasticity_shrunk")) > 1e-9})

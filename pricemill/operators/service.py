@@ -31,8 +31,7 @@ EXPLANATIONS = {
     "DEMAND_CURVE_NOT_DECREASING": "predicted demand rises with the price somewhere",
     "PRICE_CHANGE_LIMIT": "the largest allowed change binds",
     "OUTSIDE_EXTRAPOLATION_RANGE": "the range of prices seen so far binds",
-    "COST_FLOOR": "the unit cost binds",
-    "MIN_MARGIN": "the least margin binds",
+    "MARGIN_CONSTRAINT": "the unit cost or the least margin binds",
     "ABSOLUTE_PRICE_FLOOR": "the lowest price binds",
     "ABSOLUTE_PRICE_CEILING": "the highest price binds",
 }
@@ -108,8 +107,20 @@ def numbers(text: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, ",", ""))
 
 
-def ungrounded(answer: Column, facts: Column) -> Column:
-    """Numbers of the answer that no fact (array of double) equals to the decimals they are written with."""
+def ungrounded(answer: Column, facts: Column, list_up_to: float = 12) -> Column:
+    """Numbers of the answer whose magnitude no fact (array of double) has to the decimals they are written
+    with. Markers of lists (a number and a full stop or bracket at the beginning of a line) are not
+    looked at, nor are whole numbers up to list_up_to, which count or order things."""
+    text = F.regexp_replace(answer, r"(?m)^[ \t]*[0-9]+[.)][ \t]", " ")
     decimals = lambda x: F.length(F.regexp_extract(x, r"\.([0-9]+)$", 1))
-    near = lambda x, f: F.abs(x.cast("double") - f) <= F.pow(F.lit(10.0), -decimals(x)) / 2 + 1e-9
-    return F.filter(numbers(answer), lambda x: ~F.exists(facts, lambda f: near(x, f)))
+    near = lambda x, f: F.abs(F.abs(x.cast("double")) - F.abs(f)) <= F.pow(F.lit(10.0), -decimals(x)) / 2 + 1e-9
+    small = lambda x: (decimals(x) == 0) & (F.abs(x.cast("double")) <= list_up_to)
+    return F.filter(numbers(text), lambda x: ~small(x) & ~F.exists(facts, lambda f: near(x, f)))
+
+
+def phrase_faults(answer: Column, forbidden: list[str], required: list[str]) -> Column:
+    """Forbidden phrases that the answer has, and required ones that it lacks, in any case of letters."""
+    low = F.lower(answer)
+    wrong = [F.when(F.contains(low, F.lit(x.lower())), F.lit(f"forbidden: {x}")) for x in forbidden]
+    lacking = [F.when(~F.contains(low, F.lit(x.lower())), F.lit(f"missing: {x}")) for x in required]
+    return F.array_compact(F.array(*wrong, *lacking))

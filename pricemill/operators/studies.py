@@ -114,28 +114,25 @@ def positions(movement: DataFrame, excluded: Column) -> DataFrame:
 
 
 def guardrail_layers(contexts: DataFrame, config: Config, profile: str = "standard") -> DataFrame:
-    """(layer, decisions...): guardrails added one after the other, from none to all."""
-    contexts = contexts.persist()
-    order = ["PRICE_CHANGE_LIMIT", "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR", "MIN_MARGIN"]
-    out = None
+    """(layer, decisions...): guardrails added one after the other, from none to all. The layers are rows of one
+    table, so the contexts are decided in one pass."""
+    order = ["MAX_PRICE_CHANGE", "EXTRAPOLATION", "COST_FLOOR", "MIN_MARGIN"]
     # without a change limit an interval may be open above, so the limit is the first layer and always there
-    for i in range(1, len(order) + 1):
-        found = decisions.recommend(contexts, profile, config, disabled=frozenset(order[i:]))
-        one = found.groupBy(F.lit(f"{i}_{order[i - 1]}").alias("layer")).agg(
-            F.count("*").alias("n"), F.count_if(F.col("decision") != "KEEP_CURRENT").alias("n_changes"), F.avg("proposed_price").alias("mean_price"), F.sum("profit_proposed").alias("profit"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    layers = [F.struct(F.lit(f"{i}_{order[i - 1]}").alias("layer"), texts(order[i:]).alias("off")) for i in range(1, len(order) + 1)]
+    rows = contexts.withColumn("__l", F.explode(F.array(*layers))).select(*contexts.columns, "__l.layer", "__l.off")
+    found = decisions.recommend(rows, profile, config, disabled=F.col("off"))
+    return found.groupBy("layer").agg(
+        F.count("*").alias("n"), F.count_if(F.col("decision") != "KEEP_CURRENT").alias("n_changes"), F.avg("proposed_price").alias("mean_price"), F.sum("profit_proposed").alias("profit"),
+    )
 
 
 def scenarios(contexts: DataFrame, config: Config, values: tuple[float, ...] = (-1.5, -1.9, -2.4, -3.1), profile: str = "standard") -> DataFrame:
     """(elasticity, ...): the same contexts decided at each elasticity."""
-    contexts, out = contexts.persist(), None
-    for e in values:
-        found = decisions.recommend(contexts.withColumn("elasticity", F.lit(e)), profile, config)
-        one = found.groupBy(F.lit(e).alias("elasticity")).agg(F.count("*").alias("n"), F.count_if(F.col("decision") != "KEEP_CURRENT").alias("n_changes"), F.avg(F.col("proposed_price") / F.col("current_price") - 1).alias("mean_change"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = contexts.withColumn("elasticity", F.explode(F.array(*map(F.lit, values))))
+    return decisions.recommend(rows, profile, config).groupBy("elasticity").agg(
+        F.count("*").alias("n"), F.count_if(F.col("decision") != "KEEP_CURRENT").alias("n_changes"), F.avg(F.col("proposed_price") / F.col("current_price") - 1).alias("mean_change"),
+    )
 
 
 def week_to_week(recommendations: DataFrame) -> DataFrame:

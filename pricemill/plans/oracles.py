@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pricemill.config import Config
+from pricemill.operators.attribution import CONSTRAINTS
+from pricemill.operators.decisions import CODES
 from pricemill.operators.service import EXPLANATIONS
 
 _PANEL = """
@@ -50,18 +52,20 @@ def _bounds(profile: str = "standard", capped: bool = True, disabled: tuple[str,
     """Guardrails, grid and simulation of a profile, without the disabled guardrails."""
     o = _POLICIES[profile]
     tol, margin, change = o["extrapolation_tolerance_pct"], o["min_gross_margin_rate"], o["max_price_change_pct"]
-    low = {"ABSOLUTE_PRICE_FLOOR": "0.01", "PRICE_CHANGE_LIMIT": "current_price * (1 - cap)", "OUTSIDE_EXTRAPOLATION_RANGE": f"price_min * (1 - {tol})", "COST_FLOOR": "unit_cost"}
+    low = {"MAX_PRICE_CHANGE": "current_price * (1 - cap)", "MIN_PRICE": "0.01", "EXTRAPOLATION": f"price_min * (1 - {tol})", "COST_FLOOR": "unit_cost"}
     if margin > 0:
         low["MIN_MARGIN"] = f"unit_cost / (1 - {margin})"
-    high = {"PRICE_CHANGE_LIMIT": "current_price * (1 + cap)", "OUTSIDE_EXTRAPOLATION_RANGE": f"price_max * (1 + {tol})"}
+    high = {"MAX_PRICE_CHANGE": "current_price * (1 + cap)", "EXTRAPOLATION": f"price_max * (1 + {tol})"}
     low, high = ({k: v for k, v in side.items() if k not in disabled} for side in (low, high))
-    mark = lambda k, v, edge: f"CASE WHEN abs({v} - {edge}) <= 1e-9 * greatest(1.0, abs({edge})) THEN '{k}' END"
-    marks = ", ".join([mark(k, v, "low") for k, v in low.items()] + [mark(k, v, "high") for k, v in high.items()])
-    capped_at = min(change, o["medium_risk_max_price_change_pct"]) if capped else change
+    at = lambda v, edge: f"abs({v} - {edge}) <= 1e-9 * greatest(1.0, abs({edge}))"
+    edges = [(k, v, "low") for k, v in low.items()] + [(k, v, "high") for k, v in high.items()]
+    marks = ", ".join(f"CASE WHEN {at(v, edge)} THEN '{CODES[k]}' END" for k, v, edge in edges)
+    names = ", ".join(f"CASE WHEN {at(v, edge)} THEN '{k}' END" for k, v, edge in edges)
+    capped_at = min(change, o["medium_risk_max_price_change_pct"]) if capped and "RISK_GATE" not in disabled else change
     text = """,
 bd AS (SELECT *, CASE WHEN risk = 'MEDIUM' THEN @CAPPED@ ELSE @CHANGE@ END AS cap FROM rl),
 b2 AS (SELECT *, greatest(@LOW@) AS low, least(@HIGH@) AS high FROM bd),
-b3 AS (SELECT *, list_sort(list_distinct(list_filter([@MARKS@], lambda x: x IS NOT NULL))) AS binding FROM b2),
+b3 AS (SELECT *, list_sort(list_distinct(list_filter([@MARKS@], lambda x: x IS NOT NULL))) AS binding, list_filter([@NAMES@], lambda x: x IS NOT NULL) AS guards FROM b2),
 gr AS (
   SELECT DISTINCT upc, store, week, price FROM (
     SELECT upc, store, week, low, high, round_even(raw / 0.01, 0) * 0.01 AS price, round_even(low / 0.01, 0) * 0.01 AS rl, round_even(high / 0.01, 0) * 0.01 AS rh
@@ -70,13 +74,13 @@ gr AS (
 sm AS (
   SELECT g.upc, g.store, g.week, g.price, greatest(base_units * pow(g.price / current_price, @EPS@), 0.0) AS units, (g.price - unit_cost) * greatest(base_units * pow(g.price / current_price, @EPS@), 0.0) AS value, current_price
   FROM gr g JOIN b3 USING (upc, store, week))"""
-    for token, value in {"@CAPPED@": capped_at, "@CHANGE@": change, "@LOW@": ", ".join([*low.values(), "0.01"]), "@HIGH@": ", ".join([*high.values(), *list(high.values())[:1]]), "@MARKS@": marks, "@EPS@": eps}.items():
+    for token, value in {"@CAPPED@": capped_at, "@CHANGE@": change, "@LOW@": ", ".join([*low.values(), "0.01"]), "@HIGH@": ", ".join([*high.values(), *list(high.values())[:1]]), "@MARKS@": marks, "@NAMES@": names, "@EPS@": eps}.items():
         text = text.replace(token, str(value))
     return text
 
 
-def _decided(profile: str = "standard") -> str:
-    """The decisions of a profile."""
+def _decided(profile: str = "standard", disabled: tuple[str, ...] = ()) -> str:
+    """The decisions of a profile, without the disabled guardrails."""
     o = _POLICIES[profile]
     action = o["high_risk_action"]
     text = """,
@@ -88,7 +92,7 @@ mono AS (
   SELECT upc, store, week, bool_or(step > 1e-9) AS rising FROM (SELECT upc, store, week, units - lag(units) OVER (PARTITION BY upc, store, week ORDER BY price) AS step FROM sm) GROUP BY ALL),
 dd AS (
   SELECT b3.*, pick.best AS best, pick.now AS now, coalesce(n_candidates, 0) AS n_candidates, coalesce(rising, false) AS rising,
-         list_filter([CASE WHEN n_obs < 40 THEN 'INSUFFICIENT_HISTORY' END, CASE WHEN n_distinct_prices < 5 OR coalesce(price_cv, 1) < 0.05 THEN 'INSUFFICIENT_PRICE_VARIATION' END, CASE WHEN unit_cost IS NULL THEN 'COST_UNAVAILABLE' END], lambda x: x IS NOT NULL) AS screened
+         list_filter([CASE WHEN @SUPPORT@ AND n_obs < 40 THEN 'INSUFFICIENT_HISTORY' END, CASE WHEN @SUPPORT@ AND (n_distinct_prices < 5 OR coalesce(price_cv, 1) < 0.05) THEN 'INSUFFICIENT_PRICE_VARIATION' END, CASE WHEN unit_cost IS NULL THEN 'COST_UNAVAILABLE' END], lambda x: x IS NOT NULL) AS screened
   FROM b3 LEFT JOIN pick USING (upc, store, week) LEFT JOIN mono USING (upc, store, week)),
 d2 AS (
   SELECT *, CASE WHEN len(screened) > 0 THEN 'screened' @STOP@ WHEN n_candidates = 0 THEN 'infeasible' END AS stop,
@@ -104,23 +108,27 @@ d4 AS (
 rec AS (
   SELECT upc, store, week, CASE outcome WHEN 'change' THEN 'RECOMMEND_CHANGE' WHEN 'review' THEN 'REVIEW_REQUIRED' ELSE 'KEEP_CURRENT' END AS decision, final_risk AS risk_level, current_price,
          CASE WHEN outcome IN ('change', 'review') THEN best.price ELSE current_price END AS proposed_price, CASE WHEN outcome = 'change' THEN best.price ELSE current_price END AS recommended_price,
-         CASE WHEN stop IS NULL THEN n_candidates ELSE 0 END AS n_candidates, unit_cost, outcome,
+         low, high, guards, price_min, price_max, stop, base_units, CASE WHEN stop IS NULL THEN best.price END AS copt, CASE WHEN stop IS NULL THEN n_candidates ELSE 0 END AS n_candidates, unit_cost, outcome,
          CASE WHEN stop IS NULL THEN now.units ELSE base_units END AS units_current,
          CASE WHEN outcome IN ('change', 'review') THEN best.units WHEN stop IS NULL THEN now.units ELSE base_units END AS units_proposed,
-         list_filter(list_concat(list_concat(screened, CASE WHEN risk = 'MEDIUM' AND coalesce(stop, '') <> 'screened' THEN ['MEDIUM_RISK_CONSERVATIVE'] ELSE [] END),
+         list_filter(list_concat(list_concat(screened, CASE WHEN @GATED@ AND risk = 'MEDIUM' AND coalesce(stop, '') <> 'screened' THEN ['MEDIUM_RISK_CONSERVATIVE'] ELSE [] END),
            list_concat(CASE WHEN stop IS NULL THEN binding ELSE [] END, [
              CASE WHEN stop IS NULL AND rising THEN 'DEMAND_CURVE_NOT_DECREASING' END, CASE WHEN outcome = 'infeasible' THEN 'NO_FEASIBLE_PRICE' END, CASE WHEN outcome = 'small' THEN 'NON_MATERIAL_UPLIFT' END,
              CASE WHEN outcome IN ('change', 'review') THEN 'PROFIT_UPLIFT_POSITIVE' END, CASE WHEN outcome = 'review' THEN 'HIGH_RISK_REVIEW_REQUIRED' END, CASE WHEN outcome = 'review' THEN 'LOW_CONFIDENCE' END,
              CASE WHEN outcome NOT IN ('change', 'review') THEN 'KEEP_CURRENT_OPTIMAL' END])), lambda x: x IS NOT NULL) AS codes
   FROM d4),
 rec2 AS (SELECT *, (current_price - unit_cost) * units_current AS profit_current, (proposed_price - unit_cost) * units_proposed AS profit_proposed FROM rec)"""
-    stop = "WHEN risk = 'HIGH' THEN 'risky'" if action == "keep_current" else ""
-    high = "" if action == "recommend" else f"WHEN final_risk = 'HIGH' THEN '{'risky' if action == 'keep_current' else 'review'}'"
-    return text.replace("@STOP@", stop).replace("@HIGH@", high).replace("@MATERIAL@", str(o["materiality_threshold_pct"]))
+    gated, support = "RISK_GATE" not in disabled, "HISTORICAL_SUPPORT" not in disabled
+    stop = "WHEN risk = 'HIGH' THEN 'risky'" if action == "keep_current" and gated else ""
+    high = "" if action == "recommend" or not gated else f"WHEN final_risk = 'HIGH' THEN '{'risky' if action == 'keep_current' else 'review'}'"
+    material = 0.0 if "MATERIALITY" in disabled else o["materiality_threshold_pct"]
+    for token, value in {"@STOP@": stop, "@HIGH@": high, "@MATERIAL@": material, "@GATED@": gated, "@SUPPORT@": support}.items():
+        text = text.replace(token, str(value))
+    return text
 
 
 def _recommended(profile: str = "standard", disabled: tuple[str, ...] = (), eps: float = -2.0) -> tuple[str, ...]:
-    return (*_ALL, _bounds(profile, True, disabled, eps), _decided(profile))
+    return (*_ALL, _bounds(profile, True, disabled, eps), _decided(profile, disabled))
 
 
 def _r(*names: str) -> str:
@@ -177,7 +185,70 @@ lo AS (
   SELECT split, unnest(['move', 'effective_unit_price', 'roll_mean_move_4']) AS feature, unnest([move, p, roll_mean_move_4]) AS value FROM ft JOIN sp USING (week) WHERE split <> 'valid'),
 lv AS (SELECT * FROM lo WHERE value IS NOT NULL)"""
 
-_LAYERS = ["PRICE_CHANGE_LIMIT", "OUTSIDE_EXTRAPOLATION_RANGE", "COST_FLOOR", "MIN_MARGIN"]
+_LAYERS = ["MAX_PRICE_CHANGE", "EXTRAPOLATION", "COST_FLOOR", "MIN_MARGIN"]
+
+
+#: What each guardrail of the standard profile allows by itself.
+_INTERVALS = {
+    "MAX_PRICE_CHANGE": ("current_price * 0.9", "current_price * 1.1"), "MIN_PRICE": ("0.01::DOUBLE", "NULL"), "MAX_PRICE": ("NULL", "NULL"), "EXTRAPOLATION": ("price_min * 0.95", "price_max * 1.05"),
+    "COST_FLOOR": ("unit_cost", "NULL"), "MIN_MARGIN": ("unit_cost / 0.95::DOUBLE", "NULL"),
+}
+_RESEARCH = """,
+rw AS (SELECT *, greatest(0.01, current_price * 0.2) AS wl, current_price * 5.0 AS wh FROM cx),
+rg AS (
+  SELECT DISTINCT upc, store, week, price FROM (
+    SELECT upc, store, week, wl, wh, round_even(raw / 0.01, 0) * 0.01 AS price, round_even(wl / 0.01, 0) * 0.01 AS rl, round_even(wh / 0.01, 0) * 0.01 AS rh
+    FROM (SELECT upc, store, week, wl, wh, unnest(list_append(list_transform(range(0, CAST(floor((wh - wl) / 0.05) AS BIGINT) + 1), lambda i: wl + 0.05::DOUBLE * i), current_price)) AS raw FROM rw))
+  WHERE price >= rl - 1e-9 AND price <= rh + 1e-9 AND price > 0 AND price >= wl - 1e-9 AND price <= wh + 1e-9),
+rv AS (
+  SELECT g.upc, g.store, g.week, g.price, current_price, unit_cost, price_min, price_max, (g.price - unit_cost) * greatest(base_units * pow(g.price / current_price, -2.0), 0.0) AS value
+  FROM rg g JOIN cx USING (upc, store, week)),
+un AS (SELECT upc, store, week, arg_max(price, struct_pack(a := value, b := -price)) AS best FROM rv WHERE value IS NOT NULL GROUP BY ALL)"""
+_FINE = """,
+fg AS (SELECT upc, store, week, unnest(list_transform(range(0, CAST(ceil((high + 1e-9 - low) / 0.01) AS BIGINT)), lambda i: low + i * 0.01::DOUBLE)) AS price FROM rec WHERE n_candidates > 0 AND high >= low),
+fo AS (
+  SELECT upc, store, week, arg_max(price, struct_pack(a := value, b := -price)) AS fine FROM (
+    SELECT f.upc, f.store, f.week, f.price, (f.price - unit_cost) * greatest(base_units * pow(f.price / current_price, -2.0), 0.0) AS value FROM fg f JOIN cx USING (upc, store, week)) GROUP BY ALL)"""
+
+
+def _first(side: int, edge: str) -> str:
+    whens = " ".join(f"WHEN abs({v[side]} - {edge}) < 1e-6 THEN '{k}'" for k, v in _INTERVALS.items() if v[side] != "NULL")
+    return f"CASE {whens} ELSE '' END"
+
+
+def _has(*codes: str) -> str:
+    return "(" + " OR ".join(f"list_contains(codes, '{c}')" for c in codes) + ")"
+
+
+def _attribution() -> str:
+    """The table of constraints: each leave-one-out against the decision with all guardrails."""
+    base = _with("SELECT r.*, fine, abs(fine - copt) AS distance FROM rec2 r LEFT JOIN fo USING (upc, store, week)", *_recommended(), _FINE)
+    left = " UNION ALL ".join(f"SELECT '{k}' AS name, * FROM (" + _with("SELECT upc, store, week, decision, recommended_price FROM rec2", *_recommended(disabled=(k,))) + ")" for k in CONSTRAINTS)
+    outside = lambda lo, hi: f"coalesce(price < {lo} - 1e-9, false) OR coalesce(price > {hi} + 1e-9, false)"
+    removed = " UNION ALL ".join(f"SELECT '{k}' AS name, upc, store, week, count(*) FILTER (WHERE {outside(*v)}) AS removed FROM wide GROUP BY ALL" for k, v in _INTERVALS.items())
+    there = " ".join(f"WHEN name = '{k}' THEN {' OR '.join(f'{x} IS NOT NULL' for x in v)}" for k, v in _INTERVALS.items())
+    return f"""WITH base AS MATERIALIZED ({base}), lo AS ({left}), wide AS MATERIALIZED ({_with('SELECT * FROM rv', *_ALL, _RESEARCH)}), rm AS ({removed}),
+    al AS (
+      SELECT l.name, CASE {there} ELSE true END AS present, coalesce(removed, 0) AS removed, coalesce(distance > 0.011, false) AS coarse,
+        CASE name WHEN 'MATERIALITY' THEN {_has('NON_MATERIAL_UPLIFT')} WHEN 'RISK_GATE' THEN {_has('HIGH_RISK_REVIEW_REQUIRED', 'HIGH_RISK_KEEP_CURRENT', 'MEDIUM_RISK_CONSERVATIVE')}
+          WHEN 'HISTORICAL_SUPPORT' THEN {_has('INSUFFICIENT_HISTORY', 'INSUFFICIENT_PRICE_VARIATION')} WHEN 'ROUNDING' THEN coalesce(distance > 0.011, false)
+          ELSE n_candidates > 0 AND list_contains(guards, name) END AS binding,
+        l.decision <> b.decision AS dec, abs(l.recommended_price - b.recommended_price) > 1e-9 AS pri
+      FROM lo l JOIN base b USING (upc, store, week) LEFT JOIN rm USING (name, upc, store, week))
+    SELECT name AS "constraint", count(*) FILTER (WHERE present) AS present, count(*) FILTER (WHERE removed > 0) AS removing, round(coalesce(quantile_cont(CASE WHEN removed > 0 THEN removed::DOUBLE END, 0.5), 0.0::DOUBLE), 6) AS median_removed,
+      count(*) FILTER (WHERE binding) AS binding, count(*) FILTER (WHERE dec) AS changed_decision, count(*) FILTER (WHERE CASE WHEN name = 'ROUNDING' THEN coarse ELSE pri END) AS changed_price FROM al GROUP BY name"""
+
+
+_BY_CONTEXT = f"""SELECT upc, store, week, decision, risk_level, round(best, 6) AS unconstrained_optimum, round(unit_cost * 2.0::DOUBLE, 6) AS analytic_optimum, round(copt, 6) AS constrained_optimum,
+  round(proposed_price, 6) AS proposed_price, round(recommended_price, 6) AS recommended_price,
+  CASE WHEN best IS NULL THEN '' WHEN {_has('INSUFFICIENT_HISTORY', 'INSUFFICIENT_PRICE_VARIATION')} THEN 'HISTORICAL_SUPPORT' WHEN {_has('HIGH_RISK_KEEP_CURRENT')} THEN 'RISK_GATE' WHEN NOT bounded THEN ''
+    WHEN best > high + 1e-9 THEN {_first(1, 'high')} WHEN best < low - 1e-9 THEN {_first(0, 'low')} WHEN {_has('NON_MATERIAL_UPLIFT')} THEN 'MATERIALITY'
+    WHEN {_has('HIGH_RISK_REVIEW_REQUIRED')} THEN 'RISK_GATE' ELSE 'NONE' END AS first_binding,
+  inside AS optimum_inside, coalesce(abs(best - proposed_price) <= 0.05 + 1e-9, false) AS proposal_matches, coalesce(abs(best - recommended_price) <= 0.05 + 1e-9, false) AS optimum_survives,
+  CASE WHEN {_has('INSUFFICIENT_HISTORY', 'INSUFFICIENT_PRICE_VARIATION', 'COST_UNAVAILABLE', 'NO_FEASIBLE_PRICE')} THEN 'screened' WHEN {_has('HIGH_RISK_KEEP_CURRENT')} THEN 'high_risk' WHEN decision = 'REVIEW_REQUIRED' THEN 'review'
+    WHEN {_has('NON_MATERIAL_UPLIFT')} THEN 'materiality' WHEN NOT inside THEN 'guardrail_corner' ELSE 'learned_signal' END AS determinant
+FROM (SELECT *, coalesce(bounded AND best >= low - 1e-9 AND best <= high + 1e-9, false) AS inside FROM (
+  SELECT r.*, best, n_candidates > 0 OR {_has('NO_FEASIBLE_PRICE')} AS bounded FROM rec2 r LEFT JOIN un USING (upc, store, week)))"""
 
 
 def _union(parts: list[str]) -> str:
@@ -186,8 +257,12 @@ def _union(parts: list[str]) -> str:
 
 SQL = {
     "decision_mix": _union([_with(f"SELECT '{k}' AS profile, decision, risk_level, count(*) AS n FROM rec2 GROUP BY 2, 3", *_recommended(k)) for k in _POLICIES]),
-    "constraint_attribution": "WITH a AS (" + _union([_with(f"SELECT '{k}' AS left_out, upc, store, week, proposed_price FROM rec2", *_recommended(disabled=(k,))) for k in ("baseline", *_LAYERS)])
+    "constraint_attribution": "WITH a AS (" + _union([_with(f"SELECT '{k}' AS left_out, upc, store, week, proposed_price FROM rec2", *_recommended(disabled=(k,))) for k in ("baseline", *CONSTRAINTS)])
     + ") SELECT a.left_out, count(*) AS n, count(*) FILTER (WHERE abs(a.proposed_price - b.proposed_price) > 1e-9) AS n_changed, round(avg(a.proposed_price), 6) AS mean_price FROM a JOIN a b ON a.upc = b.upc AND a.store = b.store AND a.week = b.week AND b.left_out = 'baseline' GROUP BY a.left_out",
+    "constraint_intervals": _union([_with(f"SELECT upc, store, week, '{k}' AS \"constraint\", round(CAST({lo} AS DOUBLE), 6) AS low, round(CAST({hi} AS DOUBLE), 6) AS high FROM cx", *_ALL) for k, (lo, hi) in _INTERVALS.items()]),
+    "attribution_table": _attribution(),
+    "attribution_contexts": _with(_BY_CONTEXT, *_recommended(), _RESEARCH),
+    "determinants": "SELECT determinant, first_binding, count(*) AS n FROM (" + _with(_BY_CONTEXT, *_recommended(), _RESEARCH) + ") GROUP BY 1, 2",
     "guardrail_ablation": _union([_with(f"SELECT '{i}_{_LAYERS[i - 1]}' AS layer, count(*) AS n, count(*) FILTER (WHERE decision <> 'KEEP_CURRENT') AS n_changes, round(avg(proposed_price), 6) AS mean_price, round(sum(profit_proposed), 6) AS profit FROM rec2", *_recommended(disabled=tuple(_LAYERS[i:]))) for i in range(1, 5)]),
     "elasticity_scenarios": _union([_with(f"SELECT {e}::DOUBLE AS elasticity, count(*) AS n, count(*) FILTER (WHERE decision <> 'KEEP_CURRENT') AS n_changes, round(avg(proposed_price / current_price - 1), 6) AS mean_change FROM rec2", *_recommended(eps=e)) for e in (-1.5, -1.9, -2.4, -3.1)]),
     "policy_totals": _with("""SELECT policy, n_contexts, round(revenue, 6) AS revenue, round(profit, 6) AS profit, round(profit / nullif(max(CASE WHEN policy = 'historical' THEN profit END) OVER (), 0) - 1, 6) AS profit_vs_historical FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricemill.config import Config
 from pricemill.functions.columns import arc_elasticity, best_price, price_change, r6
-from pricemill.operators import audit, cleaning, commercial, decisions, features, models, monitoring, policies, regression, series, service, studies
+from pricemill.operators import attribution, audit, cleaning, commercial, decisions, features, models, monitoring, policies, regression, series, service, studies
 from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
 
@@ -320,11 +320,30 @@ def reason_code_counts(spark, d):
     return _recommended(spark, d).select(F.explode("reason_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
+def _variants(spark, d):
+    return attribution.variants(contexts(spark, d), "standard", CONFIG)
+
+
 def constraint_attribution(spark, d):
-    found = decisions.attribution(contexts(spark, d), "standard", CONFIG)
-    base = found.where("left_out = 'baseline'").select("upc", "store", "week", F.col("proposed_price").alias("base_price"))
-    rows = found.join(base, KEYS).groupBy("left_out")
-    return _rounded(rows.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("proposed_price") - F.col("base_price")) > 1e-9).alias("n_changed"), F.avg("proposed_price").alias("mean_price")))
+    changed = F.abs(F.col("proposed_price") - F.col("baseline.proposed_price")) > 1e-9
+    return _rounded(_variants(spark, d).groupBy("left_out").agg(F.count("*").alias("n"), F.count_if(changed).alias("n_changed"), F.avg("proposed_price").alias("mean_price")))
+
+
+def constraint_intervals(spark, d):
+    cost = F.when(F.col("unit_cost") > 0, F.col("unit_cost"))
+    return _rounded(attribution.constraint_intervals(contexts(spark, d).withColumn("unit_cost", cost), CONFIG.policy("standard")))
+
+
+def attribution_table(spark, d):
+    return _rounded(attribution.constraint_table(attribution.by_constraint(_variants(spark, d), "standard", CONFIG)))
+
+
+def attribution_contexts(spark, d):
+    return _rounded(attribution.by_context(_variants(spark, d), "standard", CONFIG))
+
+
+def determinants(spark, d):
+    return attribution.by_context(_variants(spark, d), "standard", CONFIG).groupBy("determinant", "first_binding").agg(F.count("*").alias("n"))
 
 
 def rule_policies(spark, d):
@@ -492,7 +511,7 @@ product_roles store_dispersion price_variation_upc price_variation_series eligib
 series_age price_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
 loglog_upc_store_fe elasticity_by_upc shrinkage_weights robust_inference elasticity_with_controls forecast_metrics metrics_by_segment performance_by_quarter
 psi_by_feature ks_statistic alerts guardrail_bounds simulate_grid price_grid curve_diagnostics risk_levels recommendations decision_mix reason_code_counts
-constraint_attribution rule_policies policy_totals policy_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
+constraint_attribution constraint_intervals attribution_table attribution_contexts determinants rule_policies policy_totals policy_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
 episode_rank_correlation excluded_positions elasticity_windows elasticity_stability risk_bootstrap guardrail_ablation elasticity_scenarios recommendation_stability
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
