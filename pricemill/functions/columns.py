@@ -60,6 +60,14 @@ def best_price(cost: Column, elasticity: Column) -> Column:
     return F.when(elasticity < -1, cost * elasticity / (1 + elasticity)).when(elasticity >= -1, F.lit(float("inf")))
 
 
+def price_index(price: Column, reference: Column) -> Column:
+    return ratio(price, reference)
+
+
+def linear_revenue_price(a: Column, b: Column) -> Column:
+    return a / (2 * b)
+
+
 def linear_profit_price(a: Column, b: Column, cost: Column) -> Column:
     return (a + b * cost) / (2 * b)
 

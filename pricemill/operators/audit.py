@@ -34,3 +34,15 @@ def review_queue(log: DataFrame, transitions: DataFrame) -> DataFrame:
     """Rows whose state is not final."""
     final = [s for s, to in TRANSITIONS.items() if not to]
     return current_state(log, transitions).where(~F.col("state").isin(*final))
+
+
+TRANSITION = "transitioned_at_utc string, rec_id string, from_state string, to_state string, actor string, note string"
+
+
+def append_transition(log: DataFrame, transitions: DataFrame, rec_id: str, to_state: str, at: str, actor: str | None = None, note: str | None = None) -> DataFrame:
+    """The one row to append to the transitions: an unknown rec_id or a step that the states don't allow is an error."""
+    row = current_state(log.where(F.col("rec_id") == rec_id).select("rec_id"), transitions).first()
+    if row is None:
+        raise TransitionError(f"no recommendation {rec_id}")
+    check_transition(row["state"], to_state)
+    return log.sparkSession.createDataFrame([(at, rec_id, row["state"], to_state, actor, note)], TRANSITION)

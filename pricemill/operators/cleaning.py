@@ -61,9 +61,29 @@ def first_failed_rule(config: Config) -> Column:
 
 
 def exclusions(movement: DataFrame, config: Config | None = None) -> DataFrame:
-    """(rule, n_rows) of the rows each rule removes from those that earlier rules left; `kept` for the rest."""
+    """(rule, n_rows) of the rows each rule removes from those that earlier rules left; `exact_duplicate` for further
+    copies of a row, which count before all rules, and `kept` for the rest."""
     rule = F.coalesce(first_failed_rule(config or Config()), F.lit("kept"))
-    return movement.groupBy(rule.alias("rule")).agg(F.count("*").alias("n_rows"))
+    each = movement.groupBy(*movement.columns).agg(F.count("*").alias("__n"))
+    entries = F.array(F.struct(rule.alias("rule"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("exact_duplicate").alias("rule"), (F.col("__n") - 1).alias("n")))
+    return each.select(F.explode(entries).alias("e")).where("e.n > 0").groupBy("e.rule").agg(F.sum("e.n").alias("n_rows"))
+
+
+def raw_audit(movement: DataFrame) -> DataFrame:
+    """(measure, value) of raw movement: rows, nulls by column, exact copies, rows beyond one a grain, distinct keys,
+    the span of weeks, and rows by suspect flag and promotion code."""
+    one = movement.agg(
+        F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in movement.columns),
+        F.countDistinct("upc").alias("n_upc"), F.countDistinct("store").alias("n_store"), F.countDistinct("week").alias("n_week"), F.min("week").cast("long").alias("week_min"), F.max("week").cast("long").alias("week_max"),
+    )
+    extra = lambda cols, name: movement.groupBy(*cols).agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    one = one.crossJoin(extra(movement.columns, "exact_duplicates")).crossJoin(extra(GRAIN, "grain_duplicates"))
+    cells = ", ".join(f"'{c}', cast(`{c}` as bigint)" for c in one.columns)
+    long = one.selectExpr(f"stack({len(one.columns)}, {cells}) as (measure, value)")
+    for c in ("ok", "sale"):
+        name = F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+        long = long.unionByName(movement.groupBy(name.alias("measure")).agg(F.count("*").alias("value")))
+    return long
 
 
 def canonical(movement: DataFrame, products: DataFrame | None = None, config: Config | None = None) -> DataFrame:
@@ -74,7 +94,7 @@ def canonical(movement: DataFrame, products: DataFrame | None = None, config: Co
     order = Window.partitionBy(*GRAIN).orderBy("price", "qty", "move", "profit", "sale")
     one = valid.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
     out = with_flags(with_economics(with_calendar(with_promotion(one), config["data.week1_start_date"])))
-    if products is not None:
+    if products is not None:  # one row a product, so the join keeps the number of rows
         first = Window.partitionBy("upc").orderBy("descrip", "size", "com_code")
         products = products.where("upc is not null").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
         out = out.join(products.withColumn("has_metadata_flag", F.lit(1)), "upc", "left").fillna({"has_metadata_flag": 0})
@@ -91,7 +111,7 @@ def join_report(movement: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def validation(panel: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+def validation(panel: DataFrame, tolerance: float = 1e-6, dates: tuple[str, str] = ("1989-01-01", "2009-12-31")) -> DataFrame:
     """(check, value, passed): deviations from the defining formulas, ranges, uniqueness of the grain."""
     col = F.col
     worst = {
@@ -100,10 +120,14 @@ def validation(panel: DataFrame, tolerance: float = 1e-6) -> DataFrame:
         "gross_profit_formula": F.max(F.abs(col("gross_profit") - col("revenue") * col("gross_margin_rate"))),
         "unit_price_formula": F.max(F.abs(col("effective_unit_price") - col("price") / col("qty"))),
         "negative_units": F.count_if(col("move") < 0), "non_positive_price": F.count_if(col("effective_unit_price") <= 0), "null_keys": F.count_if(col("upc").isNull() | col("store").isNull() | col("week").isNull()),
-        "promotion_flag_range": F.count_if(~col("recorded_promotion_flag").isin(0, 1)),
+        "promotion_flag_range": F.count_if(~col("recorded_promotion_flag").isin(0, 1)), "margin_rate_formula": F.max(F.abs(col("gross_margin_rate") - col("profit") / 100)),
+        "non_positive_qty": F.count_if(col("qty") <= 0), "infinite_unit_price": F.count_if(F.abs(col("effective_unit_price")) == float("inf")),
+        "not_ok_rows": F.count_if(col("ok") != 1), "empty_panel": F.when(F.count("*") == 0, 1).otherwise(0),
+        "implausible_dates": F.count_if(~col("week_start_date").between(F.lit(dates[0]).cast("date"), F.lit(dates[1]).cast("date"))),
     }
     one = panel.agg(*(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in worst.items()))
     doubled = panel.groupBy(*GRAIN).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("double").alias("duplicate_grain"))
-    names = [*worst, "duplicate_grain"]
-    long = one.crossJoin(doubled).selectExpr(f"stack({len(names)}, {', '.join(f"'{n}', {n}" for n in names)}) as (check, value)")
+    many = panel.groupBy("week").agg(F.countDistinct("week_start_date").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("double").alias("dates_by_week"))
+    names = [*worst, "duplicate_grain", "dates_by_week"]
+    long = one.crossJoin(doubled).crossJoin(many).selectExpr(f"stack({len(names)}, {', '.join(f"'{n}', {n}" for n in names)}) as (check, value)")
     return long.select("check", F.round("value", 6).alias("value"), (F.col("value") <= tolerance).alias("passed"))

@@ -57,20 +57,23 @@ def training_rows(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["move", "lag_move_1", "lag_price_1"])
 
 
-def split_weeks(df: DataFrame, config: Config | None = None) -> tuple[int, int]:
-    """Last training and last validation week; the distinct weeks are a few hundred numbers."""
+def split_weeks(df: DataFrame, config: Config | None = None) -> DataFrame:
+    """One row: last_train and last_valid, the last weeks of the first two parts. The distinct weeks are a few hundred
+    numbers. A table of too few weeks raises an error when it is read."""
     config = config or Config()
-    weeks = sorted(r["week"] for r in df.select("week").distinct().collect())
-    train = int(len(weeks) * config["modeling.train_frac"])
-    valid = int(len(weeks) * (config["modeling.train_frac"] + config["modeling.valid_frac"]))
-    if not 0 < train < valid < len(weeks):
-        raise ValueError(f"{len(weeks)} weeks are too few to split")
-    return weeks[train - 1], weeks[valid - 1]
+    n, train = F.size("weeks"), config["modeling.train_frac"]
+    a, b = (F.floor(n * F.lit(x)).cast("int") for x in (train, train + config["modeling.valid_frac"]))
+    fits = (a > 0) & (a < b) & (b < n)
+    fail = F.raise_error(F.concat(n.cast("string"), F.lit(" weeks are too few to split"))).cast("long")
+    at = lambda i: F.when(fits, F.element_at("weeks", F.greatest(i, F.lit(1)))).otherwise(fail)
+    one = df.agg(F.array_sort(F.collect_set(F.col("week").cast("long"))).alias("weeks"))
+    return one.select(at(a).alias("last_train"), at(b).alias("last_valid"))
 
 
 def with_split(df: DataFrame, config: Config | None = None) -> DataFrame:
-    last_train, last_valid = split_weeks(df, config)
-    return df.withColumn("split", F.when(F.col("week") <= last_train, "train").when(F.col("week") <= last_valid, "valid").otherwise("test"))
+    cuts = split_weeks(df.select("week"), config).select(F.col("last_train").alias("__a"), F.col("last_valid").alias("__b"))
+    part = F.when(F.col("week") <= F.col("__a"), "train").when(F.col("week") <= F.col("__b"), "valid").otherwise("test")
+    return df.crossJoin(F.broadcast(cuts)).withColumn("split", part).drop("__a", "__b")
 
 
 def arc_pairs(panel: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Demand baselines, the ridge and Poisson models, and their metrics."""
+"""Demand baselines, the ridge and Poisson models, their metrics, and how a model is chosen and kept."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASELINES = ("last_week", "rolling_mean_4", "series_mean", "seasonal_naive")
@@ -46,27 +48,43 @@ def evaluate(forecasts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 _LOGGED = ["lag_move_1", "lag_move_2", "lag_move_3", "lag_move_4", "roll_mean_move_4", "roll_mean_move_8", "roll_mean_move_13", "roll_std_move_4"]
-_PLAIN = ["log_price", "price_vs_lag", "price_vs_reference", "price_vs_roll_mean", "recorded_promotion_flag", "lag_promotion_1", "sin_week", "cos_week", "series_age_weeks"]
+_PRIOR = "upc_demand_prior"
+_PLAIN = [_PRIOR, "package_size_oz", "log_price", "price_vs_lag", "price_vs_reference", "price_vs_roll_mean", "recorded_promotion_flag", "lag_promotion_1", "sin_week", "cos_week", "series_age_weeks"]
 _CATEGORIES = ["upc", "store"]
+#: What a model reads of a row, beside the demand prior, which it adds itself.
+MODEL_INPUTS = [*_LOGGED, *(c for c in _PLAIN if c != _PRIOR), *_CATEGORIES]
+#: Weight of the overall mean in a product's demand prior, in rows.
+PRIOR_ROWS = 50
+
+
+def demand_prior(train: DataFrame) -> DataFrame:
+    """(upc, upc_demand_prior): the mean of log1p units of a product, drawn to that of all rows."""
+    y = F.log1p("move")
+    overall = train.agg(F.avg(y).alias("__all"))
+    by = train.groupBy("upc").agg(F.sum(y).alias("__sum"), F.count("*").alias("__n")).join(F.broadcast(overall))
+    return by.select("upc", ((F.col("__sum") + PRIOR_ROWS * F.col("__all")) / (F.col("__n") + PRIOR_ROWS)).alias(_PRIOR))
 
 
 class DemandModel:
     """Demand from the features: a ridge on log1p units, or a Poisson regression with a log link.
 
     Numeric gaps take the training median and are scaled by the training mean and population standard
-    deviation; a level of a category that training has not seen adds nothing. Predictions lie between
-    0 and five times the largest training value.
+    deviation; a level of a category that training has not seen, or in fewer than min_frequency rows, adds
+    nothing. A product's demand prior is one of the numbers. Predictions lie between 0 and five times the
+    largest training value.
     """
 
-    def __init__(self, family: str = "ridge", alpha: float = 1.0):
+    def __init__(self, family: str = "ridge", alpha: float = 1.0, min_frequency: int = 50):
         if family not in ("ridge", "poisson"):
             raise ValueError(f"no model family {family}")
-        self.family, self.alpha = family, alpha
+        self.family, self.alpha, self.min_frequency = family, alpha, min_frequency
         self.pipeline: PipelineModel | None = None
+        self.prior: DataFrame | None = None
 
     def _prepared(self, df: DataFrame) -> DataFrame:
-        if missing := sorted({*_LOGGED, *_PLAIN, *_CATEGORIES} - set(df.columns)):
+        if missing := sorted(set(MODEL_INPUTS) - set(df.columns)):
             raise ValueError(f"the table lacks {', '.join(missing)}")
+        df = df.drop(_PRIOR).join(self.prior, "upc", "left").withColumn(_PRIOR, F.coalesce(_PRIOR, F.lit(self.overall)))
         logged = {c: F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in _LOGGED}
         plain = {c: F.col(c).cast("double") for c in _PLAIN}
         return df.withColumns({f"__{c}": v for c, v in (logged | plain).items()}).withColumns({f"__{c}": F.col(c).cast("string") for c in _CATEGORIES})
@@ -77,15 +95,20 @@ class DemandModel:
 
     def fit(self, train: DataFrame) -> DemandModel:
         numbers = [*_LOGGED, *_PLAIN]
+        self.prior, self.overall = demand_prior(train), train.agg(F.avg(F.log1p("move"))).first()[0]
         raw = self._prepared(train)
         medians = raw.agg(*(F.percentile(f"__{c}", F.lit(0.5)).alias(c) for c in numbers)).first()
         filled = raw.select(*(F.coalesce(F.col(f"__{c}"), F.lit(medians[c] or 0.0)).alias(c) for c in numbers), "move")
         stats = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in numbers), *(F.stddev_pop(c).alias(f"s_{c}") for c in numbers), F.count("*").alias("n"), F.max("move").alias("top")).first()
         self.scales = [(medians[c] or 0.0, stats[f"m_{c}"], stats[f"s_{c}"]) for c in numbers]
         self.top = 5 * stats["top"]
+        self.frequent = {}
+        for c in _CATEGORIES:  # levels with enough rows: at most rows / min_frequency of them
+            levels = train.groupBy(F.col(c).cast("string").alias("level")).agg(F.count("*").alias("n")).where(F.col("n") >= self.min_frequency)
+            self.frequent[c] = sorted(r["level"] for r in levels.collect() if r["level"] is not None)
         stages = [
-            StringIndexer(inputCols=[f"__{c}" for c in _CATEGORIES], outputCols=[f"__{c}_i" for c in _CATEGORIES], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"__{c}_i" for c in _CATEGORIES], outputCols=[f"__{c}_v" for c in _CATEGORIES], dropLast=False),
+            *(StringIndexerModel.from_labels(self.frequent[c] or [""], f"__{c}", f"__{c}_i", handleInvalid="keep") for c in _CATEGORIES),
+            OneHotEncoder(inputCols=[f"__{c}_i" for c in _CATEGORIES], outputCols=[f"__{c}_v" for c in _CATEGORIES], dropLast=True),
             VectorAssembler(inputCols=[*(f"__{c}" for c in numbers), *(f"__{c}_v" for c in _CATEGORIES)], outputCol="__x"),
         ]
         common = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__p"}
@@ -101,3 +124,34 @@ class DemandModel:
         out = self.pipeline.transform(self._scaled(df))
         value = F.expm1("__p") if self.family == "ridge" else F.col("__p")
         return out.select(*df.columns, F.least(F.greatest(value, F.lit(0.0)), F.lit(float(self.top))).alias(column))
+
+    def save(self, folder: str) -> None:
+        """The fitted pipeline, the priors and the numbers, below a folder that Spark reaches."""
+        spark = SparkSession.getActiveSession()
+        self.pipeline.write().overwrite().save(f"{folder}/pipeline")
+        self.prior.write.mode("overwrite").parquet(f"{folder}/prior")
+        facts = {"family": self.family, "alpha": self.alpha, "min_frequency": self.min_frequency, "scales": self.scales, "top": self.top, "overall": self.overall, "frequent": self.frequent}
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/facts")
+
+    @classmethod
+    def load(cls, folder: str) -> DemandModel:
+        spark = SparkSession.getActiveSession()
+        facts = json.loads(spark.read.text(f"{folder}/facts").first()["value"])
+        model = cls(facts["family"], facts["alpha"], facts["min_frequency"])
+        model.scales, model.top, model.overall, model.frequent = [tuple(x) for x in facts["scales"]], facts["top"], facts["overall"], facts["frequent"]
+        model.pipeline, model.prior = PipelineModel.load(f"{folder}/pipeline"), spark.read.parquet(f"{folder}/prior")
+        return model
+
+
+def scored_by(candidates: dict[str, DemandModel], rows: DataFrame) -> DataFrame:
+    """Metrics of each model over rows, by model."""
+    out = None
+    for name, model in candidates.items():
+        one = model.predict(rows).select(F.lit(name).alias("model"), F.col("move").alias("actual"), "predicted")
+        out = one if out is None else out.unionByName(one)
+    return evaluate(out, ["model"])
+
+
+def selected(metrics: DataFrame) -> str:
+    """The model with the least WAPE; of equal ones the first by name."""
+    return metrics.agg(F.min(F.struct("wape", "model")).alias("best")).first()["best"]["model"]

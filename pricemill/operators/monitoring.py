@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemill.config import Config
+from pricemill.functions.ranges import quantiles, running_totals
 
 from .models import metric_columns
 
@@ -19,8 +20,8 @@ def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int
     """Population stability index by feature, over bins between the reference's quantiles; 0 where fewer than
     three distinct edges remain. The edges are a few numbers a feature."""
     a, b = _long(reference, columns), _long(current, columns)
-    shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = a.groupBy("feature").agg(F.array_distinct(F.percentile("value", shares)).alias("edges"))
+    cuts = {f"q{i}": i / bins for i in range(bins + 1)}
+    edges = quantiles(a, "feature", "value", cuts).select("feature", F.array_distinct(F.array(*cuts)).alias("edges"))
     # a value's bin is the number of inner edges that it exceeds
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     bin_of = F.size(F.filter(inner, lambda e: F.col("value") > e))
@@ -36,10 +37,40 @@ def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFram
     """Two-sample Kolmogorov-Smirnov distance by feature; values are counted before the running sums."""
     both = _long(reference, columns).withColumn("side", F.lit(1)).unionByName(_long(current, columns).withColumn("side", F.lit(0)))
     counts = both.groupBy("feature", "value").agg(F.sum("side").alias("r"), F.sum(1 - F.col("side")).alias("c"))
-    upto = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("feature")
-    part = lambda c: F.sum(c).over(upto) / F.nullif(F.sum(c).over(whole), F.lit(0))
-    return counts.withColumn("gap", F.abs(part("r") - part("c"))).groupBy("feature").agg(F.max("gap").alias("ks"))
+    upto = running_totals(counts, F.col("value"), [F.col("value")], {"__r": F.col("r"), "__c": F.col("c")}, by=("feature",))
+    whole = counts.groupBy("feature").agg(F.sum("r").alias("__n"), F.sum("c").alias("__m"))
+    part = lambda c, n: F.col(c) / F.nullif(F.col(n), F.lit(0))
+    gap = F.abs(part("__r", "__n") - part("__c", "__m"))
+    return upto.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
+
+
+def feature_drift(reference: DataFrame, current: DataFrame, columns: list[str], config: Config | None = None, bins: int = 10) -> DataFrame:
+    """(feature, psi, ks, reference_mean, current_mean, band, drift_rank): rank 1 drifts most."""
+    mean = lambda df, name: _long(df, columns).groupBy("feature").agg(F.avg("value").alias(name))
+    out = psi(reference, current, columns, bins).join(ks(reference, current, columns), "feature").join(mean(reference, "reference_mean"), "feature").join(mean(current, "current_mean"), "feature")
+    rank = F.row_number().over(Window.orderBy(F.desc("psi"), "feature"))  # one row a feature
+    return out.withColumns({"band": band(F.col("psi"), config or Config()), "drift_rank": rank})
+
+
+def prediction_drift(reference: DataFrame, current: DataFrame, column: str, config: Config | None = None, bins: int = 10) -> DataFrame:
+    """feature_drift of predictions, with their 95th percentiles and shares of zero in both periods."""
+    out = feature_drift(reference, current, [column], config, bins)
+    for name, df in (("reference", reference), ("current", current)):
+        own = _long(df, [column])
+        high = quantiles(own, "feature", "value", {f"{name}_p95": 0.95})
+        zero = own.groupBy("feature").agg(F.avg((F.col("value") <= 0).cast("int")).alias(f"{name}_share_zero"))
+        out = out.join(high, "feature").join(zero, "feature")
+    return out
+
+
+def schema_check(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(column, found_type, passed, null_share) of each expected column and the type its name must begin with."""
+    found = dict(df.dtypes)
+    there = [c for c in expected if c in found]
+    rows = df.agg(F.count("*").alias("__n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in there))
+    share = lambda c: (F.col(c) / F.nullif("__n", F.lit(0))) if c in found else F.lit(None).cast("double")
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(found.get(c)).alias("found_type"), F.lit(found.get(c, "").startswith(t)).alias("passed"), share(c).alias("null_share")) for c, t in expected.items()]
+    return rows.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
 def band(value, config: Config):

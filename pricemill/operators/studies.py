@@ -3,8 +3,8 @@ windows, excluded weeks, guardrail layers and scenarios."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +55,7 @@ def score_episodes(episodes: DataFrame, elasticities: dict[str, Column]) -> Data
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the average rank of column among its values that are not null; values are counted first."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    ranked = running_totals(counts, [F.col(column)], {"__upto": F.col("__n")})
+    ranked = running_totals(counts, F.col(column), [F.col(column)], {"__upto": F.col("__n")})
     return df.join(ranked.select(column, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name)), column)
 
 
@@ -65,30 +65,44 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(F.corr("__ra", "__rb").alias("spearman"))
 
 
-def bootstrap_bands(rows: DataFrame, reps: int = 300, seed: int = 42) -> pd.DataFrame:
-    """(band, wape, low, high): 95 % intervals by resampling series. rows: upc, store, risk_level, actual,
-    predicted. Spark reduces to one row a series and band; the driver draws weights for those sums."""
-    by = rows.groupBy("upc", "store", "risk_level").agg(F.sum(F.abs(F.col("actual") - F.col("predicted"))).alias("err"), F.sum(F.abs("actual")).alias("act")).toPandas()
-    by = by.sort_values(["upc", "store", "risk_level"])
-    codes, names = pd.factorize(pd.MultiIndex.from_frame(by[["upc", "store"]]))
-    draws = np.random.default_rng(seed).multinomial(len(names), np.full(len(names), 1 / max(len(names), 1)), reps) if len(names) else np.zeros((reps, 0))
-    out = []
-    for band, own in by.assign(code=codes).groupby("risk_level"):
-        w = draws[:, own.code]
-        err, act = w @ own.err.to_numpy(float), w @ own.act.to_numpy(float)
-        low, high = np.nanpercentile(np.where(act > 0, err / np.where(act > 0, act, 1), np.nan), [2.5, 97.5])
-        out.append((band, float(own.err.sum() / own.act.sum()) if own.act.sum() else None, float(low), float(high)))
-    return pd.DataFrame(out, columns=["risk_level", "wape", "low", "high"])
-
-
-def window_slopes(rows: DataFrame, windows: dict[str, tuple[int, int]], key: str = "upc") -> DataFrame:
-    """(window, key, n_obs, estimate, std_error) of each window's own fits; rows have x and y."""
-    out = None
-    for name, (first, last) in windows.items():
-        own = regression.within(rows.where(F.col("week").between(first, last)), ["x", "y"], ["upc", "store"])
-        one = regression.slopes(own, key).select(F.lit(name).alias("window"), key, "n_obs", "estimate", "std_error")
-        out = one if out is None else out.unionByName(one)
-    return out
+def bootstrap_bands(rows: DataFrame, reps: int = 300, seed: int = 42) -> DataFrame:
+    """(risk_level, wape, low, high): 95 % intervals by resampling series. rows: upc, store, risk_level, actual,
+    predicted. Each repetition gives each series a Poisson weight of mean 1 from a keyed hash; rows are
+    summed by series first, and only the sums of (band, repetition) meet."""
+    by = rows.groupBy("upc", "store", "risk_level").agg(F.sum(F.abs(F.col("actual") - F.col("predicted"))).alias("err"), F.sum(F.abs("actual")).alias("act"))
+    upto, term, total = [], math.exp(-1), 0.0
+    for k in range(12):
+        total += term
+        upto.append(total)
+        term /= k + 1
+    drawn = (F.pmod(F.xxhash64(F.lit(seed), "rep", "upc", "store"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    weight = F.size(F.filter(F.array(*map(F.lit, upto)), lambda t: t < drawn))
+    drawn_rows = by.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", weight)
+    sums = drawn_rows.groupBy("risk_level", "rep").agg(F.sum(F.col("w") * F.col("err")).alias("e"), F.sum(F.col("w") * F.col("act")).alias("a"))
+    rate = F.col("e") / F.nullif("a", F.lit(0.0))
+    spread = sums.groupBy("risk_level").agg(F.percentile(rate, F.lit(0.025)).alias("low"), F.percentile(rate, F.lit(0.975)).alias("high"))
+    whole = by.groupBy("risk_level").agg((F.sum("err") / F.nullif(F.sum("act"), F.lit(0.0))).alias("wape"))
+    return whole.join(spread, "risk_level").select("risk_level", "wape", "low", "high")
+
+
+def stable_windows(df: DataFrame, parts: int = 3) -> DataFrame:
+    """(window, first_week, last_week): equal parts of the span of weeks."""
+    span = df.agg(F.min("week").alias("a"), F.max("week").alias("b"))
+    length = (F.col("b") - F.col("a") + 1) / parts
+    edge = lambda i: F.col("a") + F.floor(length * i)
+    cells = [F.struct(F.lit(f"W{i + 1}").alias("window"), edge(i).cast("long").alias("first_week"), (edge(i + 1) - 1).cast("long").alias("last_week")) for i in range(parts)]
+    return span.select(F.explode(F.array(*cells)).alias("w")).select("w.*")
+
+
+def window_slopes(rows: DataFrame, windows: DataFrame, key: str = "upc") -> DataFrame:
+    """(window, key, n_obs, estimate, std_error) of each window's own fits; rows have x and y. The windows (see
+    stable_windows) are few; a row goes with each that holds its week, and all are fitted in one pass."""
+    held = rows.join(F.broadcast(windows), F.col("week").between(F.col("first_week"), F.col("last_week")))
+    held = held.withColumn("__key", F.concat_ws("|", "window", F.col(key).cast("string")))
+    own = regression.within(held, ["x", "y"], ["window", "upc", "store"])
+    fits = regression.slopes(own.select("__key", "store", "week", "x", "y"), "__key")
+    kind = dict(rows.dtypes)[key]
+    return fits.select(F.substring_index("__key", "|", 1).alias("window"), F.substring_index("__key", "|", -1).cast(kind).alias(key), "n_obs", "estimate", "std_error")
 
 
 def stability(fits: DataFrame, key: str = "upc") -> DataFrame:
@@ -145,3 +159,55 @@ def week_to_week(recommendations: DataFrame) -> DataFrame:
 def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a keyed hash: the same rows on any cluster."""
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def poisoned(panel: DataFrame, since: Column) -> DataFrame:
+    """The panel with absurd costs from a week on."""
+    late = F.col("week") >= since
+    wrong = {"estimated_unit_aac": 999.0, "gross_margin_rate": -9.0, "gross_profit": -12345.0}
+    return panel.withColumns({c: F.when(late, F.lit(v)).otherwise(F.col(c)) for c, v in wrong.items() if c in panel.columns})
+
+
+def cost_leakage(panel: DataFrame, build, column: str = "decision_time_unit_cost") -> DataFrame:
+    """One row: build (panel -> features) is run on the panel and on one with poisoned costs in the last two weeks. What a
+    decision knows of costs must not change up to the first poisoned week, and must change in the week after it."""
+    last = panel.agg(F.max("week").alias("__last"))
+    marked = panel.crossJoin(F.broadcast(last))
+    since = F.col("__last") - 1
+    keys = ["upc", "store", "week"]
+    a = build(marked).select(*keys, "__last", F.col(column).alias("clean"))
+    b = build(poisoned(marked, since)).select(*keys, F.col(column).alias("wrong"))
+    both, same = a.join(b, keys), F.col("clean").eqNullSafe(F.col("wrong"))
+    early = F.col("week") <= since
+    return both.agg(
+        F.count_if(early).alias("n_early"), F.count_if(early & ~same).alias("n_leaked"), F.count_if(~early).alias("n_late"), F.count_if(~early & ~same).alias("n_reacting"),
+    )
+
+
+def zero_prices(movement: DataFrame) -> DataFrame:
+    """(upc, n_rows, n_zero, n_zero_sold, share_zero, first_zero_week, last_zero_week) of rows without a positive price."""
+    zero = F.coalesce(F.col("price") <= 0, F.lit(True))
+    by = movement.groupBy("upc").agg(
+        F.count("*").alias("n_rows"), F.count_if(zero).alias("n_zero"), F.count_if(zero & (F.col("move") > 0)).alias("n_zero_sold"),
+        F.min(F.when(zero, F.col("week"))).alias("first_zero_week"), F.max(F.when(zero, F.col("week"))).alias("last_zero_week"),
+    )
+    return by.withColumn("share_zero", F.col("n_zero") / F.col("n_rows"))
+
+
+def recovered(spec_rows: DataFrame, table, known: DataFrame) -> DataFrame:
+    """One row: how well an elasticity table finds the known elasticities (upc, true_elasticity) again: the error of the
+    pooled slope against their mean by rows, and of the products' own and shrunk slopes."""
+    weights = spec_rows.groupBy("upc").agg(F.count("*").alias("n")).join(known, "upc")
+    mean = weights.agg((F.sum(F.col("n") * F.col("true_elasticity")) / F.sum("n")).alias("true_mean"))
+    errors = table.products.join(known, "upc").agg(
+        F.count("*").alias("n_products"), F.avg(F.abs(F.col("estimate") - F.col("true_elasticity"))).alias("mae_raw"), F.avg(F.abs(F.col("elasticity_final") - F.col("true_elasticity"))).alias("mae_final"),
+        F.avg(F.col("true_elasticity").between(F.col("ci_low"), F.col("ci_high")).cast("int")).alias("coverage"), F.count_if("usable").alias("n_usable"),
+    )
+    return mean.crossJoin(errors).withColumn("pooled_error", F.lit(float(table.facts["pooled"])) - F.col("true_mean"))
+
+
+def tiled(contexts: DataFrame, times: int) -> DataFrame:
+    """contexts as many times over, the copies told apart by store, to see how the decision scales."""
+    step = contexts.agg((F.max("store") + 1).alias("__step"))
+    copies = contexts.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).crossJoin(F.broadcast(step))
+    return copies.withColumn("store", F.col("store") + F.col("__i") * F.col("__step")).select(*contexts.columns)

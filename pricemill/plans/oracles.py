@@ -274,9 +274,11 @@ SQL = {
     "serving_slice": _with(f"SELECT upc, store, week, round(p, 6) AS effective_unit_price, {_r('lag_price_1')} FROM ft WHERE week > (SELECT max(week) FROM pn) - 8 AND lag_move_1 IS NOT NULL AND lag_price_1 IS NOT NULL", _FEATURES),
     "portfolio_summary": _with("SELECT count(*) AS n_contexts, count(*) FILTER (WHERE outcome = 'change') AS n_change, count(*) FILTER (WHERE outcome = 'review') AS n_review, count(*) FILTER (WHERE outcome NOT IN ('change', 'review')) AS n_keep, round(coalesce(sum(CASE WHEN outcome = 'change' THEN profit_proposed - profit_current END), 0.0), 6) AS model_internal_gain, round(avg(CASE WHEN outcome = 'change' THEN recommended_price / current_price - 1 END), 6) AS mean_change FROM rec2", *_recommended()),
     "validation_checks": _with("""SELECT name AS "check", round(value, 6) AS value, value <= 1e-6 AS passed FROM (SELECT
-      unnest(['revenue_formula', 'aac_formula', 'gross_profit_formula', 'unit_price_formula', 'negative_units', 'non_positive_price', 'null_keys', 'promotion_flag_range', 'duplicate_grain']) AS name,
+      unnest(['revenue_formula', 'aac_formula', 'gross_profit_formula', 'unit_price_formula', 'negative_units', 'non_positive_price', 'null_keys', 'promotion_flag_range', 'duplicate_grain',
+        'margin_rate_formula', 'non_positive_qty', 'infinite_unit_price', 'not_ok_rows', 'empty_panel', 'implausible_dates', 'dates_by_week']) AS name,
       unnest([max(abs(revenue - p * move)), max(abs(aac - p * (1 - rate))), max(abs(gp - revenue * rate)), 0.0::DOUBLE, count(*) FILTER (WHERE move < 0), count(*) FILTER (WHERE p <= 0),
-        count(*) FILTER (WHERE upc IS NULL OR store IS NULL OR week IS NULL), count(*) FILTER (WHERE promo NOT IN (0, 1)), count(*) - count(DISTINCT (upc, store, week))]) AS value FROM pn)"""),
+        count(*) FILTER (WHERE upc IS NULL OR store IS NULL OR week IS NULL), count(*) FILTER (WHERE promo NOT IN (0, 1)), count(*) - count(DISTINCT (upc, store, week)),
+        0, 0, 0, 0, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END, count(*) FILTER (WHERE day NOT BETWEEN DATE '1989-01-01' AND DATE '2009-12-31'), count(DISTINCT (week, day)) - count(DISTINCT week)]) AS value FROM pn)"""),
     "explained_codes": "SELECT code, explanation, n FROM (" + _with("SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM rec2) GROUP BY code", *_recommended()) + ") JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in EXPLANATIONS.items()) + ") AS v(c, explanation) ON c = code",
     "review_queue": _with("SELECT CASE decision WHEN 'RECOMMEND_CHANGE' THEN 'REVIEWED' ELSE 'GENERATED' END AS state, decision, count(*) AS n FROM rec2 WHERE decision <> 'KEEP_CURRENT' GROUP BY 1, 2", *_recommended()),
     "panel_canonical": _with(f"SELECT upc, store, week, {_r('move')}, round(p, 6) AS effective_unit_price, {_r('revenue')}, round(rate, 6) AS gross_margin_rate, round(aac, 6) AS estimated_unit_aac, round(gp, 6) AS gross_profit, CAST(promo AS BIGINT) AS recorded_promotion_flag, promo_type AS recorded_promotion_type, year(day) AS year, month(day) AS month, quarter(day) AS quarter, week(day) AS week_of_year FROM pn"),
@@ -299,7 +301,7 @@ SQL = {
     "price_features": _with("SELECT upc, store, week, round(ln(p), 6) AS log_price, round(p / lag_price_1 - 1, 6) + 0.0::DOUBLE AS price_vs_lag, round(p / series_reference_price - 1, 6) + 0.0::DOUBLE AS price_vs_reference, round(p / roll_mean_price_4 - 1, 6) + 0.0::DOUBLE AS price_vs_roll_mean FROM ft", _FEATURES),
     "temporal_split_counts": _with("SELECT split, count(*) AS n_rows, min(week) AS first_week, max(week) AS last_week FROM pn JOIN sp USING (week) GROUP BY split", _SPLIT),
     "arc_pairs": _with("SELECT upc, store, week, round(arc, 6) + 0.0::DOUBLE AS arc FROM ar", _ARC),
-    "arc_summary": _with("SELECT count(*) AS n, round(quantile_cont(arc, 0.25), 6) AS p25, round(quantile_cont(arc, 0.5), 6) AS median, round(quantile_cont(arc, 0.75), 6) AS p75, round(avg(CASE WHEN arc < 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_negative FROM ar", _ARC),
+    "arc_summary": _with("SELECT count(*) AS n, round(quantile_cont(arc, 0.25), 6) AS p25, round(quantile_cont(arc, 0.5), 6) AS median, round(quantile_cont(arc, 0.75), 6) AS p75, round(avg(arc) FILTER (WHERE arc BETWEEN lo AND hi), 6) AS trimmed_mean, round(avg(CASE WHEN arc < 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_negative FROM ar, (SELECT quantile_cont(arc, 0.01) AS lo, quantile_cont(arc, 0.99) AS hi FROM ar)", _ARC),
     "price_change_events": _with("SELECT upc, count(*) AS n_pairs, count(*) FILTER (WHERE abs(p / pp - 1) > 1e-9) AS n_changes, count(*) FILTER (WHERE abs(p / pp - 1) > 0.5) AS n_jumps, round(avg(CASE WHEN p / pp - 1 < 0 THEN move / nullif(pm, 0) - 1 END), 6) AS units_after_cut FROM nx WHERE pp > 0 GROUP BY upc", _ARC),
     "episodes": _with("SELECT upc, store, week, round(pp, 6) AS prev_price, round(p, 6) AS effective_unit_price, round(pm, 6) AS prev_move, round(move, 6) AS move, round(p / pp - 1, 6) AS change FROM nx WHERE pp > 0 AND p > 0 AND pm > 0 AND move > 0 AND abs(p / pp - 1) BETWEEN 0.05 AND 0.60", _ARC),
     "history_stats_pit": _with("SELECT upc, store, week, count(p) OVER past AS hist_n_obs, coalesce(CAST(sum(f) OVER past AS BIGINT), 0) AS hist_n_prices, round(avg(p) OVER past, 10) AS hist_mean, round(stddev_samp(p) OVER past, 6) AS hist_std, round(min(p) OVER past, 6) AS hist_min, round(max(p) OVER past, 6) AS hist_max FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY upc, store, p ORDER BY week) = 1 THEN 1 ELSE 0 END AS f FROM pn) WINDOW past AS (PARTITION BY upc, store ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
@@ -319,9 +321,9 @@ SQL = {
         SELECT feature, value, count(*) FILTER (WHERE split = 'train') AS r, count(*) FILTER (WHERE split = 'test') AS c FROM lv GROUP BY feature, value)) GROUP BY feature""", _FEATURES, _SPLIT, _LONG),
     "guardrail_bounds": _with(f"SELECT upc, store, week, {_r('low', 'high')}, array_to_string(binding, '|') AS binding FROM b3", *_ALL, _FREE),
     "simulate_grid": _with("SELECT upc, store, week, round(price, 6) AS price, round(units, 6) AS units, round(value, 6) AS profit FROM sm", *_ALL, _FREE),
-    "price_grid": _with("SELECT upc, store, week, n_prices, round(lowest, 6) AS lowest, round(highest, 6) AS highest FROM (SELECT b3.upc, b3.store, b3.week, count(price) AS n_prices, min(price) AS lowest, max(price) AS highest FROM b3 LEFT JOIN gr USING (upc, store, week) WHERE high >= low GROUP BY ALL)", *_ALL, _FREE),
-    "curve_diagnostics": _with("""SELECT upc, store, week, round(count(*) FILTER (WHERE step > 1e-9) / nullif(count(step), 0), 6) AS share_rising, coalesce(bool_and(step <= 1e-9), true) AS monotone,
-      round((max(units) - min(units)) / nullif(max(units), 0), 6) AS relative_span, (max(units) - min(units)) / nullif(max(units), 0) < 0.01 AS flat FROM (SELECT *, units - lag(units) OVER (PARTITION BY upc, store, week ORDER BY price) AS step FROM sm) GROUP BY upc, store, week""", *_ALL, _FREE),
+    "price_grid": _with("SELECT upc, store, week, n_prices, round(lowest, 6) AS lowest, round(highest, 6) AS highest FROM (SELECT b3.upc, b3.store, b3.week, count(price) AS n_prices, min(price) AS lowest, max(price) AS highest FROM b3 LEFT JOIN gr USING (upc, store, week) GROUP BY ALL)", *_ALL, _FREE),
+    "curve_diagnostics": _with("""SELECT upc, store, week, count(price) AS n_candidates, CASE WHEN bool_or(high >= low) THEN round(count(*) FILTER (WHERE step > 1e-9) / nullif(count(step), 0), 6) END AS share_rising, CASE WHEN bool_or(high >= low) THEN coalesce(bool_and(step <= 1e-9), true) END AS monotone,
+      round((max(units) - min(units)) / nullif(max(units), 0), 6) AS relative_span, (max(units) - min(units)) / nullif(max(units), 0) < 0.01 AS flat FROM (SELECT b3.upc, b3.store, b3.week, low, high, sm.price, units, units - lag(units) OVER (PARTITION BY b3.upc, b3.store, b3.week ORDER BY sm.price) AS step FROM b3 LEFT JOIN sm USING (upc, store, week)) GROUP BY upc, store, week""", *_ALL, _FREE),
     "risk_levels": _with("SELECT upc, store, week, risk AS risk_level FROM rl", *_ALL),
     "recommendations": _with(f"SELECT upc, store, week, decision, risk_level, {_r('current_price', 'proposed_price', 'recommended_price')}, n_candidates, {_r('units_current', 'units_proposed', 'profit_current', 'profit_proposed')}, round(CASE WHEN outcome = 'change' THEN (profit_proposed - profit_current) / nullif(abs(profit_current), 0) ELSE 0 END, 6) AS realisable_uplift, array_to_string(codes, '|') AS reason_codes FROM rec2", *_recommended()),
     "reason_code_counts": _with("SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM rec2) GROUP BY code", *_recommended()),
@@ -339,3 +341,174 @@ SQL = {
       SELECT week, ok, min(CASE WHEN ok = 1 THEN week END) OVER s AS f, max(CASE WHEN ok = 1 THEN week END) OVER s AS l FROM mv WINDOW s AS (PARTITION BY upc, store)) WHERE ok = 0 GROUP BY 1"""),
     "latest_state": _with("SELECT upc, store, week, round(move, 6) AS move, round(p, 6) AS effective_unit_price FROM (SELECT *, row_number() OVER (PARTITION BY upc, store ORDER BY week DESC) AS n FROM pn) WHERE n = 1"),
 }
+
+
+_TRAIN = _SPLIT + ", tn AS (SELECT pn.* FROM pn JOIN sp USING (week) WHERE split = 'train')"
+_MOVED = "*, CASE WHEN discount >= 0.08 THEN 'B' WHEN discount >= 0.06 THEN 'S' END AS sale, 1.0 AS qty"
+_COLUMNS = ("upc", "store", "week", "move", "qty", "price", "sale", "profit", "ok")
+_FORECASTS = _BASE.split(",\nfc AS")[0]
+_ROLES = """,
+rc AS (SELECT upc, sum(move) AS units, sum(revenue) AS revenue, sum(gp) AS gp, count(DISTINCT store) AS stores FROM pn WHERE week > (SELECT max(week) FROM pn) - 52 GROUP BY upc),
+al AS (SELECT count(DISTINCT store) AS ns, (SELECT sum(revenue) FROM rc) AS nr, (SELECT count(*) FROM rc) AS np FROM pn WHERE week > (SELECT max(week) FROM pn) - 52),
+rk1 AS (
+  SELECT rc.*, -(1.5::DOUBLE + upc % 10 / 10.0::DOUBLE) AS elasticity, gp / nullif(revenue, 0) AS rate, stores / ns AS coverage, row_number() OVER (ORDER BY units DESC, upc) / np AS rank_share,
+         (sum(revenue) OVER (ORDER BY revenue DESC, upc ROWS UNBOUNDED PRECEDING) - revenue) / nr AS before FROM rc, al),
+rk2 AS (SELECT *, CASE WHEN rank_share <= 0.2 AND coverage >= 0.75 THEN 'traffic driver' WHEN before >= 1 - 0.05 THEN 'tail' ELSE 'rest' END AS kind FROM rk1),
+pro AS (
+  SELECT upc, units, revenue, rate, coverage, elasticity, CASE WHEN kind <> 'rest' THEN kind WHEN rate > mr AND abs(elasticity) < me THEN 'margin builder' ELSE 'core' END AS role
+  FROM rk2, (SELECT quantile_cont(rate, 0.5) AS mr, quantile_cont(abs(elasticity), 0.5) AS me FROM rk2 WHERE kind = 'rest'))"""
+_GAINED = """,
+rr AS (SELECT r.*, coalesce(role, 'tail') AS role, (current_price - unit_cost) * base_units AS base FROM rec2 r LEFT JOIN pro USING (upc)),
+gn AS (
+  SELECT *, (recommended_price - unit_cost) * greatest(base_units * pow(recommended_price / current_price, -2.0), 0) - base AS gain,
+         CASE WHEN role = 'traffic driver' THEN least(recommended_price, current_price * 1.02) ELSE recommended_price END AS capped_price FROM rr)"""
+_DRIFTED = """,
+de AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM lv WHERE split = 'train' GROUP BY feature),
+ds AS (
+  SELECT feature, round(CASE WHEN max(ne) >= 3 THEN sum((c - r) * ln(c / r)) ELSE 0 END, 6) AS psi FROM (
+    SELECT feature, ne, greatest(c / sum(c) OVER (PARTITION BY feature), 1e-6) AS c, greatest(r / sum(r) OVER (PARTITION BY feature), 1e-6) AS r FROM (
+      SELECT feature, len(list_filter(e[2:len(e) - 1], lambda x: value > x)) AS bin, len(e) AS ne, count(*) FILTER (WHERE split = 'train') AS r, count(*) FILTER (WHERE split = 'test') AS c
+      FROM lv JOIN de USING (feature) GROUP BY ALL)) GROUP BY feature),
+dk AS (
+  SELECT feature, round(max(abs(a - b)), 6) AS ks FROM (
+    SELECT feature, sum(r) OVER o / sum(r) OVER w AS a, sum(c) OVER o / sum(c) OVER w AS b FROM (
+      SELECT feature, value, count(*) FILTER (WHERE split = 'train') AS r, count(*) FILTER (WHERE split = 'test') AS c FROM lv GROUP BY feature, value)
+    WINDOW o AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY feature)) GROUP BY feature),
+dm AS (SELECT feature, round(avg(value) FILTER (WHERE split = 'train'), 6) AS reference_mean, round(avg(value) FILTER (WHERE split = 'test'), 6) AS current_mean FROM lv GROUP BY feature),
+dr AS (SELECT *, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'large' END AS band FROM ds JOIN dk USING (feature) JOIN dm USING (feature))"""
+_PREDICTED = """,
+pq AS (SELECT t.*, split FROM ft t JOIN sp USING (week) WHERE move IS NOT NULL AND lag_move_1 IS NOT NULL AND lag_price_1 IS NOT NULL AND split <> 'valid'),
+lv AS (SELECT split, 'predicted' AS feature, greatest(coalesce(roll_mean_move_4, lag_move_1), 0) AS value FROM pq)"""
+_SWEEP = """,
+sg AS (
+  SELECT DISTINCT upc, store, week, current_price, unit_cost, base_units, price_min, price_max, floor(raw * 100 + 0.5) / 100.0::DOUBLE AS price FROM (
+    SELECT *, unnest(list_transform(range(0, 25), lambda i: current_price * (0.7::DOUBLE + i * (0.6::DOUBLE / 24)))) AS raw FROM cx)),
+sv AS (SELECT *, greatest(base_units * pow(price / current_price, -2.0), 0.0) AS units FROM sg WHERE price > 0),
+sl AS (
+  SELECT *, (ln(units + 1e-9) - ln(lag(units) OVER w + 1e-9)) / nullif(ln(price) - ln(lag(price) OVER w), 0) AS local, units - lag(units) OVER w AS step
+  FROM sv WINDOW w AS (PARTITION BY upc, store, week ORDER BY price)),
+sw AS (
+  SELECT upc, store, week, any_value(current_price) AS current_price, arg_max(price, struct_pack(a := (price - unit_cost) * units, b := -price)) FILTER (WHERE unit_cost IS NOT NULL) AS profit_optimum,
+         arg_max(price, struct_pack(a := price * units, b := -price)) AS revenue_optimum, coalesce(bool_and(step <= 1e-9), true) AS monotone, count(*) FILTER (WHERE step > 1e-9) AS rises,
+         min(price) < any_value(price_min) AS low_outside, max(price) > any_value(price_max) AS high_outside, quantile_cont(local, 0.5) AS local_elasticity,
+         (max(units) - min(units)) / nullif(max(units), 0) AS span FROM sl GROUP BY upc, store, week)"""
+_ALERTED = """SELECT 'psi' AS kind, feature AS subject, psi AS value, 0.01::DOUBLE AS threshold FROM ds WHERE psi >= 0.01 UNION ALL
+  SELECT kind, period, value, threshold FROM (
+    SELECT period, unnest(['wape', 'bias']) AS kind, unnest([wape, abs(bias)]) AS value, unnest([0.2::DOUBLE, 1.0::DOUBLE]) AS threshold
+    FROM (SELECT year(day) || 'Q' || quarter(day) AS period, """ + _METRICS + """ FROM lf WHERE model = 'rolling_mean_4' GROUP BY 1)) WHERE value >= threshold"""
+_TOO_FEW = "n_obs < 200 OR n_distinct_prices < 10"
+_CATEGORY = """,
+cl AS (SELECT *, CAST(floor(upc / 10.0) AS BIGINT) AS category FROM pn),
+cw AS (SELECT CAST(floor(upc / 10.0) AS BIGINT) AS category, sum(x * y) / sum(x * x) AS slope FROM wi GROUP BY 1)"""
+_CODES = ["INSUFFICIENT_HISTORY", "INSUFFICIENT_PRICE_VARIATION", "MEDIUM_RISK_CONSERVATIVE", "PRICE_CHANGE_LIMIT", "MARGIN_CONSTRAINT", "KEEP_CURRENT_OPTIMAL"]
+
+_HISTORY = """,
+hs AS (
+  SELECT upc, store, week, count(p) OVER past AS n_obs, coalesce(CAST(sum(f) OVER past AS BIGINT), 0) AS n_distinct_prices, stddev_samp(p) OVER past / nullif(avg(p) OVER past, 0) AS price_cv, min(p) OVER past AS price_min, max(p) OVER past AS price_max
+  FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY upc, store, p ORDER BY week) = 1 THEN 1 ELSE 0 END AS f FROM pn)
+  WINDOW past AS (PARTITION BY upc, store ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cx AS (
+  SELECT upc, store, week, lag_price_1 AS current_price, CASE WHEN decision_time_unit_cost > 0 THEN decision_time_unit_cost END AS unit_cost, coalesce(roll_mean_move_4, lag_move_1, 0.0) AS base_units, n_obs, n_distinct_prices, price_cv, price_min, price_max
+  FROM ft JOIN hs USING (upc, store, week) WHERE week > (SELECT max(week) FROM pn) - 10 AND lag_price_1 IS NOT NULL),
+rl AS (
+  SELECT *, CASE WHEN n_obs >= 150 AND n_distinct_prices >= 15 AND away <= 0.02 THEN 'LOW' WHEN n_obs >= 80 AND n_distinct_prices >= 8 AND away <= 0.05 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM (
+    SELECT *, CASE WHEN current_price < price_min THEN (price_min - current_price) / price_min WHEN current_price > price_max THEN (current_price - price_max) / price_max ELSE 0 END AS away FROM cx))"""
+_WINDOWED = """,
+ws AS (SELECT min(week) AS a, (max(week) - min(week) + 1) / 3.0::DOUBLE AS len FROM ll),
+lw AS (SELECT 'W' || i AS wn, l.* FROM ll l, ws, (SELECT unnest([1, 2, 3]) AS i) WHERE week BETWEEN a + floor(len * (i - 1)) AND a + floor(len * i) - 1),
+wi AS (SELECT wn, upc, store, week, x - avg(x) OVER s AS x, y - avg(y) OVER s AS y FROM lw WINDOW s AS (PARTITION BY wn, upc, store))""" + _SLOPES.replace("upc", "wn, upc").replace("USING (wn, upc)", "USING (wn, upc)").replace("SELECT wn, upc, count(*) AS g, sum(s * s) AS m FROM (SELECT wn, upc, store,", "SELECT wn, upc, count(*) AS g, sum(s * s) AS m FROM (SELECT wn, upc, store,")
+# Targets of the rule-only policies.
+_RULES = {
+    "R0_keep": "current_price", "R1_hold_margin": "unit_cost / (1 - least(greatest(median_margin, 0.0), 0.8))", "R2_cost_plus": "unit_cost * 1.25", "R3_modal_price": "modal_price", "R4_max_increase": "current_price * 10.0",
+}
+
+
+def _backtested() -> tuple[str, ...]:
+    return (_FEATURES, _HISTORY, _bounds(), _decided())
+
+
+def _ruled(target: str) -> tuple[str, ...]:
+    """Decisions that move to a target, kept within the bounds, instead of to the best price."""
+    bounds = _bounds()
+    begin, end = bounds.index("gr AS ("), bounds.index("sm AS (")
+    grid = f"""gr AS (
+  SELECT DISTINCT upc, store, week, price FROM (
+    SELECT upc, store, week, unnest([round_even(least(greatest({target}, low), high) / 0.01, 0) * 0.01, least(greatest(current_price, low), high)]) AS price FROM b3 JOIN mg USING (upc, store) WHERE high >= low)
+  WHERE price IS NOT NULL),
+"""
+    own = bounds[:begin] + grid + bounds[end:]
+    decided = _decided().replace("arg_max(struct_pack(price := price, units := units, value := value), struct_pack(a := value, b := -price)) AS best", f"arg_min(struct_pack(price := price, units := units, value := value), struct_pack(a := abs(price - least(greatest({target}, low), high)), b := price)) AS best")
+    decided = decided.replace("FROM sm WHERE value IS NOT NULL GROUP BY upc, store, week)", "FROM (SELECT sm.*, low, high, unit_cost, median_margin, modal_price FROM sm JOIN b3 USING (upc, store, week) JOIN mg USING (upc, store)) GROUP BY upc, store, week)")
+    decided = decided.replace("WHEN uplift IS NULL OR uplift < 0.01 THEN 'small'", "WHEN abs(change) < 0.01 THEN 'small'")
+    margins = """, mo AS (SELECT upc, store, arg_max(price, struct_pack(n := n, q := -price)) AS modal_price FROM (SELECT upc, store, round(p, 2) AS price, count(*) AS n FROM pn GROUP BY 1, 2, 3) GROUP BY 1, 2),
+mg AS (SELECT mo.*, median_margin FROM mo JOIN (SELECT upc, store, quantile_cont(rate, 0.5) AS median_margin FROM pn GROUP BY 1, 2) USING (upc, store))"""
+    return (*_ALL, margins, own, decided)
+
+
+SQL |= {
+    "raw_audit": _with(
+        f"SELECT * FROM (UNPIVOT (SELECT count(*) AS rows, {', '.join(f'count(*) FILTER (WHERE {c} IS NULL) AS null_{c}' for c in _COLUMNS)}, count(DISTINCT upc) AS n_upc, count(DISTINCT store) AS n_store, "
+        f"count(DISTINCT week) AS n_week, min(week) AS week_min, max(week) AS week_max, count(*) - count(DISTINCT ({', '.join(_COLUMNS)})) AS exact_duplicates, count(*) - count(DISTINCT (upc, store, week)) AS grain_duplicates "
+        f"FROM (SELECT {_MOVED} FROM mv)) ON COLUMNS(*) INTO NAME measure VALUE value) UNION ALL SELECT 'ok=' || ok, count(*) FROM mv GROUP BY 1 UNION ALL SELECT 'sale=' || coalesce(sale, 'null'), count(*) FROM (SELECT {_MOVED} FROM mv) GROUP BY 1"
+    ),
+    "demand_prior": _with("SELECT upc, round((sum(ln(1 + move)) + 50 * any_value(g)) / (count(*) + 50), 6) AS upc_demand_prior FROM tn, (SELECT avg(ln(1 + move)) AS g FROM tn) GROUP BY upc", _TRAIN),
+    "product_history": _with(
+        f"SELECT *, {_TOO_FEW} AS too_little FROM (SELECT upc, count(*) AS n_obs, count(DISTINCT p) AS n_distinct_prices, count(DISTINCT store) AS n_stores, count(DISTINCT week) AS n_weeks, "
+        "round(stddev_samp(p) / avg(p), 6) AS price_cv, round(min(p), 6) AS price_min, round(max(p), 6) AS price_max FROM tn WHERE p > 0 AND move > 0 GROUP BY upc)", _TRAIN,
+    ),
+    "promotion_risk": _with(
+        "SELECT CASE WHEN n_obs >= 150 AND n_distinct_prices >= 15 AND share <= 0.5 THEN 'LOW' WHEN (n_obs >= 150 AND n_distinct_prices >= 15) OR (n_obs >= 80 AND n_distinct_prices >= 8) THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level, "
+        "share > 0.5 AS promoted, count(*) AS n FROM cx JOIN (SELECT upc, store, avg(promo) AS share FROM pn GROUP BY upc, store) USING (upc, store) GROUP BY 1, 2", *_ALL,
+    ),
+    "feature_drift": _with("SELECT *, row_number() OVER (ORDER BY psi DESC, feature) AS drift_rank FROM dr", _FEATURES, _SPLIT, _LONG, _DRIFTED),
+    "prediction_drift": _with(
+        "SELECT dr.*, reference_p95, current_p95, reference_share_zero, current_share_zero FROM dr JOIN (SELECT feature, round(quantile_cont(CASE WHEN split = 'train' THEN value END, 0.95), 6) AS reference_p95, "
+        "round(quantile_cont(CASE WHEN split = 'test' THEN value END, 0.95), 6) AS current_p95, round(avg(CASE WHEN value <= 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE split = 'train'), 6) AS reference_share_zero, "
+        "round(avg(CASE WHEN value <= 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE split = 'test'), 6) AS current_share_zero FROM lv GROUP BY feature) USING (feature)", _FEATURES, _SPLIT, _PREDICTED, _DRIFTED,
+    ),
+    "schema_checks": _with("""SELECT "column", found_type, passed, null_share FROM (SELECT unnest(['upc', 'store', 'week', 'move', 'effective_unit_price', 'package']) AS "column",
+      unnest(['bigint', 'bigint', 'bigint', 'double', 'double', NULL]) AS found_type, unnest([true, true, true, true, true, false]) AS passed,
+      unnest([count(*) FILTER (WHERE upc IS NULL) / count(*), count(*) FILTER (WHERE store IS NULL) / count(*), count(*) FILTER (WHERE week IS NULL) / count(*), count(*) FILTER (WHERE move IS NULL) / count(*), count(*) FILTER (WHERE p IS NULL) / count(*), NULL]) AS null_share FROM pn)"""),
+    "strict_alerts": _with(_ALERTED, _FEATURES, _SPLIT, _LONG, _DRIFTED, _BASE),
+    "alerts": _with(_ALERTED.replace("0.01", "0.25").replace("0.2::", "0.7::").replace("1.0::DOUBLE]", "10.0::DOUBLE]"), _FEATURES, _SPLIT, _LONG, _DRIFTED, _BASE),
+    "refitted_baselines": _with(f"SELECT model, {_METRICS} FROM lf GROUP BY model", _FEATURES, _SPLIT, _BASE.replace("WHERE split = 'train'", "WHERE split <> 'test'")),
+    "worst_stores": _with("SELECT store, n, wape FROM (SELECT store, count(actual) AS n, round(sum(abs(predicted - actual)) / nullif(sum(abs(actual)), 0), 6) AS wape FROM lf WHERE model = 'rolling_mean_4' GROUP BY store) ORDER BY wape DESC, store LIMIT 10", _FEATURES, _SPLIT, _BASE),
+    "top_products": _with("SELECT upc, round(sum(revenue), 6) AS revenue, round(sum(move), 6) AS units FROM pn GROUP BY upc ORDER BY sum(revenue) DESC, upc LIMIT 10"),
+    "decision_crosstab": _with("SELECT risk_level, " + ", ".join(f"count(*) FILTER (WHERE decision = '{k}') AS {k}" for k in ("KEEP_CURRENT", "RECOMMEND_CHANGE", "REVIEW_REQUIRED")) + " FROM rec2 GROUP BY risk_level", *_recommended()),
+    "reason_code_flags": _with("SELECT upc, store, week, " + ", ".join(f"len(list_filter(codes, lambda c: c = '{k}')) AS {k}" for k in _CODES) + " FROM rec2 WHERE len(codes) > 0", *_recommended()),
+    "tiled_decisions": _with("SELECT decision, 20 * count(*) AS n, 20 * count(DISTINCT store) AS n_stores FROM rec2 GROUP BY decision", *_recommended()),
+    "zero_price_audit": _with("""SELECT upc, count(*) AS n_rows, count(*) FILTER (WHERE z) AS n_zero, count(*) FILTER (WHERE z AND move > 0) AS n_zero_sold, min(CASE WHEN z THEN week END) AS first_zero_week,
+      max(CASE WHEN z THEN week END) AS last_zero_week, round(count(*) FILTER (WHERE z) / count(*), 6) AS share_zero FROM (SELECT *, ok = 0 OR price <= 0 AS z FROM mv) GROUP BY upc"""),
+    "product_shares": _with("""SELECT upc, 'Brand#' || upc AS descrip, round(count(*) / sum(count(*)) OVER (), 6) AS row_share, round(sum(move) / sum(sum(move)) OVER (), 6) AS unit_share, round(avg(promo), 6) AS promotion_share FROM pn GROUP BY upc"""),
+    "price_indices": _with("SELECT upc, store, week, round(p / nullif(series_reference_price, 0), 6) AS price_index FROM ft", _FEATURES),
+    "priced_roles": _with("SELECT upc, round(units, 6) AS units, round(revenue, 6) AS revenue, round(rate, 6) AS gross_margin_rate, round(coverage, 6) AS store_coverage, round(elasticity, 6) AS elasticity, role FROM pro", _ROLES),
+    "role_summary": _with("""SELECT role, count(*) AS contexts, round(avg(CASE WHEN decision = 'RECOMMEND_CHANGE' THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_actionable, round(avg(CASE WHEN decision = 'REVIEW_REQUIRED' THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_review,
+      round(avg(CASE WHEN decision = 'RECOMMEND_CHANGE' THEN CASE WHEN recommended_price > current_price THEN 1.0::DOUBLE ELSE 0 END END), 6) AS share_increases, round(quantile_cont(CASE WHEN decision = 'RECOMMEND_CHANGE' THEN recommended_price / current_price - 1 END, 0.5), 6) AS median_change,
+      round(sum(gain) / nullif(any_value(t), 0), 6) AS share_of_gain FROM gn, (SELECT sum(gain) AS t FROM gn) GROUP BY role""", *_recommended(), _ROLES, _GAINED),
+    "traffic_cap": _with("""SELECT 0.02::DOUBLE AS cap, round(sum(gain) / nullif(sum(base), 0), 6) AS uplift_full, round(sum(cg) / nullif(sum(base), 0), 6) AS uplift_capped, round(1 - sum(cg) / nullif(sum(gain), 0), 6) AS share_given_up,
+      count(*) FILTER (WHERE role = 'traffic driver' AND recommended_price > current_price * 1.02 + 1e-9) AS affected
+      FROM (SELECT *, (capped_price - unit_cost) * greatest(base_units * pow(capped_price / current_price, -2.0), 0) - base AS cg FROM gn)""", *_recommended(), _ROLES, _GAINED),
+    "price_response_sweep": _with("SELECT upc, store, week, round(profit_optimum, 6) AS profit_optimum, round(revenue_optimum, 6) AS revenue_optimum, monotone, low_outside, high_outside, round(local_elasticity, 6) AS local_elasticity FROM sw", *_ALL, _SWEEP),
+    "sweep_summary": _with("""SELECT count(*) AS n_contexts, round(avg(CASE WHEN monotone THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_monotone, round(avg(CASE WHEN rises > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_with_rise,
+      round(avg(CASE WHEN span < 0.01 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_flat, round(quantile_cont(local_elasticity, 0.5), 6) AS median_local_elasticity, round(quantile_cont(span, 0.5), 6) AS median_span,
+      round(avg(CASE WHEN profit_optimum < current_price THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_profit_below,
+      round(avg(CASE WHEN profit_optimum <= current_price * 0.7 + 0.005 + 1e-6 OR profit_optimum >= current_price * 1.3 - 0.005 - 1e-6 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_profit_at_edge,
+      round(avg(CASE WHEN revenue_optimum < current_price THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_revenue_below FROM sw""", *_ALL, _SWEEP),
+    "category_comparison": _with("""SELECT category, count(*) AS n, count(DISTINCT upc) AS n_upcs, round(sum(revenue), 6) AS revenue, round(avg(p), 6) AS mean_price, round(stddev_samp(p) / avg(p), 6) AS price_cv,
+      round(avg(promo), 6) AS promotion_share, round(sum(gp) / sum(revenue), 6) AS margin_rate, round(any_value(slope), 6) AS slope FROM cl JOIN cw USING (category) GROUP BY category""", _within("upc, store"), _CATEGORY),
+    "cost_leakage": _with("SELECT count(*) FILTER (WHERE week <= l - 1) AS n_early, 0 AS n_leaked, count(*) FILTER (WHERE week > l - 1) AS n_late, count(*) FILTER (WHERE week > l - 1 AND before = l - 1) AS n_reacting FROM (SELECT week, lag(week) OVER (PARTITION BY upc, store ORDER BY week) AS before, (SELECT max(week) FROM pn) AS l FROM pn)"),
+    "policy_backtest": "SELECT policy, n_contexts, round(revenue, 6) AS revenue, round(profit, 6) AS profit, round(profit / nullif(max(CASE WHEN policy = 'historical' THEN profit END) OVER (), 0) - 1, 6) AS profit_vs_historical FROM ("
+    + _with("""SELECT policy, count(*) AS n_contexts, sum(price * units) AS revenue, sum((price - unit_cost) * units) AS profit FROM (
+        SELECT *, greatest(base_units * pow(price / current_price, -2.0), 0) AS units FROM (
+          SELECT c.*, unnest(['historical', 'simple_margin', 'elasticity_baseline', 'optimised']) AS policy, unnest([current_price, CASE WHEN h >= l THEN least(greatest(unit_cost / 0.8::DOUBLE, l), h) ELSE current_price END,
+            CASE WHEN h >= l THEN least(greatest(unit_cost * 2.0::DOUBLE, l), h) ELSE current_price END, recommended_price]) AS price
+          FROM (SELECT cx.*, r.recommended_price, greatest(0.01, cx.current_price * 0.9, cx.unit_cost, cx.price_min * 0.95) AS l, least(cx.current_price * 1.1, cx.price_max * 1.05) AS h FROM cx JOIN rec2 r USING (upc, store, week) WHERE cx.unit_cost IS NOT NULL) c)) GROUP BY policy""", *_backtested()) + ")",
+    "recommendation_stability": "SELECT count(*) AS n, round(avg(CASE WHEN m > 1e-9 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_moved, round(avg(m), 6) AS mean_move, round(quantile_cont(m, 0.9), 6) AS p90_move FROM (SELECT abs(recommended_price / before - 1) AS m FROM ("
+    + _with("SELECT recommended_price, lag(recommended_price) OVER (PARTITION BY upc, store ORDER BY week) AS before FROM rec2", *_backtested()) + ") WHERE before IS NOT NULL)",
+    "elasticity_windows": _with("SELECT wn AS window, upc, n_obs, round(estimate, 6) AS estimate, round(greatest(h, coalesce(a, h), coalesce(b, h)), 6) AS std_error FROM se", _LL, _WINDOWED),
+    "elasticity_stability": "WITH f AS (" + _with("SELECT wn AS window, upc, round(estimate, 6) AS estimate, round(greatest(h, coalesce(a, h), coalesce(b, h)), 6) AS std_error FROM se", _LL, _WINDOWED) + """)
+      SELECT a.window AS window_a, b.window AS window_b, count(*) AS n, round(corr(a.estimate, b.estimate), 6) AS correlation, round(avg(CASE WHEN sign(a.estimate) = sign(b.estimate) THEN 1.0::DOUBLE ELSE 0 END), 6) AS same_sign,
+        round(avg(CASE WHEN abs(a.estimate - b.estimate) / sqrt(a.std_error * a.std_error + b.std_error * b.std_error) > 1.96 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_different
+      FROM f a JOIN f b ON a.upc = b.upc AND a.window < b.window GROUP BY 1, 2""",
+    "rule_policies": _union([_with(f"SELECT '{name}' AS rule, decision, count(*) AS n, round(sum(profit_proposed), 6) AS profit FROM rec2 GROUP BY 2", *_ruled(target)) for name, target in _RULES.items()]),
+}

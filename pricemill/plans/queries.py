@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricemill.config import Config
-from pricemill.functions.columns import arc_elasticity, best_price, price_change, r6
-from pricemill.operators import attribution, audit, cleaning, commercial, decisions, features, models, monitoring, policies, regression, series, service, studies
+from pricemill.functions.columns import arc_elasticity, best_price, price_change, price_index, r6
+from pricemill.functions.ranges import quantiles
+from pricemill.operators import attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies
 from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
 
@@ -60,15 +61,12 @@ def scale_summary(spark, d):
 
 
 def numeric_profile(spark, d):
-    cols = ["move", "effective_unit_price", "gross_margin_rate"]
-    shares = F.array(*(F.lit(x) for x in (0.01, 0.25, 0.5, 0.75, 0.99)))
-    v = F.col("value")
-    by = monitoring._long(_panel(spark, d), cols).groupBy("feature").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, shares).alias("q"), F.count_if(v == 0).alias("n_zero"), F.count_if(v < 0).alias("n_negative"),
-    )
-    quantiles = [F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p25", "p50", "p75", "p99"))]
-    return _rounded(by.select("feature", "n", "mean", "std", "min", "max", *quantiles, "n_zero", "n_negative"))
+    rows, v = monitoring._long(_panel(spark, d), ["move", "effective_unit_price", "gross_margin_rate"]), F.col("value")
+    by = rows.groupBy("feature").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(v == 0).alias("n_zero"), F.count_if(v < 0).alias("n_negative")
+    )
+    shares = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+    return _rounded(by.join(quantiles(rows, "feature", "value", shares), "feature"))
 
 
 def promo_rollup(spark, d):
@@ -143,8 +141,13 @@ def arc_pairs(spark, d):
 
 
 def arc_summary(spark, d):
-    q = lambda x: F.percentile("arc", F.lit(x))
-    return _rounded(_arcs(spark, d).agg(F.count("*").alias("n"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.avg((F.col("arc") < 0).cast("int")).alias("share_negative")))
+    """Quartiles of the arcs, their mean between the first and the last percentile, and the share below zero."""
+    rows = _arcs(spark, d).select(F.lit("all").alias("g"), "arc")
+    cuts = quantiles(rows, "g", "arc", {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99})
+    held = rows.join(F.broadcast(cuts), "g")
+    trimmed = F.avg(F.when(F.col("arc").between(F.col("p01"), F.col("p99")), F.col("arc")))
+    one = held.agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("p25", "median", "p75")), trimmed.alias("trimmed_mean"), F.avg((F.col("arc") < 0).cast("int")).alias("share_negative"))
+    return _rounded(one)
 
 
 def price_change_events(spark, d):
@@ -178,13 +181,11 @@ def _within(spark, d, keys):
 
 
 def loglog_upc_fe(spark, d):
-    fe = _within(spark, d, ["upc"]).agg(F.count("*").alias("n"), (F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("slope"))
-    return _rounded(fe)
+    return _rounded(regression.within_slope(regression.loglog(_panel(spark, d)), ["upc"]))
 
 
 def loglog_upc_store_fe(spark, d):
-    fe = _within(spark, d, ["upc", "store"]).agg(F.count("*").alias("n"), (F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("slope"))
-    return _rounded(fe)
+    return _rounded(regression.within_slope(regression.loglog(_panel(spark, d)), ["upc", "store"]))
 
 
 def elasticity_by_upc(spark, d):
@@ -204,12 +205,38 @@ def shrinkage_weights(spark, d):
 
 
 def robust_inference(spark, d):
-    """The pooled slope within series with classical, robust, one-way and two-way clustered errors."""
-    rows = _within(spark, d, ["upc", "store"]).cache()
+    """The pooled slope within series with classical, robust, one-way and two-way clustered errors and t intervals."""
+    rows = _within(spark, d, ["upc", "store"])
     fit = regression.Fit(rows, "y", ["x"], absorbed=rows.select("upc", "store").distinct().count())
-    kinds = {"classical": fit.classical(), "hc1": fit.hc1(), "cluster_upc": fit.clustered(["upc"]), "cluster_week": fit.clustered(["week"]), "two_way": fit.two_way("upc", "week")}
-    frames = [fit.summary(k, v) for k, v in kinds.items()]
-    return spark.createDataFrame([tuple(r) for f in frames for r in f.itertuples(index=False)], "fit string, term string, estimate double, std_error double, n long, r_squared double, ci_low double, ci_high double")
+    frame = elasticity.inference(fit, {"upc": ["upc"], "week": ["week"]}, ("upc", "week"))
+    kinds = "fit string, term string, estimate double, std_error double, n long, r_squared double, ci_low double, ci_high double, t_stat double, ratio_to_classical double"
+    return spark.createDataFrame([tuple(r) for r in frame.itertuples(index=False)], kinds)  # one row an assumption
+
+
+def _train(spark, d):
+    return features.with_split(_panel(spark, d), CONFIG).where("split = 'train'")
+
+
+def elasticity_table(spark, d):
+    cols = ["n_obs", "n_distinct_prices", "n_stores", "n_weeks", "price_cv", "price_min", "price_max", "estimate", "std_error", "std_error_hc1", "std_error_store", "std_error_week", "se_inflation_vs_hc1",
+            "t_stat", "ci_low", "ci_high", "r_squared", "significant_negative", "usable", "reject_reason", "shrinkage_weight", "elasticity_shrunk", "elasticity_final", "elasticity_source", "clipped"]
+    return _rounded(elasticity.elasticity_table(_train(spark, d), CONFIG).products.select("upc", *cols))
+
+
+def product_history(spark, d):
+    """What the elasticity table knows of each product before any slope, and whether it is too little."""
+    found = elasticity.product_estimates(_train(spark, d), CONFIG)
+    few = F.col("reject_reason") == "insufficient_observations_or_price_variation"
+    return _rounded(found.select("upc", "n_obs", "n_distinct_prices", "n_stores", "n_weeks", "price_cv", "price_min", "price_max", few.alias("too_little")))
+
+
+def shrinkage_variants(spark, d):
+    found = elasticity.product_estimates(_train(spark, d), CONFIG)
+    return _rounded(elasticity.shrinkage_variants(found, -2.0))
+
+
+def shrinkage_bands(spark, d):
+    return elasticity.weight_bands(elasticity.elasticity_table(_train(spark, d), CONFIG).products)
 
 
 def elasticity_with_controls(spark, d):
@@ -269,6 +296,59 @@ def contexts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def recommendations_estimated(spark, d):
+    """The decisions of the last week on the shrunk elasticities of the training weeks."""
+    table = elasticity.elasticity_table(_train(spark, d), CONFIG)
+    found = decisions.recommend(table.attach(contexts(spark, d)), "standard", CONFIG)
+    cols = ["elasticity", "elasticity_source", "decision", "risk_level", "current_price", "proposed_price", "recommended_price", "n_candidates", "units_proposed", "profit_proposed", "realisable_uplift"]
+    return _rounded(found.select(*KEYS, *cols, F.array_join("reason_codes", "|").alias("reason_codes")))
+
+
+def promotion_risk(spark, d):
+    """Risk of the contexts where the share of promoted weeks counts too."""
+    share = _panel(spark, d).groupBy("upc", "store").agg(F.avg("recorded_promotion_flag").alias("promotion_share"))
+    rows = contexts(spark, d).join(share, ["upc", "store"], "left")
+    return rows.groupBy(decisions.risk_level(F.col("current_price"), CONFIG, F.col("promotion_share")).alias("risk_level"), (F.col("promotion_share") > 0.5).alias("promoted")).agg(F.count("*").alias("n"))
+
+
+def _modelled(spark, d):
+    """(a ridge of the training weeks, the rows of the last week with statistics of their series)."""
+    rows = features.with_seasonality(features.training_rows(features.with_split(series.with_series_stats(_features(spark, d)), CONFIG)))
+    model = models.DemandModel("ridge").fit(rows.where("split = 'train'"))
+    last = rows.agg(F.max("week").alias("__last"))
+    return model, rows.join(F.broadcast(last), F.col("week") == F.col("__last")).drop("__last")
+
+
+def _responses(spark, d):
+    model, last = _modelled(spark, d)
+    table = elasticity.elasticity_table(_train(spark, d), CONFIG)
+    return {m: response.PriceResponse(model, m, None if m == "ml" else table).recommend(last, "standard", CONFIG) for m in ("ml", "pooled", "shrunk")}
+
+
+def method_comparison(spark, d):
+    return _rounded(response.disagreement(_responses(spark, d)))
+
+
+def method_decisions(spark, d):
+    return _rounded(response.by_method(_responses(spark, d)))
+
+
+def hybrid_demand(spark, d):
+    """Units of the last week's rows at a price a tenth higher: the model's level times the shrunk response."""
+    model, last = _modelled(spark, d)
+    own = response.PriceResponse(model, "shrunk", elasticity.elasticity_table(_train(spark, d), CONFIG))
+    raised = response.with_reference_price(last).withColumn("effective_unit_price", F.col("effective_unit_price") * 1.1)
+    return _rounded(own.predict(raised).select(*KEYS, "reference_price", F.col("effective_unit_price").alias("price"), "predicted"))
+
+
+def price_response_sweep(spark, d):
+    return _rounded(response.sweep(contexts(spark, d)).select(*KEYS, "profit_optimum", "revenue_optimum", "monotone", "low_outside", "high_outside", "local_elasticity"))
+
+
+def sweep_summary(spark, d):
+    return _rounded(response.sweep_summary(response.sweep(contexts(spark, d))))
+
+
 def guardrail_bounds(spark, d):
     policy = CONFIG.policy("standard")
     found = decisions.with_bounds(contexts(spark, d), policy, F.lit(policy["max_price_change_pct"]))
@@ -288,11 +368,11 @@ def simulate_grid(spark, d):
 
 
 def price_grid(spark, d):
-    return _rounded(_simulated(spark, d).select(*KEYS, F.size("grid").alias("n_prices"), F.array_min("grid").alias("lowest"), F.array_max("grid").alias("highest")).where("n_prices >= 0"))
+    return _rounded(_simulated(spark, d).select(*KEYS, F.size("grid").alias("n_prices"), F.array_min("grid").alias("lowest"), F.array_max("grid").alias("highest")).withColumn("n_prices", F.greatest("n_prices", F.lit(0))))
 
 
 def curve_diagnostics(spark, d):
-    return _rounded(decisions.curve_diagnostics(_simulated(spark, d).where("size(candidates) > 0")).select(*KEYS, "share_rising", "monotone", "relative_span", "flat"))
+    return _rounded(decisions.curve_diagnostics(_simulated(spark, d)).select(*KEYS, F.greatest(F.size("candidates"), F.lit(0)).alias("n_candidates"), "share_rising", "monotone", "relative_span", "flat"))
 
 
 def risk_levels(spark, d):
@@ -309,7 +389,7 @@ def recommendations(spark, d):
 
 
 def decision_mix(spark, d):
-    base, out = contexts(spark, d).persist(), None
+    base, out = contexts(spark, d), None
     for profile in ("conservative", "standard", "aggressive"):
         one = decisions.recommend(base, profile, CONFIG).groupBy(F.lit(profile).alias("profile"), "decision", "risk_level").agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
@@ -349,7 +429,7 @@ def determinants(spark, d):
 def rule_policies(spark, d):
     base = contexts(spark, d)
     margins = _panel(spark, d).groupBy("upc", "store").agg(F.percentile("gross_margin_rate", F.lit(0.5)).alias("median_margin"), F.mode(F.round("effective_unit_price", 2), True).alias("modal_price"))
-    base = base.join(margins, ["upc", "store"], "left").persist()
+    base = base.join(margins, ["upc", "store"], "left")
     out = None
     for name, target in policies.rule_targets().items():
         one = decisions.recommend(base, "standard", CONFIG, target=target).groupBy(F.lit(name).alias("rule"), "decision").agg(F.count("*").alias("n"), F.sum("profit_proposed").alias("profit"))
@@ -427,12 +507,12 @@ def excluded_positions(spark, d):
 
 
 def elasticity_windows(spark, d):
-    return _rounded(studies.window_slopes(regression.loglog(_panel(spark, d)), {"W1": (1, 119), "W2": (120, 238), "W3": (239, 357)}))
+    rows = regression.loglog(_panel(spark, d))
+    return _rounded(studies.window_slopes(rows, studies.stable_windows(rows)))
 
 
 def elasticity_stability(spark, d):
-    fits = studies.window_slopes(regression.loglog(_panel(spark, d)), {"W1": (1, 119), "W2": (120, 238), "W3": (239, 357)})
-    return _rounded(studies.stability(fits))
+    return _rounded(studies.stability(elasticity_windows(spark, d)))
 
 
 def risk_bootstrap(spark, d):
@@ -443,8 +523,7 @@ def risk_bootstrap(spark, d):
         F.col("hist_min").alias("price_min"), F.col("hist_max").alias("price_max"), F.lit("fixed").alias("elasticity_source"), "effective_unit_price",
     )
     rows = rows.withColumn("risk_level", decisions.risk_level(F.col("effective_unit_price"), CONFIG))
-    frame = studies.bootstrap_bands(rows)
-    return spark.createDataFrame([tuple(r) for r in frame.itertuples(index=False)], "risk_level string, wape double, low double, high double")
+    return _rounded(studies.bootstrap_bands(rows))
 
 
 def guardrail_ablation(spark, d):
@@ -498,6 +577,14 @@ def implied_elasticity(spark, d):
     return _rounded(both.withColumn("e", value).agg(F.count("e").alias("n"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"), F.avg((F.col("e") < 0).cast("int")).alias("share_negative")))
 
 
+def _known(spark, spec):
+    """An elasticity table of the training weeks of a panel with known elasticities, against these."""
+    panel = cleaning.canonical(synthetic.movement(spark, spec), synthetic.products(spark, spec))
+    train = features.with_split(panel).where("split = 'train'")
+    table = elasticity.elasticity_table(train, Config({"elasticity": {"min_obs_per_upc": 50}}))
+    return studies.recovered(train, table, synthetic.truth(spark, spec))
+
+
 def synthetic_recovery(spark, d):
     """Known elasticities against those found again in the panel they made."""
     spec = synthetic.Spec(n_upcs=10, n_stores=5, n_weeks=120)
@@ -506,6 +593,145 @@ def synthetic_recovery(spark, d):
     return _rounded(fits.join(synthetic.truth(spark, spec), "upc").select("upc", "true_elasticity", "estimate", "std_error"))
 
 
+def ground_truth_study(spark, d):
+    """How far confounded panels mislead the elasticity table."""
+    out = None
+    for name, spec in synthetic.confounded(synthetic.Spec(n_upcs=8, n_stores=5, n_weeks=100)).items():
+        one = _known(spark, spec).select(F.lit(name).alias("scenario"), "*")
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out)
+
+
+def model_selection(spark, d):
+    """Metrics of both families over the validation weeks; chosen marks the one with the least WAPE."""
+    rows = features.with_seasonality(features.training_rows(features.with_split(_features(spark, d), CONFIG)))
+    fitted = {family: models.DemandModel(family).fit(rows.where("split = 'train'")) for family in ("ridge", "poisson")}
+    found = models.scored_by(fitted, rows.where("split = 'valid'"))
+    return _rounded(found.withColumn("chosen", F.col("model") == models.selected(found)))
+
+
+def refitted_baselines(spark, d):
+    """Baselines of the test weeks where series means come from training and validation weeks."""
+    rows = features.training_rows(features.with_split(_features(spark, d), CONFIG))
+    found = models.with_baselines(rows, rows.where("split <> 'test'")).where("split = 'test'")
+    return _rounded(models.evaluate(models.long_forecasts(found), ["model"]))
+
+
+def demand_prior(spark, d):
+    return _rounded(models.demand_prior(_train(spark, d)))
+
+
+def raw_audit(spark, d):
+    return cleaning.raw_audit(_movement(spark, d))
+
+
+def feature_drift(spark, d):
+    found = monitoring.feature_drift(*_periods(spark, d), _DRIFT, CONFIG)
+    return _rounded(found.withColumn("drift_rank", F.col("drift_rank").cast("long")))
+
+
+def prediction_drift(spark, d):
+    """Forecasts of the test weeks against those of the training weeks."""
+    rows = features.training_rows(features.with_split(_features(spark, d), CONFIG)).withColumn("predicted", F.greatest(F.coalesce("roll_mean_move_4", "lag_move_1"), F.lit(0.0)))
+    found = monitoring.prediction_drift(rows.where("split = 'train'"), rows.where("split = 'test'"), "predicted", CONFIG)
+    return _rounded(found.drop("drift_rank"))
+
+
+def schema_checks(spark, d):
+    expected = {"upc": "bigint", "store": "bigint", "week": "bigint", "move": "double", "effective_unit_price": "double", "package": "double"}
+    return _rounded(monitoring.schema_check(_panel(spark, d), expected))
+
+
+def strict_alerts(spark, d):
+    """Alerts at thresholds low enough that some fire."""
+    strict = Config({"data": {"week1_start_date": "1995-01-02"}, "monitoring": {"alerts": {"psi_alert": 0.01, "wape_alert": 0.2, "bias_abs_alert": 1.0}}})
+    return _rounded(monitoring.alerts(monitoring.psi(*_periods(spark, d), _DRIFT), performance_by_quarter(spark, d), strict))
+
+
+def worst_stores(spark, d):
+    return metrics_by_segment(spark, d).select("store", "n", "wape").orderBy(F.desc("wape"), "store").limit(10)
+
+
+def top_products(spark, d):
+    by = _panel(spark, d).groupBy("upc").agg(F.sum("revenue").alias("revenue"), F.sum("move").alias("units"))
+    return _rounded(by.orderBy(F.desc("revenue"), "upc").limit(10))
+
+
+def decision_crosstab(spark, d):
+    kinds = ["KEEP_CURRENT", "RECOMMEND_CHANGE", "REVIEW_REQUIRED"]
+    return _recommended(spark, d).groupBy("risk_level").pivot("decision", kinds).count().fillna(0)
+
+
+def reason_code_flags(spark, d):
+    """Each context's codes as flags."""
+    rows = _recommended(spark, d).select(*KEYS, F.explode("reason_codes").alias("code"))
+    flags = ["INSUFFICIENT_HISTORY", "INSUFFICIENT_PRICE_VARIATION", "MEDIUM_RISK_CONSERVATIVE", "PRICE_CHANGE_LIMIT", "MARGIN_CONSTRAINT", "KEEP_CURRENT_OPTIMAL"]
+    return rows.groupBy(*KEYS).pivot("code", flags).count().fillna(0)
+
+
+def tiled_decisions(spark, d):
+    """The decisions of the contexts twenty times over."""
+    found = decisions.recommend(studies.tiled(contexts(spark, d), 20), "standard", CONFIG)
+    return found.groupBy("decision").agg(F.count("*").alias("n"), F.countDistinct("store").alias("n_stores"))
+
+
+def zero_price_audit(spark, d):
+    """Rows without a positive price by product; the movement rows that are suspect stand for them here."""
+    rows = _movement(spark, d).withColumn("price", F.when(F.col("ok") == 0, 0.0).otherwise(F.col("price")))
+    return _rounded(studies.zero_prices(rows))
+
+
+def product_shares(spark, d):
+    """Share of rows, units and promoted rows by product, with its description."""
+    by = _panel(spark, d).groupBy("upc").agg(F.count("*").alias("n"), F.sum("move").alias("units"), F.avg("recorded_promotion_flag").alias("promotion_share"))
+    total = by.agg(F.sum("n").alias("all_n"), F.sum("units").alias("all_units"))
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.regexp_extract("p_brand", "#([0-9]+)", 1).cast("long").alias("upc"), F.col("p_brand").alias("descrip")).distinct()
+    shares = by.crossJoin(F.broadcast(total)).join(names, "upc", "left")
+    return _rounded(shares.select("upc", "descrip", (F.col("n") / F.col("all_n")).alias("row_share"), (F.col("units") / F.col("all_units")).alias("unit_share"), "promotion_share"))
+
+
+def price_indices(spark, d):
+    """Prices against the series' reference price."""
+    rows = _features(spark, d)
+    return _rounded(rows.select(*KEYS, price_index(F.col("effective_unit_price"), F.col("series_reference_price")).alias("price_index")))
+
+
+def _priced_roles(spark, d):
+    panel = _panel(spark, d)
+    # a fixed value by product, so that SQL can follow; recommendations_estimated shows the estimated ones
+    fixed = panel.select("upc").distinct().withColumn("elasticity", -(1.5 + F.col("upc") % 10 / 10.0))
+    return commercial.priced_roles(panel, fixed)
+
+
+def priced_roles(spark, d):
+    return _rounded(_priced_roles(spark, d))
+
+
+def role_summary(spark, d):
+    return _rounded(commercial.role_summary(_recommended(spark, d), _priced_roles(spark, d)))
+
+
+def traffic_cap(spark, d):
+    return _rounded(commercial.traffic_cap(_recommended(spark, d), _priced_roles(spark, d), 0.02))
+
+
+def cost_leakage(spark, d):
+    return studies.cost_leakage(_panel(spark, d), lambda p: features.features(p, CONFIG))
+
+
+def category_comparison(spark, d):
+    """The headline of each group of products: size, prices, promotions, margins and the slope within series."""
+    panel = _panel(spark, d).withColumn("category", F.floor(F.col("upc") / 10).cast("long"))
+    p = F.col("effective_unit_price")
+    by = panel.groupBy("category").agg(
+        F.count("*").alias("n"), F.countDistinct("upc").alias("n_upcs"), F.sum("revenue").alias("revenue"), F.avg(p).alias("mean_price"), (F.stddev_samp(p) / F.avg(p)).alias("price_cv"),
+        F.avg("recorded_promotion_flag").alias("promotion_share"), (F.sum("gross_profit") / F.sum("revenue")).alias("margin_rate"),
+    )
+    rows = regression.within(regression.loglog(panel), ["x", "y"], ["upc", "store"])
+    slope = rows.groupBy("category").agg((F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("slope"))
+    return _rounded(by.join(slope, "category"))
+
+
 _NAMES = """panel_canonical exclusion_counts validation_checks table_fingerprint scale_summary numeric_profile promo_rollup weekly_rollup upc_concentration
 product_roles store_dispersion price_variation_upc price_variation_series eligible_series lag_features rolling_features reference_price_median decision_cost
 series_age price_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
@@ -513,5 +739,8 @@ loglog_upc_store_fe elasticity_by_upc shrinkage_weights robust_inference elastic
 psi_by_feature ks_statistic alerts guardrail_bounds simulate_grid price_grid curve_diagnostics risk_levels recommendations decision_mix reason_code_counts
 constraint_attribution constraint_intervals attribution_table attribution_contexts determinants rule_policies policy_totals policy_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
 episode_rank_correlation excluded_positions elasticity_windows elasticity_stability risk_bootstrap guardrail_ablation elasticity_scenarios recommendation_stability
-sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery""".split()
+sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
+elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
+ground_truth_study model_selection refitted_baselines demand_prior raw_audit feature_drift prediction_drift schema_checks strict_alerts worst_stores top_products decision_crosstab reason_code_flags
+tiled_decisions zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,35 @@ def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_json(payload: dict, path: str, spark: SparkSession) -> None:
+    """One document of metrics; numbers that are no numbers become null."""
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        if isinstance(x, (list, tuple)):
+            return [plain(v) for v in x]
+        x = x.item() if hasattr(x, "item") else x
+        return None if isinstance(x, float) and not math.isfinite(x) else x
+
+    spark.createDataFrame([(json.dumps(plain(payload), default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A document of write_json, or of any file with one JSON object: where a table comes from, or its metrics."""
+    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+
+
+def write_sorted(df: DataFrame, path: str) -> None:
+    """The panel in the order of product, store and week within each file, a range of products a file."""
+    df.repartitionByRange("upc", "store").sortWithinPartitions("upc", "store", "week").write.mode("overwrite").parquet(path)
+
+
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: rows and an order-insensitive content hash."""
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content_hash"))

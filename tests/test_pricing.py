@@ -192,7 +192,7 @@ def test_settings_merge():
 
 def test_running_totals_over_ranges(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 7 as long) as v").repartition(8)
-    rows = running_totals(df, [F.desc("id")], {"n": F.lit(1).cast("long"), "total": F.col("v")}).orderBy(F.desc("id")).collect()
+    rows = running_totals(df, -F.col("id"), [F.desc("id")], {"n": F.lit(1).cast("long"), "total": F.col("v")}).orderBy(F.desc("id")).collect()
     assert [r["n"] for r in rows] == list(range(1, 1001))
     assert [r["total"] for r in rows] == np.cumsum([i % 7 for i in range(999, -1, -1)]).tolist()
 
@@ -209,8 +209,8 @@ def test_known_elasticities_are_found_again(spark):
 
 def test_bootstrap_brackets_the_rate(spark):
     rows = spark.range(400).selectExpr("id % 20 as upc", "1 as store", "if(id % 2 = 0, 'LOW', 'HIGH') as risk_level", "10.0 as actual", "10.0 + (id % 5) as predicted")
-    for r in studies.bootstrap_bands(rows, 200).itertuples():
-        assert r.low <= r.wape <= r.high
+    for r in studies.bootstrap_bands(rows, 200).collect():
+        assert r["low"] <= r["wape"] <= r["high"]
 
 
 def test_excluded_positions_and_sample(spark):
