@@ -207,8 +207,11 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_SYMBOL
     Null labels and null or empty texts teach nothing; an empty table gives an empty sample.
     """
     fit = docs.where("lang is not null and text != ''").select("lang", F.substring("text", 1, most // 4).alias("text"), F.xxhash64("lang", F.substring("text", 1, most // 4)).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    least = fit.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    # the least hashes of each of 64 parts of a language first, so that the last step has at most 64 times as many
+    part, order = F.pmod("h", F.lit(64)), lambda *keys: Window.partitionBy(*keys).orderBy("h")
+    least = fit.select("lang", "h").distinct().withColumn("part", part)
+    for keys in (("lang", "part"), ("lang",)):
+        least = least.withColumn("n", F.row_number().over(order(*keys))).where(F.col("n") <= texts).drop("n")
     taken = fit.join(F.broadcast(least.select("h")), "h", "left_semi")
     out: dict[str, list[str]] = {}
     for r in taken.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect():
