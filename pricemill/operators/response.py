@@ -27,7 +27,7 @@ def with_reference_price(rows: DataFrame, price: Column | None = None) -> DataFr
 
 def at_price(rows: DataFrame, price: Column) -> DataFrame:
     """rows as if the price were another, with the features that hang on it."""
-    return rows.withColumn("effective_unit_price", price).withColumns(price_features(price))
+    return rows.withColumn("effective_unit_price", price).withColumns(price_features(F.col("effective_unit_price")))
 
 
 class PriceResponse:

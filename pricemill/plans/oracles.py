@@ -270,7 +270,7 @@ SQL = {
         SELECT *, greatest(base_units * pow(price / current_price, -2.0), 0) AS units FROM (
           SELECT c.*, unnest(['historical', 'simple_margin', 'elasticity_baseline', 'optimised']) AS policy, unnest([current_price, CASE WHEN h >= l THEN least(greatest(unit_cost / 0.8::DOUBLE, l), h) ELSE current_price END,
             CASE WHEN h >= l THEN least(greatest(unit_cost * 2.0::DOUBLE, l), h) ELSE current_price END, recommended_price]) AS price
-          FROM (SELECT cx.*, r.recommended_price, greatest(0.01, cx.current_price * 0.9, cx.unit_cost, price_min * 0.95) AS l, least(cx.current_price * 1.1, price_max * 1.05) AS h FROM cx JOIN rec2 r USING (upc, store, week) WHERE cx.unit_cost IS NOT NULL) c)) GROUP BY policy)""", *_recommended()),
+          FROM (SELECT cx.*, r.recommended_price, greatest(0.01, cx.current_price * 0.9, cx.unit_cost, cx.price_min * 0.95) AS l, least(cx.current_price * 1.1, cx.price_max * 1.05) AS h FROM cx JOIN rec2 r USING (upc, store, week) WHERE cx.unit_cost IS NOT NULL) c)) GROUP BY policy)""", *_recommended()),
     "serving_slice": _with(f"SELECT upc, store, week, round(p, 6) AS effective_unit_price, {_r('lag_price_1')} FROM ft WHERE week > (SELECT max(week) FROM pn) - 8 AND lag_move_1 IS NOT NULL AND lag_price_1 IS NOT NULL", _FEATURES),
     "portfolio_summary": _with("SELECT count(*) AS n_contexts, count(*) FILTER (WHERE outcome = 'change') AS n_change, count(*) FILTER (WHERE outcome = 'review') AS n_review, count(*) FILTER (WHERE outcome NOT IN ('change', 'review')) AS n_keep, round(coalesce(sum(CASE WHEN outcome = 'change' THEN profit_proposed - profit_current END), 0.0), 6) AS model_internal_gain, round(avg(CASE WHEN outcome = 'change' THEN recommended_price / current_price - 1 END), 6) AS mean_change FROM rec2", *_recommended()),
     "validation_checks": _with("""SELECT name AS "check", round(value, 6) AS value, value <= 1e-6 AS passed FROM (SELECT
@@ -346,12 +346,11 @@ SQL = {
 _TRAIN = _SPLIT + ", tn AS (SELECT pn.* FROM pn JOIN sp USING (week) WHERE split = 'train')"
 _MOVED = "*, CASE WHEN discount >= 0.08 THEN 'B' WHEN discount >= 0.06 THEN 'S' END AS sale, 1.0 AS qty"
 _COLUMNS = ("upc", "store", "week", "move", "qty", "price", "sale", "profit", "ok")
-_FORECASTS = _BASE.split(",\nfc AS")[0]
 _ROLES = """,
 rc AS (SELECT upc, sum(move) AS units, sum(revenue) AS revenue, sum(gp) AS gp, count(DISTINCT store) AS stores FROM pn WHERE week > (SELECT max(week) FROM pn) - 52 GROUP BY upc),
 al AS (SELECT count(DISTINCT store) AS ns, (SELECT sum(revenue) FROM rc) AS nr, (SELECT count(*) FROM rc) AS np FROM pn WHERE week > (SELECT max(week) FROM pn) - 52),
 rk1 AS (
-  SELECT rc.*, -(1.5::DOUBLE + upc % 10 / 10.0::DOUBLE) AS elasticity, gp / nullif(revenue, 0) AS rate, stores / ns AS coverage, row_number() OVER (ORDER BY units DESC, upc) / np AS rank_share,
+  SELECT rc.*, -(1.5::DOUBLE + upc % 8 / 8.0::DOUBLE) AS elasticity, gp / nullif(revenue, 0) AS rate, stores / ns AS coverage, row_number() OVER (ORDER BY units DESC, upc) / np AS rank_share,
          (sum(revenue) OVER (ORDER BY revenue DESC, upc ROWS UNBOUNDED PRECEDING) - revenue) / nr AS before FROM rc, al),
 rk2 AS (SELECT *, CASE WHEN rank_share <= 0.2 AND coverage >= 0.75 THEN 'traffic driver' WHEN before >= 1 - 0.05 THEN 'tail' ELSE 'rest' END AS kind FROM rk1),
 pro AS (
@@ -411,12 +410,12 @@ cx AS (
   SELECT upc, store, week, lag_price_1 AS current_price, CASE WHEN decision_time_unit_cost > 0 THEN decision_time_unit_cost END AS unit_cost, coalesce(roll_mean_move_4, lag_move_1, 0.0) AS base_units, n_obs, n_distinct_prices, price_cv, price_min, price_max
   FROM ft JOIN hs USING (upc, store, week) WHERE week > (SELECT max(week) FROM pn) - 10 AND lag_price_1 IS NOT NULL),
 rl AS (
-  SELECT *, CASE WHEN n_obs >= 150 AND n_distinct_prices >= 15 AND away <= 0.02 THEN 'LOW' WHEN n_obs >= 80 AND n_distinct_prices >= 8 AND away <= 0.05 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM (
+  SELECT * EXCLUDE (away), CASE WHEN n_obs >= 150 AND n_distinct_prices >= 15 AND away <= 0.02 THEN 'LOW' WHEN n_obs >= 80 AND n_distinct_prices >= 8 AND away <= 0.05 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM (
     SELECT *, CASE WHEN current_price < price_min THEN (price_min - current_price) / price_min WHEN current_price > price_max THEN (current_price - price_max) / price_max ELSE 0 END AS away FROM cx))"""
 _WINDOWED = """,
 ws AS (SELECT min(week) AS a, (max(week) - min(week) + 1) / 3.0::DOUBLE AS len FROM ll),
 lw AS (SELECT 'W' || i AS wn, l.* FROM ll l, ws, (SELECT unnest([1, 2, 3]) AS i) WHERE week BETWEEN a + floor(len * (i - 1)) AND a + floor(len * i) - 1),
-wi AS (SELECT wn, upc, store, week, x - avg(x) OVER s AS x, y - avg(y) OVER s AS y FROM lw WINDOW s AS (PARTITION BY wn, upc, store))""" + _SLOPES.replace("upc", "wn, upc").replace("USING (wn, upc)", "USING (wn, upc)").replace("SELECT wn, upc, count(*) AS g, sum(s * s) AS m FROM (SELECT wn, upc, store,", "SELECT wn, upc, count(*) AS g, sum(s * s) AS m FROM (SELECT wn, upc, store,")
+wi AS (SELECT wn, upc, store, week, x - avg(x) OVER s AS x, y - avg(y) OVER s AS y FROM lw WINDOW s AS (PARTITION BY wn, upc, store))""" + _SLOPES.replace("upc", "wn, upc")
 # Targets of the rule-only policies.
 _RULES = {
     "R0_keep": "current_price", "R1_hold_margin": "unit_cost / (1 - least(greatest(median_margin, 0.0), 0.8))", "R2_cost_plus": "unit_cost * 1.25", "R3_modal_price": "modal_price", "R4_max_increase": "current_price * 10.0",

@@ -699,7 +699,7 @@ def price_indices(spark, d):
 def _priced_roles(spark, d):
     panel = _panel(spark, d)
     # a fixed value by product, so that SQL can follow; recommendations_estimated shows the estimated ones
-    fixed = panel.select("upc").distinct().withColumn("elasticity", -(1.5 + F.col("upc") % 10 / 10.0))
+    fixed = panel.select("upc").distinct().withColumn("elasticity", -(1.5 + F.col("upc") % 8 / 8.0))
     return commercial.priced_roles(panel, fixed)
 
 

@@ -90,7 +90,7 @@ def write_json(payload: dict, path: str, spark: SparkSession) -> None:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     """A document of write_json, or of any file with one JSON object: where a table comes from, or its metrics."""
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def write_sorted(df: DataFrame, path: str) -> None:
