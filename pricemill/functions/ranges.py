@@ -10,11 +10,12 @@ def running_totals(df: DataFrame, key: Column, order: list[Column], totals: dict
     """df with running sums (the row itself included) in the given order within the groups of by, which are few.
 
     key is a number that never falls along the order. Its approximate quantiles part each group into ranges; a row's
-    range follows from the row alone, so a task that runs again deals alike. Each range sums its own rows and
-    adds what the ranges before it hold; only the sums of the ranges meet in one place.
+    range follows from the row alone, so a task that runs again deals alike. Keys are held against these bounds in
+    single precision, as a sum of doubles that is computed again may differ in its last bits. Each range sums its
+    own rows and adds what the ranges before it hold; only the sums of the ranges meet in one place.
     """
     values = {f"__v{i}": c for i, c in enumerate(totals.values())}
-    own = df.withColumns(values).withColumn("__key", key)
+    own = df.withColumns(values).withColumn("__key", key.cast("float"))
     bounds = own.groupBy(*by).agg(F.percentile_approx("__key", [i / parts for i in range(1, parts)], 10_000).alias("__bounds"))
     place = F.coalesce(F.size(F.filter(F.array_distinct("__bounds"), lambda b: b < F.col("__key"))), F.lit(0))
     dealt = own.join(F.broadcast(bounds), list(by)) if by else own.crossJoin(F.broadcast(bounds))

@@ -52,18 +52,19 @@ def prepared(train: DataFrame) -> DataFrame:
     return rows.select("upc", "store", "week", "effective_unit_price", "x", "y", *CONTROLS)
 
 
-def product_estimates(train: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row a product: its history, the controlled slope within its stores with its errors, interval and t,
-    and reject_reason, empty where there is a slope. No slope is tried with too few rows or prices."""
-    e = (config or Config())["elasticity"]
-    rows, p = prepared(train), F.col("effective_unit_price")
-    # (product, price) and (product, store) and (product, week) are counted by sketch-free distinct aggregates
+def centred(train: DataFrame) -> DataFrame:
+    """prepared rows with the means over their series taken out of x, y and the controls."""
+    return regression.within(prepared(train), ["x", "y", *CONTROLS], _SERIES)
+
+
+def _estimates(rows: DataFrame, config: Config) -> DataFrame:
+    e, p = config["elasticity"], F.col("effective_unit_price")
     history = rows.groupBy("upc").agg(
         F.count("*").alias("n_rows"), F.countDistinct(p).alias("n_distinct_prices"), F.countDistinct("store").alias("n_stores"), F.countDistinct("week").alias("n_weeks"),
         (F.stddev_samp(p) / F.avg(p)).alias("price_cv"), F.min(p).alias("price_min"), F.max(p).alias("price_max"),
     )
     enough = (F.col("n_rows") >= e["min_obs_per_upc"]) & (F.col("n_distinct_prices") >= e["min_distinct_prices_per_upc"])
-    fits = regression.controlled_slopes(regression.within(rows, ["x", "y", *CONTROLS], _SERIES), "upc", CONTROLS).drop("n_obs")
+    fits = regression.controlled_slopes(rows, "upc", CONTROLS).drop("n_obs")
     out = history.withColumn("enough", enough).join(fits, "upc", "left")
     numbers = ["estimate", "std_error_hc1", "std_error_store", "std_error_week", "std_error", "r_squared"]
     out = out.withColumns({c: F.when(F.col("enough"), F.col(c)) for c in numbers})
@@ -79,19 +80,29 @@ def product_estimates(train: DataFrame, config: Config | None = None) -> DataFra
     }).withColumnRenamed("n_rows", "n_obs").drop("enough")
 
 
+def product_estimates(train: DataFrame, config: Config | None = None) -> DataFrame:
+    """One row a product: its history, the controlled slope within its stores with its errors, interval and t,
+    and reject_reason, empty where there is a slope. No slope is tried with too few rows or prices."""
+    return _estimates(centred(train), config or Config())
+
+
 def elasticity_table(train: DataFrame, config: Config | None = None, weeks: tuple[int, int] | None = None) -> ElasticityTable:
     """The table of training rows. Slopes that are imprecise or of the wrong sign take the pooled one; the
-    others are shrunk towards it. facts names the weeks that the rows come from."""
+    others are shrunk towards it. facts names the weeks that the rows come from. The rows are kept only
+    while the table is made; what stays kept is one row a product."""
     config = config or Config()
     e, r = config["elasticity"], config["pricing_response"]
     band = (float(r["min_abs_elasticity"]), float(r["max_abs_elasticity"]))
-    rows = regression.within(prepared(train), ["x", "y", *CONTROLS], _SERIES)
-    fit = regression.Fit(rows, "y", ["x", *CONTROLS])
-    slope = float(fit.beta[0])
-    products = product_estimates(train, config)
-    precise, negative = F.col("std_error") <= float(e["max_se_for_product_estimate"]), F.col("estimate") < 0
-    usable = (F.col("reject_reason") == "") & precise & negative
-    found = regression.shrunk(products, slope, band=band, usable=usable)
+    rows = centred(train).persist()
+    try:
+        fit = regression.Fit(rows, "y", ["x", *CONTROLS])
+        slope = float(fit.beta[0])
+        products = _estimates(rows, config).persist()
+        precise, negative = F.col("std_error") <= float(e["max_se_for_product_estimate"]), F.col("estimate") < 0
+        usable = (F.col("reject_reason") == "") & precise & negative
+        found = regression.shrunk(products, slope, band=band, usable=usable)
+    finally:
+        rows.unpersist()
     reason = F.when((F.col("reject_reason") == "") & ~F.col("usable"), F.when(F.col("estimate") >= 0, "wrong_sign").otherwise("standard_error_too_large")).otherwise(F.col("reject_reason"))
     found = found.withColumn("reject_reason", reason)
     facts = {"kind": "shrunk", "pooled": slope, "rows": fit.n, "weeks": weeks, "band": band}
