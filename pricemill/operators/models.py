@@ -94,10 +94,20 @@ class DemandModel:
         return self._prepared(df).withColumns({f"__{c}": (F.coalesce(F.col(f"__{c}"), F.lit(m)) - mean) / (sd or 1.0) for c, (m, mean, sd) in zip(numbers, self.scales)})
 
     def fit(self, train: DataFrame) -> DemandModel:
+        """Fits the rows, which are kept while they are read over and over."""
+        kept = train.select(*(c for c in dict.fromkeys([*MODEL_INPUTS, "move"]) if c in train.columns)).persist()
+        try:
+            return self._fitted(kept)
+        finally:
+            kept.unpersist()
+
+    def _fitted(self, train: DataFrame) -> DemandModel:
         numbers = [*_LOGGED, *_PLAIN]
-        self.prior, self.overall = demand_prior(train), train.agg(F.avg(F.log1p("move"))).first()[0]
+        prior = demand_prior(train).persist()  # one row a product, read again by every prediction
+        prior.count()
+        self.prior, self.overall = prior, train.agg(F.avg(F.log1p("move"))).first()[0]
         raw = self._prepared(train)
-        medians = raw.agg(*(F.percentile(f"__{c}", F.lit(0.5)).alias(c) for c in numbers)).first()
+        medians = raw.agg(*(F.percentile(f"__{c}", F.lit(0.5)).alias(c) for c in numbers)).first()  # prices by cents, units by ones
         filled = raw.select(*(F.coalesce(F.col(f"__{c}"), F.lit(medians[c] or 0.0)).alias(c) for c in numbers), "move")
         stats = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in numbers), *(F.stddev_pop(c).alias(f"s_{c}") for c in numbers), F.count("*").alias("n"), F.max("move").alias("top")).first()
         self.scales = [(medians[c] or 0.0, stats[f"m_{c}"], stats[f"s_{c}"]) for c in numbers]

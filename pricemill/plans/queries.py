@@ -596,7 +596,7 @@ def synthetic_recovery(spark, d):
 def ground_truth_study(spark, d):
     """How far confounded panels mislead the elasticity table."""
     out = None
-    for name, spec in synthetic.confounded(synthetic.Spec(n_upcs=8, n_stores=5, n_weeks=100)).items():
+    for name, spec in synthetic.confounded(synthetic.Spec(n_upcs=6, n_stores=5, n_weeks=80)).items():
         one = _known(spark, spec).select(F.lit(name).alias("scenario"), "*")
         out = one if out is None else out.unionByName(one)
     return _rounded(out)
