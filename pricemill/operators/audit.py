@@ -46,3 +46,18 @@ def append_transition(log: DataFrame, transitions: DataFrame, rec_id: str, to_st
         raise TransitionError(f"no recommendation {rec_id}")
     check_transition(row["state"], to_state)
     return log.sparkSession.createDataFrame([(at, rec_id, row["state"], to_state, actor, note)], TRANSITION)
+
+
+def as_documents(log: DataFrame) -> DataFrame:
+    """(rec_id, document): each log row as JSON, its codes as a map to their places; nulls are left out."""
+    fields = [c for c in log.columns if c not in ("rec_id", "reason_codes")]
+    codes = F.map_from_entries(F.transform("reason_codes", lambda c, i: F.struct(c, i + 1)))
+    return log.select("rec_id", F.to_json(F.struct(*fields, F.map_from_entries(F.array_distinct(F.map_entries(codes))).alias("reason_codes"))).alias("document"))
+
+
+def from_documents(documents: DataFrame) -> DataFrame:
+    """(rec_id, decision, recommended_price, codes) read back from as_documents, the codes in their order."""
+    parsed = F.from_json("document", "decision string, recommended_price double, reason_codes map<string,int>")
+    rows = documents.withColumn("__d", parsed)
+    ordered = F.transform(F.array_sort(F.transform(F.map_entries("__d.reason_codes"), lambda e: F.struct(e.value.alias("at"), e.key.alias("code")))), lambda x: x.code)
+    return rows.select("rec_id", "__d.decision", "__d.recommended_price", ordered.alias("codes"))

@@ -31,10 +31,10 @@ def with_promotion(df: DataFrame) -> DataFrame:
 
 
 def with_economics(df: DataFrame) -> DataFrame:
-    """Unit price, revenue, margin rate, implied unit cost and gross profit."""
+    """Unit price, revenue, margin rate, implied unit cost, gross profit and margin of a unit."""
     p, rate = unit_price(F.col("price"), F.col("qty")), F.col("profit") / 100
     return df.withColumns({
-        "effective_unit_price": p, "revenue": p * F.col("move"), "gross_margin_rate": rate, "estimated_unit_aac": p * (1 - rate), "gross_profit": p * F.col("move") * rate,
+        "effective_unit_price": p, "revenue": p * F.col("move"), "gross_margin_rate": rate, "estimated_unit_aac": p * (1 - rate), "gross_profit": p * F.col("move") * rate, "unit_gross_margin": p * rate,
     })
 
 
@@ -102,11 +102,12 @@ def canonical(movement: DataFrame, products: DataFrame | None = None, config: Co
 
 
 def join_report(movement: DataFrame, products: DataFrame) -> DataFrame:
-    """One row: products on either side and those that the other side lacks."""
+    """One row: products on either side, those that the other side lacks, and described rows beyond one a product."""
     left, right = movement.select("upc").distinct(), products.select("upc").distinct()
     count = lambda df, name: df.agg(F.count("*").alias(name))
     return (
         count(left, "moved").crossJoin(count(right, "described"))
+        .crossJoin(products.agg((F.count("*") - F.countDistinct("upc")).alias("described_again")))
         .crossJoin(count(left.join(right, "upc", "left_anti"), "moved_only")).crossJoin(count(right.join(left, "upc", "left_anti"), "described_only"))
     )
 

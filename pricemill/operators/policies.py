@@ -18,13 +18,15 @@ def clipped(price: Column, policy: dict) -> Column:
     return F.when(high >= low, F.least(F.greatest(price, low), high)).otherwise(p)
 
 
-def policy_prices(contexts: DataFrame, policy: dict, margin: float = 0.20, elasticity: float = -2.0) -> DataFrame:
-    """Contexts (with recommended_price) as one row a policy: policy and price."""
+def policy_prices(contexts: DataFrame, policy: dict, margin: float = 0.20, elasticity: float = -2.0, more: dict[str, Column] | None = None) -> DataFrame:
+    """Contexts (with recommended_price) as one row a policy: policy and price. A policy is any column that makes a price
+    of a context; more names further ones, which are kept within the same limits."""
     cost = F.col("unit_cost")
     prices = {
         "historical": F.col("current_price"), "simple_margin": clipped(cost / (1 - margin), policy),
         "elasticity_baseline": clipped(cost * elasticity / (1 + elasticity), policy), "optimised": F.col("recommended_price"),
     }
+    prices |= {k: clipped(v, policy) for k, v in (more or {}).items()}
     entries = [F.struct(F.lit(k).alias("policy"), F.coalesce(v, F.col("current_price")).alias("price")) for k, v in prices.items()]
     return contexts.withColumn("__p", F.explode(F.array(*entries))).select(*contexts.columns, "__p.policy", "__p.price")
 

@@ -117,6 +117,42 @@ def stability(fits: DataFrame, key: str = "upc") -> DataFrame:
     )
 
 
+def in_all_windows(fits: DataFrame, windows: int = 3, key: str = "upc") -> DataFrame:
+    """(key, n_windows, least, most, spread, same_sign) of the products that each window could fit."""
+    e = F.col("estimate")
+    by = fits.groupBy(key).agg(F.count("*").alias("n_windows"), F.min(e).alias("least"), F.max(e).alias("most"), F.countDistinct(F.signum(e)).alias("signs"))
+    return by.where(F.col("n_windows") == windows).select(key, "n_windows", "least", "most", (F.col("most") - F.col("least")).alias("spread"), (F.col("signs") == 1).alias("same_sign"))
+
+
+def tracked(contexts: DataFrame, series_: DataFrame) -> DataFrame:
+    """Contexts of the series (upc, store) that are followed."""
+    return contexts.join(series_.select("upc", "store").distinct(), ["upc", "store"], "left_semi")
+
+
+def regret(recommendations: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: recommendations against the known elasticities (upc, true_elasticity): the share of contexts whose price
+    moves towards the best one, and the profit of the recommended and of the current price as shares of the best."""
+    p, c, e = F.col("current_price"), F.col("unit_cost"), F.col("true_elasticity")
+    rows = recommendations.join(known.select("upc", "true_elasticity"), "upc", "left").where("unit_cost > 0 and true_elasticity < -1")
+    profit = lambda price: (price - c) * F.col("base_units") * F.pow(price / p, e)
+    best = c * e / (1 + e)
+    moved = F.abs(F.col("recommended_price") - p) > 1e-9
+    right = F.signum(F.col("recommended_price") - p) == F.signum(best - p)
+    return rows.agg(
+        F.count("*").alias("n"), F.avg(F.when(moved, right.cast("int"))).alias("share_right_direction"), (F.sum(profit(F.col("recommended_price"))) / F.sum(profit(best))).alias("recommended_of_best"),
+        (F.sum(profit(p)) / F.sum(profit(best))).alias("current_of_best"),
+    )
+
+
+def band_metrics(rows: DataFrame, factors: dict[str, Column]) -> DataFrame:
+    """(factor, level, n, wape, bias) of forecasts (actual, predicted) by the level of each factor."""
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("factor"), v.cast("string").alias("level")) for k, v in factors.items())))
+    error = F.col("predicted") - F.col("actual")
+    return rows.withColumn("__f", cells).groupBy("__f.factor", "__f.level").agg(
+        F.count("*").alias("n"), (F.sum(F.abs(error)) / F.nullif(F.sum(F.abs("actual")), F.lit(0.0))).alias("wape"), F.avg(error).alias("bias"),
+    )
+
+
 def positions(movement: DataFrame, excluded: Column) -> DataFrame:
     """(position, n): excluded rows before, after or between the other rows of their series, or in a series
     that has none; the first and last such weeks come from a window, not from a join."""

@@ -510,4 +510,19 @@ SQL |= {
         round(avg(CASE WHEN abs(a.estimate - b.estimate) / sqrt(a.std_error * a.std_error + b.std_error * b.std_error) > 1.96 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_different
       FROM f a JOIN f b ON a.upc = b.upc AND a.window < b.window GROUP BY 1, 2""",
     "rule_policies": _union([_with(f"SELECT '{name}' AS rule, decision, count(*) AS n, round(sum(profit_proposed), 6) AS profit FROM rec2 GROUP BY 2", *_ruled(target)) for name, target in _RULES.items()]),
+    "elasticity_all_windows": "SELECT upc, count(*) AS n_windows, round(min(e), 6) AS least, round(max(e), 6) AS most, round(max(e) - min(e), 6) AS spread, count(DISTINCT sign(e)) = 1 AS same_sign FROM ("
+    + _with("SELECT upc, round(estimate, 6) AS e FROM se", _LL, _WINDOWED) + ") GROUP BY upc HAVING count(*) = 3",
+    "log_documents": _with("SELECT upc, store, week, decision, round(recommended_price, 6) AS recommended_price, array_to_string(codes, '|') AS reason_codes FROM rec2", *_recommended()),
+    "risk_factors": _with("""SELECT factor, level, count(*) AS n, round(sum(abs(predicted - actual)) / nullif(sum(abs(actual)), 0), 6) AS wape, round(avg(predicted - actual), 6) AS bias FROM (
+      SELECT actual, predicted, unnest(['risk_level', 'history', 'prices', 'inside_support']) AS factor, unnest([
+        CASE WHEN n_obs >= 150 AND n_distinct_prices >= 15 AND away <= 0.02 THEN 'LOW' WHEN n_obs >= 80 AND n_distinct_prices >= 8 AND away <= 0.05 THEN 'MEDIUM' ELSE 'HIGH' END,
+        CASE WHEN n_obs >= 150 THEN 'long' WHEN n_obs >= 80 THEN 'middle' ELSE 'short' END, CASE WHEN n_distinct_prices >= 15 THEN 'many' WHEN n_distinct_prices >= 8 THEN 'some' ELSE 'few' END,
+        coalesce(p BETWEEN price_min AND price_max, false)::VARCHAR]) AS level
+      FROM (SELECT t.move AS actual, coalesce(roll_mean_move_4, lag_move_1) AS predicted, t.p, h.*, CASE WHEN t.p < price_min THEN (price_min - t.p) / price_min WHEN t.p > price_max THEN (t.p - price_max) / price_max WHEN price_min IS NOT NULL THEN 0 END AS away
+        FROM tr t JOIN hp h USING (upc, store, week) WHERE split = 'test')) GROUP BY 1, 2""", _FEATURES, _SPLIT, """,
+tr AS (SELECT ft.*, split FROM ft JOIN sp USING (week) WHERE move IS NOT NULL AND lag_move_1 IS NOT NULL AND lag_price_1 IS NOT NULL),
+hp AS (
+  SELECT upc, store, week, count(p) OVER past AS n_obs, coalesce(CAST(sum(f) OVER past AS BIGINT), 0) AS n_distinct_prices, min(p) OVER past AS price_min, max(p) OVER past AS price_max
+  FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY upc, store, p ORDER BY week) = 1 THEN 1 ELSE 0 END AS f FROM tr)
+  WINDOW past AS (PARTITION BY upc, store ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""),
 }

@@ -515,15 +515,40 @@ def elasticity_stability(spark, d):
     return _rounded(studies.stability(elasticity_windows(spark, d)))
 
 
-def risk_bootstrap(spark, d):
-    """Forecast errors of the test weeks by the risk band that was known before each week."""
+def elasticity_all_windows(spark, d):
+    return _rounded(studies.in_all_windows(elasticity_windows(spark, d)))
+
+
+def _banded(spark, d):
+    """Forecasts of the test weeks with the risk band that was known before each week."""
     rows = series.history_stats(features.training_rows(features.with_split(_features(spark, d), CONFIG))).where("split = 'test'")
     rows = rows.select(
         *KEYS, F.col("move").alias("actual"), F.coalesce("roll_mean_move_4", "lag_move_1").alias("predicted"), F.col("hist_n_obs").alias("n_obs"), F.col("hist_n_prices").alias("n_distinct_prices"),
         F.col("hist_min").alias("price_min"), F.col("hist_max").alias("price_max"), F.lit("fixed").alias("elasticity_source"), "effective_unit_price",
     )
-    rows = rows.withColumn("risk_level", decisions.risk_level(F.col("effective_unit_price"), CONFIG))
-    return _rounded(studies.bootstrap_bands(rows))
+    return rows.withColumn("risk_level", decisions.risk_level(F.col("effective_unit_price"), CONFIG))
+
+
+def risk_bootstrap(spark, d):
+    return _rounded(studies.bootstrap_bands(_banded(spark, d)))
+
+
+def risk_factors(spark, d):
+    """Forecast errors by risk band and by what makes it."""
+    rows = _banded(spark, d)
+    inside = F.col("effective_unit_price").between(F.col("price_min"), F.col("price_max"))
+    history = F.when(F.col("n_obs") >= 150, "long").when(F.col("n_obs") >= 80, "middle").otherwise("short")
+    prices = F.when(F.col("n_distinct_prices") >= 15, "many").when(F.col("n_distinct_prices") >= 8, "some").otherwise("few")
+    factors = {"risk_level": F.col("risk_level"), "history": history, "prices": prices, "inside_support": F.coalesce(inside, F.lit(False))}
+    return _rounded(studies.band_metrics(rows, factors))
+
+
+def log_documents(spark, d):
+    """The recommendation log as JSON documents and back."""
+    log = audit.log_rows(_recommended(spark, d), "2000-01-01T00:00:00Z")
+    back = audit.from_documents(audit.as_documents(log.select("rec_id", "upc", "store", "week", "decision", "recommended_price", "reason_codes")))
+    joined = back.join(log.select("rec_id", *KEYS), "rec_id")
+    return _rounded(joined.select(*KEYS, "decision", "recommended_price", F.array_join("codes", "|").alias("reason_codes")))
 
 
 def guardrail_ablation(spark, d):
@@ -742,5 +767,5 @@ episode_rank_correlation excluded_positions elasticity_windows elasticity_stabil
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
 elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
 ground_truth_study model_selection refitted_baselines demand_prior raw_audit feature_drift prediction_drift schema_checks strict_alerts worst_stores top_products decision_crosstab reason_code_flags
-tiled_decisions zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison""".split()
+tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pricemill.config import Config
 from pricemill.functions.ranges import quantiles
-from pricemill.operators import attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, regression, response, series, service, studies
+from pricemill.operators import attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies
 from pricemill.sources import synthetic, tables
 from tests.test_pricing import STATS, _context
 
@@ -257,3 +257,23 @@ def test_guards_of_answers(spark):
     assert df.select(service.ungrounded(F.col("answer"), F.col("facts")).alias("x")).first()["x"] == []
     faults = df.select(service.phrase_faults(F.col("answer"), ["profit FALLS", "causes"], ["model-internal"]).alias("x")).first()["x"]
     assert faults == ["forbidden: profit FALLS", "missing: model-internal"]
+
+
+def test_regret_of_known_elasticities(spark):
+    recs = decisions.recommend(_context(spark, STATS["wide"], eps=-2.0, p=4.0, c=2.5))
+    known = spark.createDataFrame([(111, -2.0)], "upc long, true_elasticity double")
+    row = studies.regret(recs, known).first()
+    assert row["n"] == 1 and row["share_right_direction"] == 1 and row["current_of_best"] < row["recommended_of_best"] <= 1
+    assert studies.tracked(recs, known.withColumn("store", F.lit(2))).count() == 1 and studies.tracked(recs, known.withColumn("store", F.lit(3))).count() == 0
+
+
+def test_own_policies_keep_the_limits(spark):
+    recs = decisions.recommend(_context(spark, STATS["wide"], p=4.0, c=2.5))
+    rows = {r["policy"]: r["price"] for r in policies.policy_prices(recs, Config().policy("standard"), more={"double": F.col("current_price") * 2}).collect()}
+    assert rows["double"] == pytest.approx(4.4) and len(rows) == 5
+
+
+def test_log_rows_as_documents(spark):
+    log = audit.log_rows(decisions.recommend(_context(spark, STATS["wide"])), "2000-01-01T00:00:00Z")
+    row, back = log.first(), audit.from_documents(audit.as_documents(log)).first()
+    assert (back["decision"], back["recommended_price"], back["codes"]) == (row["decision"], row["recommended_price"], row["reason_codes"])

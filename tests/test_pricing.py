@@ -34,7 +34,7 @@ def test_canonical_rows(spark, movement):
     assert bundle["effective_unit_price"] == 2.5 and bundle["bundle_flag"] == 1 and bundle["estimated_unit_aac"] == pytest.approx(1.5) and bundle["has_metadata_flag"] == 0
     assert unknown["recorded_promotion_type"] == "UNKNOWN_CODE" and unknown["recorded_promotion_flag"] == 0
     assert rows[111, 2, 10]["descrip"] == "TEST FLAKES" and str(rows[111, 2, 10]["week_start_date"]) == "1989-11-16"
-    assert cleaning.join_report(movement, products).first().asDict() == {"moved": 3, "described": 2, "moved_only": 2, "described_only": 1}
+    assert cleaning.join_report(movement, products).first().asDict() == {"moved": 3, "described": 2, "described_again": 1, "moved_only": 2, "described_only": 1}
 
 
 def _panel(spark, weeks=30):
