@@ -75,7 +75,7 @@ def test_near_groups_match_brute_force(spark, k):
             rows.append((len(rows), " ".join(copy)))
     hub = [rng.choice(vocabulary) for _ in range(100)]
     rows += [(len(rows) + i, " ".join(w if rng.random() > 0.03 else rng.choice(vocabulary) for w in hub)) for i in range(60)]
-    rows += [(1000, None), (1001, "  "), (1002, "W1"), (1003, "w1")]
+    rows += [(1000, None), (1001, "  "), (1002, "W1"), (1003, "w1"), (1004, "a\0b c d"), (1005, "a b c d"), (1006, "A\0B c d"), (1007, "\0"), (1008, "\0\0")]
     label, sizes = _brute(rows, k, 80)
     found = {r["doc_id"]: r for r in near_dedup.near_groups(_docs(spark, rows), k, 80).collect()}
     assert {i: r["component_id"] for i, r in found.items()} == label

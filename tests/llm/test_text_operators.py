@@ -621,3 +621,25 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.groupBy("bin_id").agg(F.sum("n_words").alias("n")).where("bin_id is not null and n > 2048").count() == 0
     hits = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
     assert hits.where("n_hit > 0").count() == 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_awkward_tables(spark, tmp_path, empty):
+    pipeline = importlib.import_module("corpus_pipeline")
+    prose = {"en": "the cat sat on the mat and the dog ran after it through the garden", "de": "der hund und die katze liefen durch den garten und in das haus"}
+    rows = [(i, f"{prose[n]} number {i} {'abcdefghij'[i % 10] * 5} {i * 7919}", n, f"s{i % 3}") for i, n in enumerate(["en", "de"] * 20)]
+    rows += [(100, None, "en", "s1"), (101, "", "de", None), (102, "12 !!", None, "s1"), (0, rows[0][1], "en", "s0"), (0, rows[0][1], "en", "s0"), (103, rows[1][1], None, None), (104, "a\0b " * 3000, "en", "s2"), (None, rows[2][1], "en", "s1")]
+    leaked = "one two three four five six seven eight nine ten eleven"
+    rows.append((105, f"the cat and the dog {leaked} in the garden", "en", "s1"))
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, shard string")
+    folder = f"file://{tmp_path}/{empty}"
+    (docs.limit(0) if empty else docs).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, leaked), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = pipeline.run(spark, folder).collect()
+    ids = {r["doc_id"] for r in out}
+    if empty:
+        assert not out
+    else:
+        assert ids.isdisjoint({100, 101, 102, 103, 105}) and ids >= {None, 104, *range(40)}
+        assert sum(r["doc_id"] == 0 for r in out) == 3  # repeated rows of the document that stays
+        assert max(r["bin_offset"] + r["n_words"] for r in out) <= packing.CAPACITY
