@@ -192,12 +192,15 @@ def elasticity_by_upc(spark, d):
     return _rounded(regression.slopes(_within(spark, d, ["upc", "store"]), "upc"))
 
 
-def _elasticities(spark, d, last_week=None):
-    """Shrunk elasticities from the weeks up to last_week (all, if none), around the pooled slope within series."""
-    rows = _within(spark, d, ["upc", "store"])
-    rows = rows if last_week is None else rows.where(F.col("week") <= last_week)
-    pooled = rows.agg(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).first()[0]
-    return regression.shrunk(regression.slopes(rows, "upc"), pooled)
+def _elasticities(spark, d):
+    """Shrunk elasticities of all weeks, around the pooled slope within series. The rows are kept while the slopes are
+    made, and then one row a product."""
+    rows = _within(spark, d, ["upc", "store"]).select("upc", "store", "week", "x", "y").persist()
+    try:
+        pooled = rows.agg(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).first()[0]
+        return regression.shrunk(regression.slopes(rows, "upc").persist(), pooled)
+    finally:
+        rows.unpersist()
 
 
 def shrinkage_weights(spark, d):
