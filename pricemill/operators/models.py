@@ -1,4 +1,4 @@
-"""Demand baselines, the ridge and Poisson models, their metrics, and how a model is chosen and kept."""
+"""Demand baselines, the ridge, Poisson and boosted models, their metrics, and how a model is chosen and kept."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +53,9 @@ _PLAIN = [_PRIOR, "package_size_oz", "log_price", "price_vs_lag", "price_vs_refe
 _CATEGORIES = ["upc", "store"]
 #: What a model reads of a row, beside the demand prior, which it adds itself.
 MODEL_INPUTS = [*_LOGGED, *(c for c in _PLAIN if c != _PRIOR), *_CATEGORIES]
+FAMILIES = ("ridge", "poisson", "boosted")
+#: Levels, bins of a feature and learning rate of the boosted trees.
+TREE_DEPTH, TREE_BINS, TREE_RATE = 5, 64, 0.2
 #: Weight of the overall mean in a product's demand prior, in rows.
 PRIOR_ROWS = 50
 
@@ -66,7 +69,8 @@ def demand_prior(train: DataFrame) -> DataFrame:
 
 
 class DemandModel:
-    """Demand from the features: a ridge on log1p units, or a Poisson regression with a log link.
+    """Demand from the features: a ridge on log1p units, a Poisson regression with a log link, or boosted
+    trees on log1p units (as many as rounds, of TREE_DEPTH levels).
 
     Numeric gaps take the training median and are scaled by the training mean and population standard
     deviation; a level of a category that training has not seen, or in fewer than min_frequency rows, adds
@@ -74,10 +78,10 @@ class DemandModel:
     largest training value.
     """
 
-    def __init__(self, family: str = "ridge", alpha: float = 1.0, min_frequency: int = 50):
-        if family not in ("ridge", "poisson"):
+    def __init__(self, family: str = "ridge", alpha: float = 1.0, min_frequency: int = 50, rounds: int = 30):
+        if family not in FAMILIES:
             raise ValueError(f"no model family {family}")
-        self.family, self.alpha, self.min_frequency = family, alpha, min_frequency
+        self.family, self.alpha, self.min_frequency, self.rounds = family, alpha, min_frequency, rounds
         self.pipeline: PipelineModel | None = None
         self.prior: DataFrame | None = None
 
@@ -124,15 +128,17 @@ class DemandModel:
         common = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__p"}
         if self.family == "ridge":  # the loss here is a mean of squares, so the penalty is one too
             stages.append(LinearRegression(elasticNetParam=0.0, standardization=False, regParam=self.alpha / stats["n"], **common))
+        elif self.family == "boosted":
+            stages.append(GBTRegressor(maxIter=self.rounds, maxDepth=TREE_DEPTH, maxBins=TREE_BINS, stepSize=TREE_RATE, seed=1, **common))
         else:
             stages.append(GeneralizedLinearRegression(family="poisson", link="log", regParam=self.alpha / stats["n"], maxIter=25, **common))
-        label = F.log1p("move") if self.family == "ridge" else F.col("move")
+        label = F.col("move") if self.family == "poisson" else F.log1p("move")
         self.pipeline = Pipeline(stages=stages).fit(self._scaled(train).withColumn("__y", label))
         return self
 
     def predict(self, df: DataFrame, column: str = "predicted") -> DataFrame:
         out = self.pipeline.transform(self._scaled(df))
-        value = F.expm1("__p") if self.family == "ridge" else F.col("__p")
+        value = F.col("__p") if self.family == "poisson" else F.expm1("__p")
         return out.select(*df.columns, F.least(F.greatest(value, F.lit(0.0)), F.lit(float(self.top))).alias(column))
 
     def save(self, folder: str) -> None:
@@ -140,14 +146,14 @@ class DemandModel:
         spark = SparkSession.getActiveSession()
         self.pipeline.write().overwrite().save(f"{folder}/pipeline")
         self.prior.write.mode("overwrite").parquet(f"{folder}/prior")
-        facts = {"family": self.family, "alpha": self.alpha, "min_frequency": self.min_frequency, "scales": self.scales, "top": self.top, "overall": self.overall, "frequent": self.frequent}
+        facts = {"family": self.family, "alpha": self.alpha, "min_frequency": self.min_frequency, "rounds": self.rounds, "scales": self.scales, "top": self.top, "overall": self.overall, "frequent": self.frequent}
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/facts")
 
     @classmethod
     def load(cls, folder: str) -> DemandModel:
         spark = SparkSession.getActiveSession()
         facts = json.loads(spark.read.text(f"{folder}/facts").first()["value"])
-        model = cls(facts["family"], facts["alpha"], facts["min_frequency"])
+        model = cls(facts["family"], facts["alpha"], facts["min_frequency"], facts["rounds"])
         model.scales, model.top, model.overall, model.frequent = [tuple(x) for x in facts["scales"]], facts["top"], facts["overall"], facts["frequent"]
         model.pipeline, model.prior = PipelineModel.load(f"{folder}/pipeline"), spark.read.parquet(f"{folder}/prior")
         return model
