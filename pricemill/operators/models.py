@@ -6,10 +6,12 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import PoissonTrees
+
 BASELINES = ("last_week", "rolling_mean_4", "series_mean", "seasonal_naive")
 
 
@@ -54,8 +56,6 @@ _CATEGORIES = ["upc", "store"]
 #: What a model reads of a row, beside the demand prior, which it adds itself.
 MODEL_INPUTS = [*_LOGGED, *(c for c in _PLAIN if c != _PRIOR), *_CATEGORIES]
 FAMILIES = ("ridge", "poisson", "boosted")
-#: Levels, bins of a feature and learning rate of the boosted trees.
-TREE_DEPTH, TREE_BINS, TREE_RATE = 5, 64, 0.2
 #: Weight of the overall mean in a product's demand prior, in rows.
 PRIOR_ROWS = 50
 
@@ -70,19 +70,21 @@ def demand_prior(train: DataFrame) -> DataFrame:
 
 class DemandModel:
     """Demand from the features: a ridge on log1p units, a Poisson regression with a log link, or boosted
-    trees on log1p units (as many as rounds, of TREE_DEPTH levels).
+    trees with a Poisson loss (see PoissonTrees; boosting has its settings).
 
-    Numeric gaps take the training median and are scaled by the training mean and population standard
-    deviation; a level of a category that training has not seen, or in fewer than min_frequency rows, adds
-    nothing. A product's demand prior is one of the numbers. Predictions lie between 0 and five times the
-    largest training value.
+    For the regressions numeric gaps take the training median and are scaled by the training mean and population
+    standard deviation; a level of a category that training has not seen, or in fewer than min_frequency rows,
+    adds nothing. Trees take the numbers as they are, gaps as a bin of their own and levels as categories. A
+    product's demand prior is one of the numbers. Predictions lie between 0 and five times the largest
+    training value.
     """
 
-    def __init__(self, family: str = "ridge", alpha: float = 1.0, min_frequency: int = 50, rounds: int = 30):
+    def __init__(self, family: str = "ridge", alpha: float = 1.0, min_frequency: int = 50, boosting: dict | None = None):
         if family not in FAMILIES:
             raise ValueError(f"no model family {family}")
-        self.family, self.alpha, self.min_frequency, self.rounds = family, alpha, min_frequency, rounds
+        self.family, self.alpha, self.min_frequency, self.boosting = family, alpha, min_frequency, dict(boosting or {})
         self.pipeline: PipelineModel | None = None
+        self.trees: PoissonTrees | None = None
         self.prior: DataFrame | None = None
 
     def _prepared(self, df: DataFrame) -> DataFrame:
@@ -111,6 +113,10 @@ class DemandModel:
         prior.count()
         self.prior, self.overall = prior, train.agg(F.avg(F.log1p("move"))).first()[0]
         raw = self._prepared(train)
+        if self.family == "boosted":
+            self.top = 5 * train.agg(F.max("move")).first()[0]
+            self.trees = PoissonTrees(**self.boosting).fit(raw, [f"__{c}" for c in numbers], [f"__{c}" for c in _CATEGORIES], "move")
+            return self
         medians = raw.agg(*(F.percentile(f"__{c}", F.lit(0.5)).alias(c) for c in numbers)).first()  # prices by cents, units by ones
         filled = raw.select(*(F.coalesce(F.col(f"__{c}"), F.lit(medians[c] or 0.0)).alias(c) for c in numbers), "move")
         stats = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in numbers), *(F.stddev_pop(c).alias(f"s_{c}") for c in numbers), F.count("*").alias("n"), F.max("move").alias("top")).first()
@@ -128,8 +134,6 @@ class DemandModel:
         common = {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__p"}
         if self.family == "ridge":  # the loss here is a mean of squares, so the penalty is one too
             stages.append(LinearRegression(elasticNetParam=0.0, standardization=False, regParam=self.alpha / stats["n"], **common))
-        elif self.family == "boosted":
-            stages.append(GBTRegressor(maxIter=self.rounds, maxDepth=TREE_DEPTH, maxBins=TREE_BINS, stepSize=TREE_RATE, seed=1, **common))
         else:
             stages.append(GeneralizedLinearRegression(family="poisson", link="log", regParam=self.alpha / stats["n"], maxIter=25, **common))
         label = F.col("move") if self.family == "poisson" else F.log1p("move")
@@ -137,25 +141,36 @@ class DemandModel:
         return self
 
     def predict(self, df: DataFrame, column: str = "predicted") -> DataFrame:
-        out = self.pipeline.transform(self._scaled(df))
-        value = F.col("__p") if self.family == "poisson" else F.expm1("__p")
+        if self.trees is not None:
+            out, value = self._prepared(df), self.trees.prediction()
+        else:
+            out = self.pipeline.transform(self._scaled(df))
+            value = F.col("__p") if self.family == "poisson" else F.expm1("__p")
         return out.select(*df.columns, F.least(F.greatest(value, F.lit(0.0)), F.lit(float(self.top))).alias(column))
 
     def save(self, folder: str) -> None:
-        """The fitted pipeline, the priors and the numbers, below a folder that Spark reaches."""
+        """The fitted pipeline or trees, the priors and the numbers, below a folder that Spark reaches."""
         spark = SparkSession.getActiveSession()
-        self.pipeline.write().overwrite().save(f"{folder}/pipeline")
+        facts = {"family": self.family, "alpha": self.alpha, "min_frequency": self.min_frequency, "boosting": self.boosting, "top": self.top, "overall": self.overall}
+        if self.trees is not None:
+            facts["trees"] = self.trees.facts()
+        else:
+            self.pipeline.write().overwrite().save(f"{folder}/pipeline")
+            facts |= {"scales": self.scales, "frequent": self.frequent}
         self.prior.write.mode("overwrite").parquet(f"{folder}/prior")
-        facts = {"family": self.family, "alpha": self.alpha, "min_frequency": self.min_frequency, "rounds": self.rounds, "scales": self.scales, "top": self.top, "overall": self.overall, "frequent": self.frequent}
         spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/facts")
 
     @classmethod
     def load(cls, folder: str) -> DemandModel:
         spark = SparkSession.getActiveSession()
         facts = json.loads(spark.read.text(f"{folder}/facts").first()["value"])
-        model = cls(facts["family"], facts["alpha"], facts["min_frequency"], facts["rounds"])
-        model.scales, model.top, model.overall, model.frequent = [tuple(x) for x in facts["scales"]], facts["top"], facts["overall"], facts["frequent"]
-        model.pipeline, model.prior = PipelineModel.load(f"{folder}/pipeline"), spark.read.parquet(f"{folder}/prior")
+        model = cls(facts["family"], facts["alpha"], facts["min_frequency"], facts["boosting"])
+        model.top, model.overall, model.prior = facts["top"], facts["overall"], spark.read.parquet(f"{folder}/prior")
+        if "trees" in facts:
+            model.trees = PoissonTrees.from_facts(facts["trees"])
+        else:
+            model.scales, model.frequent = [tuple(x) for x in facts["scales"]], facts["frequent"]
+            model.pipeline = PipelineModel.load(f"{folder}/pipeline")
         return model
 
 
