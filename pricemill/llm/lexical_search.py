@@ -1,7 +1,7 @@
 """Exact top-k lexical search of many queries by three rounds over term-partitioned posting lists (TPUT).
 
-1. The head of each list, its k highest contributions, gives partial sums; a query's k-th highest partial
-   sum is a lower bound of its k-th highest score.
+1. The head of each list, its k highest contributions, gives partial sums; the documents of the highest ones
+   are scored exactly, and a query's k-th highest of these is a lower bound of its k-th highest score.
 2. A document that reaches the bound has, in at least one of the query's m lists, a contribution of at least
    bound / m: every list is read down to that threshold. Better lower bounds come of it, and upper bounds from
    the threshold and the head of the lists in which a document was not met.
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,13 +25,17 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, free_name, partitions, stored, table
 from .words import steps, utf8
 
-#: Bytes of the queries' distinct terms up to which they go to the tasks that read documents; more
-#: terms are joined by a shuffle of all postings instead.
-VOCABULARY_BYTES = 16 << 20
+#: Bytes of the queries' distinct terms, and terms of all queries, up to which they go to every task; more
+#: are joined by shuffles of the postings instead.
+VOCABULARY_BYTES, QUERY_TERMS = 16 << 20, 1_000_000
+#: Documents of the heads that are scored exactly for an item, in multiples of k; pairs of an item and a list entry that one
+#: numpy step takes.
+HEAD_DOCUMENTS, PAIRS_TOGETHER = 5, 1 << 21
 #: Letters of a term: ASCII digits and letters and all beyond ASCII.
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ROWS = "row long, doc_id long, n long, terms array<string>, tfs array<long>"
+_SUMS = pa.schema([(c, pa.int64()) for c in ("item", "row", "doc_id", "score", "upper")])
 _SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64()))])
 
 
@@ -90,7 +95,7 @@ class Postings:
         """The queries' terms, if they are few enough to travel with the code."""
         terms = queries.select("term").distinct()
         size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0)).alias("b")).first()["b"]
-        if size > VOCABULARY_BYTES:
+        if size > VOCABULARY_BYTES or queries.count() > QUERY_TERMS:
             return False, None
         return True, frozenset(r["term"].encode("utf-8") for r in terms.collect())
 
@@ -106,6 +111,12 @@ class Postings:
         value = F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 12L * (100L - 25L + ((25L * n * {self.N}L) div {self.L}L))))")
         return held.join(self._by_term(self.weights), "term").select("row", "doc_id", "term", value.alias("value")).where("value > 0")
 
+    def exact(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(item, row, doc_id, score) of stored pairs of an item and a document: every one of its terms is looked up."""
+        looked = self.held.join(pairs.select("row").distinct(), "row", "left_semi")
+        parts = self.values(looked).join(pairs, "row").join(queries.select("item", "term", "times"), ["item", "term"])
+        return parts.groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.first("doc_id").alias("doc_id"))
+
     def lists(self) -> DataFrame:
         """The posting lists, stored by ranges of (term, falling value): a list is sorted, and a long one lies over
         several partitions."""
@@ -127,6 +138,85 @@ def _bounds(sums: DataFrame, k: int) -> DataFrame:
     return kth.select("item", F.col("score").alias("bound"), F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("last"))
 
 
+def _sums_by_join(down: DataFrame, cut: DataFrame) -> DataFrame:
+    """(item, row, doc_id, score, upper) of the list entries that reach their item's threshold: the sum of a
+    document's entries and what it can have at most; documents that can't reach the bound are left out."""
+    met = down.join(cut, "term").where("value >= least")
+    sums = met.groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.sum("cap").alias("met"), F.first("doc_id").alias("doc_id"), F.first("bound").alias("bound"))
+    caps = cut.groupBy("item").agg(F.sum("cap").alias("caps"))
+    upper = F.col("score") + F.col("caps") - F.col("met")
+    return sums.join(caps, "item").withColumn("upper", upper).where("upper >= bound").select(*_SUMS.names)
+
+
+def _sums_by_task(down: DataFrame, cut: DataFrame) -> DataFrame:
+    """The same where the queries' terms go to every task: entries are dealt by document, and neither the pairs of
+    an item and a document nor their parts are shuffled."""
+    lists = cut.orderBy("term", "item").toArrow()  # at most QUERY_TERMS rows, counted before
+    codes = lists["term"].combine_chunks().dictionary_encode()
+    place = {t: i for i, t in enumerate(codes.dictionary.to_pylist())}
+    starts = np.searchsorted(codes.indices.to_numpy(), np.arange(len(place) + 1))
+    items, item_of = np.unique(lists["item"].to_numpy(), return_inverse=True)
+    times, least, cap = (lists[c].to_numpy() for c in ("times", "least", "cap"))
+    caps, bound = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    np.add.at(caps, item_of, cap)
+    bound[item_of] = lists["bound"].to_numpy()
+
+    def summed(rows: np.ndarray, docs: pa.Array, terms: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole documents, whose entries follow each other."""
+        n = starts[terms + 1] - starts[terms]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        pairs = np.concatenate((np.add.reduceat(n, first), [0]))
+        at = 0
+        while at < len(first):  # some documents at a time, so that their pairs stay few
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(pairs[at:]), PAIRS_TOGETHER, "right")) + at)
+            upto = min(upto, len(first))
+            lo, hi = first[at], first[upto] if upto < len(first) else len(rows)
+            entry = np.repeat(np.arange(lo, hi), n[lo:hi])
+            pair = np.arange(len(entry)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + starts[terms[entry]]
+            good = values[entry] >= least[pair]
+            entry, pair = entry[good], pair[good]
+            doc = np.searchsorted(first, entry, "right") - 1
+            key = doc * len(items) + item_of[pair]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+            if len(begins):
+                score = np.add.reduceat((values[entry] * times[pair])[order], begins)
+                doc, item = key[begins] // len(items), key[begins] % len(items)
+                upper = score + caps[item] - np.add.reduceat(cap[pair][order], begins)
+                good = upper >= bound[item]
+                found = first[doc[good]]
+                columns = [pa.array(items[item[good]]), pa.array(rows[found]), docs.take(pa.array(found)), pa.array(score[good]), pa.array(upper[good])]
+                yield pa.RecordBatch.from_arrays(columns, schema=_SUMS)
+            at = upto
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def parts(entries: pa.Table):
+            codes = entries["term"].combine_chunks().dictionary_encode()
+            known = np.array([place[t] for t in codes.dictionary.to_pylist()], np.int64)
+            return entries["row"].to_numpy(), entries["doc_id"].combine_chunks(), known[codes.indices.to_numpy()], entries["value"].to_numpy()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            ids = b.column("row").to_numpy()
+            if ids[0] == ids[-1]:
+                continue  # perhaps one document so far
+            entries = pa.Table.from_batches(held)
+            rows = entries["row"].to_numpy()
+            whole = int(np.flatnonzero(rows != rows[-1])[-1]) + 1  # the last document may go on
+            yield from summed(*parts(entries.slice(0, whole)))
+            held = entries.slice(whole).to_batches()
+        if held:
+            yield from summed(*parts(pa.Table.from_batches(held)))
+
+    dealt = down.select("row", "doc_id", "term", "value").repartition(partitions(down.sparkSession), "row").sortWithinPartitions("row")
+    return dealt.mapInArrow(make, "item long, row long, doc_id long, score long, upper long")
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(item_id, rank, doc_id, score): the k documents of the highest positive score for each item, all where
     there are fewer; equal scores by ascending doc_id.
@@ -136,42 +226,32 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id
     without a term that scores have no rows, so an empty table on either side gives an empty result.
     Columns beside those named are not looked at.
     """
-    spark = docs.sparkSession
     queries = query_terms(items, item_id, text)
     postings = Postings(docs, queries, doc_id, text)
     lists = postings.lists()
 
-    # first round: list heads
+    # first round: list heads. The documents of the highest partial sums are scored exactly, which raises the bound
     heads = stored(_ranked(lists, "term", "value", k), "heads")
     tops = heads.where(F.col("rank") == 1).select("term", F.col("value").alias("top"))
     own = queries.join(postings._by_term(tops), "term").withColumn("most", F.col("times") * F.col("top"))
-    sizes = own.groupBy("item").agg(F.count("*").alias("m"), F.sum("most").alias("all_most"))
     partial = heads.join(postings._by_term(own.select("item", "term", "times")), "term")
     sums = partial.groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.first("doc_id").alias("doc_id"))
-    # an item with fewer than k documents in its heads has bound 1: every positive score may count
-    bounds = sizes.join(_bounds(sums, k).select("item", "bound"), "item", "left").withColumn("bound", F.coalesce("bound", F.lit(1).cast("long")))
+    known = postings.exact(queries, stored(_ranked(sums, "item", "score", HEAD_DOCUMENTS * k).select("item", "row"), "best"))
+    # an item with fewer than k such documents has bound 1: every positive score may count
+    sizes = own.groupBy("item").agg(F.count("*").alias("m"))
+    bounds = sizes.join(_bounds(known, k).select("item", "bound"), "item", "left").withColumn("bound", F.coalesce("bound", F.lit(1).cast("long")))
 
     # second round: every list down to the uniform threshold, bound / m of the item
-    cut = own.join(bounds, "item").select("item", "term", "times", F.expr("(bound + m * times - 1) div (m * times)").alias("least"), F.expr("least(most, (bound - 1) div m)").alias("cap"))
+    cut = own.join(bounds, "item").select("item", "term", "times", "bound", F.expr("(bound + m * times - 1) div (m * times)").alias("least"), F.expr("least(most, (bound - 1) div m)").alias("cap"))
     cut = stored(cut, "thresholds")
-    # what a list may still add to a document that was not met in it
-    caps = cut.groupBy("item").agg(F.sum("cap").alias("caps"))
     lowest = cut.groupBy("term").agg(F.min("least").alias("lowest"))
     down = lists.join(postings._by_term(lowest), "term").where("value >= lowest").drop("lowest")
-    met = down.join(postings._by_term(cut), "term").where("value >= least")
-    lower = met.groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.sum("cap").alias("met"), F.first("doc_id").alias("doc_id"))
-    lower = stored(lower, "lower")
-    kth = _bounds(lower, k)
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    upper = F.col("score") + F.col("caps") - F.col("met")
-    may = lower.join(caps, "item").join(kth, "item", "left").where(F.col("bound").isNull() | (upper > F.col("bound")) | ((upper == F.col("bound")) & (place <= F.col("last"))))
-    candidates = stored(may.select("item", "row"), "candidates")
-
-    # third round: exact scores of the candidates
-    looked = postings.held.join(candidates.select("row").distinct(), "row", "left_semi")
-    parts = postings.values(looked).join(candidates, "row").join(queries.select("item", "term", "times"), ["item", "term"])
-    scores = parts.groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.first("doc_id").alias("doc_id"))
-    best = _ranked(scores, "item", "score", k)
+    lower = stored(_sums_by_task(down, cut) if postings.small else _sums_by_join(down, cut), "lower")
+    kth, place = _bounds(lower, k), F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    may = lower.join(kth, "item", "left").where(F.col("bound").isNull() | (F.col("upper") > F.col("bound")) | ((F.col("upper") == F.col("bound")) & (place <= F.col("last"))))
+
+    # third round: exact scores of the documents that are left
+    best = _ranked(postings.exact(queries, stored(may.select("item", "row"), "candidates")), "item", "score", k)
     names = queries.select("item", "item_id").distinct()
     return best.join(names, "item").select(F.col("item_id").alias(item_id), F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
