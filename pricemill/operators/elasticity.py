@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricemill.config import Config
@@ -58,14 +58,21 @@ def centred(train: DataFrame) -> DataFrame:
 
 
 def _estimates(rows: DataFrame, config: Config) -> DataFrame:
-    e, p = config["elasticity"], F.col("effective_unit_price")
+    p = F.col("effective_unit_price")
     history = rows.groupBy("upc").agg(
         F.count("*").alias("n_rows"), F.countDistinct(p).alias("n_distinct_prices"), F.countDistinct("store").alias("n_stores"), F.countDistinct("week").alias("n_weeks"),
         (F.stddev_samp(p) / F.avg(p)).alias("price_cv"), F.min(p).alias("price_min"), F.max(p).alias("price_max"),
     )
-    enough = (F.col("n_rows") >= e["min_obs_per_upc"]) & (F.col("n_distinct_prices") >= e["min_distinct_prices_per_upc"])
     fits = regression.controlled_slopes(rows, "upc", CONTROLS).drop("n_obs")
-    out = history.withColumn("enough", enough).join(fits, "upc", "left")
+    return judged(history, fits, ["upc"], config)
+
+
+def judged(history: DataFrame, fits: DataFrame, keys: list[str], config: Config) -> DataFrame:
+    """Histories (n_rows, n_distinct_prices, ...) and fits by keys as estimates: no slope where there are too few rows or
+    prices, and the reason where there is none."""
+    e = config["elasticity"]
+    enough = (F.col("n_rows") >= e["min_obs_per_upc"]) & (F.col("n_distinct_prices") >= e["min_distinct_prices_per_upc"])
+    out = history.withColumn("enough", enough).join(fits, keys, "left")
     numbers = ["estimate", "std_error_hc1", "std_error_store", "std_error_week", "std_error", "r_squared"]
     out = out.withColumns({c: F.when(F.col("enough"), F.col(c)) for c in numbers})
     b, se = F.col("estimate"), F.col("std_error")
@@ -86,25 +93,37 @@ def product_estimates(train: DataFrame, config: Config | None = None) -> DataFra
     return _estimates(centred(train), config or Config())
 
 
+def magnitude_band(config: Config) -> tuple[float, float]:
+    r = config["pricing_response"]
+    return float(r["min_abs_elasticity"]), float(r["max_abs_elasticity"])
+
+
+def usable_slope(config: Config) -> Column:
+    """Whether an estimate is precise and of the right sign."""
+    precise = F.col("std_error") <= float(config["elasticity"]["max_se_for_product_estimate"])
+    return (F.col("reject_reason") == "") & precise & (F.col("estimate") < 0)
+
+
+def with_reasons(found: DataFrame) -> DataFrame:
+    """Shrunk estimates with the reason of those that are not usable."""
+    own = F.when(F.col("estimate") >= 0, "wrong_sign").otherwise("standard_error_too_large")
+    return found.withColumn("reject_reason", F.when((F.col("reject_reason") == "") & ~F.col("usable"), own).otherwise(F.col("reject_reason")))
+
+
 def elasticity_table(train: DataFrame, config: Config | None = None, weeks: tuple[int, int] | None = None) -> ElasticityTable:
     """The table of training rows. Slopes that are imprecise or of the wrong sign take the pooled one; the
     others are shrunk towards it. facts names the weeks that the rows come from. The rows are kept only
     while the table is made; what stays kept is one row a product."""
     config = config or Config()
-    e, r = config["elasticity"], config["pricing_response"]
-    band = (float(r["min_abs_elasticity"]), float(r["max_abs_elasticity"]))
+    band = magnitude_band(config)
     rows = centred(train).persist()
     try:
         fit = regression.Fit(rows, "y", ["x", *CONTROLS])
         slope = float(fit.beta[0])
         products = _estimates(rows, config).persist()
-        precise, negative = F.col("std_error") <= float(e["max_se_for_product_estimate"]), F.col("estimate") < 0
-        usable = (F.col("reject_reason") == "") & precise & negative
-        found = regression.shrunk(products, slope, band=band, usable=usable)
+        found = with_reasons(regression.shrunk(products, slope, band=band, usable=usable_slope(config)))
     finally:
         rows.unpersist()
-    reason = F.when((F.col("reject_reason") == "") & ~F.col("usable"), F.when(F.col("estimate") >= 0, "wrong_sign").otherwise("standard_error_too_large")).otherwise(F.col("reject_reason"))
-    found = found.withColumn("reject_reason", reason)
     facts = {"kind": "shrunk", "pooled": slope, "rows": fit.n, "weeks": weeks, "band": band}
     return ElasticityTable(found, -min(max(abs(slope), band[0]), band[1]), facts)
 

@@ -188,9 +188,26 @@ def controlled_slopes(df: DataFrame, key: str, controls: list[str]) -> DataFrame
     of that (w_) and the coefficients (b_), and a second pass sums the scores. A key whose x does not
     vary gives no row."""
     xs = ["x", *controls]
-    k = len(xs)
     sums = df.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("store").alias("n_stores"), *_sums([*xs, "y"]))
-    names = [key, "n_obs", "n_stores", "n_kept", "sse", "syy", *(f"b_{x}" for x in xs), *(f"w_{x}" for x in xs)]
+    fits = solved(sums, [key], xs)
+    scored = df.join(fits.select(key, *_coefficients(xs)), key)
+    out = fits.join(_clustered_meats(scored, key, score(xs)), key)
+    return with_errors(out).select(key, *SLOPE_COLUMNS)
+
+
+SLOPE_COLUMNS = ["n_obs", "estimate", "std_error_hc1", "std_error_store", "std_error_week", "std_error", "r_squared"]
+
+
+def _coefficients(xs: list[str]) -> list[str]:
+    return [*(f"b_{x}" for x in xs), *(f"w_{x}" for x in xs)]
+
+
+def solved(sums: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
+    """From sums by keys (n, n_stores and the s_i_j of xs and y): n_obs, n_stores, n_kept, sse, syy, the coefficients
+    (b_) and what the score of the first regressor takes of each (w_). One row a key; none where the first regressor
+    does not vary."""
+    k = len(xs)
+    names = [*keys, "n_obs", "n_stores", "n_kept", "sse", "syy", *_coefficients(xs)]
 
     def solve(frames):
         for frame in frames:
@@ -202,17 +219,25 @@ def controlled_slopes(df: DataFrame, key: str, controls: list[str]) -> DataFrame
                     inverse = np.linalg.inv(gram[np.ix_(kept, kept)])
                     beta, weight = np.zeros(k), np.zeros(k)
                     beta[kept], weight[kept] = inverse @ gram[kept, k], inverse[0]
-                    rows.append((row[key], row["n"], row["n_stores"], len(kept), gram[k, k] - beta @ gram[:k, k], gram[k, k], *beta, *weight))
+                    rows.append((*(row[c] for c in keys), row["n"], row["n_stores"], len(kept), gram[k, k] - beta @ gram[:k, k], gram[k, k], *beta, *weight))
             yield pd.DataFrame(rows, columns=names)
 
-    kind = dict(df.dtypes)[key]
-    fits = sums.mapInPandas(solve, f"{key} {kind}, n_obs long, n_stores long, n_kept long, sse double, syy double, " + ", ".join(f"{n} double" for n in names[6:]))
+    kinds = dict(sums.dtypes)
+    own = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    return sums.mapInPandas(solve, f"{own}, n_obs long, n_stores long, n_kept long, sse double, syy double, " + ", ".join(f"{n} double" for n in _coefficients(xs)))
+
+
+def score(xs: list[str]) -> Column:
+    """A row's score of the first regressor, from the coefficients that solved gives its key."""
     total = lambda p: reduce(lambda a, b: a + b, [F.col(x) * F.col(f"{p}_{x}") for x in xs])
-    scored = df.join(fits.select(key, *names[6:]), key)
-    out = fits.join(_clustered_meats(scored, key, total("w") * (F.col("y") - total("b"))), key)
+    return total("w") * (F.col("y") - total("b"))
+
+
+def with_errors(out: DataFrame) -> DataFrame:
+    """Fits with the meats of their scores: estimate, its errors and r_squared."""
     dof = F.col("n_obs") - F.col("n_kept") - F.col("n_stores")
     out = _largest_error(out, F.when(dof > 0, dof), F.lit(1.0))
-    return out.select(key, "n_obs", F.col("b_x").alias("estimate"), "std_error_hc1", "std_error_store", "std_error_week", "std_error", (1 - F.col("sse") / F.nullif("syy", F.lit(0.0))).alias("r_squared"))
+    return out.withColumns({"estimate": F.col("b_x"), "r_squared": 1 - F.col("sse") / F.nullif("syy", F.lit(0.0))})
 
 
 def slope_by_group(df: DataFrame, key: str, xs: list[str]) -> DataFrame:
@@ -296,10 +321,14 @@ def shrunk(
     usable = (F.col("estimate") < 0) & (F.col("std_error") <= max_error) if usable is None else usable
     table = table.withColumn("usable", F.coalesce(usable, F.lit(False)))
     tau2, free = dispersion(table.where("usable"), method) or (0.0, pooled)
-    mean = free if prior == "estimated" else pooled
-    weight = F.when(F.col("usable"), F.lit(tau2) / F.nullif(F.lit(tau2) + F.col("std_error") * F.col("std_error"), F.lit(0.0))).otherwise(F.lit(0.0))
+    return weighed(table, F.lit(tau2), F.lit(free if prior == "estimated" else pooled), band)
+
+
+def weighed(table: DataFrame, tau2: Column, mean: Column, band: tuple[float, float]) -> DataFrame:
+    """Slopes (estimate, std_error, usable) drawn to a mean by their dispersion, and kept within the band."""
+    weight = F.when(F.col("usable"), tau2 / F.nullif(tau2 + F.col("std_error") * F.col("std_error"), F.lit(0.0))).otherwise(F.lit(0.0))
     out = table.withColumn("shrinkage_weight", F.coalesce(weight, F.lit(0.0)))
-    value = F.when(F.col("shrinkage_weight") > 0, F.col("shrinkage_weight") * F.col("estimate") + (1 - F.col("shrinkage_weight")) * mean).otherwise(F.lit(mean))
+    value = F.when(F.col("shrinkage_weight") > 0, F.col("shrinkage_weight") * F.col("estimate") + (1 - F.col("shrinkage_weight")) * mean).otherwise(mean)
     out = out.withColumn("elasticity_shrunk", value)
     final = -F.least(F.greatest(F.abs("elasticity_shrunk"), F.lit(band[0])), F.lit(band[1]))
     source = F.when(F.col("usable"), "shrunk_product").otherwise("pooled_fallback")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricemill.config import Config
 from pricemill.functions.columns import arc_elasticity, best_price, price_change, price_index, r6
 from pricemill.functions.ranges import quantiles
-from pricemill.operators import attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies
+from pricemill.operators import attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies, walk_forward
 from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
 
@@ -463,6 +463,36 @@ def policy_backtest(spark, d):
     return _rounded(policies.totals(policies.scored(policies.policy_prices(found, CONFIG.policy("standard")))))
 
 
+def elasticities_as_of(spark, d):
+    """The elasticity tables of what was known before each of the last ten weeks."""
+    panel = _panel(spark, d)
+    cols = ["n_obs", "n_distinct_prices", "n_stores", "n_weeks", "price_cv", "estimate", "std_error", "usable", "reject_reason", "shrinkage_weight", "elasticity_final", "elasticity_source", "pooled"]
+    return _rounded(walk_forward.tables_as_of(panel, walk_forward.last_weeks(panel, 10), CONFIG).select("as_of", "upc", *cols))
+
+
+def _walked(spark, d):
+    """(decisions of the last ten weeks on the response as of each week, at demand by a model of the training weeks, rows
+    of those weeks with the model's forecast)."""
+    rows = _model_rows(spark, d)
+    model = models.DemandModel("ridge").fit(rows.where("split = 'train'"))
+    weeks = walk_forward.last_weeks(rows.where("split = 'test'"), 10)
+    tested = model.predict(rows.where(F.col("week").isin(weeks)))
+    level = model.predict(tested.drop("predicted").withColumns(features.price_features(F.col("lag_price_1"))), "base_units")
+    stood = _backtest_contexts(spark, d).drop("base_units", "elasticity", "elasticity_source").join(level.select(*KEYS, "base_units"), KEYS)
+    tables = walk_forward.tables_as_of(_panel(spark, d), weeks, CONFIG)
+    found = decisions.recommend(walk_forward.attach_as_of(stood, tables, CONFIG), "standard", CONFIG).where("unit_cost is not null")
+    return found, tested
+
+
+def walk_forward_backtest(spark, d):
+    """Each of the last ten weeks decided on the response and the history known before it, by policy, beside how well the
+    model foresaw the week."""
+    found, tested = _walked(spark, d)
+    scores = walk_forward.weekly_scores(policies.scored(policies.policy_prices(found, CONFIG.policy("standard"))))
+    accuracy = models.evaluate(tested.select("week", F.col("move").alias("actual"), "predicted"), ["week"]).select("week", "wape", "bias")
+    return _rounded(scores.join(accuracy, "week"))
+
+
 def optimal_prices(spark, d):
     rows = contexts(spark, d).where("unit_cost > 0")
     return _rounded(rows.select(*KEYS, best_price(F.col("unit_cost"), F.col("elasticity")).alias("best_price")))
@@ -783,7 +813,7 @@ product_roles store_dispersion price_variation_upc price_variation_series eligib
 series_age price_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
 loglog_upc_store_fe elasticity_by_upc shrinkage_weights robust_inference elasticity_with_controls forecast_metrics metrics_by_segment performance_by_quarter
 psi_by_feature ks_statistic alerts guardrail_bounds simulate_grid price_grid curve_diagnostics risk_levels recommendations decision_mix reason_code_counts
-constraint_attribution constraint_intervals attribution_table attribution_contexts determinants rule_policies policy_totals policy_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
+constraint_attribution constraint_intervals attribution_table attribution_contexts determinants rule_policies policy_totals policy_backtest elasticities_as_of walk_forward_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
 episode_rank_correlation excluded_positions elasticity_windows elasticity_stability risk_bootstrap guardrail_ablation elasticity_scenarios recommendation_stability
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
 elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
