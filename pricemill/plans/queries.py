@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricemill.config import Config
 from pricemill.functions.columns import arc_elasticity, best_price, price_change, price_index, r6
 from pricemill.functions.ranges import quantiles
-from pricemill.operators import attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies, walk_forward
+from pricemill.operators import admission, attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies, walk_forward
 from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
 
@@ -808,6 +808,17 @@ def category_comparison(spark, d):
     return _rounded(by.join(slope, "category"))
 
 
+#: Limits of the admission query: requests of a client in a sliding hour, and of a day.
+PER_CLIENT, PER_DAY = 2, 300
+
+
+def admitted_events(spark, d):
+    """Each event as a request of its user: whether the sliding hour and the day's cap admit it, and if not, which of them."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    found = admission.admissions(events, PER_CLIENT, PER_DAY, client="user_id", at="ts", key="event_id")
+    return found.select(F.col("id").alias("event_id"), F.col("client").alias("user_id"), "admitted", "reason")
+
+
 _NAMES = """panel_canonical exclusion_counts validation_checks table_fingerprint scale_summary numeric_profile promo_rollup weekly_rollup upc_concentration
 product_roles store_dispersion price_variation_upc price_variation_series eligible_series lag_features rolling_features reference_price_median decision_cost
 series_age price_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
@@ -818,5 +829,5 @@ episode_rank_correlation excluded_positions elasticity_windows elasticity_stabil
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
 elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
 ground_truth_study boosted_metrics model_selection refitted_baselines demand_prior raw_audit feature_drift prediction_drift schema_checks strict_alerts worst_stores top_products decision_crosstab reason_code_flags
-tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison""".split()
+tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
