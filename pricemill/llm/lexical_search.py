@@ -3,8 +3,8 @@
 1. The head of each list, its k highest contributions, gives partial sums; the documents of the highest ones
    are scored exactly, and a query's k-th highest of these is a lower bound of its k-th highest score.
 2. A document that reaches the bound has, in at least one of the query's m lists, a contribution of at least
-   bound / m: every list is read down to that threshold. Better lower bounds come of it, and upper bounds from
-   the threshold and the head of the lists in which a document was not met.
+   bound / m: every list is read down to that threshold (and somewhat deeper, see DEEPER). Better lower bounds come
+   of it, and upper bounds from the threshold and the head of the lists in which a document was not met.
 3. The documents whose upper bound reaches the k-th lower bound are looked up and scored exactly.
 
 No document that belongs to a result is lost, so the results are exact. Lists are dealt by ranges of (term,
@@ -31,6 +31,9 @@ VOCABULARY_BYTES, QUERY_TERMS = 16 << 20, 1_000_000
 #: Documents of the heads that are scored exactly for an item, in multiples of k; pairs of an item and a list entry that one
 #: numpy step takes.
 HEAD_DOCUMENTS, PAIRS_TOGETHER = 5, 1 << 21
+#: How far below bound / m lists are read. At bound / m itself what a document may have in lists where it was not met
+#: is as much as the bound asks for, so nothing could be left out; a quarter of it leaves a quarter of the bound open.
+DEEPER = 4
 #: Letters of a term: ASCII digits and letters and all beyond ASCII.
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -114,7 +117,7 @@ class Postings:
     def exact(self, queries: DataFrame, pairs: DataFrame) -> DataFrame:
         """(item, row, doc_id, score) of stored pairs of an item and a document: every one of its terms is looked up."""
         looked = self.held.join(pairs.select("row").distinct(), "row", "left_semi")
-        parts = self.values(looked).join(pairs, "row").join(queries.select("item", "term", "times"), ["item", "term"])
+        parts = self.values(looked).join(pairs, "row").join(self._by_term(queries.select("item", "term", "times")), ["item", "term"])
         return parts.groupBy("item", "row").agg(F.sum(F.col("times") * F.col("value")).alias("score"), F.first("doc_id").alias("doc_id"))
 
     def lists(self) -> DataFrame:
@@ -241,8 +244,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, doc_id: str = "doc_id
     sizes = own.groupBy("item").agg(F.count("*").alias("m"))
     bounds = sizes.join(_bounds(known, k).select("item", "bound"), "item", "left").withColumn("bound", F.coalesce("bound", F.lit(1).cast("long")))
 
-    # second round: every list down to the uniform threshold, bound / m of the item
-    cut = own.join(bounds, "item").select("item", "term", "times", "bound", F.expr("(bound + m * times - 1) div (m * times)").alias("least"), F.expr("least(most, (bound - 1) div m)").alias("cap"))
+    # second round: every list down to the uniform threshold, bound / (DEEPER m) of the item
+    cut = own.join(bounds, "item").select("item", "term", "times", "bound", F.expr(f"(bound + {DEEPER} * m * times - 1) div ({DEEPER} * m * times)").alias("least"), F.expr(f"least(most, (bound - 1) div ({DEEPER} * m))").alias("cap"))
     cut = stored(cut, "thresholds")
     lowest = cut.groupBy("term").agg(F.min("least").alias("lowest"))
     down = lists.join(postings._by_term(lowest), "term").where("value >= lowest").drop("lowest")
