@@ -48,6 +48,35 @@ def append_transition(log: DataFrame, transitions: DataFrame, rec_id: str, to_st
     return log.sparkSession.createDataFrame([(at, rec_id, row["state"], to_state, actor, note)], TRANSITION)
 
 
+def first_state() -> str:
+    """The state that none leads to."""
+    return next(s for s in TRANSITIONS if not any(s in to for to in TRANSITIONS.values()))
+
+
+def fold_transitions(log: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(rec_id, at, from_state, to_state, actor, note, accepted, reason): each transition once, applied in the order of its
+    time to the state that those before it left. What a state does not allow, or is of a rec_id the log lacks, is
+    not accepted, with reason illegal or unknown, and changes nothing. The same row sent again counts once; of equal
+    times the lower state by name comes first. Rows without a rec_id or a time are unknown."""
+    kind = "array<struct<at timestamp, from_state string, to_state string, actor string, note string, accepted boolean>>"
+    known = log.select("rec_id", F.lit(True).alias("__known")).distinct()
+    seen = transitions.select("rec_id", "at", "to_state", "actor", "note").join(known, "rec_id", "left")
+    good = F.col("__known").isNotNull() & F.col("at").isNotNull()
+    allowed = F.create_map(*(x for s, to in TRANSITIONS.items() for x in (F.lit(s), F.array(*map(F.lit, to)).cast("array<string>"))))
+
+    def apply(done, step):
+        fits = F.coalesce(F.array_contains(F.try_element_at(allowed, done.state), step.to_state), F.lit(False))
+        row = F.struct(step.at.alias("at"), done.state.alias("from_state"), step.to_state.alias("to_state"), step.actor.alias("actor"), step.note.alias("note"), fits.alias("accepted"))
+        return F.struct(F.when(fits, step.to_state).otherwise(done.state).alias("state"), F.concat(done.rows, F.array(row)).alias("rows"))
+
+    start = F.struct(F.lit(first_state()).alias("state"), F.array().cast(kind).alias("rows"))
+    by = seen.where(good).groupBy("rec_id").agg(F.array_sort(F.collect_set(F.struct("at", "to_state", "actor", "note"))).alias("s"))
+    applied = by.select("rec_id", F.explode(F.aggregate("s", start, apply, lambda done: done.rows)).alias("r")).select("rec_id", "r.*")
+    applied = applied.withColumn("reason", F.when(~F.col("accepted"), "illegal"))
+    unknown = seen.where(~good).distinct().select("rec_id", "at", F.lit(None).cast("string").alias("from_state"), "to_state", "actor", "note", F.lit(False).alias("accepted"), F.lit("unknown").alias("reason"))
+    return applied.unionByName(unknown)
+
+
 def as_documents(log: DataFrame) -> DataFrame:
     """(rec_id, document): each log row as JSON, its codes as a map to their places; nulls are left out."""
     fields = [c for c in log.columns if c not in ("rec_id", "reason_codes")]

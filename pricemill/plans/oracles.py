@@ -525,4 +525,14 @@ hp AS (
   SELECT upc, store, week, count(p) OVER past AS n_obs, coalesce(CAST(sum(f) OVER past AS BIGINT), 0) AS n_distinct_prices, min(p) OVER past AS price_min, max(p) OVER past AS price_max
   FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY upc, store, p ORDER BY week) = 1 THEN 1 ELSE 0 END AS f FROM tr)
   WINDOW past AS (PARTITION BY upc, store ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""),
+    "late_outcomes": _with(f"SELECT week, {_METRICS} FROM lf WHERE model = 'rolling_mean_4' GROUP BY week", _FEATURES, _SPLIT, _BASE),
+    "lifecycle_steps": _with("""SELECT rec_id, hour, CASE WHEN known THEN old END AS from_state, to_state, actor, known AND now = to_state AND old <> to_state AS accepted,
+      CASE WHEN NOT known THEN 'unknown' WHEN now <> to_state OR old = to_state THEN 'illegal' END AS reason FROM (
+      SELECT *, CASE WHEN (old = 'GENERATED' AND to_state = 'REVIEWED') OR (old = 'REVIEWED' AND to_state IN ('APPROVED', 'REJECTED')) OR (old = 'APPROVED' AND to_state = 'PUBLISHED') THEN to_state ELSE old END AS now FROM (
+        SELECT *, list_reduce(list_prepend('GENERATED', coalesce(before, [])), lambda acc, x: CASE WHEN (acc = 'GENERATED' AND x = 'REVIEWED') OR (acc = 'REVIEWED' AND x IN ('APPROVED', 'REJECTED'))
+          OR (acc = 'APPROVED' AND x = 'PUBLISHED') THEN x ELSE acc END) AS old FROM (
+          SELECT *, list(to_state) OVER (PARTITION BY rec_id ORDER BY hour, to_state, actor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+            SELECT DISTINCT CASE WHEN upc % 10 = 0 THEN 'x' ELSE '' END || upc || '-' || store || '-' || week AS rec_id, upc % 10 <> 0 AS known, (upc * 11 + store * 5 + k * 37) % 97 AS hour,
+              ['GENERATED', 'REVIEWED', 'APPROVED', 'REJECTED', 'PUBLISHED'][CAST((upc * 7 + store * 3 + k * k) % 5 + 1 AS INTEGER)] AS to_state, 'a' || (k % 2) AS actor
+            FROM cx, (SELECT unnest(range(1, 7)) AS k)))))""", *_ALL),
 }

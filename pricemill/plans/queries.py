@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from pricemill.config import Config
 from pricemill.functions.columns import arc_elasticity, best_price, price_change, price_index, r6
+from pricemill.functions.kept import keep, shared_path
 from pricemill.functions.ranges import quantiles
 from pricemill.operators import admission, attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies, walk_forward
 from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
+from pricemill.streaming import outcomes
+from pricemill.streaming.weekly import append_batches
 
 #: Settings of these queries: the sales tables begin on a Monday of 1995.
 CONFIG = Config({"data": {"week1_start_date": "1995-01-02"}})
@@ -808,6 +811,41 @@ def category_comparison(spark, d):
     return _rounded(by.join(slope, "category"))
 
 
+def lifecycle_steps(spark, d):
+    """Six transitions of each recommendation of the last week, some of them twice, out of order or illegal, and some of
+    recommendations that the log lacks; the time is in hours."""
+    log = contexts(spark, d).select(F.concat_ws("-", *KEYS).alias("rec_id"), *KEYS)
+    k, states = F.col("k"), list(audit.TRANSITIONS)
+    hour = (F.col("upc") * 11 + F.col("store") * 5 + k * 37) % 97
+    to = F.element_at(F.array(*map(F.lit, states)), ((F.col("upc") * 7 + F.col("store") * 3 + k * k) % len(states) + 1).cast("int"))
+    rows = log.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumns({"hour": hour, "to_state": to, "actor": F.concat(F.lit("a"), (k % 2).cast("string")), "note": F.lit(None).cast("string")})
+    asked = rows.withColumns({"at": F.timestamp_seconds(F.col("hour") * 3600), "rec_id": F.when(F.col("upc") % 10 == 0, F.concat(F.lit("x"), "rec_id")).otherwise(F.col("rec_id"))})
+    found = audit.fold_transitions(log, asked.unionByName(asked.where("k = 3")))
+    return found.select("rec_id", (F.unix_seconds("at") / 3600).cast("long").alias("hour"), "from_state", "to_state", "actor", "accepted", "reason")
+
+
+def late_outcomes(spark, d):
+    """Forecasts of the test weeks as a stream of three waves, and the units sold as a second one of which each wave lacks its
+    last weeks until the next: how well each week was foreseen, from the matches."""
+    rows = features.training_rows(features.with_split(_features(spark, d), CONFIG)).where("split = 'test'")
+    begins = F.to_timestamp(F.date_add(F.lit("1995-01-02").cast("date"), ((F.col("week") - 1) * 7).cast("int")))
+    kept = keep(rows.select(*KEYS, begins.alias("decided_for"), F.greatest(F.coalesce("roll_mean_move_4", "lag_move_1"), F.lit(0.0)).alias("predicted"), "move"), "outcomes")
+    weeks = kept.rows.agg(F.min("week"), F.max("week")).first()
+    third = max(1, -(-(weeks[1] - weeks[0] + 1) // 3))
+    wave = F.floor((F.col("week") - weeks[0]) / third)
+    made, sold, out = (shared_path(spark, n) for n in ("made", "sold", "matched"))
+    for i in range(3):
+        kept.rows.where(wave == i).select(F.concat_ws("-", *KEYS).alias("rec_id"), *KEYS, "decided_for", "predicted").write.mode("append").parquet(made)
+        later = F.floor((F.col("week") + 2 - weeks[0]) / third)
+        sales = kept.rows.where(F.least(later, F.lit(2)) == i).select(*KEYS, (F.col("decided_for") + F.expr("INTERVAL 6 DAYS")).alias("sold_at"), "move")
+        sales.write.mode("append").parquet(sold)
+        read = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        append_batches(outcomes.matched(read(made), read(sold), late="28 days"), out, f"{out}-state").awaitTermination()
+    kept.drop()
+    found = spark.read.parquet(out).where("actual is not null").select("week", "actual", "predicted")
+    return _rounded(models.evaluate(found, ["week"]))
+
+
 #: Limits of the admission query: requests of a client in a sliding hour, and of a day.
 PER_CLIENT, PER_DAY = 2, 300
 
@@ -829,5 +867,5 @@ episode_rank_correlation excluded_positions elasticity_windows elasticity_stabil
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
 elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
 ground_truth_study boosted_metrics model_selection refitted_baselines demand_prior raw_audit feature_drift prediction_drift schema_checks strict_alerts worst_stores top_products decision_crosstab reason_code_flags
-tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events""".split()
+tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events lifecycle_steps late_outcomes""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
