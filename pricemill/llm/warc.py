@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from .common import table
 VERSION = "WARC/1.1"
 #: Date of responses that are built from tables without one.
 NO_DATE = "1970-01-01T00:00:00Z"
+#: Bytes of content that are undone of a response, of a gzip member that are unpacked, and of one step of either.
+MOST_CONTENT, MOST_MEMBER, PIECE = 64 << 20, 512 << 20, 1 << 20
 
 #: Elements of which nothing is text, and the places where one or a comment may begin.
 _HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
@@ -147,45 +150,114 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def _inflated(body: bytes, encoding: str) -> bytes:
-    """gzip or deflate (with a zlib header or without) undone, as far as it can be; other codings stay."""
-    if encoding not in ("gzip", "x-gzip", "deflate"):
-        return body
+def _pieces(unpack, body: bytes, most: int) -> tuple[bytes, bytes, bool]:
+    """(what a zlib object makes of a body, at most so much; what follows its end; whether there was more)."""
+    out, size, rest = [], 0, body
+    while rest and not unpack.eof:
+        try:
+            out.append(unpack.decompress(rest, min(PIECE, most - size + 1)))
+        except zlib.error:
+            if not size:
+                raise
+            break  # damaged further on: what was read stays
+        size += len(out[-1])
+        rest = unpack.unconsumed_tail
+        if size > most:
+            return b"".join(out)[:most], b"", True
+    return b"".join(out), unpack.unused_data, False
+
+
+def _unzipped(body: bytes, most: int) -> tuple[bytes, bool] | None:
+    """All members of a gzip or zlib body, or a bare deflate one; None where nothing can be read."""
     for bits in (47, -15):
+        out, size, rest = [], 0, body
         try:
-            return zlib.decompressobj(bits).decompress(body)
+            while rest:
+                part, rest, more = _pieces(zlib.decompressobj(bits), rest, most - size)
+                out.append(part)
+                size += len(part)
+                if more:
+                    return b"".join(out), True
+                if rest[:2] != b"\x1f\x8b":
+                    break  # padding, or bytes that are no member
         except zlib.error:
-            continue
-    return body
+            if not out:
+                continue
+        return b"".join(out), False
+    return None
+
+
+def _unzstd(body: bytes, most: int) -> tuple[bytes, bool] | None:
+    try:
+        with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(body, read_across_frames=True) as read:
+            out = read.read(most + 1)
+    except zstandard.ZstdError:
+        return None
+    return out[:most], len(out) > most
 
 
-def _http(block: bytes) -> tuple[str, list[str], bytes, bytes, str]:
-    """Status line, header lines, payload as sent, content with its codings undone, and character set of an
-    HTTP response. A payload that says it is coded but isn't is taken as it is."""
+_UNDO = {"gzip": _unzipped, "x-gzip": _unzipped, "deflate": _unzipped, "zstd": _unzstd}
+
+
+def _decoded(body: bytes, codings: list[str], most: int) -> tuple[bytes, str, bool]:
+    """A body with its content codings undone from the last to the first: (content, the coding that could not be undone or an
+    empty text, whether it was cut at `most` bytes). A body that says it is zipped but does not begin so is taken as it is."""
+    cut = False
+    for coding in reversed(codings):
+        if coding in ("", "identity"):
+            continue
+        undo = _UNDO.get(coding)
+        if undo is None:
+            return body, coding, cut
+        found = undo(body, most)
+        if found is None:
+            return (body, "", cut) if coding != "zstd" or body[:4] != b"\x28\xb5\x2f\xfd" else (body, coding, cut)
+        body, more = found
+        cut = cut or more
+    return body, "", cut
+
+
+def _text(content: bytes, charset: str) -> tuple[str, bool]:
+    """(the text of a content, whether its character set is known). An unknown one, or one that is none of texts, is read as
+    UTF-8; lone surrogates, which some codecs make, become replacement marks."""
+    try:
+        page, known = content.decode(charset, "replace"), True
+    except (LookupError, ValueError):
+        page, known = content.decode("utf-8", "replace"), False
+    if any("\ud800" <= c <= "\udfff" for c in page):
+        page = page.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return page, known
+
+
+def _http(block: bytes, most: int) -> tuple[str, list[str], bytes, bytes, str, list[tuple[str, str]]]:
+    """Status line, header lines, payload as sent, content with its codings undone (at most so many bytes), character set,
+    and what could not be done, of an HTTP response. A payload that says it is coded but isn't is taken as it is;
+    one in a coding that is not known has no content."""
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *headers = head.decode("latin-1").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (h.partition(":") for h in reversed(headers))}
     content = payload
     if fields.get("transfer-encoding", "").lower().endswith("chunked"):
         content = _unchunked(payload) or payload
-    content = _inflated(content, fields.get("content-encoding", "").lower())
+    content, left, cut = _decoded(content, [c.strip().lower() for c in fields.get("content-encoding", "").split(",")], most)
+    notes = [("content-not-decoded", left)] if left else []
+    notes += [("content-cut-at", str(most))] if cut else []
     charset = _CHARSET.search(fields.get("content-type", ""))
-    return status, headers, payload, content, charset[1] if charset else "utf-8"
+    return status, headers, payload, b"" if left else content, charset[1] if charset else "utf-8", notes
 
 
-def derive(raw: bytes | None) -> list[dict]:
-    """The metadata and conversion records of a response record; nothing for other records."""
+def derive(raw: bytes | None, most: int = MOST_CONTENT) -> list[dict]:
+    """The metadata and conversion records of a response record; nothing for other records. Content is undone up to `most`
+    bytes. The metadata say so where content was cut there, where its coding or its character set is not known."""
     try:
         fields, block = parse(raw or b"")
     except ValueError:
         return []
     if fields.get("warc-type") != "response":
         return []
-    status, headers, payload, content, charset = _http(block)
-    try:
-        page = content.decode(charset, "replace")
-    except LookupError:
-        page = content.decode("utf-8", "replace")
+    status, headers, payload, content, charset, notes = _http(block, most)
+    page, known = _text(content, charset)
+    notes += [] if known else [("charset-not-known", charset)]
     source, uri, date = fields.get("warc-record-id", ""), fields.get("warc-target-uri", ""), fields.get("warc-date", NO_DATE)
     ids = {kind: record_id(kind, source, uri) for kind in ("metadata", "conversion")}
     language = re.match(r"[A-Za-z\-]*", next(attributes(page, _ROOT, _LANG), ""))[0]
@@ -194,7 +266,7 @@ def derive(raw: bytes | None) -> list[dict]:
     described = [
         ("source-status", status), *(("source-header", h) for h in headers), ("source-block-digest", fields.get("warc-block-digest") or digest(block)),
         ("source-payload-digest", payload_digest), ("conversion", ids["conversion"]), ("title", _title(page)), ("language", language),
-        *(("outlink", x) for x in links),
+        *notes, *(("outlink", x) for x in links),
     ]
     body = "".join(f"{k}: {_BLANKS.sub(' ', v).replace(chr(10), ' ')}\r\n" for k, v in described).encode("utf-8", "replace")
     text = plain_text(page)
@@ -239,8 +311,9 @@ def _derived(df: DataFrame, key: str, source: str, make_records) -> DataFrame:
 
 def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Two rows for each response of records (key, record binary): the key and the columns of a
-    derivative. Null, damaged and other records give no rows; repeated ones give their rows again. A
-    derivative's column that is called like the key is left out. Other columns are not looked at."""
+    derivative. Null, damaged and other records give no rows; repeated ones give their rows again. Bodies of
+    any number of gzip members, deflate and zstd are undone, up to MOST_CONTENT bytes; in other codings a body has no text.
+    Metadata name a coding or a character set that is not known, and a cut. A derivative's column that is called like the key is left out. Other columns are not looked at."""
     return _derived(records, key, "record", lambda _, raw: derive(raw))
 
 
@@ -255,15 +328,8 @@ def page_derivatives(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
     return _derived(pages, "page_id", "url,html", lambda key, url, body: derive(response(key, url, body, date)))
 
 
-def _members(blob: bytes) -> Iterator[bytes]:
-    """A file's records: of a compressed file each gzip member holds some, of a plain one they follow."""
-    while blob[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-        try:
-            yield from _members(unpack.decompress(blob))
-        except zlib.error:
-            return
-        blob = unpack.unused_data.lstrip(b"\0")  # padding between members
+def _records(blob: bytes) -> Iterator[bytes]:
+    """The records that follow each other in bytes that are not compressed."""
     at = 0
     while (head := blob.find(b"\r\n\r\n", at)) >= 0:
         length = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", blob[at : head + 2])
@@ -274,9 +340,47 @@ def _members(blob: bytes) -> Iterator[bytes]:
         at = end + (4 if blob.startswith(b"\r\n\r\n", end) else 0)
 
 
+def _unpacked(blob: bytes, at: int, most: int) -> tuple[bytes | None, int]:
+    """(the member that begins at a place, None if it is larger than `most`; where it ends). It is fed in growing pieces, so
+    what follows it is not copied."""
+    unpack, out, size, piece = zlib.decompressobj(31), [], 0, 1 << 12
+    while not unpack.eof:
+        fed = blob[at : at + piece]
+        if not fed:
+            raise zlib.error("the member is cut short")
+        at, piece = at + len(fed), min(2 * piece, PIECE)
+        while fed and not unpack.eof:
+            part = unpack.decompress(fed, PIECE)
+            fed, size = unpack.unconsumed_tail, size + len(part)
+            if size <= most:
+                out.append(part)
+            else:
+                out.clear()
+    return b"".join(out) if size <= most else None, at - len(unpack.unused_data)
+
+
+def _members(blob: bytes, most: int = MOST_MEMBER) -> Iterator[bytes]:
+    """A file's records: of a compressed file each gzip member holds some, of a plain one they follow. A member that unpacks to
+    more than `most` bytes, or is packed more than once over, is left out; what follows damage too."""
+    if blob[:2] != b"\x1f\x8b":
+        yield from _records(blob)
+        return
+    at = 0
+    while blob[at : at + 2] == b"\x1f\x8b":
+        try:
+            member, at = _unpacked(blob, at, most)
+        except zlib.error:
+            return
+        if member is not None:
+            yield from _records(member)
+        while blob[at : at + 1] == b"\0":  # padding between members
+            at += 1
+
+
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """(file, place, record) of the records of WARC files, plain or compressed by record. A file is read
-    whole by one task, so it must fit one (2 GB at most); what follows damage in a file is left out."""
+    whole by one task, so it must fit one (2 GB at most), in time in proportion to its length; what follows damage
+    in a file is left out, and so is a member that unpacks to more than MOST_MEMBER bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
