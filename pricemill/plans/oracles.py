@@ -343,6 +343,14 @@ SQL = {
 }
 
 
+_RUNS = """,
+zp AS (SELECT *, ok = 0 OR price <= 0 AS z FROM mv),
+zn AS (SELECT *, row_number() OVER (PARTITION BY upc, store ORDER BY week) - row_number() OVER (PARTITION BY upc, store, z ORDER BY week) AS island,
+         min(CASE WHEN NOT z THEN week END) OVER (PARTITION BY upc, store) AS f, max(CASE WHEN NOT z THEN week END) OVER (PARTITION BY upc, store) AS l FROM zp),
+zr AS (SELECT upc, store, CASE WHEN min(f) IS NULL THEN 'never_priced' WHEN max(week) < min(f) THEN 'leading' WHEN min(week) > min(l) THEN 'trailing' ELSE 'interior' END AS kind,
+         min(week) AS first_week, max(week) AS last_week, count(*) AS n_weeks, count(*) FILTER (WHERE move > 0) AS n_sold FROM zn WHERE z GROUP BY upc, store, island),
+zd AS (SELECT dimension, key, count(*) AS n_rows, count(*) FILTER (WHERE z) AS n_zero, count(*) FILTER (WHERE z AND move > 0) AS n_zero_sold, count(*) FILTER (WHERE z) / count(*) AS share_zero
+         FROM (SELECT z, move, unnest(['week', 'upc', 'store']) AS dimension, unnest([week, upc, store]) AS key FROM zp) GROUP BY dimension, key)"""
 _TRAIN = _SPLIT + ", tn AS (SELECT pn.* FROM pn JOIN sp USING (week) WHERE split = 'train')"
 _MOVED = "*, CASE WHEN discount >= 0.08 THEN 'B' WHEN discount >= 0.06 THEN 'S' END AS sale, 1.0 AS qty"
 _COLUMNS = ("upc", "store", "week", "move", "qty", "price", "sale", "profit", "ok")
@@ -535,4 +543,14 @@ hp AS (
             SELECT DISTINCT CASE WHEN upc % 10 = 0 THEN 'x' ELSE '' END || upc || '-' || store || '-' || week AS rec_id, upc % 10 <> 0 AS known, (upc * 11 + store * 5 + k * 37) % 97 AS hour,
               ['GENERATED', 'REVIEWED', 'APPROVED', 'REJECTED', 'PUBLISHED'][CAST((upc * 7 + store * 3 + k * k) % 5 + 1 AS INTEGER)] AS to_state, 'a' || (k % 2) AS actor
             FROM cx, (SELECT unnest(range(1, 7)) AS k)))))""", *_ALL),
+    "appended_features": _with("SELECT upc, store, week, " + _r("lag_move_1", "lag_move_4", "lag_price_2", "roll_mean_move_4", "roll_mean_move_13", "roll_std_move_4", "roll_mean_price_4", "series_reference_price", "decision_time_unit_cost")
+      + ", series_age_weeks, round(p / CASE WHEN series_reference_price > 0 THEN series_reference_price END - 1, 6) AS price_vs_reference FROM ft WHERE week > (SELECT max(week) FROM pn) - 4", _FEATURES),
+    "zero_price_runs": _with("SELECT * FROM zr", _RUNS),
+    "zero_price_kinds": _with("""SELECT kind, count(*) AS n_runs, sum(n_weeks) AS n_rows, sum(n_sold) AS n_sold, round(avg(n_weeks), 6) AS mean_length, max(n_weeks) AS longest,
+      round(sum(n_weeks) / sum(sum(n_weeks)) OVER (), 6) AS share FROM zr GROUP BY kind""", _RUNS),
+    "zero_price_dimensions": _with("SELECT dimension, key, n_rows, n_zero, n_zero_sold, round(share_zero, 6) AS share_zero FROM zd", _RUNS),
+    "zero_price_spread": _with("""SELECT dimension, count(*) AS n, round(avg(share_zero), 6) AS mean_share, round(stddev_samp(share_zero), 6) AS std_share, round(min(share_zero), 6) AS min_share, round(max(share_zero), 6) AS max_share,
+      count(*) FILTER (WHERE share_zero > 0.5) AS n_above_half, count(*) FILTER (WHERE share_zero > 0.8) AS n_above_80, count(*) FILTER (WHERE share_zero < 0.05) AS n_below_5 FROM zd GROUP BY dimension""", _RUNS),
+    "zero_price_selection": _with("""SELECT CASE WHEN share > 0.5 THEN 'heavy' WHEN share <= 0.1 THEN 'light' ELSE 'middle' END AS series, count(*) AS n, round(avg(price), 6) AS mean_price, round(avg(units), 6) AS mean_units FROM (
+      SELECT upc, store, avg(CASE WHEN z THEN 1.0::DOUBLE ELSE 0 END) AS share, avg(CASE WHEN NOT z THEN price END) AS price, avg(move) AS units FROM zp GROUP BY upc, store) GROUP BY 1""", _RUNS),
 }

@@ -9,7 +9,7 @@ from pricemill.config import Config
 from pricemill.functions.columns import arc_elasticity, best_price, price_change, price_index, r6
 from pricemill.functions.kept import keep, shared_path
 from pricemill.functions.ranges import quantiles
-from pricemill.operators import admission, attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies, walk_forward
+from pricemill.operators import admission, attribution, audit, cleaning, commercial, decisions, elasticity, features, incremental, models, monitoring, policies, regression, response, series, service, sketches, studies, walk_forward, zero_prices
 from pricemill.sources import synthetic
 from pricemill.sources.tables import fingerprint, movement_from_sales
 from pricemill.streaming import outcomes
@@ -128,6 +128,21 @@ series_age = _feature_query("series_age_weeks")
 price_features = _feature_query("log_price", "price_vs_lag", "price_vs_reference", "price_vs_roll_mean")
 
 
+def appended_features(spark, d):
+    """Features of the last four weeks, two of them appended at a time to the tables of the weeks before."""
+    panel = keep(_panel(spark, d), "panel").rows
+    last = panel.agg(F.max("week")).first()[0]
+    folder = shared_path(spark, "store")
+    store = incremental.FeatureStore(spark, "store_" + folder.rsplit("-", 1)[1], folder, config=CONFIG)
+    store.start(panel.where(F.col("week") <= last - 4))
+    for first in (last - 3, last - 1):
+        store.append(panel.where(F.col("week").between(first, first + 1)))
+    found = spark.read.parquet(f"{folder}/features").where(F.col("week") > last - 4)
+    store.drop()
+    cols = ["lag_move_1", "lag_move_4", "lag_price_2", "roll_mean_move_4", "roll_mean_move_13", "roll_std_move_4", "roll_mean_price_4", "series_reference_price", "decision_time_unit_cost", "series_age_weeks", "price_vs_reference"]
+    return _rounded(found.select(*(F.col(k).cast("long").alias(k) for k in KEYS), *cols))
+
+
 def temporal_split_counts(spark, d):
     by = features.with_split(_panel(spark, d), CONFIG).groupBy("split")
     return _rounded(by.agg(F.count("*").alias("n_rows"), F.min("week").alias("first_week"), F.max("week").alias("last_week")))
@@ -760,6 +775,39 @@ def zero_price_audit(spark, d):
     return _rounded(studies.zero_prices(rows))
 
 
+def _unpriced(spark, d):
+    """Movement rows of which the suspect ones have no price: the sales tables have none of their own."""
+    return _movement(spark, d).withColumn("price", F.when(F.col("ok") == 0, 0.0).otherwise(F.col("price")))
+
+
+def zero_price_runs(spark, d):
+    return zero_prices.runs(_unpriced(spark, d))
+
+
+def zero_price_kinds(spark, d):
+    return _rounded(zero_prices.by_kind(zero_prices.runs(_unpriced(spark, d))))
+
+
+def zero_price_dimensions(spark, d):
+    return _rounded(zero_prices.by_dimension(_unpriced(spark, d)))
+
+
+def zero_price_spread(spark, d):
+    return _rounded(zero_prices.spread(zero_prices.by_dimension(_unpriced(spark, d))))
+
+
+def zero_price_selection(spark, d):
+    return _rounded(zero_prices.selection(_unpriced(spark, d)))
+
+
+def sketch_drift(spark, d):
+    """Drift of the test weeks against the training weeks from weekly sketches, which are stored once."""
+    rows = features.with_split(_features(spark, d), CONFIG)
+    kept = keep(sketches.weekly(rows, _DRIFT), "sketches").rows
+    weeks = {r["split"]: (r["a"], r["b"]) for r in rows.groupBy("split").agg(F.min("week").alias("a"), F.max("week").alias("b")).collect()}
+    return _rounded(sketches.drift(kept, weeks["train"], weeks["test"], CONFIG))
+
+
 def product_shares(spark, d):
     """Share of rows, units and promoted rows by product, with its description."""
     by = _panel(spark, d).groupBy("upc").agg(F.count("*").alias("n"), F.sum("move").alias("units"), F.avg("recorded_promotion_flag").alias("promotion_share"))
@@ -859,7 +907,7 @@ def admitted_events(spark, d):
 
 _NAMES = """panel_canonical exclusion_counts validation_checks table_fingerprint scale_summary numeric_profile promo_rollup weekly_rollup upc_concentration
 product_roles store_dispersion price_variation_upc price_variation_series eligible_series lag_features rolling_features reference_price_median decision_cost
-series_age price_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
+series_age price_features appended_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
 loglog_upc_store_fe elasticity_by_upc shrinkage_weights robust_inference elasticity_with_controls forecast_metrics metrics_by_segment performance_by_quarter
 psi_by_feature ks_statistic alerts guardrail_bounds simulate_grid price_grid curve_diagnostics risk_levels recommendations decision_mix reason_code_counts
 constraint_attribution constraint_intervals attribution_table attribution_contexts determinants rule_policies policy_totals policy_backtest elasticities_as_of walk_forward_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
@@ -867,5 +915,5 @@ episode_rank_correlation excluded_positions elasticity_windows elasticity_stabil
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
 elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
 ground_truth_study boosted_metrics model_selection refitted_baselines demand_prior raw_audit feature_drift prediction_drift schema_checks strict_alerts worst_stores top_products decision_crosstab reason_code_flags
-tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events lifecycle_steps late_outcomes""".split()
+tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit zero_price_runs zero_price_kinds zero_price_dimensions zero_price_spread zero_price_selection sketch_drift product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events lifecycle_steps late_outcomes""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
