@@ -4,12 +4,13 @@ Rows are binned once. A histogram is a grouped sum of gradients and hessians by
 rows as nodes x features x bins however large the table is, so the driver looks for splits among numbers of
 fixed size. Only the smaller child of a split is summed; its sibling is the parent less it. The children of all
 leaves that may still be split are summed in one job, so a tree takes about as many jobs as it is deep, and the
-splits are then taken in the order of their gain, as one by one. Trees are column expressions.
+splits are then taken in the order of their gain, as one by one. Trees are scored by column functions.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 from dataclasses import dataclass, field
 from typing import Any
@@ -48,22 +49,6 @@ class Feature:
         below = F.size(F.filter(F.array(*map(F.lit, self.edges)), lambda e: e < x)) if self.edges else F.lit(0)
         return F.when(x.isNull() | F.isnan(x), F.lit(self.missing)).otherwise(below).cast("short")
 
-    def left(self, split: Split) -> Column:
-        """Whether a row of the table goes left."""
-        x = F.col(self.column)
-        if self.category:
-            known = [self.levels[b] for b in split.bins if b < self.missing]
-            other = ~F.coalesce(x.isin(list(self.levels)), F.lit(False)) if self.missing in split.bins else F.lit(False)
-            return (F.coalesce(x.isin(known), F.lit(False)) if known else F.lit(False)) | other
-        inside = x <= self.edges[split.at] if split.at < len(self.edges) else F.lit(True)
-        return F.when(x.isNull() | F.isnan(x), F.lit(split.missing_left)).otherwise(inside)
-
-    def left_bin(self, split: Split, b: Column) -> Column:
-        """The same for a row's bin."""
-        if self.category:
-            return b.isin(list(split.bins))
-        return ((b <= split.at) | (b == self.missing)) if split.missing_left else b <= split.at
-
 
 @dataclass(frozen=True)
 class Split:
@@ -86,6 +71,37 @@ class Node:
     wanted: int | None = field(default=None, compare=False)
 
 
+_NODES = "array<struct<f: int, a: int, m: int, s: array<int>, l: int, r: int, v: double, w: int>>"
+
+
+def walked(nodes: list[dict], bins: str) -> Column:
+    """The leaf of a tree that a row's bins lead to: from the root as many steps as the tree is deep. The tree is one
+    literal and the steps a loop, so that code does not grow with the tree, as nested conditions would."""
+    depth = [0] * len(nodes)
+    for i, n in enumerate(nodes):  # children come after their parent
+        for child in {n["l"], n["r"]} - {i}:
+            depth[child] = depth[i] + 1
+    tree = F.from_json(F.lit(json.dumps(nodes)), _NODES)
+
+    def step(at: Column, _: Column) -> Column:
+        node = F.get(tree, at)
+        b = F.get(F.col(bins), node.f).cast("int")
+        left = (b <= node.a) | (b == node.m) | F.array_contains(node.s, b)
+        return F.when(left, node.l).otherwise(node.r)
+
+    if max(depth) == 0:
+        return F.get(tree, F.lit(0))
+    return F.get(tree, F.aggregate(F.sequence(F.lit(1), F.lit(max(depth))), F.lit(0), step))
+
+
+def free_column(name: str, df: DataFrame) -> str:
+    """A name that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def numeric_features(rows: DataFrame, columns: list[str], bins: int) -> list[Feature]:
     """Edges at the distinct approximate quantiles of each column, from one pass with bounded sketches."""
     shares = [i / bins for i in range(1, bins)]
@@ -145,9 +161,10 @@ class PoissonTrees:
         out: dict[int, np.ndarray] = {}
         width = max(f.missing for f in self.features) + 1
         # at most nodes x features x bins rows
-        for r in cells.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect():
-            own = out.setdefault(r["node"], np.zeros((len(self.features), width, 3)))
-            own[r["feature"], r["bin"]] = r["g"], r["h"], r["n"]
+        found = cells.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).toPandas()
+        for k, own in found.groupby("node"):
+            out[k] = np.zeros((len(self.features), width, 3))
+            out[k][own["feature"], own["bin"]] = own[["g", "h", "n"]]
         return out
 
     def _settle(self, node: Node) -> None:
@@ -196,11 +213,12 @@ class PoissonTrees:
         return taken, [x[2] for x in sorted(heap, key=lambda x: x[:2])], leaves
 
     def _open(self, root: Node) -> list[Node]:
-        """Leaves that come next, or may, and whose children are not known; none where the tree is whole."""
+        """Leaves with a gain whose children are not known, as long as the tree needs any of them. All are summed at once, also those
+        that may not be split in the end: each row is in one leaf, so a job reads the rows once, however many there are."""
         _, rest, leaves = self._walk(root)
         if leaves >= self.leaves or not rest:
             return []
-        return [n for n in rest[: self.leaves - leaves] if n.children is None]
+        return [n for n in rest if n.children is None]
 
     def _prune(self, root: Node) -> None:
         """Takes back the splits that were tried but come after the last leaf."""
@@ -214,20 +232,34 @@ class PoissonTrees:
                 stack += node.children
             node.sums = None
 
-    def _place(self, node: Node) -> Column:
-        """The number of the wanted node that a row is in, or null."""
-        if node.children is None:
-            return F.lit(node.wanted).cast("int")
-        split = node.split
-        left = self.features[split.feature].left_bin(split, F.get(F.col("bins"), F.lit(split.feature)))
-        return F.when(left, self._place(node.children[0])).otherwise(self._place(node.children[1]))
-
-    def _by_bins(self, node: Node) -> Column:
-        if node.children is None:
-            return F.lit(node.value)
-        split = node.split
-        left = self.features[split.feature].left_bin(split, F.get(F.col("bins"), F.lit(split.feature)))
-        return F.when(left, self._by_bins(node.children[0])).otherwise(self._by_bins(node.children[1]))
+    def _flat(self, node: Node | dict[str, Any], rows: list[dict] | None = None) -> list[dict]:
+        """A tree as the rows that walked() reads, a node's children after it. A leaf leads to itself."""
+        rows = [] if rows is None else rows
+        own, at = {}, len(rows)
+        rows.append(own)
+        plain = isinstance(node, dict)
+        inner = "value" not in node if plain else node.children is not None
+        if not inner:
+            value = node["value"] if plain else node.value
+            own |= {"f": 0, "a": -1, "m": -1, "s": [], "l": at, "r": at, "v": value, "w": None if plain else node.wanted}
+            return rows
+        s = Split(node["gain"], node["feature"], node["at"], node["missing_left"], tuple(node["bins"])) if plain else node.split
+        f = self.features[s.feature]
+        # of a category no bin is at most -1, so only the set says what goes left
+        own |= {"f": s.feature, "a": -1 if f.category else s.at, "m": f.missing if s.missing_left else -1, "s": list(s.bins), "v": 0.0, "w": None}
+        left, right = (node["left"], node["right"]) if plain else node.children
+        own["l"] = len(rows)
+        self._flat(left, rows)
+        own["r"] = len(rows)
+        self._flat(right, rows)
+        return rows
+
+    def _place(self, root: Node) -> Column:
+        """The number of the wanted node that a row of bins is in, or null."""
+        return walked(self._flat(root), "bins").w
+
+    def _by_bins(self, root: Node) -> Column:
+        return walked(self._flat(root), "bins").v
 
     def _plain(self, node: Node) -> dict[str, Any]:
         if node.children is None:
@@ -235,18 +267,14 @@ class PoissonTrees:
         s = node.split
         return {"feature": s.feature, "at": s.at, "missing_left": s.missing_left, "bins": list(s.bins), "gain": s.gain, "left": self._plain(node.children[0]), "right": self._plain(node.children[1])}
 
-    def _by_columns(self, tree: dict[str, Any]) -> Column:
-        if "value" in tree:
-            return F.lit(tree["value"])
-        split = Split(tree["gain"], tree["feature"], tree["at"], tree["missing_left"], tuple(tree["bins"]))
-        return F.when(self.features[split.feature].left(split), self._by_columns(tree["left"])).otherwise(self._by_columns(tree["right"]))
-
-    def prediction(self) -> Column:
-        """The expected target of a row, from the columns that were fitted."""
+    def predicted(self, df: DataFrame, column: str) -> DataFrame:
+        """df with the expected target of each row, from the columns that were fitted."""
+        bins = free_column("bins", df)
         raw = F.lit(self.base)
+        binned = df.withColumn(bins, F.array(*(f.bin() for f in self.features)))
         for tree in self.trees:
-            raw = raw + self._by_columns(tree)
-        return F.exp(raw)
+            raw = raw + walked(self._flat(tree), bins).v
+        return binned.withColumn(column, F.exp(raw)).drop(bins)
 
     def gains(self) -> dict[str, float]:
         """Sum of the gains of each feature's splits."""

@@ -142,7 +142,7 @@ class DemandModel:
 
     def predict(self, df: DataFrame, column: str = "predicted") -> DataFrame:
         if self.trees is not None:
-            out, value = self._prepared(df), self.trees.prediction()
+            out, value = self.trees.predicted(self._prepared(df), "__p"), F.col("__p")
         else:
             out = self.pipeline.transform(self._scaled(df))
             value = F.col("__p") if self.family == "poisson" else F.expm1("__p")

@@ -636,7 +636,7 @@ def _model_rows(spark, d):
 
 
 #: Trees of the queries: fewer and faster ones than the 400 that a model has by default.
-_BOOSTING = {"rounds": 12, "rate": 0.25, "leaves": 31}
+_BOOSTING = {"rounds": 10, "rate": 0.25, "leaves": 15}
 
 
 def boosted_metrics(spark, d):

@@ -62,7 +62,7 @@ def table(spark):
 
 def test_trees_equal_a_plain_booster(table):
     model = PoissonTrees(rounds=4, rate=0.3, leaves=12, least_rows=20, bins=24).fit(table, ["a", "b"], ["kind"], "y")
-    found = table.select("y", model.prediction().alias("p"), *(f.bin().alias(f"bin{i}") for i, f in enumerate(model.features))).toPandas()
+    found = model.predicted(table, "p").select("y", "p", *(f.bin().alias(f"bin{i}") for i, f in enumerate(model.features))).toPandas()
     bins = found[[f"bin{i}" for i in range(3)]].to_numpy(np.int64)
     assert np.allclose(found["p"], _plain(bins, found["y"].to_numpy(), model.features, model), rtol=1e-9)
 
@@ -72,7 +72,7 @@ def test_trees_equal_a_plain_booster(table):
     assert [leaves(t) for t in model.trees] == [12] * 4
     assert min(model.gains().values()) > 0
     again = PoissonTrees.from_facts(model.facts())
-    assert table.select(F.max(F.abs(model.prediction() - again.prediction()))).first()[0] == 0
+    assert again.predicted(model.predicted(table, "p"), "q").select(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] == 0
     loss = lambda p: float(np.mean(p - found["y"] * np.log(p)))
     assert loss(found["p"]) < loss(np.full(len(found), found["y"].mean())) - 0.05
 
