@@ -69,9 +69,10 @@ def exclusions(movement: DataFrame, config: Config | None = None) -> DataFrame:
     return each.select(F.explode(entries).alias("e")).where("e.n > 0").groupBy("e.rule").agg(F.sum("e.n").alias("n_rows"))
 
 
-def raw_audit(movement: DataFrame) -> DataFrame:
+def raw_audit(movement: DataFrame, damaged: DataFrame | None = None) -> DataFrame:
     """(measure, value) of raw movement: rows, nulls by column, exact copies, rows beyond one a grain, distinct keys,
-    the span of weeks, and rows by suspect flag and promotion code."""
+    the span of weeks, and rows by suspect flag and promotion code; with the damaged records of the reader also their number, and
+    how many have each reason."""
     one = movement.agg(
         F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in movement.columns),
         F.countDistinct("upc").alias("n_upc"), F.countDistinct("store").alias("n_store"), F.countDistinct("week").alias("n_week"), F.min("week").cast("long").alias("week_min"), F.max("week").cast("long").alias("week_max"),
@@ -83,6 +84,10 @@ def raw_audit(movement: DataFrame) -> DataFrame:
     for c in ("ok", "sale"):
         name = F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null")))
         long = long.unionByName(movement.groupBy(name.alias("measure")).agg(F.count("*").alias("value")))
+    if damaged is not None:
+        long = long.unionByName(damaged.agg(F.lit("damaged").alias("measure"), F.count("*").alias("value")))
+        by = damaged.select(F.explode("reasons").alias("reason")).groupBy(F.concat(F.lit("damaged:"), "reason").alias("measure"))
+        long = long.unionByName(by.agg(F.count("*").alias("value")))
     return long
 
 

@@ -407,7 +407,6 @@ _TOO_FEW = "n_obs < 200 OR n_distinct_prices < 10"
 _CATEGORY = """,
 cl AS (SELECT *, CAST(floor(upc / 10.0) AS BIGINT) AS category FROM pn),
 cw AS (SELECT CAST(floor(upc / 10.0) AS BIGINT) AS category, sum(x * y) / sum(x * x) AS slope FROM wi GROUP BY 1)"""
-_CODES = ["INSUFFICIENT_HISTORY", "INSUFFICIENT_PRICE_VARIATION", "MEDIUM_RISK_CONSERVATIVE", "PRICE_CHANGE_LIMIT", "MARGIN_CONSTRAINT", "KEEP_CURRENT_OPTIMAL"]
 
 _HISTORY = """,
 hs AS (
@@ -482,7 +481,7 @@ SQL |= {
     "worst_stores": _with("SELECT store, n, wape FROM (SELECT store, count(actual) AS n, round(sum(abs(predicted - actual)) / nullif(sum(abs(actual)), 0), 6) AS wape FROM lf WHERE model = 'rolling_mean_4' GROUP BY store) ORDER BY wape DESC, store LIMIT 10", _FEATURES, _SPLIT, _BASE),
     "top_products": _with("SELECT upc, round(sum(revenue), 6) AS revenue, round(sum(move), 6) AS units FROM pn GROUP BY upc ORDER BY sum(revenue) DESC, upc LIMIT 10"),
     "decision_crosstab": _with("SELECT risk_level, " + ", ".join(f"count(*) FILTER (WHERE decision = '{k}') AS {k}" for k in ("KEEP_CURRENT", "RECOMMEND_CHANGE", "REVIEW_REQUIRED")) + " FROM rec2 GROUP BY risk_level", *_recommended()),
-    "reason_code_flags": _with("SELECT upc, store, week, " + ", ".join(f"len(list_filter(codes, lambda c: c = '{k}')) AS {k}" for k in _CODES) + " FROM rec2 WHERE len(codes) > 0", *_recommended()),
+    "reason_code_flags": _with("SELECT upc, store, week, " + ", ".join(f"len(list_filter(codes, lambda c: c = '{k}')) AS {k}" for k in EXPLANATIONS) + " FROM rec2", *_recommended()),
     "tiled_decisions": _with("SELECT decision, 20 * count(*) AS n, 20 * count(DISTINCT store) AS n_stores FROM rec2 GROUP BY decision", *_recommended()),
     "zero_price_audit": _with("""SELECT upc, count(*) AS n_rows, count(*) FILTER (WHERE z) AS n_zero, count(*) FILTER (WHERE z AND move > 0) AS n_zero_sold, min(CASE WHEN z THEN week END) AS first_zero_week,
       max(CASE WHEN z THEN week END) AS last_zero_week, round(count(*) FILTER (WHERE z) / count(*), 6) AS share_zero FROM (SELECT *, ok = 0 OR price <= 0 AS z FROM mv) GROUP BY upc"""),
@@ -553,4 +552,6 @@ hp AS (
       count(*) FILTER (WHERE share_zero > 0.5) AS n_above_half, count(*) FILTER (WHERE share_zero > 0.8) AS n_above_80, count(*) FILTER (WHERE share_zero < 0.05) AS n_below_5 FROM zd GROUP BY dimension""", _RUNS),
     "zero_price_selection": _with("""SELECT CASE WHEN share > 0.5 THEN 'heavy' WHEN share <= 0.1 THEN 'light' ELSE 'middle' END AS series, count(*) AS n, round(avg(price), 6) AS mean_price, round(avg(units), 6) AS mean_units FROM (
       SELECT upc, store, avg(CASE WHEN z THEN 1.0::DOUBLE ELSE 0 END) AS share, avg(CASE WHEN NOT z THEN price END) AS price, avg(move) AS units FROM zp GROUP BY upc, store) GROUP BY 1""", _RUNS),
+    "log_generations": _with("""SELECT upc, store, week, decision, CASE upc % 3 WHEN 1 THEN n_candidates WHEN 2 THEN round(n_candidates / 2.0::DOUBLE, 6) END AS n_candidates,
+      CASE WHEN upc % 3 = 2 THEN round(recommended_price, 6) END AS recommended_price, CASE WHEN upc % 3 > 0 AND store % 2 = 0 THEN 'REVIEWED' ELSE 'GENERATED' END AS state FROM rec2""", *_recommended()),
 }

@@ -11,7 +11,7 @@ from pricemill.functions.kept import keep, shared_path
 from pricemill.functions.ranges import quantiles
 from pricemill.operators import admission, attribution, audit, cleaning, commercial, decisions, elasticity, features, incremental, models, monitoring, policies, regression, response, series, service, sketches, studies, walk_forward, zero_prices
 from pricemill.sources import synthetic
-from pricemill.sources.tables import fingerprint, movement_from_sales
+from pricemill.sources.tables import append_log, fingerprint, movement_from_sales, read_log
 from pricemill.streaming import outcomes
 from pricemill.streaming.weekly import append_batches
 
@@ -757,10 +757,21 @@ def decision_crosstab(spark, d):
 
 
 def reason_code_flags(spark, d):
-    """Each context's codes as flags."""
-    rows = _recommended(spark, d).select(*KEYS, F.explode("reason_codes").alias("code"))
-    flags = ["INSUFFICIENT_HISTORY", "INSUFFICIENT_PRICE_VARIATION", "MEDIUM_RISK_CONSERVATIVE", "PRICE_CHANGE_LIMIT", "MARGIN_CONSTRAINT", "KEEP_CURRENT_OPTIMAL"]
-    return rows.groupBy(*KEYS).pivot("code", flags).count().fillna(0)
+    """Every context with each reason code there is as a flag."""
+    rows = _recommended(spark, d)
+    return rows.select(*KEYS, *(F.array_contains("reason_codes", c).cast("long").alias(c) for c in service.EXPLANATIONS))
+
+
+def log_generations(spark, d):
+    """A log of three schemas, one of them without identifiers, read as one table with the state of each row."""
+    rows, folder = _recommended(spark, d), shared_path(spark, "log")
+    rec_id, part = F.concat_ws("-", *KEYS), F.col("upc") % 3
+    append_log(rows.where(part == 0).select(*KEYS, "decision"), folder)
+    append_log(rows.where(part == 1).select(rec_id.alias("rec_id"), *KEYS, "decision", F.col("n_candidates").cast("int").alias("n_candidates")), folder)
+    append_log(rows.where(part == 2).select(rec_id.alias("rec_id"), *KEYS, "decision", (F.col("n_candidates") / 2).alias("n_candidates"), "recommended_price"), folder)
+    log = read_log(spark, folder)
+    moved = log.where("rec_id is not null and store % 2 = 0").select("rec_id", F.lit("2000-01-02T00:00:00Z").alias("transitioned_at_utc"), F.lit("REVIEWED").alias("to_state"))
+    return _rounded(audit.current_state(log, moved).select(*KEYS, "decision", "n_candidates", "recommended_price", "state"))
 
 
 def tiled_decisions(spark, d):
@@ -915,5 +926,5 @@ episode_rank_correlation excluded_positions elasticity_windows elasticity_stabil
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
 elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
 ground_truth_study boosted_metrics model_selection refitted_baselines demand_prior raw_audit feature_drift prediction_drift schema_checks strict_alerts worst_stores top_products decision_crosstab reason_code_flags
-tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit zero_price_runs zero_price_kinds zero_price_dimensions zero_price_spread zero_price_selection sketch_drift product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events lifecycle_steps late_outcomes""".split()
+tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit zero_price_runs zero_price_kinds zero_price_dimensions zero_price_spread zero_price_selection sketch_drift product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events lifecycle_steps late_outcomes log_generations""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -44,6 +44,42 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return raw.select(*(value(f).try_cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
+def checked_csv(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, damaged records) of Latin-1 files with the same header.
+
+    A record is damaged if it has more or fewer fields than the header (reason columns), a value that is neither a null token nor
+    of its column's type (type:<column>), or none in a required column (missing:<column>). Damaged records are
+    (file, line, reasons): the line as it stands, and all that is wrong with it; they are in no typed row. Both
+    tables come from one reading, so every record that isn't blank or a header is in one of them. A field in
+    quotes may hold the separator but no end of line.
+    """
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    header = [c.strip().lower() for c in raw.columns]
+    require_columns(raw.toDF(*header), schema.names, path)
+    lines = spark.read.schema("line string").option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").option("escape", "\x02").csv(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), "line")
+    names = [f"f{i}" for i in range(len(header))]
+    fields = F.from_csv("line", ", ".join(f"{n} string" for n in names) + ", damage string", {"columnNameOfCorruptRecord": "damage", "mode": "PERMISSIVE"})
+    own = lines.withColumn("__r", fields).where(F.array_join(F.array(*(F.lower(F.trim(f"__r.{n}")) for n in names)), ",") != ",".join(header))
+    place = {name: names[header.index(name)] for name in schema.names}
+    text = {n: F.trim(F.col(f"__r.{p}")) for n, p in place.items()}
+    value = {n: F.when(~t.isin(*NULL_TOKENS), t) for n, t in text.items()}
+    typed = {f.name: value[f.name].try_cast(f.dataType) for f in schema.fields}
+    found = [F.when(F.col("__r.damage").isNotNull(), F.lit("columns"))]
+    found += [F.when(value[n].isNotNull() & typed[n].isNull(), F.lit(f"type:{n}")) for n in schema.names]
+    found += [F.when(value[n].isNull(), F.lit(f"missing:{n}")) for n in required]
+    reasons = F.filter(F.array(*found), lambda r: r.isNotNull())
+    # of a record of the wrong width no field is in a known place, so nothing else is said of it
+    reasons = F.when(F.col("__r.damage").isNotNull(), F.array(F.lit("columns"))).otherwise(reasons)
+    judged = own.withColumn("reasons", reasons)
+    return judged.where(F.size("reasons") == 0).select(*(c.alias(n) for n, c in typed.items())), judged.where(F.size("reasons") > 0).select("file", "line", "reasons")
+
+
+def checked_movement(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Movement rows and the damaged records beside them; a row needs its key."""
+    return checked_csv(spark, path, MOVEMENT, ("store", "upc", "week"))
+
+
 def read_movement(spark: SparkSession, path: str) -> DataFrame:
     return _read_csv(spark, path, MOVEMENT)
 
@@ -71,6 +107,41 @@ def append_log(df: DataFrame, folder: str) -> str:
     return f"{folder}/schema={name}"
 
 
+_WIDER = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.DoubleType())
+
+
+def _common(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds values of both: the wider number, else text."""
+    if a == b:
+        return a
+    order = {T.FloatType(): 4, **{t: i for i, t in enumerate(_WIDER)}}
+    if a in order and b in order:
+        return _WIDER[max(order[a], order[b])]
+    return T.StringType()
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of append_log of all schemas as one table: columns by name, in the order in which they first appear, null where a
+    schema has none, of the type that holds all (else text); schema tells where a row is from. Schemas are few."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        raise SchemaError(f"no log at {folder}")
+    found = sorted((s.getModificationTime(), s.getPath().getName()) for s in system.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("schema="))
+    if not found:
+        raise SchemaError(f"{folder} holds no log")
+    parts = {name: spark.read.parquet(f"{folder}/{name}") for _, name in found}
+    kinds: dict[str, T.DataType] = {}
+    for df in parts.values():
+        for f in df.schema.fields:
+            kinds[f.name] = _common(kinds.get(f.name, f.dataType), f.dataType)
+    out = None
+    for name, df in parts.items():
+        own = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()), F.lit(name.removeprefix("schema=")).alias("schema"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
