@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, stored, table
 from .graph import components
-from .words import mix, shingle_sets
+from .words import mix, new_key, shingle_sets
 
 #: Minimum hashes of a set; documents and shingles of a small node at most; levels below the first
 #: after which nodes that are still large are compared in blocks; plan() counts on no more of them.
@@ -59,11 +59,11 @@ def minimum_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints(k: int):
+def _prints(k: int, key: bytes):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
-            for first, hashes, counts in shingle_sets(b.column("text"), k):
+            for first, hashes, counts in shingle_sets(b.column("text"), k, key=key):
                 full, at = counts > 0, np.cumsum(counts) - counts
                 marks = np.zeros((2, len(counts)), np.uint64)
                 for j in range(2):
@@ -240,7 +240,7 @@ def _confirmed(num: int, den: int):
                 sets = rows.field("items")
                 n = sets.value_lengths().to_numpy().astype(np.int64)
                 items = sets.flatten().to_numpy()
-                common = common_counts(few, items, np.repeat(np.arange(len(n)), n), len(n))
+                common = common_counts(few, items, np.repeat(np.arange(len(n)), n), len(n)).astype(np.int64)
                 link = (common * den >= (n[few][:, None] + n - common) * num) & (label[few][:, None] != label)
                 for x in np.flatnonzero(link.any(axis=1)):
                     ends = np.flatnonzero(link[x])
@@ -261,11 +261,11 @@ def _agreement(a, b):
     return pd.Series((left == right).sum(axis=1))
 
 
-def _sets(k: int):
+def _sets(k: int, key: bytes):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("rep")
-            for first, hashes, counts in shingle_sets(b.column("text"), k):
+            for first, hashes, counts in shingle_sets(b.column("text"), k, key=key):
                 offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(counts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], names=["rep", "items"])
 
@@ -275,8 +275,8 @@ def _sets(k: int):
 class _Confirmer:
     """Confirms candidate pairs on full sets; the sets it has taken from texts are kept as a table."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, least: int):
-        self.docs, self.reps, self.k, self.num, self.den, self.least, self.sets = docs, reps, k, num, den, least, None
+    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, key: bytes, num: int, den: int, least: int):
+        self.docs, self.reps, self.k, self.key, self.num, self.den, self.least, self.sets = docs, reps, k, key, num, den, least, None
         self.scratch: list[DataFrame] = []
 
     def sketched(self, pairs: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ class _Confirmer:
         self.scratch.append(ids)
         few = ids.count() <= SENT_IDS
         texts = self.docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(ids) if few else ids, "rep", "left_semi")
-        new = stored(texts.mapInArrow(_sets(self.k), "rep long, items array<long>"), "sets")
+        new = stored(texts.mapInArrow(_sets(self.k, self.key), "rep long, items array<long>"), "sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
         self.scratch.append(new)
 
@@ -376,7 +376,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return dealt.select("rep", "n", "label", F.xxhash64("path", "place").alias("path"))
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = RECALL, key: bytes | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) runs without ASCII white space; a document's set holds its distinct
@@ -384,19 +384,21 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, recall: float =
     100 * common >= percent * union, and form the components of these links; component_id is the
     least doc_id of a component. Null and wordless texts have an empty set and no link. Rows that
     share a doc_id share its component. A row with a null doc_id has a null component_id and is not
-    kept. Other columns are not looked at; an empty table gives no rows.
+    kept. Other columns are not looked at; an empty table gives no rows. Words are compared by hashes
+    under a key that is drawn for this call (or given, to have the same random choices again), so texts
+    cannot be made to collide.
     """
-    num, den = percent, 100
+    num, den, key = percent, 100, key or new_key()
     threshold = num / den
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = stored(docs.mapInArrow(_prints(k), _PRINTS), "prints")
+    prints = stored(docs.mapInArrow(_prints(k, key), _PRINTS), "prints")
     known = prints.where("n > 0 and doc_id is not null")
     reps = known.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     reps = stored(reps.mapInArrow(_sketches, "hi long, lo long, n int, rep long, sig binary, sketch binary"), "sets")
     depth, trees = plan(reps.count(), threshold, recall)
     extra = 1 / threshold - 1
     least = least_agreeing(threshold, recall)
-    confirmer = _Confirmer(docs, reps, k, num, den, least)
+    confirmer = _Confirmer(docs, reps, k, key, num, den, least)
 
     members = reps.select("rep", "n", "sig").mapInArrow(_members(depth, trees, extra), "path long, rep long, n int")
     members = stored(members, "members")

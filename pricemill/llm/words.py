@@ -1,23 +1,27 @@
 """Words, word hashes and shingle sets of Arrow string columns, computed with numpy inside a task.
 
 Words are runs of bytes that are not separators. Only ASCII bytes separate, so the UTF-8 bytes of a
-text can be cut without decoding it. Each word gets a 64-bit hash: words of up to LONG_WORD bytes by
-eights of bytes for all words at once, longer ones by BLAKE2, so no Python object is made for a word
-of common length. Words of up to eight bytes never collide with others of their length.
+text can be cut without decoding it. Each word gets a 64-bit hash under a key: words of up to eight bytes for
+all words at once by a bijection of their bytes, so that two of one length never collide; longer ones by keyed
+BLAKE2, each distinct word of a step once. Under a key that is drawn anew for each run nobody can make words, or
+sets of words, that collide; what is left is chance, 1 in 2^64 for two words of which one has over eight bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one numpy step takes (a longer text makes a step of its own); bytes of a word
-#: that is hashed together with others at most.
-STEP_BYTES, LONG_WORD = 1 << 20, 64
+#: Bytes of text that one numpy step takes (a longer text makes a step of its own).
+STEP_BYTES = 1 << 20
+#: Key of hashes that only meet those of texts of one's own choice; comparisons of documents draw a key.
+PUBLIC_KEY = b"public"
 
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -96,26 +100,41 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def new_key() -> bytes:
+    """A key that nobody knows; all tasks of a run must get the same one."""
+    return os.urandom(32)
+
+
+@lru_cache(maxsize=8)
+def _constants(key: bytes) -> tuple[np.uint64, np.uint64, np.uint64]:
+    raw = hashlib.blake2b(b"constants of short words", key=key, digest_size=24).digest()
+    first, by_length, factor = np.frombuffer(raw, "<u8")
+    return first, by_length | _U(1), factor | _U(1)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes = PUBLIC_KEY) -> np.ndarray:
     """A 64-bit hash of each data[starts[i]:ends[i]], none of them empty."""
     length = ends - starts
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[:-8] = data
     eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    out = length.astype(np.uint64) * _JOIN[63]
-    some = np.flatnonzero(length <= LONG_WORD)
-    at, left = starts[some], length[some]
-    while len(some):
-        value = (out[some] ^ (eights[at] & _FIRST[np.minimum(left, 8)])) * _JOIN[60]
-        out[some] = value ^ (value >> _U(29))
-        more = left > 8
-        some, at, left = some[more], at[more] + 8, left[more] - 8
-    for i in np.flatnonzero(length > LONG_WORD):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
-    return mix(out)
-
-
-def words(data: np.ndarray, offsets: np.ndarray, letters: Letters, hashed: bool = True) -> Words:
+    first, by_length, factor = _constants(key)
+    out = mix(((eights[starts] & _FIRST[np.minimum(length, 8)]) ^ first ^ (length.astype(np.uint64) * by_length)) * factor)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        raw, seen = data.tobytes(), {}
+        made = np.empty(len(long), np.uint64)
+        for k, (a, b) in enumerate(zip(starts[long].tolist(), ends[long].tolist())):
+            w = raw[a:b]
+            h = seen.get(w)
+            if h is None:
+                h = seen[w] = int.from_bytes(hashlib.blake2b(w, key=key, digest_size=8).digest(), "little")
+            made[k] = h
+        out[long] = made
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, letters: Letters, hashed: bool = True, key: bytes = PUBLIC_KEY) -> Words:
     """All words of the texts data[offsets[i]:offsets[i + 1]], with offsets[0] = 0."""
     n = len(data)
     if n == 0:
@@ -131,7 +150,7 @@ def words(data: np.ndarray, offsets: np.ndarray, letters: Letters, hashed: bool
     stops[:-1] &= ~inside[1:] | edge[1:]
     ends = np.flatnonzero(stops) + 1
     counts = np.diff(np.searchsorted(starts, offsets))
-    return Words(low, starts, ends, counts, word_hashes(low, starts, ends) if hashed else None)
+    return Words(low, starts, ends, counts, word_hashes(low, starts, ends, key) if hashed else None)
 
 
 def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +178,13 @@ def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, out_n
 
 
-def shingle_sets(column: pa.Array, k: int, letters: Letters | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, k: int, letters: Letters | None = None, key: bytes = PUBLIC_KEY) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By step of rows: the first row, all distinct shingle hashes (sorted within a text), counts by text."""
     letters = blank_separated() if letters is None else letters
     data, offsets = utf8(column)
     for first, last in steps(offsets):
         lo, hi = int(offsets[first]), int(offsets[last])
-        every, counts = shingles(words(data[lo:hi], offsets[first : last + 1] - lo, letters), k)
+        every, counts = shingles(words(data[lo:hi], offsets[first : last + 1] - lo, letters, key=key), k)
         at = np.concatenate(([0], np.cumsum(counts)))
         for i in range(last - first):
             every[at[i] : at[i + 1]].sort()

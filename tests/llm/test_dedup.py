@@ -243,3 +243,28 @@ def test_lines_near_the_threshold_are_counted_exactly(spark, monkeypatch):
     assert line_dedup.widespread(lines, 10, registers_log2=4).count() == 3
     monkeypatch.setattr(line_dedup, "SENT_LINES", 0)
     assert line_dedup.widespread(lines, 10).count() == 3
+
+
+def test_words_cannot_be_made_to_collide(spark):
+    """Two words that an unkeyed hash of eights of bytes gave one value, and what differs in the highest bit of an eight."""
+    a, b = "zxdmytanabcdefgh", "yidodfzz*c=g@2|z"
+    docs = spark.createDataFrame([(1, f"{a} {a}"), (2, f"{b} {b}"), (3, f"{a} {a}")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs, k=2).collect()}
+    assert rows == {1: 1, 2: 2, 3: 1}
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        word = rng.integers(33, 127, 16, dtype=np.uint8)
+        others = [word]
+        for bit in (7, 34 // 8 * 8 - 1):
+            other = word.copy()
+            other[7] ^= 128
+            other[8 + bit // 8] ^= 1 << bit % 8
+            others.append(other)
+        data = np.concatenate(others)
+        starts = np.arange(len(others)) * 16
+        for key in (words.new_key(), words.PUBLIC_KEY):
+            assert len(set(words.word_hashes(data, starts, starts + 16, key).tolist())) == len(others)
+    # words of different lengths, by the known constants of another key
+    data = np.frombuffer(b"abcdefgabcdefgh", np.uint8)
+    one, two = (words.word_hashes(data, np.array([0, 7]), np.array([7, 15]), k) for k in (b"1", b"2"))
+    assert len({*one.tolist(), *two.tolist()}) == 4
