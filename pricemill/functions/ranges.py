@@ -31,7 +31,13 @@ def running_totals(df: DataFrame, key: Column, order: list[Column], totals: dict
 def quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(group, *shares): exact quantiles of a value by group, between neighbours in proportion. Values are counted first,
     so that no buffer holds all of a group; nulls are not counted."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
+    return counted_quantiles(counts, group, "__x", "__n", shares)
+
+
+def counted_quantiles(counts: DataFrame, group: str, value: str, count: str, shares: dict[str, float]) -> DataFrame:
+    """The same of values that are counted already: a row a group and value. The table is read several times."""
+    counts = counts.where(F.col(count) > 0).select(group, F.col(value).alias("__x"), F.col(count).alias("__c"))
     ranked = running_totals(counts, F.col("__x"), [F.col("__x")], {"__upto": F.col("__c")}, by=(group,))
     totals = counts.groupBy(group).agg(F.sum("__c").alias("__n"))
     rows = ranked.join(F.broadcast(totals), group)

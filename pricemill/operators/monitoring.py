@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemill.config import Config
-from pricemill.functions.ranges import quantiles, running_totals
+from pricemill.functions.kept import keep
+from pricemill.functions.ranges import counted_quantiles, running_totals
 
 from .models import metric_columns
 
@@ -16,27 +17,33 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(columns)}, {cells}) as (feature, value)").where("value is not null")
 
 
-def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """Population stability index by feature, over bins between the reference's quantiles; 0 where fewer than
-    three distinct edges remain. The edges are a few numbers a feature."""
-    a, b = _long(reference, columns), _long(current, columns)
+def value_counts(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, value, r, c), stored: how often each value comes in the reference and in the current period. Everything that
+    is asked of both periods is taken from this table, so their rows are read once."""
+    both = _long(reference, columns).withColumn("side", F.lit(1)).unionByName(_long(current, columns).withColumn("side", F.lit(0)))
+    return keep(both.groupBy("feature", "value").agg(F.sum("side").alias("r"), F.sum(1 - F.col("side")).alias("c")), "counts").rows
+
+
+def _psi(counts: DataFrame, bins: int) -> DataFrame:
     cuts = {f"q{i}": i / bins for i in range(bins + 1)}
-    edges = quantiles(a, "feature", "value", cuts).select("feature", F.array_distinct(F.array(*cuts)).alias("edges"))
+    edges = counted_quantiles(counts, "feature", "value", "r", cuts).select("feature", F.array_distinct(F.array(*cuts)).alias("edges"))
     # a value's bin is the number of inner edges that it exceeds
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     bin_of = F.size(F.filter(inner, lambda e: F.col("value") > e))
-    both = a.withColumn("side", F.lit("r")).unionByName(b.withColumn("side", F.lit("c"))).join(F.broadcast(edges), "feature")
-    counts = both.groupBy("feature", bin_of.alias("bin"), F.size("edges").alias("n_edges")).agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "c").alias("c"))
+    found = counts.join(F.broadcast(edges), "feature").groupBy("feature", bin_of.alias("bin"), F.size("edges").alias("n_edges")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     total = lambda c: F.sum(c).over(Window.partitionBy("feature"))
     share = lambda c: F.greatest(F.col(c) / F.nullif(total(c), F.lit(0)), F.lit(1e-6))
     term = (share("c") - share("r")) * F.log(share("c") / share("r"))
-    return counts.withColumn("term", term).groupBy("feature").agg(F.when(F.max("n_edges") >= 3, F.sum("term")).otherwise(F.lit(0.0)).alias("psi"))
+    return found.withColumn("term", term).groupBy("feature").agg(F.when(F.max("n_edges") >= 3, F.sum("term")).otherwise(F.lit(0.0)).alias("psi"))
 
 
-def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance by feature; values are counted before the running sums."""
-    both = _long(reference, columns).withColumn("side", F.lit(1)).unionByName(_long(current, columns).withColumn("side", F.lit(0)))
-    counts = both.groupBy("feature", "value").agg(F.sum("side").alias("r"), F.sum(1 - F.col("side")).alias("c"))
+def psi(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """Population stability index by feature, over bins between the reference's quantiles; 0 where fewer than
+    three distinct edges remain. The edges are a few numbers a feature."""
+    return _psi(value_counts(reference, current, columns), bins)
+
+
+def _ks(counts: DataFrame) -> DataFrame:
     upto = running_totals(counts, F.col("value"), [F.col("value")], {"__r": F.col("r"), "__c": F.col("c")}, by=("feature",))
     whole = counts.groupBy("feature").agg(F.sum("r").alias("__n"), F.sum("c").alias("__m"))
     part = lambda c, n: F.col(c) / F.nullif(F.col(n), F.lit(0))
@@ -44,22 +51,38 @@ def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFram
     return upto.join(F.broadcast(whole), "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
-def feature_drift(reference: DataFrame, current: DataFrame, columns: list[str], config: Config | None = None, bins: int = 10) -> DataFrame:
-    """(feature, psi, ks, reference_mean, current_mean, band, drift_rank): rank 1 drifts most."""
-    mean = lambda df, name: _long(df, columns).groupBy("feature").agg(F.avg("value").alias(name))
-    out = psi(reference, current, columns, bins).join(ks(reference, current, columns), "feature").join(mean(reference, "reference_mean"), "feature").join(mean(current, "current_mean"), "feature")
+def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance by feature; values are counted before the running sums."""
+    return _ks(value_counts(reference, current, columns))
+
+
+def _moments(counts: DataFrame) -> DataFrame:
+    """By feature the mean and the share of values that are not positive, in both periods."""
+    both = {"reference": "r", "current": "c"}
+    mean = {f"{n}_mean": F.sum(F.col("value") * F.col(c)) / F.nullif(F.sum(c), F.lit(0)) for n, c in both.items()}
+    zero = {f"{n}_share_zero": F.sum(F.when(F.col("value") <= 0, F.col(c)).otherwise(F.lit(0))) / F.nullif(F.sum(c), F.lit(0)) for n, c in both.items()}
+    return counts.groupBy("feature").agg(*(v.alias(k) for k, v in (mean | zero).items()))
+
+
+def _drift(counts: DataFrame, config: Config | None, bins: int) -> DataFrame:
+    # a feature that a period lacks has no mean there, and is left out
+    means = _moments(counts).where("reference_mean is not null and current_mean is not null")
+    out = _psi(counts, bins).join(_ks(counts), "feature").join(means, "feature")
     rank = F.row_number().over(Window.orderBy(F.desc("psi"), "feature"))  # one row a feature
     return out.withColumns({"band": band(F.col("psi"), config or Config()), "drift_rank": rank})
 
 
+def feature_drift(reference: DataFrame, current: DataFrame, columns: list[str], config: Config | None = None, bins: int = 10) -> DataFrame:
+    """(feature, psi, ks, reference_mean, current_mean, band, drift_rank): rank 1 drifts most."""
+    return _drift(value_counts(reference, current, columns), config, bins).drop("reference_share_zero", "current_share_zero")
+
+
 def prediction_drift(reference: DataFrame, current: DataFrame, column: str, config: Config | None = None, bins: int = 10) -> DataFrame:
     """feature_drift of predictions, with their 95th percentiles and shares of zero in both periods."""
-    out = feature_drift(reference, current, [column], config, bins)
-    for name, df in (("reference", reference), ("current", current)):
-        own = _long(df, [column])
-        high = quantiles(own, "feature", "value", {f"{name}_p95": 0.95})
-        zero = own.groupBy("feature").agg(F.avg((F.col("value") <= 0).cast("int")).alias(f"{name}_share_zero"))
-        out = out.join(high, "feature").join(zero, "feature")
+    counts = value_counts(reference, current, [column])
+    out = _drift(counts, config, bins)
+    for name, c in (("reference", "r"), ("current", "c")):
+        out = out.join(counted_quantiles(counts, "feature", "value", c, {f"{name}_p95": 0.95}), "feature")
     return out
 
 
