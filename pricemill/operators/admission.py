@@ -1,8 +1,10 @@
 """Admission of requests: at most so many a client in any sliding window, and so many a day in all.
 
 Whether a request is admitted depends on those admitted before it, so a client's requests are folded in their
-order: they are dealt by client, sorted within the task, and pass through as a stream of which only the times
-of the last admitted requests are remembered. The day's cap is a place in the order of all admitted requests of the
+order. Where a client has none for longer than the window, what comes after does not depend on what came before:
+its requests are parted into such sessions, found from their numbers by client and slot of the window's length. They
+are dealt by session, sorted within the task, and pass through as a stream of which only the times of the last admitted
+requests are remembered; only a client that is never silent is one task's. The day's cap is a place in the order of all admitted requests of the
 day, found by ranges. What comes after it is not admitted and so not remembered for its client either, which can
 only change the day after; folding is repeated with the days' last places until they stay. The first day's is
 right after one round, each next one after one more at most; as a rule two or three rounds do.
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemill.functions.kept import keep
@@ -24,9 +26,22 @@ from pricemill.functions.ranges import running_totals
 _DAY = 86_400_000_000
 
 
+def with_sessions(rows: DataFrame, window: int) -> DataFrame:
+    """rows (client, at, ...) with the session of each: the slot in which its run of slots with requests begins. Between two
+    sessions of a client there is an empty slot, so more than the window. The runs come from one row a client and slot."""
+    slot = F.floor(F.col("at") / window).cast("long")
+    order = Window.partitionBy("client").orderBy("slot")
+    slots = rows.groupBy("client", slot.alias("slot")).agg(F.count("*").alias("n"))
+    begins = F.when(F.coalesce(F.col("slot") - F.lag("slot").over(order) > 1, F.lit(True)), F.col("slot"))
+    slots = slots.withColumn("begins", begins).select(F.col("client").alias("__client"), F.col("slot").alias("__slot"), F.last("begins", ignorenulls=True).over(order).alias("session"))
+    found = rows.withColumn("__at_slot", slot).join(slots, F.col("client").eqNullSafe(F.col("__client")) & (F.col("__at_slot") == F.col("__slot")))
+    return found.select(*rows.columns, "session")
+
+
 def _fold(per_client: int, window: int, ends: dict[int, tuple[int, int]]):
-    """Adds to each row (client, at, id, day), sorted by client, time and id, whether its client admits it: not after the
-    day's end, and not while the window holds per_client admitted ones."""
+    """Adds to each row (client, at, id, day, session), sorted by client, time and id, whether its client admits it: not after
+    the day's end, and not while the window holds per_client admitted ones. Sessions of a client that meet in a task
+    don't disturb each other, as they are further apart than the window."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client, hits = None, deque(maxlen=per_client or 1)
@@ -64,9 +79,9 @@ def admissions(requests: DataFrame, per_client: int, per_day: int, client: str =
     """
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     rows = requests.select(F.col(client).cast("string").alias("client"), micros.alias("at"), F.col(key).cast("long").alias("id"), F.floor(micros / _DAY).cast("long").alias("day"))
-    timed = keep(rows.where("at is not null and id is not null"), "requests")
-    sorted_ = timed.rows.repartition("client").sortWithinPartitions("client", "at", "id")
-    schema = "client string, at long, id long, day long, own boolean"
+    timed = keep(with_sessions(rows.where("at is not null and id is not null"), window_seconds * 1_000_000), "requests")
+    sorted_ = timed.rows.repartition("client", "session").sortWithinPartitions("client", "at", "id")
+    schema = "client string, at long, id long, day long, session long, own boolean"
     ends: dict[int, tuple[int, int]] = {}
     while True:
         folded = keep(sorted_.mapInArrow(_fold(per_client, window_seconds * 1_000_000, ends), schema), "admitted")

@@ -6,7 +6,7 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
-from pricemill.operators.admission import admissions
+from pricemill.operators.admission import admissions, with_sessions
 from pricemill.plans import queries
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
@@ -45,6 +45,20 @@ def test_admission_equals_the_plain_limiter(spark, per_client, per_day):
     assert {r["id"]: r["reason"] for r in found} == _plain([(i, c, t) for i, c, t in rows], per_client, per_day)
 
 
+def test_sessions_are_further_apart_than_the_window(spark):
+    rng = random.Random(4)
+    rows = [(c, rng.choice([0, 50, 51, 52, 400]) * 1000 + rng.randrange(3000)) for c in ("a", "b", None) for _ in range(60)]
+    found = with_sessions(spark.createDataFrame(rows, "client string, at long"), 1000).collect()
+    assert len(found) == len(rows)
+    by = defaultdict(list)
+    for r in found:
+        by[r["client"], r["session"]].append(r["at"])
+    assert len(by) == 9
+    for (client, _), own in by.items():
+        others = [at for (c, _), x in by.items() if c == client and x is not own for at in x]
+        assert all(abs(a - b) > 1000 for a in own for b in others)
+
+
 def test_no_requests(spark):
     assert admissions(spark.createDataFrame([], COLUMNS), 3, 5).count() == 0
     only = spark.createDataFrame([(1, "a", None)], COLUMNS)
