@@ -10,7 +10,7 @@ from pricemill.functions.columns import arc_elasticity, best_price, price_change
 from pricemill.functions.kept import keep, shared_path
 from pricemill.functions.ranges import quantiles
 from pricemill.operators import admission, attribution, audit, cleaning, commercial, decisions, elasticity, features, incremental, models, monitoring, policies, regression, response, series, service, sketches, studies, walk_forward, zero_prices
-from pricemill.sources import synthetic
+from pricemill.sources import planted
 from pricemill.sources.tables import append_log, fingerprint, movement_from_sales, read_log
 from pricemill.streaming import outcomes
 from pricemill.streaming.weekly import append_batches
@@ -671,27 +671,20 @@ def implied_elasticity(spark, d):
     return _rounded(both.withColumn("e", value).agg(F.count("e").alias("n"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"), F.avg((F.col("e") < 0).cast("int")).alias("share_negative")))
 
 
-def _known(spark, spec):
-    """An elasticity table of the training weeks of a panel with known elasticities, against these."""
-    panel = cleaning.canonical(synthetic.movement(spark, spec), synthetic.products(spark, spec))
-    train = features.with_split(panel).where("split = 'train'")
-    table = elasticity.elasticity_table(train, Config({"elasticity": {"min_obs_per_upc": 50}}))
-    return studies.recovered(train, table, synthetic.truth(spark, spec))
-
-
 def synthetic_recovery(spark, d):
-    """Known elasticities against those found again in the panel they made."""
-    spec = synthetic.Spec(n_upcs=10, n_stores=5, n_weeks=120)
-    panel = cleaning.canonical(synthetic.movement(spark, spec))
+    """Known elasticities, planted into the panel, against those found again in it."""
+    panel = planted.planted(_panel(spark, d))
     fits = regression.slopes(regression.within(regression.loglog(panel), ["x", "y"], ["upc", "store"]), "upc")
-    return _rounded(fits.join(synthetic.truth(spark, spec), "upc").select("upc", "true_elasticity", "estimate", "std_error"))
+    return _rounded(fits.join(planted.truth(panel), "upc").select("upc", "true_elasticity", "estimate", "std_error"))
 
 
 def ground_truth_study(spark, d):
-    """How far confounded panels mislead the elasticity table."""
-    out = None
-    for name, spec in synthetic.confounded(synthetic.Spec(n_upcs=6, n_stores=5, n_weeks=80)).items():
-        one = _known(spark, spec).select(F.lit(name).alias("scenario"), "*")
+    """How far confounding misleads the elasticity table: the training weeks with known elasticities planted into them."""
+    train, out = keep(_train(spark, d), "train").rows, None
+    for name, settings in planted.SCENARIOS.items():
+        panel = planted.planted(train, **settings)
+        table = elasticity.elasticity_table(panel, Config({"elasticity": {"min_obs_per_upc": 50}}))
+        one = studies.recovered(panel, table, planted.truth(panel)).select(F.lit(name).alias("scenario"), "*")
         out = one if out is None else out.unionByName(one)
     return _rounded(out)
 

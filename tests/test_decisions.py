@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pricemill.config import Config
 from pricemill.functions.ranges import quantiles
 from pricemill.operators import attribution, audit, cleaning, commercial, decisions, elasticity, features, models, monitoring, policies, regression, response, series, service, studies
-from pricemill.sources import synthetic, tables
+from pricemill.sources import planted, tables
+from tests import panels
 from tests.test_pricing import STATS, _context
 
 
 @pytest.fixture(scope="module")
 def panel(spark):
-    spec = synthetic.Spec(n_upcs=5, n_stores=4, n_weeks=90)
-    return cleaning.canonical(synthetic.movement(spark, spec), synthetic.products(spark, spec)).cache()
+    return cleaning.canonical(panels.movement(spark), panels.products(spark)).cache()
 
 
 @pytest.fixture(scope="module")
@@ -82,7 +82,7 @@ def test_elasticity_table_screens_and_falls_back(spark, panel):
     train = features.with_split(panel).where("split = 'train'")
     table = elasticity.elasticity_table(train, config)
     got = {r["upc"]: r for r in table.products.collect()}
-    truth = {r["upc"]: r["true_elasticity"] for r in synthetic.truth(spark, synthetic.Spec(n_upcs=5, n_stores=4, n_weeks=90)).collect()}
+    truth = {u: panels.elasticity_of(u) for u in got}
     assert all(abs(r["estimate"] - truth[u]) < max(0.3, 4 * r["std_error"]) for u, r in got.items())
     assert all(r["elasticity_source"] == "shrunk_product" and r["ci_low"] < r["estimate"] < r["ci_high"] for r in got.values())
     few = elasticity.elasticity_table(train.where("upc > 1 or week < 10"), config)
@@ -174,22 +174,22 @@ def test_split_of_too_few_weeks_is_an_error(spark):
         features.with_split(few).collect()
 
 
-def test_confounding_misleads(spark):
+def test_confounding_misleads(spark, panel):
     errors = {}
-    for name, spec in synthetic.confounded(synthetic.Spec(n_upcs=4, n_stores=5, n_weeks=80)).items():
-        if name in ("clean", "promos unrecorded"):
-            train = cleaning.canonical(synthetic.movement(spark, spec))
-            errors[name] = studies.recovered(train, elasticity.elasticity_table(train), synthetic.truth(spark, spec)).first()["pooled_error"]
-    assert abs(errors["clean"]) < 0.15 < abs(errors["promos unrecorded"])
-
-
-def test_flaws_of_synthetic_rows(spark):
-    spec = synthetic.Spec(n_upcs=5, n_stores=8, n_weeks=60, records=synthetic.Records(0.5, 0.5, 0.1, 0.05))
-    rows = synthetic.movement(spark, spec).cache()
-    assert rows.count() < 5 * 8 * 60 and rows.where("ok = 0").count() > 0 and rows.where("qty = 2").count() > 0
-    happened = synthetic.happened(spark, spec).where("true_promotion = 1").count()
-    assert 0 < rows.where("sale is not null").count() < happened
-    assert {r["sale"] for r in rows.select("sale").distinct().collect()} == {None, "B", "C", "S"}
+    for name in ("clean", "promotions recorded", "promotions not recorded", "prices follow demand"):
+        rows = planted.planted(panel, **planted.SCENARIOS[name])
+        table = elasticity.elasticity_table(rows, Config({"elasticity": {"min_obs_per_upc": 100}}))
+        errors[name] = studies.recovered(rows, table, planted.truth(rows)).first()["pooled_error"]
+    assert max(abs(errors["clean"]), abs(errors["promotions recorded"])) < 0.15
+    assert min(abs(errors["promotions not recorded"]), abs(errors["prices follow demand"])) > 0.3
+
+
+def test_planted_units_are_the_same_again(spark, panel):
+    one, two = (planted.planted(p, depth=0.2, follows=0.05) for p in (panel, panel.repartition(7)))
+    assert one.select(*two.columns).exceptAll(two).isEmpty() and one.count() == panel.count()
+    hidden = planted.planted(panel, recorded=False)
+    assert hidden.where("recorded_promotion_flag = 1").isEmpty() and not panel.where("recorded_promotion_flag = 1").isEmpty()
+    assert planted.planted(panel.limit(0)).count() == 0
 
 
 def test_copies_are_counted_and_dropped(spark, panel):
