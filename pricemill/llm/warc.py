@@ -224,7 +224,9 @@ def _text(content: bytes, charset: str) -> tuple[str, bool]:
         page, known = content.decode(charset, "replace"), True
     except (LookupError, ValueError):
         page, known = content.decode("utf-8", "replace"), False
-    if any("\ud800" <= c <= "\udfff" for c in page):
+    try:
+        page.encode("utf-8")
+    except UnicodeEncodeError:
         page = page.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     return page, known
 
