@@ -11,15 +11,30 @@ from pricemill.functions.columns import ratio
 from .features import series
 
 
+def _changes(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, n_price_changes) of groups of many series, their rows ordered by week and series. A week's prices are compared within
+    an array of its series, and weeks with each other by one row a week, so no task orders all rows of a group."""
+    rest = [c for c in ("upc", "store") if c not in keys]
+    weeks = panel.groupBy(*keys, "week").agg(F.array_sort(F.collect_list(F.struct(*rest, F.col("effective_unit_price").alias("p")))).alias("a"))
+    n, differ = F.size("a"), lambda x, y: F.coalesce(F.abs(y - x) > 1e-9, F.lit(False))
+    inside = F.size(F.filter(F.zip_with(F.slice("a", F.lit(1), n - 1), F.slice("a", F.lit(2), n - 1), lambda x, y: differ(x.p, y.p)), lambda d: d))
+    before = F.lag(F.element_at("a", -1).p).over(Window.partitionBy(*keys).orderBy("week"))
+    return weeks.withColumn("c", inside + differ(before, F.element_at("a", 1).p).cast("int")).groupBy(*keys).agg(F.sum("c").alias("n_price_changes"))
+
+
 def price_variation(panel: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: observations, weeks, distinct prices, price moments, units, changes from row to row."""
-    p = F.col("effective_unit_price")
-    order = Window.partitionBy(*keys).orderBy("week", *(c for c in ("upc", "store") if c not in keys))
-    out = panel.withColumn("__change", F.abs(p - F.lag(p).over(order)) > 1e-9).groupBy(*keys).agg(
-        F.count(p).alias("n_obs"), F.countDistinct("week").alias("n_weeks"), F.countDistinct(p).alias("n_distinct_prices"), F.min(p).alias("price_min"),
-        F.max(p).alias("price_max"), F.avg(p).alias("price_mean"), F.stddev_samp(p).alias("price_std"), F.sum("move").alias("total_units"),
-        F.count_if("__change").alias("n_price_changes"),
-    )
+    p, of_series = F.col("effective_unit_price"), {"upc", "store"} <= set(keys)
+    figures = {
+        "n_obs": F.count(p), "n_weeks": F.countDistinct("week"), "n_distinct_prices": F.countDistinct(p), "price_min": F.min(p),
+        "price_max": F.max(p), "price_mean": F.avg(p), "price_std": F.stddev_samp(p), "total_units": F.sum("move"),
+    }
+    if of_series:  # a series has at most its weeks
+        panel = panel.withColumn("__change", F.abs(p - F.lag(p).over(Window.partitionBy(*keys).orderBy("week"))) > 1e-9)
+        figures["n_price_changes"] = F.count_if("__change")
+    out = panel.groupBy(*keys).agg(*(v.alias(k) for k, v in figures.items()))
+    if not of_series:
+        out = out.join(_changes(panel, keys), keys)
     return out.withColumns({
         "price_cv": ratio(F.col("price_std"), F.col("price_mean")), "price_range_pct": ratio(F.col("price_max") - F.col("price_min"), F.col("price_mean")),
         "price_change_rate": F.col("n_price_changes") / F.greatest(F.col("n_obs"), F.lit(1)),
