@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricemill.config import Config
+from pricemill.functions.kept import keep
 
 from . import regression
 from .features import with_seasonality
@@ -113,14 +114,14 @@ def with_reasons(found: DataFrame) -> DataFrame:
 def elasticity_table(train: DataFrame, config: Config | None = None, weeks: tuple[int, int] | None = None) -> ElasticityTable:
     """The table of training rows. Slopes that are imprecise or of the wrong sign take the pooled one; the
     others are shrunk towards it. facts names the weeks that the rows come from. The rows are kept only
-    while the table is made; what stays kept is one row a product."""
+    while the table is made; what stays is a stored table of one row a product."""
     config = config or Config()
     band = magnitude_band(config)
     rows = centred(train).persist()
     try:
         fit = regression.Fit(rows, "y", ["x", *CONTROLS])
         slope = float(fit.beta[0])
-        products = _estimates(rows, config).persist()
+        products = keep(_estimates(rows, config), "estimates").rows
         found = with_reasons(regression.shrunk(products, slope, band=band, usable=usable_slope(config)))
     finally:
         rows.unpersist()

@@ -10,6 +10,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricemill.functions.kept import keep
+
 from .boosting import PoissonTrees
 
 BASELINES = ("last_week", "rolling_mean_4", "series_mean", "seasonal_naive")
@@ -109,8 +111,7 @@ class DemandModel:
 
     def _fitted(self, train: DataFrame) -> DemandModel:
         numbers = [*_LOGGED, *_PLAIN]
-        prior = demand_prior(train).persist()  # one row a product, read again by every prediction
-        prior.count()
+        prior = keep(demand_prior(train), "prior").rows  # one row a product, read again by every prediction
         self.prior, self.overall = prior, train.agg(F.avg(F.log1p("move"))).first()[0]
         raw = self._prepared(train)
         if self.family == "boosted":

@@ -212,11 +212,11 @@ def elasticity_by_upc(spark, d):
 
 def _elasticities(spark, d):
     """Shrunk elasticities of all weeks, around the pooled slope within series. The rows are kept while the slopes are
-    made, and then one row a product."""
+    made; these are stored, one row a product."""
     rows = _within(spark, d, ["upc", "store"]).select("upc", "store", "week", "x", "y").persist()
     try:
         pooled = rows.agg(F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).first()[0]
-        return regression.shrunk(regression.slopes(rows, "upc").persist(), pooled)
+        return regression.shrunk(keep(regression.slopes(rows, "upc"), "slopes").rows, pooled)
     finally:
         rows.unpersist()
 
