@@ -1,10 +1,11 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised test items.
 
-The automaton reads words, not characters: each distinct word of the benchmark is one letter of its
-alphabet. Its patterns are the items cut into blocks of half a window (five words of ten), side by side:
-any window holds a whole block, so a block that is found is followed in both directions along its item,
-and where the common run of words is as long as a window, all of it is hit. That takes one node a word
-of the benchmark, where a pattern for each window would take ten. A document is scanned once.
+The automaton reads words, not characters: each distinct word of the benchmark is spelled with two letters
+of its alphabet. Its patterns are the items cut into blocks of half a window (five words of ten), side by side:
+any window holds a whole block, so only the places of a text that hold a found block can begin a window,
+and these are looked up in a sorted table of the distinct windows and compared word by word. That takes
+two nodes a word of the benchmark, where a pattern for each window would take ten. A document is scanned
+once, in time linear in its words.
 
 The benchmark is measured before it is sent to the executors: up to PART_BYTES of text make one
 automaton, a larger benchmark is dealt into parts of that size, each scanned in turn.
@@ -14,10 +15,10 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
+from math import isqrt
 
 import ahocorasick
 import numpy as np
@@ -30,11 +31,7 @@ from .common import free_name, stored, table
 #: Bytes of benchmark text that one automaton takes (measured: about 18 bytes of memory for each).
 PART_BYTES = 32 << 20
 WINDOW = 10
-#: Letters of the automaton; words beyond them share letters, and are told apart when a block is followed.
-LETTERS = 1_000_000
-#: Places of a block in the benchmark above which they are compared all at once.
-MANY_PLACES = 12
-_UNKNOWN, _BETWEEN = "\0", "\1"
+_UNKNOWN = "\0\0"
 
 _KEPT = {*range(48, 58), *range(97, 123), *range(128, 256)}
 #: A-Z to a-z; all other ASCII but digits and letters to a blank.
@@ -51,117 +48,110 @@ def normalised_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_BYTES).split()
 
 
-def _letter(number: int) -> str:
-    """The letter of a word's number; surrogates are skipped, as they are no characters."""
-    n = number % LETTERS + 2
-    return chr(n if n < 0xD800 else n + 0x800)
-
-
 class Scanner:
-    """The automaton of some items' blocks, and the search of it in a text."""
+    """The automaton of some items' blocks, the table of their windows, and the search of both in a text."""
 
     def __init__(self, items: tuple[tuple[str, str], ...], window: int = WINDOW):
+        self.window, self.block = window, (window + 1) // 2
         self.numbers: dict[bytes, int] = {}
         self.names: list[str] = []
-        self.need: list[int] = []
-        self.sizes: list[int] = []
-        self.begins: list[int] = []
-        block = (window + 1) // 2
-        spelled, codes, at = [_BETWEEN], array("q", [-2]), 1
-        places: dict[int, list[int]] = {}  # by length of the block
+        begins: list[int] = []
+        codes = array("i")
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        places: dict[int, list[np.ndarray]] = {}  # by length of the window
+        blocks: list[tuple[int, int]] = []
         for item, text in items:
             own = [self.numbers.setdefault(w, len(self.numbers)) for w in normalised_words(text)]
             if not own:
                 continue
             self.names.append(item)
-            self.need.append(min(window, len(own)))
-            self.begins.append(at)
-            size = min(block, len(own))
-            self.sizes.append(size)
-            places.setdefault(size, []).extend(range(at, at + len(own) - size + 1, size))
-            spelled.append("".join(map(_letter, own)) + _BETWEEN)
+            begins.append(len(codes))
+            length, size = min(window, len(own)), min(self.block, len(own))
+            places.setdefault(length, []).append(np.arange(len(codes), len(codes) + len(own) - length + 1))
+            blocks += ((len(codes) + k, size) for k in range(0, len(own) - size + 1, size))
             codes.extend(own)
-            codes.append(-2)
-            at += len(own) + 1
-        self.letters = {w: _letter(i) for w, i in self.numbers.items()}
-        self.text = "".join(spelled)
-        # with more words than letters, runs are followed by the numbers of the words
-        self.exact = codes if len(self.numbers) > LETTERS else None
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        letters = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
-        every, firsts, total = [], [0], 0
-        for size, own in places.items():
-            own = np.array(own, np.int64)
-            blocks = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letters, size)[own]).view(f"V{4 * size}").ravel()
-            order = np.argsort(blocks, kind="stable")
-            new = np.flatnonzero(np.concatenate(([True], blocks[order[1:]] != blocks[order[:-1]])))
-            every.append(own[order])
-            for k, p in zip(range(len(firsts) - 1, len(firsts) - 1 + len(new)), own[order[new]].tolist()):
-                self.automaton.add_word(self.text[p : p + size], k)
-            firsts += (total + np.append(new[1:], len(own))).tolist()
-            total += len(own)
-        self.alphabet = letters
-        self.places = np.concatenate(every) if every else np.empty(0, np.int64)
-        self.firsts = np.array(firsts, np.int64)
-        self.begin_array, self.size_array, self.need_array = (np.array(x, np.int64) for x in (self.begins, self.sizes, self.need))
+        # two letters a word, as a node finds its next one by going through all it has
+        base = isqrt(len(self.numbers)) + 1
+        self.letters = {w: chr(1 + i // base) + chr(1 + base + i % base) for w, i in self.numbers.items()}
+        by_number = list(self.letters.values())
+        for p, size in blocks:
+            self.automaton.add_word("".join(map(by_number.__getitem__, codes[p : p + size])), size)
+        self.codes = np.array(codes, np.int32)
         self.empty = not places
-        if places:
-            self.automaton.make_automaton()
-            # a block lies within a run of known words at least as long as the shortest block
-            self.runs = re.compile("[^\0]{%d,}" % min(places))
-
-    def _long_enough(self, places: np.ndarray, spelled: str, stop: int) -> np.ndarray:
-        """Of the places of a block that ends before `stop` in the text, those in a run of letters that is
-        long enough, all at once."""
-        item = np.searchsorted(self.begin_array, places, "right") - 1
-        size = int(self.size_array[item[0]])  # places of one block are of one size
-        need, start = self.need_array[item], stop - size
-        reach = max(0, int(need.max()) - size)
-        text = np.frombuffer(spelled[max(0, start - reach) : stop + reach].encode("utf-32-le"), np.uint32)
-        here = min(start, reach)
-        run, alive = np.full(len(places), size), np.ones(len(places), bool)
-        for i in range(1, here + 1):
-            alive &= self.alphabet[places - np.minimum(i, places)] == text[here - i]
-            run += alive
-        alive[:] = True
-        for i in range(size, len(text) - here):
-            alive &= self.alphabet[np.minimum(places + i, len(self.alphabet) - 1)] == text[here + i]
-            run += alive
-        return places[run >= need]
+        if self.empty:
+            return
+        self.automaton.make_automaton()
+        # a block lies within a run of known words at least as long as the shortest block
+        self.runs = re.compile("[^\0]{%d,}" % (2 * min(self.block, min(places))))
+        begin_array = np.array(begins, np.int64)
+        while True:  # until no two windows have one key, which the first draw nearly always gives
+            self.factors = np.random.default_rng().integers(0, 1 << 63, (2, window), np.uint64) << np.uint64(1) | np.uint64(1)
+            made = {length: self._windows(np.concatenate(own), length, begin_array) for length, own in places.items()}
+            if all(made.values()):
+                self.tables = made
+                return
+
+    def _keys(self, codes: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+        """A 64-bit key of the words codes[p : p + length] of each place."""
+        key = np.zeros(len(places), np.uint64)
+        for i in range(length):
+            mixed = codes[places + i].astype(np.uint64) * self.factors[0, i]
+            key += (mixed ^ mixed >> np.uint64(32)) * self.factors[1, i]
+        return key
+
+    def _windows(self, places: np.ndarray, length: int, begins: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """The distinct windows of a length: sorted keys, one place of each, where its items begin and the
+        items by window; None if different windows have one key."""
+        keys = self._keys(self.codes, places, length)
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order]
+        same = keys[1:] == keys[:-1]
+        left, right = places[:-1][same], places[1:][same]
+        if any((self.codes[left + i] != self.codes[right + i]).any() for i in range(length)):
+            return None
+        new = np.concatenate(([True], ~same))
+        item = np.searchsorted(begins, places, "right").astype(np.int32) - 1
+        kept = new.copy()  # of a window that an item repeats, the item once
+        kept[1:] |= item[1:] != item[:-1]
+        firsts = np.append(np.flatnonzero(new[kept]), kept.sum())
+        return keys[new], places[new].astype(np.int32), firsts, item[kept]
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
-        """Number of words, places of the hit words, items with a window in the text."""
+        """Number of words, places of the hit words, items with a window in the text. The time is linear in
+        the text, whatever repeats in it or in the items: each place is looked up once for each length."""
         found = normalised_words(text)
-        items: set[str] = set()
+        none = len(found), np.empty(0, np.int32), set()
         if self.empty or not found:
-            return len(found), np.empty(0, np.int32), items
+            return none
         spelled = "".join(map(self.letters.get, found, repeat(_UNKNOWN)))
-        hit, seen, own, whole = None, {}, spelled, self.text
+        blocks: dict[int, list[int]] = {}  # starts by size
         for run in self.runs.finditer(spelled):
-            for end, k in self.automaton.iter(run[0]):
-                own_places = self.places[self.firsts[k] : self.firsts[k + 1]]
-                if len(own_places) > MANY_PLACES:
-                    own_places = self._long_enough(own_places, spelled, run.start() + end + 1)
-                for p in own_places.tolist():
-                    item = bisect_right(self.begins, p) - 1
-                    # the block's place in the text: shorter items have one block, as long as they are
-                    s = run.start() + end + 1 - self.sizes[item]
-                    if seen.get(p - s, -1) > s:  # in a run that was followed before
-                        continue
-                    if self.exact is not None and own is spelled:
-                        own, whole = [self.numbers.get(w, -1) for w in found], self.exact
-                    first = last = 0
-                    while first < s and own[s - first - 1] == whole[p - first - 1]:
-                        first += 1
-                    while s + last < len(found) and own[s + last] == whole[p + last]:
-                        last += 1
-                    seen[p - s] = s + last
-                    if first + last >= self.need[item]:
-                        if hit is None:
-                            hit = np.zeros(len(found), bool)
-                        hit[s - first : s + last] = True
-                        items.add(self.names[item])
-        return len(found), np.empty(0, np.int32) if hit is None else np.flatnonzero(hit).astype(np.int32), items
+            before = run.start() + 1
+            for end, size in self.automaton.iter(run[0]):
+                blocks.setdefault(size, []).append((before + end) // 2 - size)
+        if not blocks:
+            return none
+        own = np.fromiter(map(self.numbers.get, found, repeat(-1)), np.int32, len(found))
+        border, items = np.zeros(len(found) + 1, np.int32), []
+        for length, (keys, places, firsts, held) in self.tables.items():
+            size = min(self.block, length)
+            starts = np.array(blocks.get(size, []), np.int64)
+            if length == self.window:  # any window holds a whole block, at one of these distances
+                starts = (starts[:, None] - np.arange(length - size + 1)).ravel()
+            starts = np.unique(starts[(starts >= 0) & (starts <= len(found) - length)])
+            key = self._keys(own, starts, length)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            on = keys[at] == key
+            for i in range(length):
+                on &= own[starts + i] == self.codes[places[at] + i]
+            starts = starts[on]
+            border[starts] += 1
+            border[starts + length] -= 1
+            items += [held[firsts[k] : firsts[k + 1]] for k in np.unique(at[on]).tolist()]
+        if not items:
+            return none
+        names = {self.names[i] for i in np.unique(np.concatenate(items)).tolist()}
+        return len(found), np.flatnonzero(np.cumsum(border[:-1]) > 0).astype(np.int32), names
 
 
 def word_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
