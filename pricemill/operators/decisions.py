@@ -8,6 +8,8 @@ so a batch is one projection over the contexts.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,14 +35,30 @@ def is_off(disabled: Disabled, name: str) -> Column:
     return F.array_contains(disabled, name) if isinstance(disabled, Column) else F.lit(name in disabled)
 
 
+def policy_columns(profile: str | Column, config: Config) -> dict[str, Column]:
+    """The settings of a policy as columns: of one profile, or of the profile that a column names in each row
+    (none of them where it names no profile that there is)."""
+    if not isinstance(profile, Column):
+        return _as_columns(config.policy(profile))
+    each = {name: _as_columns(config.policy(name)) for name in config["policy_profiles"]}
+    settings = sorted({k for own in each.values() for k in own})
+    return {k: F.coalesce(*(F.when(profile == name, own[k]) for name, own in each.items() if k in own)) for k in settings}
+
+
+def _as_columns(policy: dict) -> dict[str, Column]:
+    kind = lambda v: F.lit(v) if isinstance(v, bool | str) else F.lit(v).cast("double")
+    return {k: v if isinstance(v, Column) else kind(v) for k, v in policy.items()}
+
+
 def intervals(policy: dict, cap: Column) -> dict[str, tuple[Column, Column]]:
     """The lowest and the highest price of each guardrail; null where it sets none."""
+    policy = _as_columns(policy)
     p, c, tol, margin = F.col("current_price"), F.col("unit_cost"), policy["extrapolation_tolerance_pct"], policy["min_gross_margin_rate"]
-    none, top = F.lit(None).cast("double"), policy.get("abs_max_price")
+    none = F.lit(None).cast("double")
     return {
-        "MAX_PRICE_CHANGE": (p * (1 - cap), p * (1 + cap)), "MIN_PRICE": (F.lit(float(policy.get("abs_min_price", 0.01))), none),
-        "MAX_PRICE": (none, none if top is None else F.lit(float(top))), "EXTRAPOLATION": (F.col("price_min") * (1 - tol), F.col("price_max") * (1 + tol)),
-        "COST_FLOOR": (none if policy["allow_below_cost"] else c, none), "MIN_MARGIN": (c / (1 - margin) if margin > 0 else none, none),
+        "MAX_PRICE_CHANGE": (p * (1 - cap), p * (1 + cap)), "MIN_PRICE": (F.coalesce(policy.get("abs_min_price", none), F.lit(0.01)), none),
+        "MAX_PRICE": (none, policy.get("abs_max_price", none)), "EXTRAPOLATION": (F.col("price_min") * (1 - tol), F.col("price_max") * (1 + tol)),
+        "COST_FLOOR": (F.when(~policy["allow_below_cost"], c), none), "MIN_MARGIN": (F.when(margin > 0, c / (1 - margin)), none),
     }
 
 
@@ -103,29 +121,29 @@ def simulate(df: DataFrame, goal: str, simulator: Simulator = constant_elasticit
 
 
 def recommend(
-    contexts: DataFrame, profile: str = "standard", config: Config | None = None, goal: str | None = None, disabled: Disabled = frozenset(), target: Column | None = None, simulator: Simulator = constant_elasticity,
+    contexts: DataFrame, profile: str | Column = "standard", config: Config | None = None, goal: str | None = None, disabled: Disabled = frozenset(), target: Column | None = None, simulator: Simulator = constant_elasticity,
 ) -> DataFrame:
     """One row a context, with the decision, the prices, units and uplifts, risk and reason codes.
 
     Contexts have the columns of CONTEXT, and may have promotion_share (half of the weeks or more on
     promotion make a risk of at least MEDIUM) and prediction_cap. Besides the guardrails of CODES,
     disabled may name HISTORICAL_SUPPORT, RISK_GATE, MATERIALITY and ROUNDING. A context without statistics is not screened, but its risk is
-    HIGH. With a target, the price to judge is the target kept within the bounds, and the change of price
+    HIGH. The profile may be a column, so that one pass decides the same context under several. With a target, the price to judge is the target kept within the bounds, and the change of price
     must be material instead of the uplift.
     """
     config = config or Config()
-    goal, policy = goal or config["optimization.objective"], config.policy(profile)
+    goal, policy = goal or config["optimization.objective"], policy_columns(profile, config)
     cents, step = config["optimization.price_rounding"], config["optimization.price_step"]
     p, action = F.col("current_price"), policy["high_risk_action"]
     share = F.col("promotion_share") if "promotion_share" in contexts.columns else None
     gated = ~is_off(disabled, "RISK_GATE")
     df = contexts.withColumn("unit_cost", F.when(F.col("unit_cost") > 0, F.col("unit_cost")))
     df = df.withColumns({"screened": F.array_compact(F.array(*screen(config, goal, disabled))), "preliminary_risk": risk_level(p, config, share)})
-    cap = F.lit(float(policy["max_price_change_pct"]))
-    if policy.get("medium_risk_max_price_change_pct") is not None:
-        cap = F.when(gated & (F.col("preliminary_risk") == "MEDIUM"), F.least(cap, F.lit(float(policy["medium_risk_max_price_change_pct"])))).otherwise(cap)
+    cap = policy["max_price_change_pct"]
+    if "medium_risk_max_price_change_pct" in policy:
+        cap = F.when(gated & (F.col("preliminary_risk") == "MEDIUM"), F.least(cap, policy["medium_risk_max_price_change_pct"])).otherwise(cap)
     df = with_bounds(df, policy, cap, disabled)
-    stopped = F.when(F.size("screened") > 0, "screened").when(gated & (F.col("preliminary_risk") == "HIGH") & F.lit(action == "keep_current"), "risky")
+    stopped = F.when(F.size("screened") > 0, "screened").when(gated & (F.col("preliminary_risk") == "HIGH") & (action == "keep_current"), "risky")
     grid = price_grid(F.col("low"), F.col("high"), p, step, cents, config["optimization.charm_pricing"])
     if target is not None:
         kept = F.bround(F.least(F.greatest(target, F.col("low")), F.col("high")) / cents, 0) * cents
@@ -148,12 +166,12 @@ def recommend(
         "final_risk": F.when(F.col("stop").isNull(), risk_level(F.col("best.price"), config, share)).otherwise(F.col("preliminary_risk")),
     })
     same = F.abs("change") < 1e-9
-    material = F.when(is_off(disabled, "MATERIALITY"), 0.0).otherwise(F.lit(float(policy["materiality_threshold_pct"])))
+    material = F.when(is_off(disabled, "MATERIALITY"), 0.0).otherwise(policy["materiality_threshold_pct"])
     small = F.col("uplift").isNull() | (F.col("uplift") < material) if target is None else F.abs("change") < material
-    high_risk = gated & (F.col("final_risk") == "HIGH") & F.lit(action != "recommend")
+    high_risk = gated & (F.col("final_risk") == "HIGH") & (action != "recommend")
     outcome = (
         F.when(F.col("stop").isNotNull(), F.col("stop")).when(same, "same").when(small, "small")
-        .when(high_risk, "risky" if action == "keep_current" else "review").otherwise("change")
+        .when(high_risk & (action == "keep_current"), "risky").when(high_risk, "review").otherwise("change")
     )
     df = _settled(df.withColumn("outcome", outcome))
     is_ = lambda *names: F.col("outcome").isin(*names)
@@ -192,6 +210,16 @@ def recommend(
     return _settled(out.select(*keep))
 
 
+def with_provenance(recommendations: DataFrame, method: str, model_version: str, config: Config, profile: str | Column = "standard", goal: str | None = None) -> DataFrame:
+    """Recommendations with what made them: the profile, the objective, the method of the price response, the version of
+    the model, and config_sha256, a digest of all settings that doesn't depend on their order."""
+    settings = json.dumps(config.values, sort_keys=True, separators=(",", ":"))
+    return recommendations.withColumns({
+        "policy_profile": profile if isinstance(profile, Column) else F.lit(profile), "objective": F.lit(goal or config["optimization.objective"]), "price_response_method": F.lit(method),
+        "model_version": F.lit(model_version), "config_sha256": F.lit(hashlib.sha256(settings.encode()).hexdigest()),
+    })
+
+
 def curve_diagnostics(simulated: DataFrame) -> DataFrame:
     """By context of simulated candidates: share of rising steps, monotony, relative span, flatness."""
     c = F.col("candidates")

@@ -10,6 +10,7 @@ from pricemill.config import Config
 from pricemill.functions.columns import demand
 
 from . import decisions
+from .elasticity import ElasticityTable
 
 #: Prices that one request may simulate.
 MOST_PRICES = 500
@@ -84,6 +85,65 @@ def predict_demand(contexts: DataFrame, upc: int, store: int, price: float, week
     return simulate_prices(contexts, upc, store, [price], week).select("upc", "store", "week", "price", "units")
 
 
+def resolved(requests: DataFrame, served: DataFrame) -> DataFrame:
+    """requests (store, upc, product, and whatever else they carry) with resolved_upc and problem.
+
+    A code is taken if the store serves it (served: store, upc, descrip); otherwise the name decides, by the one product of
+    the store whose description contains it in any case. Nothing is guessed: problem is STORE_NOT_SERVED, NO_CODE_OR_NAME,
+    NO_MATCH or SEVERAL_MATCHES where there is no product, else null. A null store is not served; repeated requests each get
+    their row, and products that are served twice count once.
+    """
+    keep = requests.columns
+    one = served.select(F.col("store").alias("__store"), F.col("upc").alias("__upc"), F.lower(F.coalesce("descrip", F.lit(""))).alias("__text"))
+    rows = requests.withColumn("__name", F.when(F.length(F.trim("product")) > 0, F.lower(F.trim("product"))))
+    stores = one.select("__store").distinct().withColumn("__served", F.lit(True))
+    codes = one.select("__store", F.col("__upc").alias("__coded")).distinct()
+    rows = rows.join(stores, F.col("store") == F.col("__store"), "left").drop("__store")
+    rows = rows.join(codes, (F.col("store") == F.col("__store")) & (F.col("upc") == F.col("__coded")), "left").drop("__store")
+    # each name that a store is asked for is searched once, and only what it matches leaves the join
+    asked = rows.where("__coded is null and __name is not null").select(F.col("store").alias("__s"), F.col("__name").alias("__n")).distinct()
+    found = asked.join(one, (F.col("__s") == F.col("__store")) & F.contains("__text", "__n")).groupBy("__s", "__n").agg(F.min("__upc").alias("__low"), F.max("__upc").alias("__high"))
+    rows = rows.join(found, (F.col("store") == F.col("__s")) & (F.col("__name") == F.col("__n")), "left")
+    by_name = F.when(F.col("__low") == F.col("__high"), F.col("__low"))
+    problem = (
+        F.when(F.col("__served").isNull(), "STORE_NOT_SERVED").when(F.col("__coded").isNotNull(), None).when(F.col("__name").isNull() & F.col("upc").isNull(), "NO_CODE_OR_NAME")
+        .when(F.col("__low").isNull(), "NO_MATCH").when(F.col("__low") < F.col("__high"), "SEVERAL_MATCHES")
+    )
+    return rows.select(*keep, F.coalesce(F.col("__coded"), by_name).alias("resolved_upc"), problem.alias("problem"))
+
+
+def compare_policies(contexts: DataFrame, config: Config | None = None, profiles: tuple[str, ...] | None = None) -> DataFrame:
+    """Each context under each profile (all of the settings, if none are named), in one pass: policy_profile, decision,
+    prices, the change and the model's own uplift in per cent, risk and reason codes."""
+    config = config or Config()
+    names = tuple(config["policy_profiles"]) if profiles is None else profiles
+    for name in names:
+        config.policy(name)  # an error for a profile that there isn't
+    rows = contexts.withColumn("policy_profile", F.explode(F.array(*map(F.lit, names))))
+    found = decisions.recommend(rows, F.col("policy_profile"), config)
+    return found.select(
+        "upc", "store", "week", "policy_profile", "current_price", "decision", "recommended_price", (100 * (F.col("recommended_price") / F.col("current_price") - 1)).alias("price_change_percent"),
+        "risk_level", (100 * F.col("model_internal_estimated_uplift")).alias("uplift_percent"), "reason_codes",
+    )
+
+
+def model_info(contexts: DataFrame, method: str, model_version: str, table: ElasticityTable | None = None) -> DataFrame:
+    """One row on what is served: method and version, the pooled elasticity (null without a table), weeks, products, stores
+    and contexts; an empty table serves nothing and has no weeks."""
+    pooled = F.lit(None if table is None else float(table.pooled)).cast("double")
+    return contexts.agg(
+        F.lit(method).alias("price_response_method"), F.lit(model_version).alias("model_version"), F.round(pooled, 2).alias("pooled_elasticity"), F.min("week").alias("first_week"), F.max("week").alias("last_week"),
+        F.countDistinct("upc").alias("n_products"), F.countDistinct("store").alias("n_stores"), F.count("*").alias("n_contexts"),
+    )
+
+
+def register_views(contexts: DataFrame, method: str, model_version: str, table: ElasticityTable | None = None, config: Config | None = None) -> None:
+    """compare_policies, model_info and reason_code_glossary as temporary views, for SQL."""
+    compare_policies(contexts, config).createOrReplaceTempView("compare_policies")
+    model_info(contexts, method, model_version, table).createOrReplaceTempView("model_info")
+    contexts.sparkSession.createDataFrame(list(EXPLANATIONS.items()), "code string, explanation string").createOrReplaceTempView("reason_code_glossary")
+
+
 def explained(recommendations: DataFrame) -> DataFrame:
     """(upc, store, week, code, explanation): one row a reason code, in the order of the decision."""
     known = F.create_map(*(F.lit(x) for pair in EXPLANATIONS.items() for x in pair))

@@ -114,7 +114,8 @@ rec AS (
          list_filter(list_concat(list_concat(screened, CASE WHEN @GATED@ AND risk = 'MEDIUM' AND coalesce(stop, '') <> 'screened' THEN ['MEDIUM_RISK_CONSERVATIVE'] ELSE [] END),
            list_concat(CASE WHEN stop IS NULL THEN binding ELSE [] END, [
              CASE WHEN stop IS NULL AND rising THEN 'DEMAND_CURVE_NOT_DECREASING' END, CASE WHEN outcome = 'infeasible' THEN 'NO_FEASIBLE_PRICE' END, CASE WHEN outcome = 'small' THEN 'NON_MATERIAL_UPLIFT' END,
-             CASE WHEN outcome IN ('change', 'review') THEN 'PROFIT_UPLIFT_POSITIVE' END, CASE WHEN outcome = 'review' THEN 'HIGH_RISK_REVIEW_REQUIRED' END, CASE WHEN outcome = 'review' THEN 'LOW_CONFIDENCE' END,
+             CASE WHEN outcome IN ('change', 'review', 'risky') AND stop IS NULL THEN 'PROFIT_UPLIFT_POSITIVE' END, CASE WHEN outcome = 'risky' THEN 'HIGH_RISK_KEEP_CURRENT' END,
+             CASE WHEN outcome = 'review' THEN 'HIGH_RISK_REVIEW_REQUIRED' END, CASE WHEN outcome IN ('review', 'risky') THEN 'LOW_CONFIDENCE' END,
              CASE WHEN outcome NOT IN ('change', 'review') THEN 'KEEP_CURRENT_OPTIMAL' END])), lambda x: x IS NOT NULL) AS codes
   FROM d4),
 rec2 AS (SELECT *, (current_price - unit_cost) * units_current AS profit_current, (proposed_price - unit_cost) * units_proposed AS profit_proposed FROM rec)"""
@@ -256,6 +257,21 @@ def _union(parts: list[str]) -> str:
 
 
 SQL = {
+    "policy_comparison": _union([_with(f"""SELECT upc, store, week, '{k}' AS policy_profile, round(current_price, 6) AS current_price, decision, round(recommended_price, 6) AS recommended_price,
+      round(100 * (recommended_price / current_price - 1), 6) AS price_change_percent, risk_level, round(100 * ((profit_proposed - profit_current) / nullif(abs(profit_current), 0)), 6) AS uplift_percent,
+      array_to_string(codes, '|') AS reason_codes FROM rec2""", *_recommended(k)) for k in _POLICIES]),
+    "model_info": _with("""SELECT 'fixed' AS price_response_method, '1' AS model_version, -2.0::DOUBLE AS pooled_elasticity, min(week) AS first_week, max(week) AS last_week, count(DISTINCT upc) AS n_products,
+      count(DISTINCT store) AS n_stores, count(*) AS n_contexts FROM cx""", *_ALL),
+    "decision_records": _union([_with(f"""SELECT upc, store, week, decision, risk_level, round(recommended_price, 6) AS recommended_price, '{k}' AS policy_profile, 'gross_profit' AS objective,
+      'fixed' AS price_response_method, '1' AS model_version FROM rec2 WHERE store % 2 = {odd}""", *_recommended(k)) for k, odd in (("aggressive", 0), ("conservative", 1))]),
+    "product_requests": _with("""SELECT r.request, r.store, r.upc, r.product, coalesce(c.upc, CASE WHEN lo = hi THEN lo END) AS resolved_upc,
+      CASE WHEN r.store NOT IN (SELECT store FROM cx) THEN 'STORE_NOT_SERVED' WHEN c.upc IS NOT NULL THEN NULL WHEN r.product IS NULL AND r.upc IS NULL THEN 'NO_CODE_OR_NAME' WHEN lo IS NULL THEN 'NO_MATCH'
+           WHEN lo < hi THEN 'SEVERAL_MATCHES' END AS problem
+      FROM rq r LEFT JOIN cx c ON r.store = c.store AND r.upc = c.upc LEFT JOIN nm ON r.request = nm.request AND c.upc IS NULL""", *_ALL, """,
+rq AS (
+  SELECT p_partkey AS request, CAST(p_size % 30 AS BIGINT) AS store, CASE WHEN p_partkey % 4 <> 0 THEN CAST(regexp_extract(p_brand, '#([0-9]+)', 1) AS BIGINT) + CASE WHEN p_partkey % 3 = 0 THEN 100 ELSE 0 END END AS upc,
+         CASE WHEN p_partkey % 5 <> 0 THEN lower(p_brand[1:6 + p_partkey % 3]) END AS product FROM part),
+nm AS (SELECT rq.request, min(cx.upc) AS lo, max(cx.upc) AS hi FROM rq JOIN cx ON rq.store = cx.store AND contains(lower('Brand#' || cx.upc), rq.product) GROUP BY 1)"""),
     "decision_mix": _union([_with(f"SELECT '{k}' AS profile, decision, risk_level, count(*) AS n FROM rec2 GROUP BY 2, 3", *_recommended(k)) for k in _POLICIES]),
     "constraint_attribution": "WITH a AS (" + _union([_with(f"SELECT '{k}' AS left_out, upc, store, week, proposed_price FROM rec2", *_recommended(disabled=(k,))) for k in ("baseline", *CONSTRAINTS)])
     + ") SELECT a.left_out, count(*) AS n, count(*) FILTER (WHERE abs(a.proposed_price - b.proposed_price) > 1e-9) AS n_changed, round(avg(a.proposed_price), 6) AS mean_price FROM a JOIN a b ON a.upc = b.upc AND a.store = b.store AND a.week = b.week AND b.left_out = 'baseline' GROUP BY a.left_out",

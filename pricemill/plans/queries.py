@@ -410,11 +410,38 @@ def recommendations(spark, d):
 
 
 def decision_mix(spark, d):
-    base, out = contexts(spark, d), None
-    for profile in ("conservative", "standard", "aggressive"):
-        one = decisions.recommend(base, profile, CONFIG).groupBy(F.lit(profile).alias("profile"), "decision", "risk_level").agg(F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return service.compare_policies(contexts(spark, d), CONFIG).groupBy(F.col("policy_profile").alias("profile"), "decision", "risk_level").agg(F.count("*").alias("n"))
+
+
+def policy_comparison(spark, d):
+    """Every context of the last week under every profile."""
+    found = service.compare_policies(contexts(spark, d), CONFIG)
+    return _rounded(found.withColumn("reason_codes", F.array_join("reason_codes", "|")))
+
+
+def model_info(spark, d):
+    """What is served on the fixed elasticity of the decision queries."""
+    return _rounded(service.model_info(contexts(spark, d), "fixed", "1", elasticity.fixed(-2.0)))
+
+
+def decision_records(spark, d):
+    """The decisions of the last week under two profiles with what made them."""
+    rows = contexts(spark, d).withColumn("asked", F.when(F.col("store") % 2 == 0, "aggressive").otherwise("conservative"))
+    found = decisions.with_provenance(decisions.recommend(rows, F.col("asked"), CONFIG), "fixed", "1", CONFIG, F.col("asked"))
+    return _rounded(found.select(*KEYS, "decision", "risk_level", "recommended_price", "policy_profile", "objective", "price_response_method", "model_version"))
+
+
+def product_requests(spark, d):
+    """A request for each part, by the code of its brand (some wrong, some missing) or a beginning of its name, against the
+    products that each store serves in the last week."""
+    served = contexts(spark, d).select("store", "upc", F.concat(F.lit("Brand#"), F.col("upc").cast("string")).alias("descrip"))
+    part, key = spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey")
+    code = F.regexp_extract("p_brand", "#([0-9]+)", 1).cast("long") + F.when(key % 3 == 0, 100).otherwise(0)
+    asked = part.select(
+        key.cast("long").alias("request"), (F.col("p_size") % 30).cast("long").alias("store"), F.when(key % 4 != 0, code).alias("upc"),
+        F.when(key % 5 != 0, F.lower(F.substr("p_brand", F.lit(1), (6 + key % 3).cast("int")))).alias("product"),
+    )
+    return service.resolved(asked, served)
 
 
 def reason_code_counts(spark, d):
@@ -451,11 +478,10 @@ def rule_policies(spark, d):
     base = contexts(spark, d)
     margins = _panel(spark, d).groupBy("upc", "store").agg(F.percentile("gross_margin_rate", F.lit(0.5)).alias("median_margin"), F.mode(F.round("effective_unit_price", 2), True).alias("modal_price"))
     base = base.join(margins, ["upc", "store"], "left")
-    out = None
-    for name, target in policies.rule_targets().items():
-        one = decisions.recommend(base, "standard", CONFIG, target=target).groupBy(F.lit(name).alias("rule"), "decision").agg(F.count("*").alias("n"), F.sum("profit_proposed").alias("profit"))
-        out = one if out is None else out.unionByName(one)
-    return _rounded(out)
+    rules = F.array(*(F.struct(F.lit(name).alias("rule"), target.cast("double").alias("target")) for name, target in policies.rule_targets().items()))
+    rows = base.withColumn("__r", F.explode(rules)).select(*base.columns, "__r.*")
+    found = decisions.recommend(rows, "standard", CONFIG, target=F.col("target"))
+    return _rounded(found.groupBy("rule", "decision").agg(F.count("*").alias("n"), F.sum("profit_proposed").alias("profit")))
 
 
 def policy_totals(spark, d):
@@ -919,5 +945,5 @@ episode_rank_correlation excluded_positions elasticity_windows elasticity_stabil
 sampled_contexts serving_slice portfolio_summary explained_codes model_metrics implied_elasticity synthetic_recovery
 elasticity_table product_history shrinkage_variants shrinkage_bands recommendations_estimated promotion_risk method_comparison method_decisions hybrid_demand price_response_sweep sweep_summary
 ground_truth_study boosted_metrics model_selection refitted_baselines demand_prior raw_audit feature_drift prediction_drift schema_checks strict_alerts worst_stores top_products decision_crosstab reason_code_flags
-tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit zero_price_runs zero_price_kinds zero_price_dimensions zero_price_spread zero_price_selection sketch_drift product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison admitted_events lifecycle_steps late_outcomes log_generations""".split()
+tiled_decisions elasticity_all_windows risk_factors log_documents zero_price_audit zero_price_runs zero_price_kinds zero_price_dimensions zero_price_spread zero_price_selection sketch_drift product_shares price_indices priced_roles role_summary traffic_cap cost_leakage category_comparison policy_comparison model_info decision_records product_requests admitted_events lifecycle_steps late_outcomes log_generations""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
