@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pricemill.config import Config
 from pricemill.functions.kept import keep
+from pricemill.functions.ranges import quantiles
 
 from . import regression
 from .features import with_seasonality
@@ -166,6 +167,28 @@ def weight_bands(products: DataFrame) -> DataFrame:
     return products.where("usable").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
+def error_ratios(products: DataFrame) -> DataFrame:
+    """By product with a slope (estimate, std_error_hc1, _store and _week of product_estimates or regression.slopes): the larger
+    clustered error as std_error_clustered, each as a ratio to HC1, and whether the slope differs from zero at 1.96 errors by
+    either. An error of zero gives no ratio and no test; a product of one store has no error by store."""
+    b, hc1 = F.abs("estimate"), F.nullif("std_error_hc1", F.lit(0.0))
+    out = products.where("estimate is not null").withColumn("std_error_clustered", F.greatest("std_error_store", "std_error_week"))
+    ratios = {f"ratio_{k}": F.col(f"std_error_{k}") / hc1 for k in ("store", "week", "clustered")}
+    tests = {f"significant_{k}": (b / F.nullif(f"std_error_{k}", F.lit(0.0)) > 1.96).cast("double") for k in ("hc1", "clustered")}
+    errors = [f"std_error_{k}" for k in ("hc1", "store", "week", "clustered")]
+    return out.withColumns(ratios | tests).select("upc", "n_obs", "estimate", *errors, *ratios, *tests)
+
+
+def error_summary(ratios: DataFrame) -> DataFrame:
+    """(statistic, n, mean, median, p90): each column of error_ratios over the products that have it; the mean of significant_*
+    is the share of significant slopes. A statistic that no product has gives no row."""
+    names = [c for c in ratios.columns if c.startswith(("std_error_", "ratio_", "significant_"))]
+    pairs = F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).alias("value")) for c in names))
+    rows = keep(ratios.select(F.inline(pairs)).where("value is not null"), "errors").rows
+    means = rows.groupBy("statistic").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return means.join(quantiles(rows, "statistic", "value", {"median": 0.5, "p90": 0.9}), "statistic")
+
+
 def inference(fit: regression.Fit, one_way: dict[str, list[str]], two_way: tuple[str, str] | None = None) -> pd.DataFrame:
     """The first coefficient under each assumption on the errors, with t intervals and the ratio of each error to
     the classical one."""

@@ -170,6 +170,13 @@ m1 AS (SELECT upc, count(*) AS g, sum(s * s) AS m FROM (SELECT upc, store, sum(s
 m2 AS (SELECT upc, count(*) AS g, sum(s * s) AS m FROM (SELECT upc, week, sum(s) AS s FROM sc GROUP BY upc, week) GROUP BY upc),
 se AS (SELECT sb.*, sqrt(m0.m * n_obs / (n_obs - 1)) / sxx AS h, CASE WHEN m1.g > 1 THEN sqrt(m1.m * m1.g / (m1.g - 1) * (n_obs - 1) / (n_obs - 1)) / sxx END AS a,
        CASE WHEN m2.g > 1 THEN sqrt(m2.m * m2.g / (m2.g - 1) * (n_obs - 1) / (n_obs - 1)) / sxx END AS b FROM sb JOIN m0 USING (upc) JOIN m1 USING (upc) JOIN m2 USING (upc))"""
+_ERRORS = ([
+    "estimate", *(f"std_error_{k}" for k in ("hc1", "store", "week", "clustered")), *(f"ratio_{k}" for k in ("store", "week", "clustered")), "significant_hc1", "significant_clustered",
+], """,
+er AS (
+  SELECT *, std_error_store / nullif(std_error_hc1, 0) AS ratio_store, std_error_week / nullif(std_error_hc1, 0) AS ratio_week, std_error_clustered / nullif(std_error_hc1, 0) AS ratio_clustered,
+         CAST(abs(estimate) / nullif(std_error_hc1, 0) > 1.96 AS DOUBLE) AS significant_hc1, CAST(abs(estimate) / nullif(std_error_clustered, 0) > 1.96 AS DOUBLE) AS significant_clustered
+  FROM (SELECT upc, n_obs, estimate, h AS std_error_hc1, a AS std_error_store, b AS std_error_week, greatest(a, b) AS std_error_clustered FROM se))""")
 _BASE = """,
 tr AS (SELECT ft.*, split FROM ft JOIN sp USING (week) WHERE move IS NOT NULL AND lag_move_1 IS NOT NULL AND lag_price_1 IS NOT NULL),
 mn AS (SELECT upc, store, avg(move) AS m FROM tr WHERE split = 'train' GROUP BY upc, store), ov AS (SELECT avg(move) AS o FROM tr WHERE split = 'train'),
@@ -324,6 +331,9 @@ nm AS (SELECT rq.request, min(cx.upc) AS lo, max(cx.upc) AS hi FROM rq JOIN cx O
     "loglog_pooled": _with("SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r_squared FROM ll", _LL),
     "loglog_upc_fe": _with("SELECT count(*) AS n, round(sum(x * y) / sum(x * x), 6) AS slope FROM wi", _within("upc")),
     "loglog_upc_store_fe": _with("SELECT count(*) AS n, round(sum(x * y) / sum(x * x), 6) AS slope FROM wi", _within("upc, store")),
+    "error_ratios": _with(f"SELECT upc, n_obs, {_r(*_ERRORS[0])} FROM er", _within("upc, store"), _SLOPES, _ERRORS[1]),
+    "error_summary": _with("""SELECT statistic, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90
+      FROM (UNPIVOT er ON COLUMNS('^(std_error|ratio|significant)_') INTO NAME statistic VALUE value) GROUP BY 1""", _within("upc, store"), _SLOPES, _ERRORS[1]),
     "elasticity_by_upc": _with("SELECT upc, n_obs, round(estimate, 6) AS estimate, round(h, 6) AS std_error_hc1, round(a, 6) AS std_error_store, round(b, 6) AS std_error_week, round(greatest(h, a, b), 6) AS std_error, round(sxy * sxy / (sxx * nullif(syy, 0)), 6) AS r_squared FROM se", _within("upc, store"), _SLOPES),
     "forecast_metrics": _with(f"SELECT model, {_METRICS} FROM lf GROUP BY model", _FEATURES, _SPLIT, _BASE),
     "metrics_by_segment": _with(f"SELECT store, {_METRICS} FROM lf WHERE model = 'rolling_mean_4' GROUP BY store", _FEATURES, _SPLIT, _BASE),

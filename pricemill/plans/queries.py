@@ -210,6 +210,20 @@ def elasticity_by_upc(spark, d):
     return _rounded(regression.slopes(_within(spark, d, ["upc", "store"]), "upc"))
 
 
+def error_ratios(spark, d):
+    """By product: clustered errors of its slope within series beside the robust one."""
+    return _rounded(elasticity.error_ratios(regression.slopes(_within(spark, d, ["upc", "store"]), "upc")))
+
+
+def error_summary(spark, d):
+    return _rounded(elasticity.error_summary(elasticity.error_ratios(regression.slopes(_within(spark, d, ["upc", "store"]), "upc"))))
+
+
+def error_summary_controlled(spark, d):
+    """The same of the slopes beside the controls that the elasticity table uses, from the training weeks."""
+    return _rounded(elasticity.error_summary(elasticity.error_ratios(elasticity.product_estimates(_train(spark, d), CONFIG))))
+
+
 def _elasticities(spark, d):
     """Shrunk elasticities of all weeks, around the pooled slope within series. The rows are kept while the slopes are
     made; these are stored, one row a product."""
@@ -938,7 +952,7 @@ def admitted_events(spark, d):
 _NAMES = """panel_canonical exclusion_counts validation_checks table_fingerprint scale_summary numeric_profile promo_rollup weekly_rollup upc_concentration
 product_roles store_dispersion price_variation_upc price_variation_series eligible_series lag_features rolling_features reference_price_median decision_cost
 series_age price_features appended_features temporal_split_counts arc_pairs arc_summary price_change_events episodes history_stats_pit loglog_pooled loglog_upc_fe
-loglog_upc_store_fe elasticity_by_upc shrinkage_weights robust_inference elasticity_with_controls forecast_metrics metrics_by_segment performance_by_quarter
+loglog_upc_store_fe elasticity_by_upc shrinkage_weights error_ratios error_summary error_summary_controlled robust_inference elasticity_with_controls forecast_metrics metrics_by_segment performance_by_quarter
 psi_by_feature ks_statistic alerts guardrail_bounds simulate_grid price_grid curve_diagnostics risk_levels recommendations decision_mix reason_code_counts
 constraint_attribution constraint_intervals attribution_table attribution_contexts determinants rule_policies policy_totals policy_backtest elasticities_as_of walk_forward_backtest optimal_prices value_scenarios modal_price latest_state review_queue eligibility_funnel episode_scores
 episode_rank_correlation excluded_positions elasticity_windows elasticity_stability risk_bootstrap guardrail_ablation elasticity_scenarios recommendation_stability

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pricemill.config import Config, merged
 from pricemill.functions import columns as C
 from pricemill.functions.ranges import running_totals
-from pricemill.operators import audit, cleaning, decisions, features, models, monitoring, regression, studies
+from pricemill.operators import audit, cleaning, decisions, elasticity, features, models, monitoring, regression, studies
 from pricemill.sources import tables
 from tests import panels
 
@@ -226,3 +226,18 @@ def test_models_learn_the_price_response(spark):
     for family in models.FAMILIES:
         wape = models.DemandModel(family, boosting={"rounds": 8, "rate": 0.3, "leaves": 15, "least_rows": 10}).fit(train).predict(test).agg(models.metric_columns(F.col("move"), F.col("predicted"))["wape"]).first()[0]
         assert wape < naive.min()
+
+
+def test_clustered_errors_beside_the_robust_one(spark):
+    rows = [(1, 9, -2.0, 0.5, 1.5, 1.25), (2, 9, -1.0, 0.5, None, 1.0), (3, 9, None, 0.5, 0.5, 0.5), (4, 9, 3.0, 0.0, 0.0, 0.0), (5, 9, -4.0, 1.0, 0.5, 0.25)]
+    products = spark.createDataFrame(rows, "upc long, n_obs long, estimate double, std_error_hc1 double, std_error_store double, std_error_week double")
+    found = {r["upc"]: r for r in elasticity.error_ratios(products).collect()}
+    assert set(found) == {1, 2, 4, 5}
+    assert [found[1][c] for c in ("ratio_store", "ratio_week", "ratio_clustered", "significant_hc1", "significant_clustered")] == [3.0, 2.5, 3.0, 1.0, 0.0]
+    assert [found[2][c] for c in ("ratio_store", "ratio_clustered", "significant_clustered")] == [None, 2.0, 0.0]
+    assert [found[4][c] for c in ("ratio_clustered", "significant_hc1")] == [None, None] and found[5]["significant_clustered"] == 1.0
+    by = {r["statistic"]: r for r in elasticity.error_summary(elasticity.error_ratios(products)).collect()}
+    values = {"ratio_clustered": [3.0, 2.0, 0.5], "std_error_store": [1.5, 0.0, 0.5], "significant_clustered": [0.0, 0.0, 1.0]}
+    for name, own in values.items():
+        assert (by[name]["n"], by[name]["mean"], by[name]["median"], by[name]["p90"]) == pytest.approx((len(own), np.mean(own), np.median(own), np.quantile(own, 0.9)))
+    assert elasticity.error_summary(elasticity.error_ratios(products.limit(0))).count() == 0
