@@ -33,3 +33,8 @@ def passes(spark, sf_dir, monkeypatch):
 @pytest.mark.parametrize("name", ["shrinkage_variants", "product_history", "error_summary_controlled"])
 def test_estimates_read_the_sales_once(passes, name):
     assert passes(name) == 1
+
+
+@pytest.mark.parametrize("name", ["walk_forward_backtest", "elasticities_as_of", "implied_elasticity", "hybrid_demand"])
+def test_models_and_tables_as_of_weeks_read_the_sales_once(passes, name):
+    assert passes(name) == 1
